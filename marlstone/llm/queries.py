@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, substring_dedup, topk, url_filter
+from . import decontamination, language, line_dedup, mixing, quality, substring_dedup, topk, url_filter
 from .common import table
 
 
@@ -34,18 +34,29 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.usable(table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
     "op9_topk": op9_topk,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,6 +109,26 @@ ORACLE_SQL: dict[str, str] = {
             CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
             FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated""",
+    "op7_line_dedup": r"""
+        WITH cut AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+        masked AS (SELECT doc_id, line_no, regexp_replace(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM cut),
+        lines AS (SELECT doc_id, line_no, line, string_split(line, ' ') AS ts FROM masked WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
+        leafed AS (SELECT doc_id, line_no, line, ts, len(ts) || '/' || array_to_string(ts[1:3], ' ') AS leaf FROM lines),
+        leaves AS (SELECT leaf, count(DISTINCT line) AS kinds FROM leafed GROUP BY leaf HAVING count(DISTINCT (line, doc_id)) >= 10),
+        busy AS (SELECT f.*, v.kinds FROM leafed f JOIN leaves v USING (leaf)),
+        kinds AS (SELECT DISTINCT leaf, line, ts FROM busy WHERE kinds > 1),
+        counted AS (SELECT leaf, place, token, count(*) AS n FROM (SELECT leaf, unnest(range(1, len(ts) + 1)) AS place, unnest(ts) AS token FROM kinds) GROUP BY ALL),
+        fixed AS (SELECT leaf, place, CASE WHEN max(n) >= sum(n) * 0.5 THEN arg_max(token, (n, token)) ELSE '<*>' END AS token FROM counted GROUP BY leaf, place),
+        shapes AS (SELECT leaf, list(token ORDER BY place) AS shape FROM fixed GROUP BY leaf),
+        cover AS (SELECT k.leaf, k.line, array_to_string(shape, ' ') AS shape FROM kinds k JOIN shapes s USING (leaf)
+            WHERE len([x FOR x IN range(1, len(ts) + 1) IF ts[x] = shape[x] AND shape[x] <> '<*>']) >= len(ts) * 0.6 AND (list_contains(shape, '<*>') OR contains(array_to_string(shape, ' '), '<*>') OR k.line = array_to_string(shape, ' '))),
+        marked AS (SELECT b.doc_id, b.line_no, b.leaf || CASE WHEN c.shape IS NULL THEN '=' || b.line ELSE '~' || c.shape END AS template FROM busy b LEFT JOIN cover c USING (leaf, line)),
+        common AS (SELECT template, min(doc_id) AS first FROM marked GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+        gone AS (SELECT m.doc_id, m.line_no FROM marked m JOIN common c USING (template) WHERE m.doc_id > c.first),
+        kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS text FROM cut ANTI JOIN gone USING (doc_id, line_no) GROUP BY doc_id),
+        n_gone AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CAST(CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN n_gone USING (doc_id)""",
     "op9_topk": r"""
         WITH ok AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
