@@ -2,7 +2,7 @@
 
 Each task hashes the windows of some megabytes of text, keeps one entry per window (that of the smallest document) and
 sends it to the bucket of its hash; a bucket answers which entries also start in a smaller document. Answers go back by
-document as bit fields over that document's windows in the bucket, and merge into removal intervals. A window that a
+chunk, then by document, as bit fields over that document's windows in the bucket, and merge into removal intervals. A window that a
 third of all documents share thus sends one entry per task chunk, not one per document.
 """
 
@@ -22,7 +22,7 @@ from .common import buckets
 
 WIDTH = 50
 #: Bytes of text that a task hashes at a time, and windows that a bucket is planned for.
-CHUNK_BYTES, BUCKET_WINDOWS = 4 << 20, 3_000_000
+CHUNK_BYTES, BUCKET_WINDOWS = 3 << 20, 1_500_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -48,8 +48,14 @@ def _rows(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
             yield tuple(k[i] for k in keys), text[i].as_py()
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("doc", pa.binary()), ("step", pa.binary()), ("hash", pa.binary())])
-ANSWER = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("doc", pa.binary()), ("step", pa.binary()), ("hash", pa.binary())])
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("bits", pa.binary())])
+GATHERED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("answers", pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())])))])
+
+
+def _add(out: dict[str, list], *values) -> None:
+    for column, value in zip(out.values(), values, strict=True):
+        column.append(value)
 
 
 def _bits(ranks: np.ndarray) -> bytes:
@@ -76,10 +82,9 @@ def _send(n: int, width: int):
             keep = np.zeros(len(h), dtype=bool)
             keep[order[lead]] = True
             out: dict[str, list] = {k: [] for k in SENT.names}
+            chunk = int(ids[0, 0])
             for d in np.unique(of[beaten]):  # answered here; on their way they pass through a bucket
-                mine = np.flatnonzero(of == d) if len(rows) == 1 else np.arange(*np.searchsorted(of, [d, d + 1]))
-                for k, v in zip(SENT.names, (int(d) % n, 1, ids[d].tobytes(), b"", b"", _bits(np.flatnonzero(beaten[mine]))), strict=True):
-                    out[k].append(v)
+                _add(out, int(d) % n, chunk, ids[d].tobytes(), b"", b"", _bits(np.flatnonzero(beaten[slice(*np.searchsorted(of, [d, d + 1]))])))
             sent = np.flatnonzero(keep)
             sent = sent[np.argsort(at[sent], kind="stable")]
             cuts = np.searchsorted(at[sent], np.arange(n + 1))
@@ -89,47 +94,60 @@ def _send(n: int, width: int):
                 fresh = np.diff(local, prepend=-1)
                 step = np.diff(rank[part], prepend=0)
                 step[fresh > 0] = rank[part][fresh > 0]
-                for k, v in zip(SENT.names, (int(b), 0, ids[docs].tobytes(), fresh.astype(np.uint8 if fresh.max() < 256 else np.uint32).tobytes(), step.astype(np.uint32).tobytes(), h[part].tobytes()), strict=True):
-                    out[k].append(v)
+                _add(out, int(b), chunk, ids[docs].tobytes(), fresh.astype(np.uint8 if fresh.max() < 256 else np.uint32).tobytes(), step.astype(np.uint32).tobytes(), h[part].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=SENT)
 
     return run
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    docs, hashes, ranks, out = [], [], [], {k: [] for k in ANSWER.names}
-    for x in group.to_pylist():
+    """One bucket: of each chunk's entries, those whose window also starts in a smaller document."""
+    chunks, docs, locals_, hashes, ranks, out = [], [], [], [], [], {k: [] for k in ANSWER.names}
+    for x in (r for batch in group.to_batches() for r in batch.to_pylist()):
         ids = np.frombuffer(x["docs"], dtype=np.int64).reshape(-1, 2)
-        if x["kind"]:
-            for k, v in zip(ANSWER.names, (int(ids[0, 0]), int(ids[0, 1]), -1, x["hash"]), strict=True):
-                out[k].append(v)
+        if not x["doc"]:
+            _add(out, x["chunk"], -1, x["docs"], np.array([len(x["hash"])], dtype=np.uint32).tobytes(), x["hash"])
             continue
         h = np.frombuffer(x["hash"], dtype=np.uint64)
         fresh = np.frombuffer(x["doc"], dtype=np.uint8 if len(x["doc"]) == len(h) else np.uint32).astype(np.int64)
-        local, step = np.cumsum(fresh) - 1, np.frombuffer(x["step"], dtype=np.uint32).astype(np.int64)
-        total = np.cumsum(step)
-        begin = np.flatnonzero(fresh)
+        step = np.frombuffer(x["step"], dtype=np.uint32).astype(np.int64)
+        total, begin = np.cumsum(step), np.flatnonzero(fresh)
         total -= np.repeat(total[begin] - step[begin], np.diff(np.append(begin, len(h))))
-        docs.append(ids[local])
+        chunks.append((x["chunk"], len(h)))
+        docs.append(ids)
+        locals_.append((np.cumsum(fresh) - 1).astype(np.uint32))
         hashes.append(h)
         ranks.append(total.astype(np.uint32))
     if hashes:
-        ids, h, rank = np.concatenate(docs), np.concatenate(hashes), np.concatenate(ranks)
-        del docs, hashes, ranks
-        order = np.lexsort((ids[:, 0], h))
-        lead = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-        first = ids[order, 0][np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))]
-        hit = np.sort(order[first < ids[order, 0]])
-        if len(hit):
-            hit = hit[np.lexsort((ids[hit, 1], ids[hit, 0]))]
-            new = np.flatnonzero(np.concatenate(([True], (ids[hit][1:] != ids[hit][:-1]).any(axis=1))))
-            bucket = group["bucket"][0].as_py()
-            for a, b in zip(new, np.append(new[1:], len(hit)), strict=True):
-                for k, v in zip(ANSWER.names, (int(ids[hit[a], 0]), int(ids[hit[a], 1]), bucket, _bits(rank[hit[a:b]])), strict=True):
-                    out[k].append(v)
+        bucket = group["bucket"][0].as_py()
+        del group
+        h, who = np.concatenate(hashes), np.concatenate([d[l, 0] for d, l in zip(docs, locals_, strict=True)])
+        del hashes
+        order = np.lexsort((who, h))
+        h, sorted_ids = h[order], who[order]
+        lead = np.concatenate(([True], h[1:] != h[:-1]))
+        beaten = np.zeros(len(h), dtype=bool)
+        beaten[order] = sorted_ids[np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))] < sorted_ids
+        at = 0
+        for (chunk, n), ids, local, rank in zip(chunks, docs, locals_, ranks, strict=True):
+            hit, at = np.flatnonzero(beaten[at : at + n]), at + n
+            if len(hit):
+                new = np.flatnonzero(np.diff(local[hit], prepend=-1))
+                fields = [_bits(rank[hit[a:b]]) for a, b in zip(new, np.append(new[1:], len(hit)), strict=True)]
+                _add(out, chunk, bucket, ids[local[hit[new]]].tobytes(), np.array([len(f) for f in fields], dtype=np.uint32).tobytes(), b"".join(fields))
     return pa.Table.from_pydict(out, schema=ANSWER)
 
 
+def _gather(group: pa.Table) -> pa.Table:
+    """The answers of all buckets to one chunk, by document."""
+    found: dict[tuple[int, int], list[dict]] = {}
+    for x in (r for batch in group.to_batches() for r in batch.to_pylist()):
+        ends = np.cumsum(np.frombuffer(x["sizes"], dtype=np.uint32))
+        for i, key in enumerate(map(tuple, np.frombuffer(x["docs"], dtype=np.int64).reshape(-1, 2).tolist())):
+            found.setdefault(key, []).append({"bucket": x["bucket"], "bits": x["bits"][0 if not i else ends[i - 1] : ends[i]]})
+    return pa.Table.from_pydict({"doc_id": [k[0] for k in found], "tag": [k[1] for k in found], "answers": list(found.values())}, schema=GATHERED)
+
+
 def _cut(n: int, width: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -191,8 +209,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, digest: bool = False, n_buckets:
         n_buckets = max(buckets(spark), size // 6 // BUCKET_WINDOWS)
     n = int(n_buckets)
     keyed = rows.select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
-    answers = keyed.mapInArrow(_send(n, width), "bucket int, kind int, docs binary, doc binary, step binary, hash binary").groupBy("bucket").applyInArrow(_answer, "doc_id long, tag long, bucket int, bits binary")
-    answers = answers.groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).agg(F.collect_set(F.struct("bucket", "bits")).alias("answers"))
+    sent = keyed.mapInArrow(_send(n, width), "bucket int, chunk long, docs binary, doc binary, step binary, hash binary")
+    answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, docs binary, sizes binary, bits binary")
+    answers = answers.groupBy("chunk").applyInArrow(_gather, "doc_id long, tag long, answers array<struct<bucket:int,bits:binary>>")
+    answers = answers.groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).agg(F.flatten(F.collect_set("answers")).alias("answers"))
     joined = keyed.join(answers, (keyed["doc_id"] == F.col("of_id")) & (keyed["tag"] == F.col("of_tag")), "left").select("doc_id", "text", "answers")
     got = joined.mapInArrow(_cut(n, width, digest), "doc_id long, n_words long, n_removed long, kept string")
     return got.withColumn("doc_id", F.when(F.col("doc_id") != int(_NO_ID), F.col("doc_id")))
