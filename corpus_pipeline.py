@@ -1,0 +1,67 @@
+"""A training corpus pipeline: STAGES of (name, function), each function (spark, docs, sf_dir) -> DataFrame.
+
+Every stage is written as Parquet and read again as the next one's docs; all stages return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm import decontamination, line_dedup, mixing, near_dedup, quality
+from marlstone.llm.common import table
+
+#: Some stages have no SQL form (fitted model, sketches); each is tested against a brute-force version.
+ORACLE_SQL = None
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts, unchanged."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go from all documents but the first; a document that loses all its words goes."""
+    got = line_dedup.dedup(docs)
+    text = F.when(F.col("n_dropped") > 0, F.col("text")).otherwise(F.col("row.text"))
+    left = got.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("row.n_chars"))}
+    return left.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: that with the smallest doc_id."""
+    return near_dedup.distinct_documents(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of benchmark items go; so do documents that mostly consist of them."""
+    got = decontamination.clean(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else got
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, in order; each is written below spark.checkpoint.dir and read again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-")
+    out, docs = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
+        docs = spark.read.parquet(f"{out}/{name}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, line_dedup, mixing, near_dedup, quality, substring_dedup, topk, url_filter
+from . import decontamination, language, license_scan, line_dedup, mixing, near_dedup, quality, substring_dedup, topk, url_filter
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.usable(table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
@@ -52,6 +56,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
@@ -60,8 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_topk": op9_topk,
     "op10_language": op10_language,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
