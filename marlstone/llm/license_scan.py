@@ -131,7 +131,7 @@ def scan(docs: DataFrame, confirmed: float = CONFIRMED) -> DataFrame:
         for g in gs:
             held[g].append(i)
     weights = spark.createDataFrame([(g, [float(v) for v in w[k]], held[g]) for k, g in enumerate(names)], "gram string, weights array<double>, templates array<int>")
-    spread = near.select("doc_id", "paragraph", F.monotonically_increasing_id().alias("at"), F.explode("grams").alias("of_gram"))
+    spread = near.withColumn("at", F.monotonically_increasing_id()).select("doc_id", "paragraph", "at", F.explode("grams").alias("of_gram"))
     joined = spread.join(F.broadcast(weights), F.col("of_gram") == F.col("gram"))
     sums = [F.sum(F.get("weights", F.lit(i))).alias(f"s{i}") for i in range(len(families))]
     shares = [F.sum(F.array_contains("templates", i).cast("int")).alias(f"t{i}") for i in range(len(templates))]
