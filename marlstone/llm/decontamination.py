@@ -214,7 +214,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
         got = keyed.select("row_key", "text").mapInArrow(_scan(spark.sparkContext.broadcast(p), True), FOUND)
         found = got if found is None else found.unionByName(got)
     per = found.groupBy("row_key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("flat"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("flat") / 2 - 1), lambda i: F.struct(F.col("flat")[(i * 2).cast("int")].alias("a"), F.col("flat")[(i * 2 + 1).cast("int")].alias("b"))))
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("flat") / 2 - 1).cast("int")), lambda i: F.struct(F.get("flat", i * 2).alias("a"), F.get("flat", i * 2 + 1).alias("b"))))
     joined = F.aggregate(pairs, F.array().cast("array<int>"), lambda acc, s: F.when((F.size(acc) > 0) & (s["a"] <= F.element_at(acc, -1)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), s["b"])))).otherwise(F.concat(acc, F.array(s["a"], s["b"]))))
     per = per.withColumn("hits", F.when(F.size("flat") > 0, joined).otherwise(F.array().cast("array<int>")))
     return keyed.select("row_key", "doc_id").join(per, "row_key").select("doc_id", "n_words", "hits", "items")

@@ -98,7 +98,7 @@ def _evidence(sent):
 
 def _counts(k: int) -> Column:
     """Pages of each language by text, as an array; pages whose text decides nothing count for none."""
-    return F.array(*[F.sum((F.col("by_text") == i).cast("double")) for i in range(k)])
+    return F.array(*[F.sum(F.when(F.col("by_text") == i, 1.0).otherwise(0.0)) for i in range(k)])
 
 
 def _smoothed(counts: Column, prior: Column, weight: float) -> Column:

@@ -1,6 +1,7 @@
 """Line dedup with a log-template tree, with DataFrame functions only.
 
-A line's path in the tree is its token count and its leading tokens, with tokens that hold digits as variable fields. In
+A line's path in the tree is its token count and its leading tokens, with tokens that hold digits as variable fields
+(as long as most of its tokens stay constant). In
 leaves that enough lines share, fields that vary between the leaf's distinct lines become variable too; lines that agree
 with the leaf's constant fields form its general template, every other line is a template of its own. Templates that
 recur across documents are dropped from all documents but the first.
@@ -21,19 +22,28 @@ _BLANK = " \t\r\v\f"
 _NO_ID = 2**63 - 1
 
 
-def masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(line)
+_DIGITS = "[^ ]*[0-9][^ ]*"
+
+
+def width(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def masked(line: Column, similar: float) -> Column:
+    """The line with its fields generalised, if enough constant tokens are left to tell templates apart."""
+    few = (width(line) - F.regexp_count(line, F.lit(_DIGITS))) >= width(line) * similar
+    return F.when(line.rlike("[0-9]") & few, F.regexp_replace(line, _DIGITS, FIELD)).otherwise(line)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def lines_of(rows: DataFrame, lead: int, min_tokens: int) -> DataFrame:
+def lines_of(rows: DataFrame, lead: int, min_tokens: int, similar: float) -> DataFrame:
     """(doc_id, tag, line_no, line, leaf): the masked lines of `min_tokens` or more tokens (separated by one space)."""
     cut = rows.select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    cut = cut.select("doc_id", "tag", "line_no", masked(F.trim(F.col("raw"), F.lit(_BLANK))).alias("line"))
-    cut = cut.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where((F.col("line") != "") & (F.col("n") >= min_tokens))
+    cut = cut.select("doc_id", "tag", "line_no", F.trim(F.col("raw"), F.lit(_BLANK)).alias("line"))
+    cut = cut.select("doc_id", "tag", "line_no", masked(F.col("line"), similar).alias("line")).withColumn("n", width(F.col("line"))).where((F.col("line") != "") & (F.col("n") >= min_tokens))
     return cut.select("doc_id", "tag", "line_no", "line", F.xxhash64("n", F.substring_index("line", " ", lead)).alias("leaf"))
 
 
@@ -54,7 +64,7 @@ def general(candidates: DataFrame, constant: float, similar: float) -> DataFrame
 def recurring(rows: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, tag, line_no) of the lines to drop. Counts of documents are exact, and pre-aggregated by line and
     document before they meet in one place, however common a line is."""
-    lines = lines_of(rows, lead, min_tokens).withColumn("line_hash", F.xxhash64("line"))
+    lines = lines_of(rows, lead, min_tokens, similar).withColumn("line_hash", F.xxhash64("line"))
     found = materialize(lines.select("doc_id", "tag", "line_no", "leaf", "line_hash"))
     in_doc = found.select("leaf", "line_hash", "doc_id").distinct()
     leaves = in_doc.groupBy("leaf").agg(F.count("*").alias("n"), F.min("line_hash").alias("a"), F.max("line_hash").alias("b")).where(f"n >= {int(min_docs)}")

@@ -128,7 +128,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated""",
     "op7_line_dedup": r"""
         WITH cut AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-        masked AS (SELECT doc_id, line_no, regexp_replace(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM cut),
+        trimmed AS (SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM cut),
+        masked AS (SELECT doc_id, line_no, CASE WHEN len(string_split(line, ' ')) - len(regexp_extract_all(line, '[^ ]*[0-9][^ ]*')) >= len(string_split(line, ' ')) * 0.6
+            THEN regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE line END AS line FROM trimmed),
         lines AS (SELECT doc_id, line_no, line, string_split(line, ' ') AS ts FROM masked WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
         leafed AS (SELECT doc_id, line_no, line, ts, len(ts) || '/' || array_to_string(ts[1:3], ' ') AS leaf FROM lines),
         leaves AS (SELECT leaf, count(DISTINCT line) AS kinds FROM leafed GROUP BY leaf HAVING count(DISTINCT (line, doc_id)) >= 10),

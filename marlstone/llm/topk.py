@@ -19,7 +19,7 @@ BLOCK, HEAD = 2048, 16
 def integers(rows: list) -> np.ndarray:
     """Rows of integer-valued components as a matrix of doubles; shorter rows are filled up with zeros."""
     if len({len(r) for r in rows}) <= 1:
-        return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
+        return np.array(rows, dtype=np.float64).reshape(len(rows), len(rows[0]) if rows else 0)
     out = np.zeros((len(rows), max(map(len, rows))))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
