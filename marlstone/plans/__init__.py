@@ -1,0 +1,3 @@
+"""Query plans; importing the package fills the registry."""
+
+from . import history_queries, transform_queries  # noqa: F401
