@@ -1,3 +1,3 @@
 """Query plans; importing the package fills the registry."""
 
-from . import history_queries, stat_queries, transform_queries  # noqa: F401
+from . import history_queries, metric_queries, stat_queries, transform_queries  # noqa: F401
