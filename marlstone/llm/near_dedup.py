@@ -115,12 +115,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _verify(similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            if x.num_rows:
-                a, b = (x[c].cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
-                distinct = {t: None for t in a}
-                known = dict(zip(distinct, shingles(list(distinct)), strict=True))
-                hit = [similarity(known[t], s) >= similar for t, s in zip(a, shingles(b), strict=True)]
-                yield x.select(["a", "b"]).filter(pa.array(hit))
+            texts = {c: x[c].cast(pa.binary()) for c in ("text_a", "text_b")}
+            pairs = ((i, texts["text_a"][i].as_py() + b"\n" + texts["text_b"][i].as_py(), len(texts["text_a"][i].as_py())) for i in range(x.num_rows))
+            hit = np.zeros(x.num_rows, dtype=bool)
+            for held in rolling.chunks(pairs, CHUNK_BYTES):  # bounds the memory of the hashes, whatever a batch holds
+                first = list(dict.fromkeys(t[:n] for _, t, n in held))
+                known = dict(zip(first, shingles(first), strict=True))
+                for (i, t, n), other in zip(held, shingles([t[n + 1 :] for _, t, n in held]), strict=True):
+                    hit[i] = similarity(known[t[:n]], other) >= similar
+            yield x.select(["a", "b"]).filter(pa.array(hit))
 
     return run
 
