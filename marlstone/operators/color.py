@@ -63,7 +63,7 @@ def forward(df: DataFrame, name: str) -> DataFrame:
 
 def inverse(df: DataFrame, name: str) -> DataFrame:
     back = df.select("image_id", "y", "x", *[F.col(f"c{i}").alias(c) for i, c in enumerate(ORDER[name])])
-    return lift(back, LIFTS[name], inverse=True)
+    return lift(back, LIFTS[name], inverse=True).select("image_id", "y", "x", "r", "g", "b")
 
 
 def lift_sql(source: str, name: str) -> str:

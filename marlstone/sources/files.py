@@ -17,7 +17,7 @@ from ..functions.scalars import extension
 
 
 def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] = (), recursive: bool = False, content: bool = False) -> DataFrame:
-    """S-01 to S-04: (path, length[, content]) of files, by extension without regard to case."""
+    """S-01 to S-04: (path, length[, content]) of files, by extension without regard to case. Spark leaves out empty files."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     if extensions:
         df = df.where(F.lower(extension(F.col("path"))).isin([e.lower() for e in extensions]))
