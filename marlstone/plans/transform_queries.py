@@ -141,3 +141,69 @@ def _block(name):
 
 for _name in blocks.PLANS:
     _block(_name)
+
+#: Cone response weights and bias of the XYB color space.
+_CONES = {"l": (0.3, 0.622, 0.078), "m": (0.23, 0.692, 0.078), "s": (0.24342268924547819, 0.20476744424496821, 0.5518098665095536)}
+_BIAS = 0.0037930732552754493
+
+
+def _xyb_text(d):
+    cone = lambda k: "cbrt(" + " + ".join(f"{w!r}{d} * ({c} + 128) / 255" for w, c in zip(_CONES[k], "rgb", strict=True)) + f" + {_BIAS!r}{d}) - {_BIAS ** (1 / 3)!r}{d}"
+    cones = ", ".join(f"{cone(k)} AS {k}" for k in _CONES)
+    # 8-bit scales: 144 for luma, 4096 and 1024 for the chroma channels, clamped to the depth
+    out = {"yy": ("(l + m) * 0.5{d} * 144", -128, 127), "bb": ("(s - (l + m) * 0.5{d}) * 1024", -256, 255), "xx": ("(l - m) * 0.5{d} * 4096", -256, 255)}
+    return cones, ", ".join(f"round(avg(greatest({lo}, least({hi}, {e.replace('{d}', d)}))), 4) AS {n}" for n, (e, lo, hi) in out.items())
+
+
+def _xyb(s, d):
+    """T-16: cube-root opponent color, scaled and clamped; means per image."""
+    cones, outs = _xyb_text("D")
+    v.rgb(s, d).createOrReplaceTempView("marlstone_rgb")
+    return s.sql(f"SELECT image_id, {outs} FROM (SELECT image_id, {cones} FROM marlstone_rgb) GROUP BY image_id")
+
+
+register("t16_xyb", _xyb, f"WITH {v.RGB} SELECT image_id, {_xyb_text('::DOUBLE')[1]} FROM (SELECT image_id, {_xyb_text('::DOUBLE')[0]} FROM rgb) GROUP BY image_id")
+
+_PAIR = "((3 * {a} - {b} + 1) >> 1)"
+_QUAD = "((9 * {a} - 3 * {b} - 3 * {c} + {d} + 2) >> 2)"
+
+
+def _sharpen(s, d):
+    """T-49, T-50: chroma samples of odd-aligned pairs (and squares) moved away from their neighbours; border samples stay."""
+    p = predict.with_neighbours(v.planes(s, d), ("W", "N", "NW", "NE")).select("image_id", "y", "x", "v", "W", "N")
+    row, col = "(partition by image_id, y order by x)", "(partition by image_id, x order by y)"
+    p = p.withColumn("hx", F.expr(f"case when x in (0, 7) then null when x % 2 = 1 then lead(v) over {row} else lag(v) over {row} end")).withColumn("hy", F.expr(f"case when y in (0, 7) then null when y % 2 = 1 then lead(v) over {col} else lag(v) over {col} end"))
+    p = p.withColumn("hd", F.expr(f"case when y in (0, 7) then null when y % 2 = 1 then lead(hx) over {col} else lag(hx) over {col} end"))
+    e2 = F.expr(f"coalesce({_PAIR.format(a='v', b='hx')}, v)")
+    e4 = F.expr(f"coalesce({_QUAD.format(a='v', b='hx', c='hy', d='hd')}, v)")
+    at = F.col("y") * 8 + F.col("x") + 1
+    return p.groupBy("image_id").agg(F.sum(e2 * at).alias("pairs"), F.sum(e4 * at).alias("squares"))
+
+
+register("t49_t50_deinterpolate", _sharpen, f"""WITH {v.PLANES}, p AS (SELECT *, CASE WHEN x IN (0, 7) THEN NULL WHEN x % 2 = 1 THEN lead(v) OVER r ELSE lag(v) OVER r END AS hx, CASE WHEN y IN (0, 7) THEN NULL WHEN y % 2 = 1 THEN lead(v) OVER c ELSE lag(v) OVER c END AS hy FROM planes WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
+    q AS (SELECT *, CASE WHEN y IN (0, 7) THEN NULL WHEN y % 2 = 1 THEN lead(hx) OVER c ELSE lag(hx) OVER c END AS hd FROM p WINDOW c AS (PARTITION BY image_id, x ORDER BY y))
+    SELECT image_id, CAST(sum(coalesce({_PAIR.format(a='v', b='hx')}, v) * (y * 8 + x + 1)) AS BIGINT) AS pairs, CAST(sum(coalesce({_QUAD.format(a='v', b='hx', c='hy', d='hd')}, v) * (y * 8 + x + 1)) AS BIGINT) AS squares FROM q GROUP BY image_id""")
+
+_CG = "greatest(least(N, W), least(greatest(N, W), N + W - NW))"
+
+
+def _joint_gradient(s, d):
+    """T-60: clamped gradient of green, and of red and blue less green, with green added back."""
+    rgb = v.rgb(s, d)
+    parts = []
+    for c in "grb":
+        p = rgb.select("image_id", "y", "x", F.col(c).alias("now"), (F.col(c) if c == "g" else F.col(c) - F.col("g")).alias("v"), (F.lit(0) if c == "g" else F.col("g")).alias("off"))
+        res = F.expr(color.wrap(f"now - greatest(-128, least(127, {_CG} + off))"))
+        parts.append(predict.with_neighbours(p, ("N", "W", "NW")).groupBy("image_id").agg(F.sum(res * (F.col("y") * 8 + F.col("x") + 1)).alias(c)))
+    return parts[0].join(parts[1], "image_id").join(parts[2], "image_id")
+
+
+def _joint_sql():
+    parts = []
+    for c in "grb":
+        n = predict.neighbours_sql(f"(SELECT image_id, y, x, {c} AS now, {c if c == 'g' else f'{c} - g'} AS v, {'0' if c == 'g' else 'g'} AS off FROM rgb)", ("N", "W", "NW"))
+        parts.append(f"{c}_ AS (SELECT image_id, CAST(sum(({color.wrap(f'now - greatest(-128, least(127, {_CG} + off))')}) * (y * 8 + x + 1)) AS BIGINT) AS {c} FROM ({n}) GROUP BY image_id)")
+    return f"WITH {v.RGB}, {', '.join(parts)} SELECT image_id, r, g, b FROM r_ JOIN g_ USING (image_id) JOIN b_ USING (image_id)"
+
+
+register("t60_cg3d", _joint_gradient, _joint_sql())
