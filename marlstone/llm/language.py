@@ -17,7 +17,7 @@ from .url_filter import host_of
 
 #: Expected number of labelled documents that the text model is fitted on, chosen by a hash of their ids.
 SAMPLE_DOCS = 20_000
-BINS, TEMPER, MAX_LANGUAGES = 1 << 15, 0.25, 200
+BINS, TEMPER, MAX_LANGUAGES = 1 << 15, 0.1, 200
 #: Pseudo-counts: of the corpus in a suffix's prior, of the suffix in a host's, of one declaration.
 SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT = 20.0, 5.0, 1.0
 _HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
