@@ -10,6 +10,8 @@ from .common import WORD, attach, materialize
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "mix-1"
+#: Rotations of the draws among which each source takes the one that brings its words nearest to the target.
+TURNS = 64
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -39,6 +41,30 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def _rate() -> Column:
+    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+
+
+def _extra(u: Column, turn: Column | int) -> Column:
+    """1 where the draw, rotated by turn / TURNS, falls below the fraction of the rate."""
+    moved = u + (F.lit(turn) if isinstance(turn, int) else turn) / F.lit(float(TURNS))
+    return F.when(moved - F.floor(moved) < _rate() - F.floor(_rate()), 1).otherwise(0)
+
+
+def source_plan(drawn: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """(of, source_size, target, turn) from rows (source, size, u).
+
+    Draws stay uniform under rotation, so a document's extra copy keeps its probability; the rotation is chosen per
+    source by one aggregate, which keeps the taken words near the target where few long documents would not.
+    """
+    per = materialize(source_targets(drawn.select("source", "size"), weights, max_repeat)).withColumnRenamed("source", "of")
+    rows = attach(drawn, per, F.col("source").eqNullSafe(F.col("of")), "inner", ("of",))
+    sums = F.array(*[F.sum(F.col("size") * _extra(F.col("u"), k)) for k in range(TURNS)])
+    taken = rows.groupBy("of", "source_size", "target").agg(sums.alias("extra"), F.sum(F.col("size") * F.floor(_rate())).alias("whole"))
+    off = F.transform("extra", lambda e: F.abs(e + F.col("whole") - F.col("target")))
+    return taken.select("of", "source_size", "target", (F.array_position(off, F.array_min(off)) - 1).cast("int").alias("turn"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """(row, size, source_size, target, copies): `row` holds all columns of `docs`, so no name can clash.
 
@@ -46,13 +72,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     floor(rate), by a draw seeded with its id. Null and blank texts have size 0; rows with equal ids are drawn alike
     (a null id counts as one id); null is a source of its own; an empty table gives an empty mix.
     """
-    sized = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    per = materialize(source_targets(sized.select("source", "size"), weights, max_repeat))
-    per = per.withColumnRenamed("source", "of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = (F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    sized = docs.select(F.struct("*").alias("row"), draw(F.col("doc_id"), seed).alias("u"), F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    per = materialize(source_plan(materialize(sized.select("source", "size", "u")), weights, max_repeat))
     joined = attach(sized, per, F.col("source").eqNullSafe(F.col("of")), "inner", ("of",))
-    return joined.select("row", "size", "source_size", "target", copies.alias("copies"))
+    return joined.select("row", "size", "source_size", "target", (F.floor(_rate()) + _extra(F.col("u"), F.col("turn"))).cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

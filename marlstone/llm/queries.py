@@ -122,10 +122,13 @@ ORACLE_SQL: dict[str, str] = {
             FROM weighted WINDOW b AS (ORDER BY CAST(cap AS DOUBLE) / w, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         levels AS (SELECT *, max(CAST(total - cap_before AS DOUBLE) / CAST(all_w - w_before AS DOUBLE)) OVER () AS level FROM summed),
         targets AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), level * w) AS target FROM levels),
-        rated AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+        rated AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
             CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
-            FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated""",
+            FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+        tried AS (SELECT source, k, abs(sum(size * (floor(rate) + CASE WHEN u + k / 64.0::DOUBLE - floor(u + k / 64.0::DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END)) - any_value(target)) AS away FROM rated, range(0, 64) r(k) GROUP BY source, k),
+        turns AS (SELECT source, arg_min(k, (away, k)) AS k FROM tried GROUP BY source)
+        SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u + k / 64.0::DOUBLE - floor(u + k / 64.0::DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM rated r JOIN turns t ON r.source IS NOT DISTINCT FROM t.source""",
     "op7_line_dedup": r"""
         WITH cut AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
         trimmed AS (SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM cut),
