@@ -48,8 +48,10 @@ def _rows(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
             yield tuple(k[i] for k in keys), text[i].as_py()
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("doc", pa.binary()), ("step", pa.binary()), ("hash", pa.binary())])
-ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("bits", pa.binary())])
+#: Kinds of rows: entries of a bucket, answers found inside a chunk, and a chunk's table of documents.
+ENTRIES, FOUND, TABLE = 0, 1, 2
+SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("doc", pa.binary()), ("step", pa.binary()), ("hash", pa.binary())])
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("bits", pa.binary())])
 GATHERED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("answers", pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())])))])
 
 
@@ -82,9 +84,11 @@ def _send(n: int, width: int):
             keep = np.zeros(len(h), dtype=bool)
             keep[order[lead]] = True
             out: dict[str, list] = {k: [] for k in SENT.names}
-            chunk = int(ids[0, 0])
+            # the chunk's name follows from its documents, so equal chunks share one
+            chunk = int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
+            _add(out, chunk % n, chunk, TABLE, ids.tobytes(), b"", b"", b"")
             for d in np.unique(of[beaten]):  # answered here; on their way they pass through a bucket
-                _add(out, int(d) % n, chunk, ids[d].tobytes(), b"", b"", _bits(np.flatnonzero(beaten[slice(*np.searchsorted(of, [d, d + 1]))])))
+                _add(out, chunk % n, chunk, FOUND, np.uint32(d).tobytes(), b"", b"", _bits(np.flatnonzero(beaten[slice(*np.searchsorted(of, [d, d + 1]))])))
             sent = np.flatnonzero(keep)
             sent = sent[np.argsort(at[sent], kind="stable")]
             cuts = np.searchsorted(at[sent], np.arange(n + 1))
@@ -94,7 +98,8 @@ def _send(n: int, width: int):
                 fresh = np.diff(local, prepend=-1)
                 step = np.diff(rank[part], prepend=0)
                 step[fresh > 0] = rank[part][fresh > 0]
-                _add(out, int(b), chunk, ids[docs].tobytes(), fresh.astype(np.uint8 if fresh.max() < 256 else np.uint32).tobytes(), step.astype(np.uint32).tobytes(), h[part].tobytes())
+                gaps = np.diff(docs, prepend=0).astype(np.uint32)
+                _add(out, int(b), chunk, ENTRIES, ids[docs, 0].tobytes() + gaps.tobytes(), fresh.astype(np.uint8 if fresh.max() < 256 else np.uint32).tobytes(), step.astype(np.uint32).tobytes(), h[part].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=SENT)
 
     return run
@@ -102,26 +107,27 @@ def _send(n: int, width: int):
 
 def _answer(group: pa.Table) -> pa.Table:
     """One bucket: of each chunk's entries, those whose window also starts in a smaller document."""
-    chunks, docs, locals_, hashes, ranks, out = [], [], [], [], [], {k: [] for k in ANSWER.names}
+    chunks, docs, places, locals_, hashes, ranks, out = [], [], [], [], [], [], {k: [] for k in ANSWER.names}
     for x in (r for batch in group.to_batches() for r in batch.to_pylist()):
-        ids = np.frombuffer(x["docs"], dtype=np.int64).reshape(-1, 2)
-        if not x["doc"]:
-            _add(out, x["chunk"], -1, x["docs"], np.array([len(x["hash"])], dtype=np.uint32).tobytes(), x["hash"])
+        if x["kind"] != ENTRIES:
+            _add(out, x["chunk"], -1, x["kind"], x["docs"], np.array([len(x["hash"])], dtype=np.uint32).tobytes(), x["hash"])
             continue
+        k = len(x["docs"]) // 12
         h = np.frombuffer(x["hash"], dtype=np.uint64)
         fresh = np.frombuffer(x["doc"], dtype=np.uint8 if len(x["doc"]) == len(h) else np.uint32).astype(np.int64)
         step = np.frombuffer(x["step"], dtype=np.uint32).astype(np.int64)
         total, begin = np.cumsum(step), np.flatnonzero(fresh)
         total -= np.repeat(total[begin] - step[begin], np.diff(np.append(begin, len(h))))
         chunks.append((x["chunk"], len(h)))
-        docs.append(ids)
+        docs.append(np.frombuffer(x["docs"], dtype=np.int64, count=k))
+        places.append(np.cumsum(np.frombuffer(x["docs"], dtype=np.uint32, offset=8 * k)).astype(np.uint32))
         locals_.append((np.cumsum(fresh) - 1).astype(np.uint32))
         hashes.append(h)
         ranks.append(total.astype(np.uint32))
     if hashes:
         bucket = group["bucket"][0].as_py()
         del group
-        h, who = np.concatenate(hashes), np.concatenate([d[l, 0] for d, l in zip(docs, locals_, strict=True)])
+        h, who = np.concatenate(hashes), np.concatenate([d[i] for d, i in zip(docs, locals_, strict=True)])
         del hashes
         order = np.lexsort((who, h))
         h, sorted_ids = h[order], who[order]
@@ -129,22 +135,25 @@ def _answer(group: pa.Table) -> pa.Table:
         beaten = np.zeros(len(h), dtype=bool)
         beaten[order] = sorted_ids[np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))] < sorted_ids
         at = 0
-        for (chunk, n), ids, local, rank in zip(chunks, docs, locals_, ranks, strict=True):
+        for (chunk, n), place, local, rank in zip(chunks, places, locals_, ranks, strict=True):
             hit, at = np.flatnonzero(beaten[at : at + n]), at + n
             if len(hit):
                 new = np.flatnonzero(np.diff(local[hit], prepend=-1))
                 fields = [_bits(rank[hit[a:b]]) for a, b in zip(new, np.append(new[1:], len(hit)), strict=True)]
-                _add(out, chunk, bucket, ids[local[hit[new]]].tobytes(), np.array([len(f) for f in fields], dtype=np.uint32).tobytes(), b"".join(fields))
+                _add(out, chunk, bucket, ENTRIES, place[local[hit[new]]].tobytes(), np.array([len(f) for f in fields], dtype=np.uint32).tobytes(), b"".join(fields))
     return pa.Table.from_pydict(out, schema=ANSWER)
 
 
 def _gather(group: pa.Table) -> pa.Table:
     """The answers of all buckets to one chunk, by document."""
     found: dict[tuple[int, int], list[dict]] = {}
-    for x in (r for batch in group.to_batches() for r in batch.to_pylist()):
-        ends = np.cumsum(np.frombuffer(x["sizes"], dtype=np.uint32))
-        for i, key in enumerate(map(tuple, np.frombuffer(x["docs"], dtype=np.int64).reshape(-1, 2).tolist())):
-            found.setdefault(key, []).append({"bucket": x["bucket"], "bits": x["bits"][0 if not i else ends[i - 1] : ends[i]]})
+    rows = [r for batch in group.to_batches() for r in batch.to_pylist()]
+    ids = list(map(tuple, np.frombuffer(next(r["docs"] for r in rows if r["kind"] == TABLE), dtype=np.int64).reshape(-1, 2).tolist()))
+    for x in rows:
+        if x["kind"] != TABLE:
+            ends = np.cumsum(np.frombuffer(x["sizes"], dtype=np.uint32))
+            for i, place in enumerate(np.frombuffer(x["docs"], dtype=np.uint32).tolist()):
+                found.setdefault(ids[place], []).append({"bucket": x["bucket"], "bits": x["bits"][0 if not i else ends[i - 1] : ends[i]]})
     return pa.Table.from_pydict({"doc_id": [k[0] for k in found], "tag": [k[1] for k in found], "answers": list(found.values())}, schema=GATHERED)
 
 
@@ -209,8 +218,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, digest: bool = False, n_buckets:
         n_buckets = max(buckets(spark), size // 6 // BUCKET_WINDOWS)
     n = int(n_buckets)
     keyed = rows.select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
-    sent = keyed.mapInArrow(_send(n, width), "bucket int, chunk long, docs binary, doc binary, step binary, hash binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, docs binary, sizes binary, bits binary")
+    sent = keyed.mapInArrow(_send(n, width), "bucket int, chunk long, kind int, docs binary, doc binary, step binary, hash binary")
+    answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, kind int, docs binary, sizes binary, bits binary")
     answers = answers.groupBy("chunk").applyInArrow(_gather, "doc_id long, tag long, answers array<struct<bucket:int,bits:binary>>")
     answers = answers.groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).agg(F.flatten(F.collect_set("answers")).alias("answers"))
     joined = keyed.join(answers, (keyed["doc_id"] == F.col("of_id")) & (keyed["tag"] == F.col("of_tag")), "left").select("doc_id", "text", "answers")
