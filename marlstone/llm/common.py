@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows_each: int = 250_000) -> tuple[DataFrame, int]:
+    """Materialise a table that may be small in few partitions, so that what reads it doesn't start a task for nothing;
+    and its number of rows."""
+    done = materialize(df)
+    n = done.count()
+    return done.coalesce(max(1, n // rows_each + 1)), n
+
+
+def bounded(df: DataFrame, rows: int, row_bytes: int = 32, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` as the broadcast side of a join if its known number of rows (at most) keeps it within `limit`."""
+    return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def release(spark: SparkSession) -> None:
+    """Have shuffle files and checkpoints removed that nothing refers to any more. Spark does so when the driver's JVM
+    collects garbage, which a loop over small plans may not bring about for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buckets(spark: SparkSession) -> int:
     """Partitions that keyed shuffles of an operator aim at: what the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import attach, materialize
+from .common import attach, bounded, compact, materialize, release
 from .decontamination import NORMAL
 
 K, SIMILAR = 5, 0.8
@@ -26,6 +26,8 @@ BANDS, ROWS = 24, 3
 #: Equal sketches (of BANDS * ROWS = 72) that a pair needs to be aligned: at similarity 0.8, 46 are expected with a
 #: deviation of 4.1, so fewer than 24 come by chance once in ten million pairs.
 LEAST_EQUAL = 24
+#: Leaders that the members of a bucket are compared with in each round but the first.
+LEADERS = 3
 CHUNK_BYTES = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(5))
 _SEED = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32)
@@ -139,19 +141,18 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (a, b): root is the smallest node of its component. Alternates large and
     small star contraction until all edges point at roots."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges, n = compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialize(edges)
+        edges, n = compact(both.join(bounded(least, 2 * n), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        joined = edges.join(least, F.col("u") == F.col("w"))
+        joined = edges.join(bounded(least, n), F.col("u") == F.col("w"))
         moved = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = materialize(moved.where("u <> v").distinct())
+        edges, n = compact(moved.where("u <> v").distinct())
         # done when every u has one v and no v is a u
-        count, sources = edges.agg(F.count("*"), F.count_distinct("u")).first()
-        if count == sources and not edges.join(edges.select(F.col("u").alias("x")), F.col("v") == F.col("x"), "left_semi").limit(1).count():
+        sources = edges.agg(F.count_distinct("u")).first()[0]
+        if n == sources and not edges.join(bounded(edges.select(F.col("u").alias("x")), n), F.col("v") == F.col("x"), "left_semi").limit(1).count():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select("v", "v").distinct().toDF("node", "root"))
 
 
@@ -170,39 +171,37 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     twins = materialize(found.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min("doc_id").alias("text_id")))
     same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
     nodes = materialize(attach(found.where("n > 0"), twins, same & (F.col("doc_id") == F.col("text_id"))).select("text_id", "n", "bands", "sign").dropDuplicates(["text_id"]))
-    links, roots, tried, turn = None, None, None, 0
-    member = nodes.select(F.col("text_id").alias("id"), F.posexplode("bands").alias("band", "key"))
-    crowd = member.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
-    busy = member.join(crowd.select(F.col("band").alias("b2"), F.col("key").alias("k2"), "lead"), (F.col("band") == F.col("b2")) & (F.col("key") == F.col("k2"))).select("id", F.xxhash64("band", "key").alias("bucket"))
-    busy = materialize(busy)
+    now = nodes.select(F.col("text_id").alias("id"), F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"), F.col("id").alias("root"))
+    links, roots, tried, n_tried, turn = None, None, None, 0, 0
     while True:
         turn += 1
-        now = busy.withColumn("root", F.col("id"))
-        if roots is not None:
-            now = busy.join(roots, F.col("id") == F.col("node"), "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
         # the first leader is the smallest id, the same in all buckets of a class; later ones are drawn anew each round
-        order = F.col("id") if turn == 1 else F.xxhash64(F.lit(turn), F.col("bucket"), F.col("root"))
-        heads = now.groupBy(F.col("bucket").alias("of_bucket")).agg(F.min(F.struct(order.alias("order"), "id", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        met = now.join(heads, F.col("bucket") == F.col("of_bucket")).where("root <> head.root")
+        orders = [F.col("id")] if turn == 1 else [F.xxhash64(F.lit(turn * LEADERS + k), F.col("bucket"), F.col("root")) for k in range(LEADERS)]
+        heads = now.groupBy(F.col("bucket").alias("of_bucket")).agg(F.array(*[F.min(F.struct(o.alias("order"), "id", "root")) for o in orders]).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        # buckets of one class are done; the others go on, with their leaders
+        open_now = materialize(now.join(heads, F.col("bucket") == F.col("of_bucket")).select("id", "bucket", "root", "heads"))
+        met, now = open_now.select("id", "root", F.explode("heads").alias("head")).where("root <> head.root"), open_now.select("id", "bucket", "root")
         pairs = met.select(F.least("id", F.col("head.id")).alias("a"), F.greatest("id", F.col("head.id")).alias("b")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+            pairs = pairs.join(bounded(tried, n_tried), ["a", "b"], "left_anti")
+        pairs, n_pairs = compact(pairs)
         known = nodes.select("text_id", "n", "sign")
-        pairs_n = pairs.join(known.toDF("a", "n_a", "sign_a"), "a").join(known.toDF("b", "n_b", "sign_b"), "b")
-        alike = materialize(pairs_n.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar).mapInArrow(_alike, "a long, b long"))
-        asked = materialize(alike.select("a").unionByName(alike.select(F.col("b").alias("a"))).distinct().toDF("asked"))
-        texts = attach(whole.select("doc_id", "h1", "h2", "text"), asked, F.col("doc_id") == F.col("asked"), "left_semi").dropDuplicates(["doc_id"])
-        texts = materialize(texts.select("doc_id", "text"))
+        pairs_n = known.toDF("a", "n_a", "sign_a").join(bounded(pairs, n_pairs), "a").join(known.toDF("b", "n_b", "sign_b"), "b")
+        alike, n_alike = compact(pairs_n.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar).select("a", "b", "sign_a", "sign_b").mapInArrow(_alike, "a long, b long"))
+        asked = alike.select("a").unionByName(alike.select(F.col("b").alias("a"))).distinct().toDF("asked")
+        texts = whole.select("doc_id", "text").join(bounded(asked, 2 * n_alike), F.col("doc_id") == F.col("asked"), "left_semi").dropDuplicates(["doc_id"])
+        texts = materialize(texts)
         full = alike.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-        fresh = materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similar), "a long, b long"))
-        found_any = fresh.limit(1).count() > 0
-        if found_any:
+        fresh, n_fresh = compact(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similar), "a long, b long"))
+        if n_fresh:
             links = fresh if links is None else links.unionByName(fresh)
-            roots = materialize(components(links))
-        if not found_any and turn > 1 or not pairs.limit(1).count():
+            roots, n_roots = compact(components(links))
+            now = now.drop("root").join(bounded(roots, n_roots), F.col("id") == F.col("node"), "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
+        if not n_fresh and turn > 1 or not n_pairs:
             break
-        tried = pairs if tried is None else materialize(tried.unionByName(pairs))
+        tried, n_tried = (pairs, n_pairs) if tried is None else compact(tried.unionByName(pairs))
+        heads = pairs_n = texts = full = None
+        release(docs.sparkSession)
     named = attach(found.select("doc_id", "h1", "h2"), twins, same).select("doc_id", "text_id")
     if roots is not None:
         named = named.join(roots, F.col("text_id") == F.col("node"), "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class_id"))
