@@ -27,7 +27,7 @@ BANDS, ROWS = 24, 3
 #: deviation of 4.1, so fewer than 24 come by chance once in ten million pairs.
 LEAST_EQUAL = 24
 #: Leaders that the members of a bucket are compared with in each round but the first.
-LEADERS = 3
+LEADERS = 1
 CHUNK_BYTES = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(5))
 _SEED = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32)
@@ -176,7 +176,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     while True:
         turn += 1
         # the first leader is the smallest id, the same in all buckets of a class; later ones are drawn anew each round
-        orders = [F.col("id")] if turn == 1 else [F.xxhash64(F.lit(turn * LEADERS + k), F.col("bucket"), F.col("root")) for k in range(LEADERS)]
+        # as members, so that a large class leads more often than a small one and few members meet a stranger
+        orders = [F.col("id")] if turn == 1 else [F.xxhash64(F.lit(turn * LEADERS + k), F.col("bucket"), F.col("id")) for k in range(LEADERS)]
         heads = now.groupBy(F.col("bucket").alias("of_bucket")).agg(F.array(*[F.min(F.struct(o.alias("order"), "id", "root")) for o in orders]).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         # buckets of one class are done; the others go on, with their leaders
         open_now = materialize(now.join(heads, F.col("bucket") == F.col("of_bucket")).select("id", "bucket", "root", "heads"))
