@@ -1,9 +1,10 @@
 """Substring dedup: windows of consecutive words that already occur in an earlier document are cut out.
 
-Each task hashes the windows of some megabytes of text, keeps one entry per window (that of the smallest document) and
-sends it to the bucket of its hash; a bucket answers which entries also start in a smaller document. Answers go back by
-chunk, then by document, as bit fields over that document's windows in the bucket, and merge into removal intervals. A window that a
-third of all documents share thus sends one entry per task chunk, not one per document.
+Each task hashes the windows of some megabytes of text, keeps one entry per window (that of the smallest document, once
+for each of its rows) and sends it to the bucket of its hash; a bucket answers which entries also start in a smaller
+document. Answers go back by chunk, then by document, as bit fields over that document's windows in the bucket, spread to
+equal windows of the row and merge into removal intervals. A window that a third of all documents share thus sends one
+entry per task chunk, not one per document.
 """
 
 from __future__ import annotations
@@ -81,8 +82,10 @@ def _send(n: int, width: int):
             first = order[np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))]
             beaten = np.zeros(len(h), dtype=bool)
             beaten[order] = ids[of[first], 0] < ids[of[order], 0]
+            # one entry per window and row of that document; _cut spreads the answer to the row's equal windows
+            row = np.cumsum(np.concatenate(([False], (ids[1:] != ids[:-1]).any(1))))[of[order]]
             keep = np.zeros(len(h), dtype=bool)
-            keep[order[lead]] = True
+            keep[order[lead | (np.diff(row, prepend=-1) != 0) & ~beaten[order]]] = True
             out: dict[str, list] = {k: [] for k in SENT.names}
             # the chunk's name follows from its documents, so equal chunks share one
             chunk = int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -180,6 +183,11 @@ def _cut(n: int, width: int, digest: bool):
                         flagged[starts[d] + bits] = True
                     else:
                         flagged[order[np.searchsorted(key, d * n + a["bucket"]) + bits]] = True
+            del at, order, key
+            if len(h):  # an answer names the first of a row's equal windows
+                order = np.lexsort((h, of))
+                begin = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1]))))
+                flagged[order] = np.repeat(np.logical_or.reduceat(flagged[order], begin), np.diff(np.append(begin, len(h))))
             out, d = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}, 0
             for (doc_id, answers), text in held:
                 word = text.split()

@@ -63,6 +63,19 @@ def test_substring_dedup_digest_and_empty(spark):
     assert substring_dedup.dedup(docs_of(spark, []).where("false")).count() == 0
 
 
+def test_substring_dedup_repeats_in_one_document(spark):
+    passage = prose(60)
+    early = [(1, f"{prose(20)} {passage}"), (2, "a b " * 60)]
+    late = [(5, f"{passage} {prose(30)} {passage} {prose(10)} {passage}"), (6, "a b " * 200), (7, f"{prose(5)} {passage}"), (7, f"{passage} {prose(8)} {passage}"), (7, f"{prose(5)} {passage}")]
+    late = [*late, *((7, f"{prose(3)} {passage}") for _ in range(3))]
+    for held in (late, late[2:]):  # in the second, doc_id 7 is its chunk's smallest
+        texts = early + held
+        rows = spark.sparkContext.parallelize([[(i, t, "en", "s", len(t)) for i, t in x] for x in (early, held)], 2).flatMap(list)
+        df = spark.createDataFrame(rows, DOCS)  # two chunks
+        got = substring_dedup.dedup(df, n_buckets=5).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == cut_by_force(texts, 50)
+
+
 def test_rolling_words_and_windows():
     texts = [b"a bb a bb a", b"", b"  bb a ", b"\xc2\xa0x\ty"]
     h, counts = rolling.words(texts)
