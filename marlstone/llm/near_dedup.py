@@ -2,8 +2,10 @@
 
 A sketch takes the two smallest of a document's occurrence-labelled shingles under one hash and keeps them in text order,
 so it is sensitive to edits and not to the set of shingles alone. Sketches are banded; equal texts are one node from the
-start. In every bucket that still holds several classes, members are compared with the bucket's leader, and rounds with
-new leaders follow until one finds no new link. Links merge by star contraction; nothing is collected at the driver.
+start. In every bucket that still holds several classes, members are compared with the bucket's leader; rounds with new
+leaders follow while they find links. Then all pairs of different classes in the buckets that are still open are compared
+by their sketches, in blocks, and those alike are verified. Links merge by star contraction; nothing is collected at the
+driver.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ BANDS, ROWS = 24, 3
 LEAST_EQUAL = 24
 #: Leaders that the members of a bucket are compared with in each round but the first.
 LEADERS = 1
+#: Leaders give way to blocks when fewer than one pair in so many is a new link; blocks miss no pair, so this is about time only.
+PAIRS_A_LINK = 20
+#: Members that a block of an open bucket is planned for, and pairs that are verified before classes merge again.
+BLOCK, VERIFIED_AT_ONCE = 512, 200_000
 CHUNK_BYTES = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(5))
 _SEED = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32)
@@ -138,6 +144,52 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield x.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= LEAST_EQUAL))
 
 
+def _crossing(similar: float):
+    """Pairs of different classes that have LEAST_EQUAL equal sketches, of rows that come ordered by bucket and pair of blocks."""
+
+    def pairs(block, lower, upper, id, root, n, sign) -> Iterator[np.ndarray]:
+        left, right = np.flatnonzero(block == lower), np.flatnonzero(block == upper)
+        for k, p in enumerate(left):
+            q = right[k + 1 :] if lower == upper else right
+            q = q[(root[q] != root[p]) & (np.minimum(n[q], n[p]) >= np.maximum(n[q], n[p]) * similar)]
+            q = q[(sign[q] == sign[p]).sum(1) >= LEAST_EQUAL] if len(q) else q
+            if len(q):
+                yield np.stack([np.minimum(id[q], id[p]), np.maximum(id[q], id[p])])
+
+    def found(held: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        bucket, lower, upper, block, id, root, n = (held[c].to_numpy() for c in ("bucket", "lower", "upper", "block", "id", "root", "n"))
+        change = (np.diff(bucket) != 0) | (np.diff(lower) != 0) | (np.diff(upper) != 0)
+        cuts = np.array([0, *np.flatnonzero(change) + 1, *([len(bucket)] if last else [])])
+        sign = np.frombuffer(b"".join(held["sign"].to_pylist()), dtype=np.uint8).reshape(len(bucket), -1)
+        got = [x for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in pairs(block[a:b], lower[a], upper[a], id[a:b], root[a:b], n[a:b], sign[a:b])]
+        a, b = np.concatenate(got, axis=1) if got else np.zeros((2, 0), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]), held.slice(cuts[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for x in batches:
+            if x.num_rows:
+                held = pa.Table.from_batches([x]) if held is None else pa.concat_tables([held, pa.Table.from_batches([x])])
+                out, held = found(held, False)
+                yield out
+        if held is not None and held.num_rows:
+            yield found(held, True)[0]
+
+    return run
+
+
+def crossing(members: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """(a, b), a < b: the pairs of members (id, bucket, root) of one bucket but different roots whose sketches (`known`:
+    text_id, n, sign) are alike. A bucket is cut into blocks, so that its pairs are dealt out and only those alike are rows."""
+    n_blocks = members.groupBy(F.col("bucket").alias("of_bucket")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    placed = members.join(n_blocks, F.col("bucket") == F.col("of_bucket")).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("n_blocks")).cast("int"))
+    placed = placed.join(known, F.col("id") == F.col("text_id"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    spread = spread.select("bucket", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "id", "root", "n", "sign")
+    dealt = spread.repartition("bucket", "lower", "upper").sortWithinPartitions("bucket", "lower", "upper")
+    return dealt.mapInArrow(_crossing(similar), "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (a, b): root is the smallest node of its component. Alternates large and
     small star contraction until all edges point at roots."""
@@ -173,6 +225,15 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     nodes = materialize(attach(found.where("n > 0"), twins, same & (F.col("doc_id") == F.col("text_id"))).select("text_id", "n", "bands", "sign").dropDuplicates(["text_id"]))
     now = nodes.select(F.col("text_id").alias("id"), F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"), F.col("id").alias("root"))
     links, roots, tried, n_tried, turn = None, None, None, 0, 0
+
+    def linked(alike: DataFrame, n_alike: int) -> DataFrame:
+        """Those of the pairs whose texts are similar."""
+        asked = alike.select("a").unionByName(alike.select(F.col("b").alias("a"))).distinct().toDF("asked")
+        texts = whole.select("doc_id", "text").join(bounded(asked, 2 * n_alike), F.col("doc_id") == F.col("asked"), "left_semi").dropDuplicates(["doc_id"])
+        texts = materialize(texts)
+        full = alike.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+        return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similar), "a long, b long")
+
     while True:
         turn += 1
         # the first leader is the smallest id, the same in all buckets of a class; later ones are drawn anew each round
@@ -189,19 +250,32 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         known = nodes.select("text_id", "n", "sign")
         pairs_n = known.toDF("a", "n_a", "sign_a").join(bounded(pairs, n_pairs), "a").join(known.toDF("b", "n_b", "sign_b"), "b")
         alike, n_alike = compact(pairs_n.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar).select("a", "b", "sign_a", "sign_b").mapInArrow(_alike, "a long, b long"))
-        asked = alike.select("a").unionByName(alike.select(F.col("b").alias("a"))).distinct().toDF("asked")
-        texts = whole.select("doc_id", "text").join(bounded(asked, 2 * n_alike), F.col("doc_id") == F.col("asked"), "left_semi").dropDuplicates(["doc_id"])
-        texts = materialize(texts)
-        full = alike.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-        fresh, n_fresh = compact(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similar), "a long, b long"))
+        fresh, n_fresh = compact(linked(alike, n_alike))
         if n_fresh:
             links = fresh if links is None else links.unionByName(fresh)
             roots, n_roots = compact(components(links))
             now = now.drop("root").join(bounded(roots, n_roots), F.col("id") == F.col("node"), "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
-        if not n_fresh and turn > 1 or not n_pairs:
-            break
         tried, n_tried = (pairs, n_pairs) if tried is None else compact(tried.unionByName(pairs))
-        heads = pairs_n = texts = full = None
+        heads = pairs_n = None
+        release(docs.sparkSession)
+        if turn > 1 and n_fresh * PAIRS_A_LINK < n_pairs or not n_pairs:
+            break
+    # what leaders left: every pair of different classes in the buckets that are still open
+    ends = now.groupBy(F.col("bucket").alias("of_bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    still = materialize(now.join(ends, F.col("bucket") == F.col("of_bucket"), "left_semi"))
+    left, n_left = compact(crossing(still, nodes.select("text_id", "n", "sign"), similar).join(bounded(tried, n_tried), ["a", "b"], "left_anti"))
+    while n_left:
+        turn += 1
+        share = -(-n_left // VERIFIED_AT_ONCE)
+        drawn = F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(share)) == 0
+        fresh, n_fresh = compact(linked(left.where(drawn), min(n_left, 2 * VERIFIED_AT_ONCE)))
+        left = left.where(~drawn)
+        if n_fresh:
+            links = fresh if links is None else links.unionByName(fresh)
+            roots, n_roots = compact(components(links))
+            of = lambda c: bounded(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), n_roots)
+            left = left.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        left, n_left = compact(left)
         release(docs.sparkSession)
     named = attach(found.select("doc_id", "h1", "h2"), twins, same).select("doc_id", "text_id")
     if roots is not None:

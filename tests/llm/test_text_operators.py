@@ -188,6 +188,29 @@ def test_near_dedup_classes(spark):
     assert near_dedup.classes(docs_of(spark, []).where("false")).count() == 0
 
 
+def test_near_dedup_links_inside_a_family_below_the_threshold(spark, monkeypatch):
+    rng = random.Random(23)
+    base, texts = prose(400, rng).split(), []
+    for i in range(160):
+        ws = list(base)
+        for at in rng.sample(range(2, 78), 4 if i in (71, 120) else 6):
+            ws[5 * at] = prose(1, rng)
+        texts.append((i, " ".join(ws)))
+    sh = near_dedup.shingles([t.encode() for _, t in texts])
+    want = {i: i for i, _ in texts}
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if near_dedup.similarity(sh[a], sh[b]) >= near_dedup.SIMILAR:
+                low, high = sorted((want[a], want[b]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    assert want[71] == want[120] and len(set(want.values())) > 100
+    for block, at_once in ((512, 200_000), (32, 1000)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+        monkeypatch.setattr(near_dedup, "VERIFIED_AT_ONCE", at_once, raising=False)
+        got = by_id(near_dedup.classes(docs_of(spark, texts)))
+        assert {i: r["class_id"] for i, r in got.items()} == want
+
+
 def test_near_dedup_shared_passage_is_no_link(spark):
     rng = random.Random(6)
     passage = prose(80, rng)
