@@ -37,8 +37,8 @@ PROSE = (
     "Version 3 of the program adds new features.", "The author of the book wrote the following chapter.", "Students at MIT built a new machine.", "The source of the river is in the mountains.",
     "She released the film last year.", "This work is subject to change.", "You need a license to fish in this river.", "He was granted permission to leave.", "The library is open to any person free of charge.",
 )
-#: A paragraph without any of these terms belongs to no family; each template has one.
-TERMS = r"licen[cs]|copyright|rights reserved|gnu|redistribution|creative commons|public domain|permission is hereby|cc0|cc by|waived"
+#: Words that `terms` tries to leave out first, as they are frequent; which ones it does leave out follows from the model.
+COMMON = "the and that this you or all by for to of a in is with are may not has any use free public version without 0 1 2 3 4".split()
 UNKNOWN, GRAMS = "unknown", (1, 2, 3)
 #: Share of a template's n-grams that a paragraph must hold to confirm a prediction.
 CONFIRMED = 0.7
@@ -98,6 +98,32 @@ def model() -> tuple[list[str], list[str], np.ndarray, np.ndarray, float]:
     return families, names, w, b, min((0.25 * 1.2**k for k in range(16)), key=loss)
 
 
+@lru_cache(maxsize=1)
+def terms() -> str:
+    """A regular expression for the paragraphs (in lower case) that may belong to a family: the model's words but for a set
+    whose n-grams, in whatever number and choice, leave the unknown class ahead of every family. It loses nothing."""
+    _, names, w, b, _ = model()
+    lead, behind = w[:, :-1] - w[:, -1:], b[-1] - b[:-1]
+
+    def unknown_wins(words: set[str]) -> bool:
+        at = [k for k, g in enumerate(names) if words.issuperset(g.split())]
+        best = np.cumsum(-np.sort(-lead[at], axis=0), axis=0)  # of n n-grams, for each family
+        return bool((behind > 1e-6).all() and (best < behind * np.sqrt(np.arange(1, len(at) + 1))[:, None] - 1e-6).all())
+
+    single = {g: k for k, g in enumerate(names) if " " not in g}
+    idle: set[str] = set()
+    for word in sorted(single, key=lambda g: (g not in COMMON, (lead[single[g]] - behind).max(), g)):
+        if unknown_wins(idle | {word}):
+            idle.add(word)
+    return rf"(?<![0-9a-z])(?:{'|'.join(sorted(single.keys() - idle))})(?![0-9a-z])"
+
+
+def __getattr__(name: str) -> str:
+    if name == "TERMS":  # fits the model, so not on import
+        return terms()
+    raise AttributeError(name)
+
+
 def words_of(paragraph: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(paragraph), F.lit("[0-9a-z]+"), F.lit(0))
 
@@ -109,7 +135,7 @@ def grams_of(words: Column) -> Column:
 
 
 def _joined(words: Column, n: int):
-    return lambda i: F.array_join(F.slice(words, i, n), " ")
+    return lambda i: F.concat_ws(" ", *[F.get(words, i + (k - 1)) for k in range(n)])
 
 
 def scan(docs: DataFrame, confirmed: float = CONFIRMED) -> DataFrame:
@@ -123,7 +149,10 @@ def scan(docs: DataFrame, confirmed: float = CONFIRMED) -> DataFrame:
     spark = docs.sparkSession
     families, names, w, b, heat = model()
     lines = docs.select(F.col("doc_id").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-    near = lines.where(ascii_lower(F.col("line")).rlike(TERMS)).select("doc_id", "paragraph", grams_of(words_of(F.col("line"))).alias("grams")).where(F.size("grams") > 0)
+    near = lines.where(ascii_lower(F.col("line")).rlike(terms())).select("doc_id", "paragraph", words_of(F.col("line")).alias("words"))
+    # words are a column of their own: inside the n-grams' lambda (or in a filter on them, which Spark pushes down) they
+    # would be extracted anew for every n-gram
+    near = near.select("doc_id", "paragraph", grams_of(F.col("words")).alias("grams"))
     templates = [(f, k, grams(tokens(t))) for f in TEMPLATES for k, t in enumerate(TEMPLATES[f])]
     # one row per n-gram of the model: its weights, and the templates that hold it (fixed size: bounded by the templates)
     held = {g: [] for g in names}

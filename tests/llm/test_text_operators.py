@@ -307,3 +307,17 @@ def test_license_scan_matches_brute_force(spark):
             assert r["family"] == right[r["doc_id"]] and r["confirmed"] and r["paragraph"] == 1
     assert not [r for r in got if len(right) <= r["doc_id"] < len(right) + len(license_scan.PROSE) and r["confirmed"]]
     assert license_scan.scan(docs_of(spark, []).where("false")).count() == 0
+
+
+def test_license_scan_scores_whatever_the_model_knows(spark):
+    families, names, w, b, heat = license_scan.model()
+    rng = random.Random(31)
+    pool = [g for g in names if len(g.split()) > 1]
+    lines = ["Distributed under GPL version 3.", "SPDX: MIT", "Available under the BSD terms", *(" ".join(rng.sample(pool, rng.randint(1, 3))) for _ in range(600)), *(" ".join(rng.sample(names, 2)) for _ in range(300))]
+    want = []
+    for i, line in enumerate(lines):  # without any gate
+        at = [names.index(g) for g in license_scan.grams(license_scan.tokens(line)) if g in names]
+        family = families[((w[at].sum(0) / np.sqrt(max(1, len(at))) + b) / heat).argmax()]
+        want += [(i, family)] if family != license_scan.UNKNOWN else []
+    got = license_scan.scan(docs_of(spark, enumerate(lines))).collect()
+    assert sorted((r["doc_id"], r["family"]) for r in got) == want
