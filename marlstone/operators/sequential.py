@@ -228,7 +228,7 @@ def zigzag(v: int) -> int:
 
 
 def adaptive_bits(plane: list[int], limit: int = 3200) -> float:
-    """C-07: counts start at 1, grow by 1 and are halved when one reaches the limit."""
+    """C-07 of the bytes themselves, without the contexts and the tokens of C-05: counts start at 1, grow by 1 and are halved when one reaches the limit."""
     counts, total, bits = [1] * 256, 256, 0.0
     for s in (zigzag(v) for v in plane):
         bits -= math.log2(counts[s] / total)
@@ -241,7 +241,7 @@ def adaptive_bits(plane: list[int], limit: int = 3200) -> float:
 
 
 def rice_bits(plane: list[int]) -> float:
-    """C-11: adaptive Golomb-Rice: the parameter follows a running mean."""
+    """C-11 without its zero runs: adaptive Golomb-Rice: the parameter follows a running mean."""
     mean, bits = 8, 0
     for s in (zigzag(v) for v in plane):
         k = (mean + 1).bit_length() - 1
@@ -251,7 +251,8 @@ def rice_bits(plane: list[int]) -> float:
 
 
 def context_bits(plane: list[int], side: int = SIDE, contexts: int = 17) -> float:
-    """C-09, C-10: static models by a context that follows the residual magnitudes to the west and north-east."""
+    """C-09 without the cost of its header: static models by a context that follows the residual magnitudes to the west and
+    north-east; probabilities of 12 bits, of which each used symbol has one step at least."""
     state, seen, table = [0] * (side + 4), 0, [[0] * 256 for _ in range(contexts)]
     for i, v in enumerate(plane):
         x = i % side
@@ -261,8 +262,8 @@ def context_bits(plane: list[int], side: int = SIDE, contexts: int = 17) -> floa
         state[x] = seen
     total = 0.0
     for t in table:
-        n = sum(t)
-        total += sum(-f * math.log2((f * (4096 - 256) // n + 1) / 4096) for f in t if f) if n else 0
+        n, used = sum(t), sum(f > 0 for f in t)
+        total += sum(-f * math.log2((f * (4096 - used) // n + 1) / 4096) for f in t if f) if n else 0
     return total
 
 
@@ -281,7 +282,7 @@ def binary_bits(plane: list[int]) -> float:
     return bits
 
 
-ESTIMATORS: dict[str, Callable[[list[int]], float]] = {"c07_adaptive": adaptive_bits, "c09_grctx": context_bits, "c10_c2": lambda p: context_bits(p, contexts=24), "c11_golomb_rice": rice_bits, "c13_abac": binary_bits}
+ESTIMATORS: dict[str, Callable[[list[int]], float]] = {"c07_adaptive": adaptive_bits, "c09_grctx": context_bits, "c09_grctx_24": lambda p: context_bits(p, contexts=24), "c11_golomb_rice": rice_bits, "c13_abac": binary_bits}
 
 
 def apply(planes: DataFrame, fn: Callable[[list[int]], list[int]]) -> DataFrame:

@@ -215,3 +215,8 @@ def test_templates(spark):
     df = spark.createDataFrame([("c1 *.ppm *.c1", "c1 *.c1 *.ppm"), ("c1 *.ppm *.c1", "c1 *.c2 *.ppm"), ("c1 *.ppm", "x")], "e string, d string")
     assert [r[0] for r in df.select(fn.template_ok(F.col("e"), F.col("d"))).collect()] == [True, False, False]
     assert df.select(fn.fill_template(F.col("e"), F.lit("s"), F.lit("t"))).first()[0] == 'c1 "s" "t"'
+
+
+def test_context_sizes_keep_steps_for_used_symbols_only():
+    assert sequential.context_bits([0] * 64) == 0  # one symbol takes the whole range
+    assert "c10_c2" not in sequential.ESTIMATORS  # its contexts aren't built
