@@ -54,8 +54,9 @@ def _extra(u: Column, turn: Column | int) -> Column:
 def source_plan(drawn: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(of, source_size, target, turn) from rows (source, size, u).
 
-    Draws stay uniform under rotation, so a document's extra copy keeps its probability; the rotation is chosen per
-    source by one aggregate, which keeps the taken words near the target where few long documents would not.
+    The rotation is chosen per source by one aggregate, which keeps the taken words near the target where few long
+    documents would not. The extra copy is thus no plain Bernoulli draw but one conditioned on the nearest of TURNS
+    rotations: a source of one document gets it always or never.
     """
     per = materialize(source_targets(drawn.select("source", "size"), weights, max_repeat)).withColumnRenamed("source", "of")
     rows = attach(drawn, per, F.col("source").eqNullSafe(F.col("of")), "inner", ("of",))
@@ -68,8 +69,8 @@ def source_plan(drawn: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """(row, size, source_size, target, copies): `row` holds all columns of `docs`, so no name can clash.
 
-    A document is taken floor(rate) times, rate = target / size of its source, and once more with probability rate -
-    floor(rate), by a draw seeded with its id. Null and blank texts have size 0; rows with equal ids are drawn alike
+    A document is taken floor(rate) times, rate = target / size of its source, and perhaps once more for rate -
+    floor(rate), by a draw seeded with its id and rotated to bring its source near the target. Null and blank texts have size 0; rows with equal ids are drawn alike
     (a null id counts as one id); null is a source of its own; an empty table gives an empty mix.
     """
     sized = docs.select(F.struct("*").alias("row"), draw(F.col("doc_id"), seed).alias("u"), F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
