@@ -40,11 +40,13 @@ _SEED = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32)
 _ODD = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 
+_VOCABULARY = rolling.Words()
+
 
 def shingles(texts: list[bytes], k: int = K) -> list[np.ndarray]:
     """Occurrence-labelled shingle hashes of each text; a text of fewer than k words, but not none, is one shingle."""
-    hashes, counts = rolling.words([t.translate(NORMAL) for t in texts])
-    sh, of, _ = rolling.windows(hashes, counts, k)
+    codes = first, _, counts = _VOCABULARY.codes([t.translate(NORMAL).split() for t in texts])
+    sh, _, of = rolling.windows(codes, k)
     begin = np.cumsum(counts) - counts
     key = rolling.mixed(sh ^ rolling.mixed(of.astype(np.uint64) + np.uint64(1)))
     order = np.argsort(key, kind="stable")
@@ -55,7 +57,7 @@ def shingles(texts: list[bytes], k: int = K) -> list[np.ndarray]:
     cuts = np.searchsorted(of, np.arange(len(texts) + 1))
     out = [labelled[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
-        out[i] = rolling.mixed(rolling.sums(hashes[begin[i] : begin[i] + counts[i]], _B)[-1:])
+        out[i] = rolling.mixed(np.bitwise_xor.reduce(first[begin[i] : begin[i] + counts[i]] * _B ** np.arange(1, counts[i] + 1, dtype=np.uint64), keepdims=True))
     return out
 
 
@@ -84,7 +86,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(x.num_rows):
                 yield tuple(k[i] for k in keys), text[i].as_py()
 
-    weight = rolling.powers(int(_A), ROWS + 1)[1:]
+    weight = np.multiply.accumulate(np.full(ROWS, _A))
     for held in rolling.chunks(rows(), CHUNK_BYTES):
         sizes, bands, signs = [], [], []
         for x in shingles([r[1] for r in held]):

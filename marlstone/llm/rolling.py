@@ -1,72 +1,127 @@
-"""Rabin-Karp hashing of words and of word windows, vectorised over the bytes of many documents at once."""
+"""Rabin-Karp hashes of word windows, vectorised over the words of many documents at once.
+
+A word's codes come from a keyed cryptographic hash of its bytes, once for each distinct word. A window's hash is the
+polynomial of its words' codes at a fixed base, modulo the primes 2 ** 61 - 1 and 2 ** 31 - 1, so that no choice of words
+makes different windows collide more often than chance does (powers of two as moduli would).
+"""
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
-_BYTE, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
-_INVERSE = {int(b): pow(int(b), -1, 2**64) for b in (_BYTE, _WORD)}
-#: True for the bytes that separate words: space and U+0009 to U+000D.
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_CODE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i in [0, n); n is rounded up by the callers so that few sizes occur."""
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out, out=out)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(10, (n - 1).bit_length()))[:n]
+P61, P31 = 2**61 - 1, 2**31 - 1
+_KEY = b"word windows 1"
+_seeded = np.random.Generator(np.random.PCG64(20240229))
+BASE61, BASE31 = int(_seeded.integers(2**60, P61)), int(_seeded.integers(2**30, P31))
+_U = np.uint64
+#: Distinct words that a vocabulary holds before it starts anew.
+MOST_WORDS = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser, so that sums of powers spread over all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def sums(values: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Prefix sums of values[i] * base ** i."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(int(base), len(values)), out=out[1:])
-    return out
-
-
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of the texts, in order, and the number of words of each text."""
-    joined = b"\n".join(texts)
-    raw = np.frombuffer(joined, dtype=np.uint8)
-    if not len(raw):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    edge = np.diff(np.concatenate(([True], SPACE[raw], [True])).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    h = sums(_CODE[raw], _BYTE)
-    hashed = (h[end] - h[start]) * powers(_INVERSE[int(_BYTE)], len(raw))[start] if len(start) else np.zeros(0, dtype=np.uint64)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    return mixed(hashed ^ (end - start).astype(np.uint64)), np.diff(np.searchsorted(start, bounds), prepend=0)
-
-
-def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every window of `width` words within one text: its hash, its text's number and its start within the text."""
+    """A bijective finaliser of 64 bits."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def times61(x: np.ndarray, c: int) -> np.ndarray:
+    """x * c modulo 2 ** 61 - 1, for x and c below that: halves of 31 bits, as 2 ** 61 counts as 1."""
+    high, low, a, b = x >> _U(31), x & _U(P31), _U(c >> 31), _U(c & P31)
+    middle = high * b + low * a
+    total = high * a * _U(2) + (middle >> _U(30)) + ((middle & _U(2**30 - 1)) << _U(31)) + low * b
+    return reduced61(total)
+
+
+def reduced61(x: np.ndarray) -> np.ndarray:
+    x = (x & _U(P61)) + (x >> _U(61))
+    return np.where(x >= _U(P61), x - _U(P61), x)
+
+
+def times31(x: np.ndarray, c: int) -> np.ndarray:
+    return reduced31(x * _U(c))
+
+
+def reduced31(x: np.ndarray) -> np.ndarray:
+    x = (x & _U(P31)) + (x >> _U(31))
+    x = (x & _U(P31)) + (x >> _U(31))
+    return np.where(x >= _U(P31), x - _U(P31), x)
+
+
+def _windows(codes: np.ndarray, width: int, base: int, prime: int) -> np.ndarray:
+    """The polynomial of every `width` codes in a row: windows of 1, 2, 4 .. codes are doubled and put together."""
+    times, reduced = (times61, reduced61) if prime == P61 else (times31, reduced31)
+    n, have, at, power, length = len(codes), None, 0, codes, 1
+    while width >> at:
+        if width >> at & 1:
+            # `have` covers the bits so far, and stands behind this power of two
+            bits = width & ((1 << at) - 1)
+            have = power if have is None else reduced(times(power[: n - length - bits + 1], pow(base, bits, prime)) + have[length : length + n - length - bits + 1])
+        at += 1
+        if width >> at:
+            power = reduced(times(power[: n - 2 * length + 1], pow(base, length, prime)) + power[length : length + n - 2 * length + 1])
+            length *= 2
+    return have
+
+
+class Words(dict):
+    """Codes of words: indices into tables of 61 and 31 bits that grow with the words seen."""
+
+    def __init__(self):
+        super().__init__()
+        self.digests: list[bytes] = []
+        self.table = np.zeros((0, 2), dtype=np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self.digests)
+        self.digests.append(hashlib.blake2b(word, digest_size=16, key=_KEY).digest())
+        return at
+
+    def codes(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes below 2 ** 61 - 1 and below 2 ** 31 - 1 of all words in order, and the number of words of each text."""
+        if len(self.digests) > MOST_WORDS:
+            self.clear()
+            self.digests, self.table = [], np.zeros((0, 2), dtype=np.uint64)
+        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(counts.sum()))
+        if len(self.table) < len(self.digests):
+            new = np.frombuffer(b"".join(self.digests[len(self.table) :]), dtype=np.uint64).reshape(-1, 2)
+            self.table = np.concatenate([self.table, np.stack([new[:, 0] % _U(P61), new[:, 1] % _U(P31)], axis=1)])
+        return self.table[at, 0], self.table[at, 1], counts
+
+
+def starts(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of `width` words within one text: its text's number, and the place of its first word among all."""
     per = np.maximum(counts - width + 1, 0)
     of = np.repeat(np.arange(len(counts)), per)
-    inside = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+    return of, np.arange(len(of)) + np.repeat(np.cumsum(counts) - counts - np.cumsum(per) + per, per)
+
+
+def windows(codes: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of `width` words within one text: 64 and 28 bits of its two hashes, and its text's number."""
+    first, second, counts = codes
+    of, at = starts(counts, width)
     if not len(of):
-        return np.zeros(0, dtype=np.uint64), of, inside
-    at = inside + (np.cumsum(counts) - counts)[of]
-    p = sums(hashes, _WORD)
-    return mixed((p[at + width] - p[at]) * powers(_INVERSE[int(_WORD)], len(hashes))[at]), of, inside
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32), of
+    b = _windows(second, width, BASE31, P31)[at]
+    return _windows(first, width, BASE61, P61)[at] << _U(3) | b >> _U(28), (b & _U(2**28 - 1)).astype(np.uint32), of
+
+
+def ordered(key: np.ndarray, rest: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal hashes together (by `then` within them, else as they come), and where another hash begins."""
+    order = np.lexsort((*then[::-1], key)) if then else np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, dtype=bool)
+    if ((rest[order][1:] != rest[order][:-1]) & ~new[1:]).any():  # 64 bits alone don't tell them apart
+        order = np.lexsort((*then[::-1], rest, key))
+        new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (rest[order][1:] != rest[order][:-1])))
+    return order, new
 
 
-def chunks(rows, limit: int):
+def chunks(rows: Iterator, limit: int) -> Iterator[list]:
     """Split an iterator of (key, text) into lists of about `limit` bytes of text; one long text is a list of its own."""
     held, size = [], 0
     for row in rows:

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import buckets
+from .common import buckets, materialize, release
 
 WIDTH = 50
-#: Bytes of text that a task hashes at a time, and windows that a bucket is planned for.
-CHUNK_BYTES, BUCKET_WINDOWS = 3 << 20, 1_500_000
+#: Bytes of text that a task hashes at a time, windows that a bucket is planned for, and windows that a task remembers.
+CHUNK_BYTES, BUCKET_WINDOWS, HOT_WINDOWS = 3 << 20, 500_000, 1 << 18
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -67,25 +67,46 @@ def _bits(ranks: np.ndarray) -> bytes:
     return np.packbits(field, bitorder="little").tobytes()
 
 
+class Hot:
+    """Windows that recur within the chunks of one task, with the smallest document seen: what is common everywhere goes
+    to its bucket about once a task and not once a chunk. Forgetting some costs repeated entries only."""
+
+    def __init__(self):
+        self.key, self.rest, self.id = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+
+    def least(self, key: np.ndarray, rest: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The smallest document of each of these different windows, in this chunk and before."""
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            ids = np.where((self.key[at] == key) & (self.rest[at] == rest), np.minimum(ids, self.id[at]), ids)
+        key, rest, old = np.concatenate([key, self.key]), np.concatenate([rest, self.rest]), np.concatenate([ids, self.id])
+        self.key, first = np.unique(key[: len(ids) + HOT_WINDOWS], return_index=True)
+        self.rest, self.id = rest[first], old[first]
+        return ids
+
+
 def _send(n: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, hot = rolling.Words(), Hot()
         for rows in rolling.chunks(_rows(batches, ("doc_id", "tag")), CHUNK_BYTES):
             rows.sort(key=lambda r: r[0])
             ids = np.array([r[0] for r in rows], dtype=np.int64).reshape(-1, 2)
-            h, of, _ = rolling.windows(*rolling.words([r[1] for r in rows]), width)
-            if not len(h):
+            key, other, of = rolling.windows(vocabulary.codes([r[1].split() for r in rows]), width)
+            if not len(key):
                 continue
-            at = bucket_of(h, n)
+            at = bucket_of(key, n)
             _, rank = _rank(of * n + at)
-            order = np.argsort(h, kind="stable")  # rows are in order of ids, so the first of equal hashes is the smallest document's
-            lead = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-            first = order[np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))]
-            beaten = np.zeros(len(h), dtype=bool)
-            beaten[order] = ids[of[first], 0] < ids[of[order], 0]
-            # one entry per window and row of that document; _cut spreads the answer to the row's equal windows
+            order, new = rolling.ordered(key, other)  # rows are in order of ids, so the first of equal windows is the smallest document's
+            begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+            least, twice = ids[of[order[begin]], 0], np.flatnonzero(np.diff(np.append(begin, len(key))) > 1)
+            least[twice] = hot.least(key[order[begin[twice]]], other[order[begin[twice]]], least[twice])
+            beaten = np.zeros(len(key), dtype=bool)
+            beaten[order] = least[group] < ids[of[order], 0]
+            # one entry per window and row of its smallest document; _cut spreads the answer to the row's equal windows
             row = np.cumsum(np.concatenate(([False], (ids[1:] != ids[:-1]).any(1))))[of[order]]
-            keep = np.zeros(len(h), dtype=bool)
-            keep[order[lead | (np.diff(row, prepend=-1) != 0) & ~beaten[order]]] = True
+            keep = np.zeros(len(key), dtype=bool)
+            keep[order[(new | (np.diff(row, prepend=-1) != 0)) & ~beaten[order]]] = True
+            del order, new, group, row
             out: dict[str, list] = {k: [] for k in SENT.names}
             # the chunk's name follows from its documents, so equal chunks share one
             chunk = int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -102,7 +123,7 @@ def _send(n: int, width: int):
                 step = np.diff(rank[part], prepend=0)
                 step[fresh > 0] = rank[part][fresh > 0]
                 gaps = np.diff(docs, prepend=0).astype(np.uint32)
-                _add(out, int(b), chunk, ENTRIES, ids[docs, 0].tobytes() + gaps.tobytes(), fresh.astype(np.uint8 if fresh.max() < 256 else np.uint32).tobytes(), step.astype(np.uint32).tobytes(), h[part].tobytes())
+                _add(out, int(b), chunk, ENTRIES, ids[docs, 0].tobytes() + gaps.tobytes(), fresh.astype(np.uint8 if fresh.max() < 256 else np.uint32).tobytes(), step.astype(np.uint32).tobytes(), key[part].tobytes() + other[part].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=SENT)
 
     return run
@@ -110,33 +131,34 @@ def _send(n: int, width: int):
 
 def _answer(group: pa.Table) -> pa.Table:
     """One bucket: of each chunk's entries, those whose window also starts in a smaller document."""
-    chunks, docs, places, locals_, hashes, ranks, out = [], [], [], [], [], [], {k: [] for k in ANSWER.names}
+    chunks, docs, places, locals_, keys, others, ranks, out = [], [], [], [], [], [], [], {k: [] for k in ANSWER.names}
     for x in (r for batch in group.to_batches() for r in batch.to_pylist()):
         if x["kind"] != ENTRIES:
             _add(out, x["chunk"], -1, x["kind"], x["docs"], np.array([len(x["hash"])], dtype=np.uint32).tobytes(), x["hash"])
             continue
-        k = len(x["docs"]) // 12
-        h = np.frombuffer(x["hash"], dtype=np.uint64)
-        fresh = np.frombuffer(x["doc"], dtype=np.uint8 if len(x["doc"]) == len(h) else np.uint32).astype(np.int64)
+        k, n = len(x["docs"]) // 12, len(x["hash"]) // 12
+        fresh = np.frombuffer(x["doc"], dtype=np.uint8 if len(x["doc"]) == n else np.uint32).astype(np.int64)
         step = np.frombuffer(x["step"], dtype=np.uint32).astype(np.int64)
         total, begin = np.cumsum(step), np.flatnonzero(fresh)
-        total -= np.repeat(total[begin] - step[begin], np.diff(np.append(begin, len(h))))
-        chunks.append((x["chunk"], len(h)))
+        total -= np.repeat(total[begin] - step[begin], np.diff(np.append(begin, n)))
+        chunks.append((x["chunk"], n))
         docs.append(np.frombuffer(x["docs"], dtype=np.int64, count=k))
         places.append(np.cumsum(np.frombuffer(x["docs"], dtype=np.uint32, offset=8 * k)).astype(np.uint32))
         locals_.append((np.cumsum(fresh) - 1).astype(np.uint32))
-        hashes.append(h)
+        keys.append(np.frombuffer(x["hash"], dtype=np.uint64, count=n))
+        others.append(np.frombuffer(x["hash"], dtype=np.uint32, offset=8 * n))
         ranks.append(total.astype(np.uint32))
-    if hashes:
+    if keys:
         bucket = group["bucket"][0].as_py()
         del group
-        h, who = np.concatenate(hashes), np.concatenate([d[i] for d, i in zip(docs, locals_, strict=True)])
-        del hashes
-        order = np.lexsort((who, h))
-        h, sorted_ids = h[order], who[order]
-        lead = np.concatenate(([True], h[1:] != h[:-1]))
-        beaten = np.zeros(len(h), dtype=bool)
-        beaten[order] = sorted_ids[np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))] < sorted_ids
+        key, other, who = np.concatenate(keys), np.concatenate(others), np.concatenate([d[i] for d, i in zip(docs, locals_, strict=True)])
+        del keys, others
+        order, new = rolling.ordered(key, other, who)
+        del key, other
+        who = who[order]
+        beaten = np.zeros(len(who), dtype=bool)
+        beaten[order] = who[np.maximum.accumulate(np.where(new, np.arange(len(who)), 0))] < who
+        del order, new, who
         at = 0
         for (chunk, n), place, local, rank in zip(chunks, places, locals_, ranks, strict=True):
             hit, at = np.flatnonzero(beaten[at : at + n]), at + n
@@ -162,35 +184,37 @@ def _gather(group: pa.Table) -> pa.Table:
 
 def _cut(n: int, width: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = rolling.Words()
+
         def rows():
             for x in batches:
                 text, given = x["text"].cast(pa.binary()), x["answers"]
                 for i in range(x.num_rows):
                     yield (x["doc_id"][i].as_py(), given[i].as_py()), text[i].as_py()
 
-        for held in rolling.chunks(rows(), CHUNK_BYTES):
-            marked = [r for r in held if r[0][1]]
-            h, of, _ = rolling.windows(*rolling.words([r[1] for r in marked]), width)
-            at = bucket_of(h, n)
+        for held in rolling.chunks(rows(), CHUNK_BYTES // 3):
+            words = [text.split() for _, text in held]
+            marked = [i for i, r in enumerate(held) if r[0][1]]
+            key, other, of = rolling.windows(vocabulary.codes([words[i] for i in marked]), width)
+            at = bucket_of(key, n)
             order, _ = _rank(of * n + at)
-            key = (of * n + at)[order]
-            flagged = np.zeros(len(h), dtype=bool)
+            place = (of * n + at)[order]
+            flagged = np.zeros(len(key), dtype=bool)
             starts = np.searchsorted(of, np.arange(len(marked) + 1))
-            for d, ((_, answers), _) in enumerate(marked):
-                for a in answers:
+            for d, i in enumerate(marked):
+                for a in held[i][0][1]:
                     bits = np.flatnonzero(np.unpackbits(np.frombuffer(a["bits"], dtype=np.uint8), bitorder="little"))
                     if a["bucket"] < 0:
                         flagged[starts[d] + bits] = True
                     else:
-                        flagged[order[np.searchsorted(key, d * n + a["bucket"]) + bits]] = True
-            del at, order, key
-            if len(h):  # an answer names the first of a row's equal windows
-                order = np.lexsort((h, of))
-                begin = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1]))))
-                flagged[order] = np.repeat(np.logical_or.reduceat(flagged[order], begin), np.diff(np.append(begin, len(h))))
+                        flagged[order[np.searchsorted(place, d * n + a["bucket"]) + bits]] = True
+            del at, order, place
+            if len(key):  # an answer names the first of a row's equal windows
+                order = np.lexsort((other, key, of))
+                begin = np.flatnonzero(np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1]) | (of[order][1:] != of[order][:-1]))))
+                flagged[order] = np.repeat(np.logical_or.reduceat(flagged[order], begin), np.diff(np.append(begin, len(key))))
             out, d = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}, 0
-            for (doc_id, answers), text in held:
-                word = text.split()
+            for ((doc_id, answers), _), word in zip(held, words, strict=True):
                 kept = word
                 if answers:
                     mine = np.flatnonzero(flagged[starts[d] : starts[d + 1]])
@@ -216,8 +240,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, digest: bool = False, n_buckets:
     A word goes if a window of `width` words that covers it also starts in a document with a smaller doc_id; windows are
     judged on the input. A null text has no words; texts under `width` words have no window; a null doc_id is larger
     than any other; rows with one doc_id don't remove each other's words; repeated rows give repeated results; other
-    columns are ignored; an empty table gives an empty result. Windows are told apart by 64 bits within buckets that
-    take further bits of the hash.
+    columns are ignored, whatever their names; an empty table gives an empty result. Windows are told apart by 92 bits:
+    their polynomials modulo 2 ** 61 - 1 and 2 ** 31 - 1 over keyed hashes of the words. Two given windows collide with a
+    probability of 2 ** -92, so 1.5e13 windows (100 TB) hold about 0.02 colliding pairs by expectation.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -230,6 +255,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, digest: bool = False, n_buckets:
     answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, kind int, docs binary, sizes binary, bits binary")
     answers = answers.groupBy("chunk").applyInArrow(_gather, "doc_id long, tag long, answers array<struct<bucket:int,bits:binary>>")
     answers = answers.groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).agg(F.flatten(F.collect_set("answers")).alias("answers"))
+    # answers are small beside the windows, whose shuffle files go before the texts are shuffled
+    answers = materialize(answers)
+    release(spark)
     joined = keyed.join(answers, (keyed["doc_id"] == F.col("of_id")) & (keyed["tag"] == F.col("of_tag")), "left").select("doc_id", "text", "answers")
     got = joined.mapInArrow(_cut(n, width, digest), "doc_id long, n_words long, n_removed long, kept string")
     return got.withColumn("doc_id", F.when(F.col("doc_id") != int(_NO_ID), F.col("doc_id")))

@@ -76,16 +76,6 @@ def test_substring_dedup_repeats_in_one_document(spark):
         assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == cut_by_force(texts, 50)
 
 
-def test_rolling_words_and_windows():
-    texts = [b"a bb a bb a", b"", b"  bb a ", b"\xc2\xa0x\ty"]
-    h, counts = rolling.words(texts)
-    assert counts.tolist() == [5, 0, 2, 2]
-    assert h[0] == h[2] == h[4] == h[6] and h[1] == h[3] == h[5] and len(set(h.tolist())) == 4
-    w, of, at = rolling.windows(h, counts, 2)
-    assert of.tolist() == [0, 0, 0, 0, 2, 3] and at.tolist() == [0, 1, 2, 3, 0, 0]
-    assert w[0] == w[2] and w[1] == w[3] == w[4] and w[0] != w[1]
-
-
 # --- decontamination
 
 
@@ -321,3 +311,39 @@ def test_license_scan_scores_whatever_the_model_knows(spark):
         want += [(i, family)] if family != license_scan.UNKNOWN else []
     got = license_scan.scan(docs_of(spark, enumerate(lines))).collect()
     assert sorted((r["doc_id"], r["family"]) for r in got) == want
+
+
+def _thue_morse(a: str, b: str, bits: int) -> str:
+    word = a
+    for _ in range(bits):
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_substring_dedup_tells_words_apart_that_collide_modulo_powers_of_two(spark):
+    head = [f"w{i}" for i in range(49)]
+    x, y = _thue_morse("a", "b", 10), _thue_morse("b", "a", 10)
+    words = [" ".join([*head, x]), " ".join([*head, y]), " ".join([*head, x])]
+    # the same on the level of words: two windows of 1,024 words
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(spark.createDataFrame(list(enumerate(words, 1)), "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+    rows = [(1, " ".join(x)), (2, " ".join(y)), (3, " ".join(x))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=1024).collect()}
+    assert got == {1: 0, 2: 0, 3: 1024}
+
+
+def test_rolling_windows_are_polynomials():
+    rng = np.random.default_rng(3)
+    words = [[b"w%d" % i for i in rng.integers(0, 50, n)] for n in (0, 3, 49, 50, 51, 300)]
+    known = rolling.Words()
+    first, second, counts = known.codes(words)
+    key, rest, of = rolling.windows((first, second, counts), 50)
+    want, at = [], 0
+    for d, n in enumerate(counts.tolist()):
+        for i in range(n - 49):
+            a = b = 0
+            for k in range(at + i, at + i + 50):
+                a, b = (a * rolling.BASE61 + int(first[k])) % rolling.P61, (b * rolling.BASE31 + int(second[k])) % rolling.P31
+            want.append((d, a << 3 | b >> 28, b & 2**28 - 1))
+        at += n
+    assert want == list(zip(of.tolist(), key.tolist(), rest.tolist()))
