@@ -5,16 +5,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW = 10
-#: Item words in one automaton; larger benchmarks are dealt to several, which are applied one after another.
-SHARD_WORDS = 2_000_000
+#: Item words in one automaton (about 0.6 kB each while it is in use); larger benchmarks are dealt to several, which are
+#: built, sent and applied one after another.
+SHARD_WORDS = 250_000
 #: A document loses its hit spans, or goes as a whole when more than this share of its words is hit.
 MAX_COVERAGE = 0.5
 #: A-Z to lower case; every ASCII byte that is neither digit nor letter to a space.
@@ -39,8 +42,8 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends = [self._insert(c) for c in coded]
-        self.items: list[tuple[int, ...]] = self._holders(coded)
         self.anchor = self._anchors()
+        self.items: dict[int, list[int]] = self._holders(coded)
         self.short = self._short(coded, ends)
         self.pairs = np.zeros(1 << _FILTER_BITS, dtype=bool)
         for c in coded:
@@ -81,16 +84,18 @@ class Automaton:
                 self.link[last] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return last
 
-    def _holders(self, coded: list[list[int]]) -> list[tuple[int, ...]]:
-        found: list[list[int]] = [[] for _ in self.next]
+    def _holders(self, coded: list[list[int]]) -> dict[int, list[int]]:
+        """The items that hold the windows of each anchor."""
+        found: dict[int, list[int]] = {}
         for i, item in enumerate(coded):
             v = 0
             for c in item:
-                u = v = self.next[v][c]
-                while u > 0 and (not found[u] or found[u][-1] != i):
-                    found[u].append(i)
-                    u = self.link[u]
-        return [tuple(x) for x in found]
+                v = self.next[v][c]
+                if self.anchor[v] >= 0:
+                    held = found.setdefault(self.anchor[v], [])
+                    if not held or held[-1] != i:
+                        held.append(i)
+        return found
 
     def _anchors(self) -> list[int]:
         """For states of `window` words or more, the ancestor whose strings include the last `window` words."""
@@ -165,7 +170,7 @@ def _scan(sent, many: bool):
                 spans, found = automaton.spans(words)
                 counts.append(len(words))
                 hits.append(merged(spans))
-                items.append(sorted(automaton.names[k] for k in found))
+                items.append(sorted({automaton.names[k] for k in found}))
             rest = [x[c] for c in x.schema.names if c != "text"] if not many else [x["row_key"]]
             names = [c for c in x.schema.names if c != "text"] if not many else ["row_key"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], [*names, "n_words", "hits", "items"])
@@ -202,22 +207,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     Null and blank texts have no words and no hits; items with a null id or without words never occur, and an item id on
     several rows counts once; repeated documents are judged one by one; an empty benchmark hits nothing.
     """
-    parts = list(automata(benchmark, window, shard_words))
-    spark = docs.sparkSession
-    if len(parts) == 1:
-        return docs.select("doc_id", "text").mapInArrow(_scan(spark.sparkContext.broadcast(parts[0]), False), "doc_id long, n_words long, hits array<int>, items array<string>")
-    from .common import materialize
-
+    parts = automata(benchmark, window, shard_words)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return docs.select("doc_id", "text").mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(first), False), "doc_id long, n_words long, hits array<int>, items array<string>")
     keyed = materialize(docs.select("doc_id", "text").withColumn("row_key", F.monotonically_increasing_id()))
+    per = _by_shard(keyed, chain((first, second), parts))
+    return keyed.select("row_key", "doc_id").join(per, "row_key").select("doc_id", "n_words", "hits", "items")
+
+
+def _by_shard(keyed: DataFrame, parts: Iterator[Automaton]) -> DataFrame:
+    """(row_key, n_words, hits, items) of all shards together; one automaton at a time is at the driver and the workers."""
     found = None
     for p in parts:
-        got = keyed.select("row_key", "text").mapInArrow(_scan(spark.sparkContext.broadcast(p), True), FOUND)
+        sent = keyed.sparkSession.sparkContext.broadcast(p)
+        got = materialize(keyed.select("row_key", "text").mapInArrow(_scan(sent, True), FOUND).where("n_words = 0 or size(hits) > 0" if found is not None else "true"))
+        sent.destroy()
         found = got if found is None else found.unionByName(got)
     per = found.groupBy("row_key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("flat"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("flat") / 2 - 1).cast("int")), lambda i: F.struct(F.get("flat", i * 2).alias("a"), F.get("flat", i * 2 + 1).alias("b"))))
     joined = F.aggregate(pairs, F.array().cast("array<int>"), lambda acc, s: F.when((F.size(acc) > 0) & (s["a"] <= F.element_at(acc, -1)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), s["b"])))).otherwise(F.concat(acc, F.array(s["a"], s["b"]))))
-    per = per.withColumn("hits", F.when(F.size("flat") > 0, joined).otherwise(F.array().cast("array<int>")))
-    return keyed.select("row_key", "doc_id").join(per, "row_key").select("doc_id", "n_words", "hits", "items")
+    return per.withColumn("hits", F.when(F.size("flat") > 0, joined).otherwise(F.array().cast("array<int>")))
 
 
 def n_hit(hits):
@@ -228,15 +238,18 @@ def n_hit(hits):
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def _clean(sent_parts: list, max_coverage: float, schema_names: list[str]):
+def _clean(sent, max_coverage: float, names: list[str]):
+    """The rows without hit spans: these are in a column `hits`, or found by the automaton that was sent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            raw, keep, texts = x["text"].cast(pa.binary()), [], []
+            given = x[0] if sent is None else x
+            fields = {c: given.field(i) for i, c in enumerate(names)} if sent is None else {c: x[c] for c in names}
+            raw, keep, texts = fields["text"].cast(pa.binary()), [], []
             for i in range(x.num_rows):
                 text = raw[i].as_py()
                 words = words_of(text or b"")
-                spans = [s for p in sent_parts for s in p.value.spans(words)[0]]
-                cut = merged(spans)
+                cut = x[1][i].as_py() if sent is None else merged(sent.value.spans(words)[0])
                 if not cut:
                     keep.append(i)
                     texts.append(None if text is None else text.decode())
@@ -250,17 +263,25 @@ def _clean(sent_parts: list, max_coverage: float, schema_names: list[str]):
                     last = at[b - 1][1]
                 keep.append(i)
                 texts.append(b"".join([*out, text[last:]]).decode())
-            rest = x.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else rest[c] for c in schema_names], schema_names)
+            rest = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else fields[c].take(rest) for c in names], names)
 
     return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """`docs` without hit spans; a document goes when over `max_coverage` of its words is hit. Clean rows are unchanged."""
-    sc = docs.sparkSession.sparkContext
-    parts = [sc.broadcast(p) for p in automata(benchmark, window, shard_words)]
-    return docs.mapInArrow(_clean(parts, max_coverage, docs.columns), docs.schema)
+    """`docs` without hit spans; a document goes when over `max_coverage` of its words is hit. Clean rows are unchanged.
+
+    Nulls, repeated rows and empty tables are as in `scan`; other columns pass, whatever their names.
+    """
+    parts = automata(benchmark, window, shard_words)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(first), max_coverage, docs.columns), docs.schema)
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row_key"), "text", F.struct("*").alias("row")))
+    per = _by_shard(keyed, chain((first, second), parts)).select(F.col("row_key").alias("of_key"), "hits")
+    joined = keyed.join(per, F.col("row_key") == F.col("of_key"), "left").select("row", "hits")
+    return joined.mapInArrow(_clean(None, max_coverage, docs.columns), docs.schema)
 
 
 def items_digest(items: list[str]) -> str:
