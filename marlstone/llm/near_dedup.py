@@ -2,10 +2,10 @@
 
 A sketch takes the two smallest of a document's occurrence-labelled shingles under one hash and keeps them in text order,
 so it is sensitive to edits and not to the set of shingles alone. Sketches are banded; equal texts are one node from the
-start. In every bucket that still holds several classes, members are compared with the bucket's leader; rounds with new
-leaders follow while they find links. Then all pairs of different classes in the buckets that are still open are compared
-by their sketches, in blocks, and those alike are verified. Links merge by star contraction; nothing is collected at the
-driver.
+start. Documents that share a band are candidates: a bucket's members, with their shingles, meet in blocks of bounded
+size, where shared shingles are counted for all pairs of different classes at once and pairs that may be similar are
+aligned. A block returns links that span what it found, never all pairs. Buckets of several blocks then compare, block by
+block, what is still in different classes. Links merge by star contraction; nothing is collected at the driver.
 """
 
 from __future__ import annotations
@@ -25,16 +25,9 @@ from .decontamination import NORMAL
 K, SIMILAR = 5, 0.8
 #: Bands of sketches: at similarity 0.8 two texts share a band with probability 1 - (1 - 0.64 ** 3) ** 24 = 0.9993.
 BANDS, ROWS = 24, 3
-#: Equal sketches (of BANDS * ROWS = 72) that a pair needs to be aligned: at similarity 0.8, 46 are expected with a
-#: deviation of 4.1, so fewer than 24 come by chance once in ten million pairs.
-LEAST_EQUAL = 24
-#: Leaders that the members of a bucket are compared with in each round but the first.
-LEADERS = 1
-#: Leaders give way to blocks when fewer than one pair in so many is a new link; blocks miss no pair, so this is about time only.
-PAIRS_A_LINK = 20
-#: Members that a block of an open bucket is planned for, and pairs that are verified before classes merge again.
-BLOCK, VERIFIED_AT_ONCE = 512, 200_000
-CHUNK_BYTES = 2 << 20
+#: Members, and bytes of their shingles, that a block of a bucket is planned for.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+CHUNK_BYTES = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(5))
 _SEED = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32)
 _ODD = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
@@ -78,24 +71,27 @@ def sketches(x: np.ndarray) -> np.ndarray:
     return rolling.mixed(x[np.concatenate(first)] * _A + x[np.concatenate(second)] * _B + at.astype(np.uint64))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
-        for x in batches:
-            text = x["text"].cast(pa.binary())
-            keys = [x[c].to_pylist() for c in ("doc_id", "h1", "h2")]
-            for i in range(x.num_rows):
-                yield tuple(k[i] for k in keys), text[i].as_py()
+def _texts(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple]:
+    for x in batches:
+        text, keys = x["text"].cast(pa.binary()), [x[c].to_pylist() for c in names]
+        for i in range(x.num_rows):
+            yield tuple(k[i] for k in keys), text[i].as_py()
 
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight = np.multiply.accumulate(np.full(ROWS, _A))
-    for held in rolling.chunks(rows(), CHUNK_BYTES):
-        sizes, bands, signs = [], [], []
+    for held in rolling.chunks(_texts(batches, ("doc_id", "h1", "h2")), CHUNK_BYTES):
+        sizes, bands = [], []
         for x in shingles([r[1] for r in held]):
             sizes.append(len(x))
-            s = sketches(x) if len(x) else None
-            bands.append([] if s is None else rolling.mixed((s.reshape(BANDS, ROWS) * weight).sum(1)).view(np.int64).tolist())
-            signs.append(b"" if s is None else s.astype(np.uint8).tobytes())
+            bands.append(rolling.mixed((sketches(x).reshape(BANDS, ROWS) * weight).sum(1)).view(np.int64).tolist() if len(x) else [])
         columns = [pa.array([r[0][i] for r in held], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "h1", "h2", "n", "bands", "sign"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n", "bands"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for held in rolling.chunks(_texts(batches, ("id",)), CHUNK_BYTES):
+        yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in held], pa.int64()), pa.array([x.tobytes() for x in shingles([r[1] for r in held])], pa.binary())], ["id", "shingles"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> int:
@@ -122,74 +118,97 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _verify(similar: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            texts = {c: x[c].cast(pa.binary()) for c in ("text_a", "text_b")}
-            pairs = ((i, texts["text_a"][i].as_py() + b"\n" + texts["text_b"][i].as_py(), len(texts["text_a"][i].as_py())) for i in range(x.num_rows))
-            hit = np.zeros(x.num_rows, dtype=bool)
-            for held in rolling.chunks(pairs, CHUNK_BYTES):  # bounds the memory of the hashes, whatever a batch holds
-                first = list(dict.fromkeys(t[:n] for _, t, n in held))
-                known = dict(zip(first, shingles(first), strict=True))
-                for (i, t, n), other in zip(held, shingles([t[n + 1 :] for _, t, n in held]), strict=True):
-                    hit[i] = similarity(known[t[:n]], other) >= similar
-            yield x.select(["a", "b"]).filter(pa.array(hit))
-
-    return run
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that have LEAST_EQUAL equal sketches."""
-    for x in batches:
-        if x.num_rows:
-            a, b = (np.frombuffer(b"".join(x[c].to_pylist()), dtype=np.uint8).reshape(x.num_rows, -1) for c in ("sign_a", "sign_b"))
-            yield x.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= LEAST_EQUAL))
-
-
-def _crossing(similar: float):
-    """Pairs of different classes that have LEAST_EQUAL equal sketches, of rows that come ordered by bucket and pair of blocks."""
-
-    def pairs(block, lower, upper, id, root, n, sign) -> Iterator[np.ndarray]:
-        left, right = np.flatnonzero(block == lower), np.flatnonzero(block == upper)
-        for k, p in enumerate(left):
-            q = right[k + 1 :] if lower == upper else right
-            q = q[(root[q] != root[p]) & (np.minimum(n[q], n[p]) >= np.maximum(n[q], n[p]) * similar)]
-            q = q[(sign[q] == sign[p]).sum(1) >= LEAST_EQUAL] if len(q) else q
-            if len(q):
-                yield np.stack([np.minimum(id[q], id[p]), np.maximum(id[q], id[p])])
-
-    def found(held: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
-        bucket, lower, upper, block, id, root, n = (held[c].to_numpy() for c in ("bucket", "lower", "upper", "block", "id", "root", "n"))
-        change = (np.diff(bucket) != 0) | (np.diff(lower) != 0) | (np.diff(upper) != 0)
-        cuts = np.array([0, *np.flatnonzero(change) + 1, *([len(bucket)] if last else [])])
-        sign = np.frombuffer(b"".join(held["sign"].to_pylist()), dtype=np.uint8).reshape(len(bucket), -1)
-        got = [x for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in pairs(block[a:b], lower[a], upper[a], id[a:b], root[a:b], n[a:b], sign[a:b])]
-        a, b = np.concatenate(got, axis=1) if got else np.zeros((2, 0), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]), held.slice(cuts[-1])
+def spanning(ids: np.ndarray, root: np.ndarray, block: np.ndarray, held: list[np.ndarray], similar: float) -> Iterator[tuple[int, int]]:
+    """Links that span the classes of these members: every pair of different classes (and, if there are two blocks, of
+    different blocks) is tried until its classes are one. Shared shingles of one member with all others are counted at
+    once; as shingles are occurrence-labelled, sets without repeats, the set's Jaccard bounds the ordered one."""
+    cls = np.unique(root, return_inverse=True)[1]
+    if cls.max(initial=0) == 0:
+        return
+    n = np.array([len(x) for x in held])
+    at = np.cumsum(n) - n
+    dense = np.unique(np.concatenate(held), return_inverse=True)[1].astype(np.int32)
+    present = np.zeros(int(dense.max()) + 1, dtype=np.int32)
+    parted, place = block[0] != block[-1] or (block != block[0]).any(), np.arange(len(ids))
+    for x in range(len(ids)):
+        other = (place > x) & (cls != cls[x]) & (np.minimum(n, n[x]) >= similar * np.maximum(n, n[x]))
+        if parted:
+            other &= block != block[x]
+        other = np.flatnonzero(other)
+        if not len(other):
+            continue
+        mine = dense[at[x] : at[x] + n[x]]
+        present[mine] = 1
+        if 2 * len(other) < len(ids):
+            theirs, starts = np.concatenate([dense[at[k] : at[k] + n[k]] for k in other]), np.cumsum(n[other]) - n[other]
+            both = np.add.reduceat(present[theirs], starts)
+        else:
+            both = np.add.reduceat(present[dense], at)[other]
+        present[mine] = 0
+        near = both >= similar * (n[other] + n[x] - both)
+        for k in other[near][np.argsort(-both[near], kind="stable")].tolist():
+            if cls[k] != cls[x] and similarity(held[x], held[k]) >= similar:
+                cls[cls == cls[k]] = cls[x]
+                yield int(ids[x]), int(ids[k])
+
+
+def _linked(similar: float):
+    """Links found in each group (bucket, lower, upper) of rows that come sorted by group."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        if len(rows) > 1:
+            ids, root, block = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2))
+            yield from spanning(ids, root, block, [np.frombuffer(r[3], dtype=np.uint64) for r in rows], similar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        rows, group = [], None
         for x in batches:
-            if x.num_rows:
-                held = pa.Table.from_batches([x]) if held is None else pa.concat_tables([held, pa.Table.from_batches([x])])
-                out, held = found(held, False)
-                yield out
-        if held is not None and held.num_rows:
-            yield found(held, True)[0]
+            found: list[tuple[int, int]] = []
+            keys = zip(*[x[c].to_pylist() for c in ("bucket", "lower", "upper")], strict=True)
+            own = [x[c].to_pylist() for c in ("id", "root", "block")]
+            for i, key in enumerate(keys):
+                if key != group:
+                    found += links(rows)
+                    rows, group = [], key
+                rows.append((own[0][i], own[1][i], own[2][i], x["shingles"][i].as_py()))
+            yield _pairs(found)
+        yield _pairs(list(links(rows)))
 
     return run
 
 
-def crossing(members: DataFrame, known: DataFrame, similar: float) -> DataFrame:
-    """(a, b), a < b: the pairs of members (id, bucket, root) of one bucket but different roots whose sketches (`known`:
-    text_id, n, sign) are alike. A bucket is cut into blocks, so that its pairs are dealt out and only those alike are rows."""
-    n_blocks = members.groupBy(F.col("bucket").alias("of_bucket")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    placed = members.join(n_blocks, F.col("bucket") == F.col("of_bucket")).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("n_blocks")).cast("int"))
-    placed = placed.join(known, F.col("id") == F.col("text_id"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    spread = spread.select("bucket", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "id", "root", "n", "sign")
-    dealt = spread.repartition("bucket", "lower", "upper").sortWithinPartitions("bucket", "lower", "upper")
-    return dealt.mapInArrow(_crossing(similar), "a long, b long").distinct()
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+
+
+def _met(dealt: DataFrame, known: DataFrame, similar: float) -> tuple[DataFrame, int]:
+    """The links of groups (bucket, lower, upper) of members (id, root, block) with their shingles."""
+    rows = dealt.join(known, "id").repartition("bucket", "lower", "upper").sortWithinPartitions("bucket", "lower", "upper", "id")
+    got = rows.select("bucket", "lower", "upper", "id", "root", "block", "shingles").mapInArrow(_linked(similar), "a long, b long")
+    return compact(got.distinct())
+
+
+def links(members: DataFrame, known: DataFrame, similar: float) -> tuple[DataFrame, int]:
+    """(a, b), a < b, and their number: links that connect the members (bucket, n_blocks, id) of each bucket as all their
+    similar pairs would. `known` has the shingles of every id."""
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.col("n_blocks")).cast("int")
+    members = members.withColumn("block", block)
+    found, n = _met(members.select("bucket", F.col("block").alias("lower"), F.col("block").alias("upper"), "block", "id", F.col("id").alias("root")), known, similar)
+    wide = members.where("n_blocks > 1")
+    if wide.limit(1).count():
+        if n:
+            roots, n_roots = compact(components(found))
+            wide = wide.join(bounded(roots, n_roots), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+        else:
+            wide = wide.withColumn("root", F.col("id"))
+        # pairs of blocks that hold more than one class
+        ends = wide.groupBy("bucket", "n_blocks", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        ends = materialize(ends.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("bucket", "block", "low", "high", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper")).where("lower < upper"))
+        still = ends.groupBy("bucket", "lower", "upper").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("bucket", "lower", "upper")
+        dealt = ends.select("bucket", "block", "lower", "upper").join(still, ["bucket", "lower", "upper"], "left_semi").join(wide.select("bucket", "block", "id", "root"), ["bucket", "block"])
+        more, n_more = _met(dealt.select("bucket", "lower", "upper", "block", "id", "root"), known, similar)
+        found, n = found.unionByName(more), n + n_more
+    return found, n
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,67 +240,27 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     whole = rows.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("twin"), "text").alias("h2"), "text")
-    found = materialize(whole.mapInArrow(_sketch, "doc_id long, h1 long, h2 long, n long, bands array<long>, sign binary"))
-    twins = materialize(found.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min("doc_id").alias("text_id")))
+    sketched = whole.mapInArrow(_sketch, "doc_id long, h1 long, h2 long, n long, bands array<long>")
+    texts = materialize(sketched.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min("doc_id").alias("text_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = materialize(texts.where("n > 0").groupBy(F.col("text_id").alias("id")).agg(F.min(F.struct("g1", "g2", "n", "bands")).alias("of")).select("id", "of.*"))
     same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
-    nodes = materialize(attach(found.where("n > 0"), twins, same & (F.col("doc_id") == F.col("text_id"))).select("text_id", "n", "bands", "sign").dropDuplicates(["text_id"]))
-    now = nodes.select(F.col("text_id").alias("id"), F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"), F.col("id").alias("root"))
-    links, roots, tried, n_tried, turn = None, None, None, 0, 0
-
-    def linked(alike: DataFrame, n_alike: int) -> DataFrame:
-        """Those of the pairs whose texts are similar."""
-        asked = alike.select("a").unionByName(alike.select(F.col("b").alias("a"))).distinct().toDF("asked")
-        texts = whole.select("doc_id", "text").join(bounded(asked, 2 * n_alike), F.col("doc_id") == F.col("asked"), "left_semi").dropDuplicates(["doc_id"])
-        texts = materialize(texts)
-        full = alike.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-        return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similar), "a long, b long")
-
-    while True:
-        turn += 1
-        # the first leader is the smallest id, the same in all buckets of a class; later ones are drawn anew each round
-        # as members, so that a large class leads more often than a small one and few members meet a stranger
-        orders = [F.col("id")] if turn == 1 else [F.xxhash64(F.lit(turn * LEADERS + k), F.col("bucket"), F.col("id")) for k in range(LEADERS)]
-        heads = now.groupBy(F.col("bucket").alias("of_bucket")).agg(F.array(*[F.min(F.struct(o.alias("order"), "id", "root")) for o in orders]).alias("heads"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        # buckets of one class are done; the others go on, with their leaders
-        open_now = materialize(now.join(heads, F.col("bucket") == F.col("of_bucket")).select("id", "bucket", "root", "heads"))
-        met, now = open_now.select("id", "root", F.explode("heads").alias("head")).where("root <> head.root"), open_now.select("id", "bucket", "root")
-        pairs = met.select(F.least("id", F.col("head.id")).alias("a"), F.greatest("id", F.col("head.id")).alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(bounded(tried, n_tried), ["a", "b"], "left_anti")
-        pairs, n_pairs = compact(pairs)
-        known = nodes.select("text_id", "n", "sign")
-        pairs_n = known.toDF("a", "n_a", "sign_a").join(bounded(pairs, n_pairs), "a").join(known.toDF("b", "n_b", "sign_b"), "b")
-        alike, n_alike = compact(pairs_n.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar).select("a", "b", "sign_a", "sign_b").mapInArrow(_alike, "a long, b long"))
-        fresh, n_fresh = compact(linked(alike, n_alike))
-        if n_fresh:
-            links = fresh if links is None else links.unionByName(fresh)
-            roots, n_roots = compact(components(links))
-            now = now.drop("root").join(bounded(roots, n_roots), F.col("id") == F.col("node"), "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
-        tried, n_tried = (pairs, n_pairs) if tried is None else compact(tried.unionByName(pairs))
-        heads = pairs_n = None
-        release(docs.sparkSession)
-        if turn > 1 and n_fresh * PAIRS_A_LINK < n_pairs or not n_pairs:
-            break
-    # what leaders left: every pair of different classes in the buckets that are still open
-    ends = now.groupBy(F.col("bucket").alias("of_bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    still = materialize(now.join(ends, F.col("bucket") == F.col("of_bucket"), "left_semi"))
-    left, n_left = compact(crossing(still, nodes.select("text_id", "n", "sign"), similar).join(bounded(tried, n_tried), ["a", "b"], "left_anti"))
-    while n_left:
-        turn += 1
-        share = -(-n_left // VERIFIED_AT_ONCE)
-        drawn = F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(share)) == 0
-        fresh, n_fresh = compact(linked(left.where(drawn), min(n_left, 2 * VERIFIED_AT_ONCE)))
-        left = left.where(~drawn)
-        if n_fresh:
-            links = fresh if links is None else links.unionByName(fresh)
-            roots, n_roots = compact(components(links))
-            of = lambda c: bounded(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), n_roots)
-            left = left.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        left, n_left = compact(left)
+    keys = nodes.select("id", "n", F.posexplode("bands").alias("band", "key")).select("id", "n", F.xxhash64("band", "key").alias("bucket"))
+    # buckets of several members; of those with the very same members, one
+    n_blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("size") * 8 / BLOCK_BYTES)).cast("int")
+    kept = keys.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("size"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y")).where("members > 1")
+    kept, n_kept = compact(kept.groupBy("members", "size", "x", "y").agg(F.min("bucket").alias("of_bucket")).select("of_bucket", n_blocks.alias("n_blocks")))
+    members = materialize(keys.join(bounded(kept, n_kept), F.col("bucket") == F.col("of_bucket")).select("bucket", "n_blocks", "id"))
+    roots = None
+    if n_kept:
+        asked, n_asked = compact(nodes.join(members.select(F.col("id").alias("member")).distinct(), F.col("id") == F.col("member"), "left_semi").select("id", "g1", "g2"))
+        open_texts = whole.join(bounded(asked, n_asked), (F.col("doc_id") == F.col("id")) & same).select("id", "text")
+        known = materialize(open_texts.mapInArrow(_shingled, "id long, shingles binary").dropDuplicates(["id"]))
         release(docs.sparkSession)
-    named = attach(found.select("doc_id", "h1", "h2"), twins, same).select("doc_id", "text_id")
+        linked, n_linked = links(members, known, similar)
+        roots = materialize(components(linked)) if n_linked else None
+    named = attach(whole.select("doc_id", "h1", "h2"), texts.select("g1", "g2", "text_id"), same).select("doc_id", "text_id")
     if roots is not None:
-        named = named.join(roots, F.col("text_id") == F.col("node"), "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class_id"))
+        named = attach(named, roots, F.col("text_id") == F.col("node"), "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class_id"))
     else:
         named = named.withColumn("class_id", F.col("text_id"))
     rest = rows.where("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("text_id"), F.col("doc_id").alias("class_id"))
@@ -290,5 +269,6 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of `docs` whose doc_id is their class's (and those with a null doc_id): one document of each class."""
-    gone = materialize(classes(docs, similar).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return attach(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = materialize(classes(docs, similar).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
+    return attach(rows, gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")

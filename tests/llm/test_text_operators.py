@@ -112,6 +112,18 @@ def test_decontamination_matches_brute_force(spark, shard):
     assert sorted(((r["doc_id"], r["n_words"], r["n"], sorted(r["items"])) for r in got), key=str) == scan_by_force(texts, items)
 
 
+@pytest.mark.parametrize("shard", [10_000, 12])
+def test_decontamination_repeated_items_and_clashing_columns(spark, shard):
+    item, other = prose(14), prose(11)
+    bench = spark.createDataFrame([(1, item), (1, other), (1, item), (2, item)], "item_id long, text string")
+    docs = docs_of(spark, [(1, f"{prose(30)} {item} {prose(30)} {other} x"), (2, "clean one"), (3, None)]).withColumn("hits", F.lit(3)).withColumn("items", F.lit("y")).withColumn("row_key", F.lit(1)).withColumn("row", F.lit(2))
+    got = by_id(decontamination.scan(docs, bench, shard_words=shard))
+    assert sorted(got[1]["items"]) == ["1", "2"] and got[2]["items"] == [] and got[3]["n_words"] == 0
+    left = by_id(decontamination.clean(docs, bench, shard_words=shard))
+    assert set(left) == {1, 2, 3} and left[1]["hits"] == 3 and item not in left[1]["text"] and left[1]["text"].endswith(" x") and left[2]["text"] == "clean one"
+    assert decontamination.scan(docs.where("false"), bench, shard_words=shard).count() == 0
+
+
 def test_decontamination_clean(spark):
     item = prose(12)
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -194,9 +206,8 @@ def test_near_dedup_links_inside_a_family_below_the_threshold(spark, monkeypatch
                 low, high = sorted((want[a], want[b]))
                 want = {k: low if v == high else v for k, v in want.items()}
     assert want[71] == want[120] and len(set(want.values())) > 100
-    for block, at_once in ((512, 200_000), (32, 1000)):
-        monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
-        monkeypatch.setattr(near_dedup, "VERIFIED_AT_ONCE", at_once, raising=False)
+    for block in (512, 32):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
         got = by_id(near_dedup.classes(docs_of(spark, texts)))
         assert {i: r["class_id"] for i, r in got.items()} == want
 
