@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,12 @@ def bounded(df: DataFrame, rows: int, row_bytes: int = 32, limit: int = BROADCAS
 
 def release(spark: SparkSession) -> None:
     """Have shuffle files and checkpoints removed that nothing refers to any more. Spark does so when the driver's JVM
-    collects garbage, which a loop over small plans may not bring about for a long time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    collects garbage, which small plans may not bring about for a long time. The first collection frees the plans and
+    what they hold is only found by the next; removal itself runs beside, hence the pauses."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def buckets(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ from .common import buckets, materialize, release
 
 WIDTH = 50
 #: Bytes of text that a task hashes at a time, windows that a bucket is planned for, and windows that a task remembers.
-CHUNK_BYTES, BUCKET_WINDOWS, HOT_WINDOWS = 3 << 20, 500_000, 1 << 18
+CHUNK_BYTES, BUCKET_WINDOWS, HOT_WINDOWS = 3 << 20, 1_200_000, 1 << 18
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -51,7 +51,7 @@ def _rows(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
 
 #: Kinds of rows: entries of a bucket, answers found inside a chunk, and a chunk's table of documents.
 ENTRIES, FOUND, TABLE = 0, 1, 2
-SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("doc", pa.binary()), ("step", pa.binary()), ("hash", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("place", pa.binary()), ("doc", pa.binary()), ("step", pa.binary()), ("hash", pa.binary())])
 ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("bits", pa.binary())])
 GATHERED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("answers", pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())])))])
 
@@ -61,6 +61,16 @@ def _add(out: dict[str, list], *values) -> None:
         column.append(value)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest takes."""
+    size = next(k for k in (1, 2, 4, 8) if k == 8 or int(x.max(initial=0)) < 1 << 8 * k)
+    return bytes([size]) + x.astype(f"u{size}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _bits(ranks: np.ndarray) -> bytes:
     field = np.zeros(int(ranks.max()) + 1, dtype=bool)
     field[ranks] = True
@@ -110,9 +120,9 @@ def _send(n: int, width: int):
             out: dict[str, list] = {k: [] for k in SENT.names}
             # the chunk's name follows from its documents, so equal chunks share one
             chunk = int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
-            _add(out, chunk % n, chunk, TABLE, ids.tobytes(), b"", b"", b"")
+            _add(out, chunk % n, chunk, TABLE, ids.tobytes(), b"", b"", b"", b"")
             for d in np.unique(of[beaten]):  # answered here; on their way they pass through a bucket
-                _add(out, chunk % n, chunk, FOUND, np.uint32(d).tobytes(), b"", b"", _bits(np.flatnonzero(beaten[slice(*np.searchsorted(of, [d, d + 1]))])))
+                _add(out, chunk % n, chunk, FOUND, np.uint32(d).tobytes(), b"", b"", b"", _bits(np.flatnonzero(beaten[slice(*np.searchsorted(of, [d, d + 1]))])))
             sent = np.flatnonzero(keep)
             sent = sent[np.argsort(at[sent], kind="stable")]
             cuts = np.searchsorted(at[sent], np.arange(n + 1))
@@ -122,8 +132,8 @@ def _send(n: int, width: int):
                 fresh = np.diff(local, prepend=-1)
                 step = np.diff(rank[part], prepend=0)
                 step[fresh > 0] = rank[part][fresh > 0]
-                gaps = np.diff(docs, prepend=0).astype(np.uint32)
-                _add(out, int(b), chunk, ENTRIES, ids[docs, 0].tobytes() + gaps.tobytes(), fresh.astype(np.uint8 if fresh.max() < 256 else np.uint32).tobytes(), step.astype(np.uint32).tobytes(), key[part].tobytes() + other[part].tobytes())
+                known = ids[docs, 0]
+                _add(out, int(b), chunk, ENTRIES, known[:1].tobytes() + _packed(np.diff(known).view(np.uint64)), _packed(np.diff(docs, prepend=0)), _packed(fresh), _packed(step), key[part].tobytes() + other[part].tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=SENT)
 
     return run
@@ -136,14 +146,12 @@ def _answer(group: pa.Table) -> pa.Table:
         if x["kind"] != ENTRIES:
             _add(out, x["chunk"], -1, x["kind"], x["docs"], np.array([len(x["hash"])], dtype=np.uint32).tobytes(), x["hash"])
             continue
-        k, n = len(x["docs"]) // 12, len(x["hash"]) // 12
-        fresh = np.frombuffer(x["doc"], dtype=np.uint8 if len(x["doc"]) == n else np.uint32).astype(np.int64)
-        step = np.frombuffer(x["step"], dtype=np.uint32).astype(np.int64)
+        n, fresh, step = len(x["hash"]) // 12, _unpacked(x["doc"]), _unpacked(x["step"])
         total, begin = np.cumsum(step), np.flatnonzero(fresh)
         total -= np.repeat(total[begin] - step[begin], np.diff(np.append(begin, n)))
         chunks.append((x["chunk"], n))
-        docs.append(np.frombuffer(x["docs"], dtype=np.int64, count=k))
-        places.append(np.cumsum(np.frombuffer(x["docs"], dtype=np.uint32, offset=8 * k)).astype(np.uint32))
+        docs.append(np.cumsum(np.concatenate([np.frombuffer(x["docs"], dtype=np.int64, count=1), _unpacked(x["docs"][8:])])))
+        places.append(np.cumsum(_unpacked(x["place"])).astype(np.uint32))
         locals_.append((np.cumsum(fresh) - 1).astype(np.uint32))
         keys.append(np.frombuffer(x["hash"], dtype=np.uint64, count=n))
         others.append(np.frombuffer(x["hash"], dtype=np.uint32, offset=8 * n))
@@ -251,12 +259,13 @@ def dedup(docs: DataFrame, width: int = WIDTH, digest: bool = False, n_buckets:
         n_buckets = max(buckets(spark), size // 6 // BUCKET_WINDOWS)
     n = int(n_buckets)
     keyed = rows.select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
-    sent = keyed.mapInArrow(_send(n, width), "bucket int, chunk long, kind int, docs binary, doc binary, step binary, hash binary")
+    sent = keyed.mapInArrow(_send(n, width), "bucket int, chunk long, kind int, docs binary, place binary, doc binary, step binary, hash binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, kind int, docs binary, sizes binary, bits binary")
     answers = answers.groupBy("chunk").applyInArrow(_gather, "doc_id long, tag long, answers array<struct<bucket:int,bits:binary>>")
     answers = answers.groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).agg(F.flatten(F.collect_set("answers")).alias("answers"))
     # answers are small beside the windows, whose shuffle files go before the texts are shuffled
     answers = materialize(answers)
+    del sent
     release(spark)
     joined = keyed.join(answers, (keyed["doc_id"] == F.col("of_id")) & (keyed["tag"] == F.col("of_tag")), "left").select("doc_id", "text", "answers")
     got = joined.mapInArrow(_cut(n, width, digest), "doc_id long, n_words long, n_removed long, kept string")
