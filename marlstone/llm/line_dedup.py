@@ -9,6 +9,9 @@ recur across documents are dropped from all documents but the first.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +23,24 @@ CONSTANT, SIMILAR = 0.5, 0.6
 FIELD = "<*>"
 _BLANK = " \t\r\v\f"
 _NO_ID = 2**63 - 1
+#: A token with a digit, in one step a character: matches begin at tokens only and never go back.
+_DIGITS = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
-_DIGITS = "[^ ]*[0-9][^ ]*"
+def trimmed(raw: Column) -> Column:
+    """Without blanks at its ends. Most lines have none, which their first and last bytes tell; trimming walks the line."""
+    edge = [f(raw, F.lit(c)) for c in _BLANK for f in (F.startswith, F.endswith)]
+    return F.when(reduce(or_, edge), F.trim(raw, F.lit(_BLANK))).otherwise(raw)
 
 
 def width(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
-def masked(line: Column, similar: float) -> Column:
+def masked(line: Column, n: Column, similar: float) -> Column:
     """The line with its fields generalised, if enough constant tokens are left to tell templates apart."""
-    few = (width(line) - F.regexp_count(line, F.lit(_DIGITS))) >= width(line) * similar
-    return F.when(line.rlike("[0-9]") & few, F.regexp_replace(line, _DIGITS, FIELD)).otherwise(line)
+    few = (n - F.regexp_count(line, F.lit(_DIGITS))) >= n * similar
+    return F.when(line.rlike("[0-9]"), F.when(few, F.regexp_replace(line, _DIGITS, FIELD)).otherwise(line)).otherwise(line)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -40,11 +48,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(rows: DataFrame, lead: int, min_tokens: int, similar: float) -> DataFrame:
-    """(doc_id, tag, line_no, line, leaf): the masked lines of `min_tokens` or more tokens (separated by one space)."""
+    """(doc_id, tag, line_no, line, leaf): the masked lines of `min_tokens` or more tokens (separated by one space).
+    Masking keeps the number of tokens, so short lines go before it."""
     cut = rows.select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    cut = cut.select("doc_id", "tag", "line_no", F.trim(F.col("raw"), F.lit(_BLANK)).alias("line"))
-    cut = cut.select("doc_id", "tag", "line_no", masked(F.col("line"), similar).alias("line")).withColumn("n", width(F.col("line"))).where((F.col("line") != "") & (F.col("n") >= min_tokens))
-    return cut.select("doc_id", "tag", "line_no", "line", F.xxhash64("n", F.substring_index("line", " ", lead)).alias("leaf"))
+    cut = cut.where(F.col("raw") != "").select("doc_id", "tag", "line_no", trimmed(F.col("raw")).alias("line"))
+    cut = cut.where((width(F.col("line")) >= min_tokens) & (F.col("line") != ""))
+    line, n = masked(F.col("line"), width(F.col("line")), similar), width(F.col("line"))
+    return cut.select("doc_id", "tag", "line_no", line.alias("line"), F.xxhash64(n, F.substring_index(line, " ", lead)).alias("leaf"))
 
 
 def general(candidates: DataFrame, constant: float, similar: float) -> DataFrame:
@@ -98,7 +108,10 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.xxhash64("text").alias("tag"), F.col("text").alias("text"))
     joined = rows.join(gone, (F.col("key") == F.col("of_id")) & (F.col("tag") == F.col("of_tag")), "left")
     lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    # which lines go, in line order: sorted flags and not a search for every line
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    flags = F.sort_array(F.concat(F.transform("gone", lambda i: F.struct(i.alias("i"), F.lit(True).alias("gone"))), F.transform(F.array_except(numbers, "gone"), lambda i: F.struct(i.alias("i"), F.lit(False).alias("gone")))))
+    left = F.filter(F.zip_with(lines, flags, lambda x, f: F.when(~f["gone"], x)), lambda x: x.isNotNull())
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(lines)).cast("long")
+    n_lines = F.when(F.coalesce(F.octet_length("text"), F.lit(0)) == 0, 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     return joined.select("row", text.alias("text"), n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
