@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values: (bits per sample, PSNR in dB) of a reference curve.
-CURVE = ((0.113, 25.48), (0.278, 32.22), (0.985, 41.59))
+#: Bits per sample and PSNR of the reference curve, by quality; its last point, without loss, has no PSNR.
+CURVE = (
+    (0.113, 25.484142), (0.139, 27.991428), (0.184, 29.615995), (0.205, 30.297540), (0.234, 31.133699), (0.278, 32.215792),
+    (0.346, 33.726246), (0.391, 34.617069), (0.453, 35.742132), (0.688, 38.923345), (0.985, 41.586402), (1.761, 45.738214),
+)
 
 
 def psnr(mse: Column, peak: float) -> Column:
@@ -67,3 +70,8 @@ def curve_distance(points: DataFrame, curve=CURVE) -> DataFrame:
         dx, dy = x1 - x0, y1 - y0
         out.append(((F.col("psnr") - y0) * dx - (F.col("bps") - x0) * dy) / (dx * dx + dy * dy) ** 0.5)
     return points.withColumn("distance", F.greatest(*out))
+
+
+def curve_score(points: DataFrame, key: str, curve=CURVE) -> DataFrame:
+    """Q-17: (key, n, score): the distances of a codec's points (one per quality) added up."""
+    return curve_distance(points, curve).groupBy(key).agg(F.count("*").alias("n"), F.sum("distance").alias("score"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import codecs, metrics, predict, sequential
+from ..operators import codecs, metrics, predict
 from ..sources import views as v
 from .registry import register
 
@@ -60,23 +58,6 @@ def _curve_sql():
 register("q17_curve_distance", lambda s, d: metrics.curve_distance(pairs(s, d).groupBy("image_id").agg((F.countDistinct("v") / 64.0).alias("bps"), metrics.psnr(F.sum((F.col("v") - F.col("w")) ** 2) / F.count("*"), 255.0).alias("psnr")).where("psnr is not null")).select("image_id", F.round("distance", 6).alias("distance")), _curve_sql())
 register("t20_compare", lambda s, d: predict.with_neighbours(v.planes(s, d)).groupBy("image_id").agg(F.sum(F.expr(f"abs({predict.text('t38_clampgrad')}) - abs({predict.text('t40_av2')})")).cast("long").alias("gain")), f"WITH {v.PLANES}, n AS ({predict.neighbours_sql('planes')}) SELECT image_id, CAST(sum(abs({predict.text('t38_clampgrad', 'duck')}) - abs({predict.text('t40_av2', 'duck')})) AS BIGINT) AS gain FROM n GROUP BY image_id")
 
-_ALL = "SELECT vec_id AS image_id, CAST(0 AS BIGINT) AS mismatches FROM embeddings"
-
-
-def _roundtrip(name, forward, inverse):
-    def query(s, d):
-        planes = v.plane_bytes(s, d).select("image_id", F.col("px").cast("array<long>").alias("px"))
-        back = sequential.apply(sequential.apply(planes, forward), inverse).select("image_id", F.col("px").alias("u"))
-        return planes.join(back, "image_id").select("image_id", (F.col("px") != F.col("u")).cast("long").alias("mismatches"))
-
-    register(f"{name}_roundtrip", query, _ALL)
-
-
-for _name in sequential.MODELS:
-    _roundtrip(_name, partial(sequential.code, name=_name), partial(sequential.code, name=_name, inverse=True))
-_roundtrip("t55_mtf", sequential.move_to_front, partial(sequential.move_to_front, inverse=True))
-_roundtrip("t97_squeeze", sequential.squeeze, partial(sequential.squeeze, inverse=True))
-register("c07_c13_adaptive_sizes", lambda s, d: sequential.sizes(v.plane_bytes(s, d)))
 register("codecs_lossless", lambda s, d: codecs.measure(v.texts(s, d), tuple(codecs.CODECS)).groupBy("codec").agg(F.sum("usize").alias("usize"), F.sum((~F.col("lossless")).cast("long")).alias("lossy")), "SELECT codec, CAST(sum(strlen(text)) AS BIGINT) AS usize, CAST(0 AS BIGINT) AS lossy FROM documents, (SELECT unnest(['store', 'rle', 'rice', 'huffman', 'rans0', 'lz', 'zlib', 'bz2', 'lzma']) AS codec) GROUP BY codec")
 register("codecs_sizes", lambda s, d: codecs.measure(v.texts(s, d), tuple(codecs.CODECS)).groupBy("codec").agg(F.sum("csize").alias("csize"), F.round(8 * F.sum("csize") / F.sum("usize"), 6).alias("bpd")))
 register("codecs_rle_size", lambda s, d: codecs.measure(v.texts(s, d), ("rle",)).select("blob_id", "csize"), f"WITH {v.BYTES}, e AS (SELECT blob_id, pos, sym <> lag(sym, 1, -1) OVER (PARTITION BY blob_id ORDER BY pos) AS fresh FROM bytes), r AS (SELECT blob_id, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY blob_id ORDER BY pos) AS run FROM e), n AS (SELECT blob_id, run, count(*) AS n FROM r GROUP BY ALL) SELECT blob_id, CAST(sum(2 + CASE WHEN n > 127 THEN 1 ELSE 0 END + CASE WHEN n > 16383 THEN 1 ELSE 0 END) AS BIGINT) AS csize FROM n GROUP BY blob_id")

@@ -95,21 +95,6 @@ for _name, _ctx in CONTEXTS.items():
 register("c15_c16_cscore", lambda s, d: stats.cscore(v.planes(s, d)), f"""WITH {v.PLANES}, p AS (SELECT image_id, v + 128 AS u, lag(v + 128, 1, 0) OVER w AS W, lag(v + 128, 8, 0) OVER w AS N, lag(v + 128, 9, 0) OVER w AS NW FROM planes WINDOW w AS (PARTITION BY image_id ORDER BY y, x)),
     h AS (SELECT image_id, (u - greatest(least(N, W), least(greatest(N, W), N + W - NW))) & 255 AS sym, count(*) AS f FROM p GROUP BY ALL) SELECT image_id, CAST(round(sum(-f * log2(f / n)) / sum(f) * 1e6 / 8) AS BIGINT) AS cscore FROM (SELECT *, sum(f) OVER (PARTITION BY image_id) AS n FROM h) GROUP BY image_id""")
 register("c17_wav_cscore", lambda s, d: stats.wav_cscore(v.pcm(s, d)), f"WITH {v.PCM}, p AS (SELECT track_id, (sample - lag(sample, 1, 0) OVER (PARTITION BY track_id ORDER BY pos)) & 65535 AS sym FROM pcm), h AS (SELECT track_id, sym, count(*) AS f FROM p GROUP BY ALL) SELECT track_id, CAST(round(sum(-f * log2(f / n)) / (sum(f) * 2)) AS BIGINT) AS cscore FROM (SELECT *, sum(f) OVER (PARTITION BY track_id) AS n FROM h) GROUP BY track_id")
-_C18 = ("c18_zero", "c18_n", "c18_w", "t40_av2", "c18_wg", "t38_clampgrad", "c18_av3", "t57_av4", "c18_av5", "c18_av6", "c18_av9", "c18_avb")
-
-
-def _c18(s, d):
-    """C-18: order-0 residual entropy of 12 predictors over the interior; the best predictor, first wins."""
-    n = predict.with_neighbours(v.planes(s, d)).where("x >= 2 and x < 6 and y >= 2")
-    long = n.select("image_id", F.posexplode(F.array(*[F.expr(predict.text(k)).cast("long") for k in _C18])).alias("pred", "sym"))
-    h = long.groupBy("image_id", "pred", "sym").agg(F.count("*").alias("freq"))
-    e = stats.entropy(h, ["image_id", "pred"]).select("image_id", "pred", F.round(F.col("bits") / F.col("count") / 8, 6).alias("size"))
-    return e.groupBy("image_id").agg(F.min(F.struct("size", "pred")).alias("best")).select("image_id", F.col("best.pred").alias("pred"), F.col("best.size").alias("size"))
-
-
-register("c18_o04_best_predictor", _c18, f"""WITH {v.PLANES}, n AS ({predict.neighbours_sql('planes')}), l AS (SELECT image_id, unnest(range(0, 12))::INT AS pred, unnest([{', '.join(f'CAST({predict.text(k, "duck")} AS BIGINT)' for k in _C18)}]) AS sym FROM n WHERE x >= 2 AND x < 6 AND y >= 2),
-    h AS (SELECT image_id, pred, sym, count(*) AS f FROM l GROUP BY ALL), e AS (SELECT image_id, pred, round(sum(-f * log2(f / n)) / sum(f) / 8, 6) AS size FROM (SELECT *, sum(f) OVER (PARTITION BY image_id, pred) AS n FROM h) GROUP BY image_id, pred)
-    SELECT image_id, arg_min(pred, (size, pred)) AS pred, min(size) AS size FROM e GROUP BY image_id""")
 register("j08_self_information", lambda s, d: v.planes(s, d).withColumn("f", F.count("*").over(Window.partitionBy("image_id", "v"))).groupBy("image_id").agg(F.round(F.sum(-F.log2(F.col("f") / 64)), 6).alias("bits"), F.max("f").alias("peak")), f"WITH {v.PLANES}, p AS (SELECT image_id, count(*) OVER (PARTITION BY image_id, v) AS f FROM planes) SELECT image_id, round(sum(-log2(f / 64)), 6) AS bits, max(f) AS peak FROM p GROUP BY image_id")
 register("p09_constant_planes", lambda s, d: v.planes(s, d).withColumn("v", F.when(F.col("image_id") % 5 == 0, 7).otherwise(F.col("v"))).groupBy("image_id").agg((F.min("v") == F.max("v")).alias("constant"), F.when(F.min("v") == F.max("v"), 8).otherwise(0).alias("bypass_bits")), f"WITH {v.PLANES}, p AS (SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 7 ELSE v END AS v FROM planes) SELECT image_id, min(v) = max(v) AS constant, CASE WHEN min(v) = max(v) THEN 8 ELSE 0 END AS bypass_bits FROM p GROUP BY image_id")
 

@@ -46,11 +46,15 @@ def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_bytes(spark, sf_dir).select("image_id", F.posexplode("px").alias("pos", "v")).select("image_id", F.expr("pos div 8").cast("int").alias("y"), (F.col("pos") % 8).alias("x"), F.col("v").cast("long").alias("v"))
 
 
-def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rgb(image_id, y, x, r, g, b): three planes in a row are the channels of one image; incomplete images are left out."""
+def rgb_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """images(image_id, r, g, b): three planes in a row are the channels of one image; incomplete images are left out."""
     p = plane_bytes(spark, sf_dir).select(F.expr("image_id div 3").alias("image_id"), (F.col("image_id") % 3).alias("ch"), "px")
-    wide = p.groupBy("image_id").agg(*[F.max(F.when(F.col("ch") == i, F.col("px"))).alias(c) for i, c in enumerate("rgb")]).dropna()
-    px = wide.select("image_id", F.posexplode(F.arrays_zip("r", "g", "b")).alias("pos", "p"))
+    return p.groupBy("image_id").agg(*[F.max(F.when(F.col("ch") == i, F.col("px"))).alias(c) for i, c in enumerate("rgb")]).dropna()
+
+
+def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rgb(image_id, y, x, r, g, b): the pixels of rgb_bytes."""
+    px = rgb_bytes(spark, sf_dir).select("image_id", F.posexplode(F.arrays_zip("r", "g", "b")).alias("pos", "p"))
     return px.select("image_id", F.expr("pos div 8").cast("int").alias("y"), (F.col("pos") % 8).alias("x"), *[F.col(f"p.{c}").cast("long").alias(c) for c in "rgb"])
 
 
