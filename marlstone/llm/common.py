@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables up to this many (estimated) bytes may be broadcast.
 BROADCAST_BYTES = 8 << 20
+FILES_A_CORE = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,12 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of our own if the master is local, and else an error."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if shared is None and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (shared or tempfile.mkdtemp(prefix="marlstone-")).rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Cut lineage with a reliable checkpoint in spark.checkpoint.dir. At most FILES_A_CORE files for each core are written: tasks
+    then read several partitions one after the other, in the memory of one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.coalesce(FILES_A_CORE * sc.defaultParallelism).checkpoint(eager=True)
 
 
 def compact(df: DataFrame, rows_each: int = 250_000) -> tuple[DataFrame, int]:
