@@ -290,10 +290,10 @@ MODELS: dict[str, Callable[[int], object]] = {
 }
 
 
-def code(v: np.ndarray, name: str, inverse: bool = False) -> np.ndarray:
-    """Residuals of planes (n, h, w), or the planes of residuals."""
+def code(v: np.ndarray, name: str | Callable[[int], object], inverse: bool = False) -> np.ndarray:
+    """Residuals of planes (n, h, w) under a model (by name, or what makes one for n planes), or the planes of residuals."""
     n, h, w = v.shape
-    model, near, out = MODELS[name](n), Near(n, h, w), np.empty_like(v)
+    model, near, out = (MODELS[name] if isinstance(name, str) else name)(n), Near(n, h, w), np.empty_like(v)
     for near.y in range(h):
         for near.x in range(w):
             p, here = model.predict(near), v[:, near.y, near.x]

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as fn
-from marlstone.operators import analysis, blocks, codecs, color, contexts, history, metrics, predict, sequential, stats
+from marlstone.operators import analysis, blocks, codecs, color, contexts, history, image_codecs, metrics, predict, sequential, stats
 
 RUN = "codec string, run_seq int, csize long, etime double, dtime double, emem long"
 
@@ -261,3 +261,34 @@ def test_templates(spark):
     df = spark.createDataFrame([("c1 *.ppm *.c1", "c1 *.c1 *.ppm"), ("c1 *.ppm *.c1", "c1 *.c2 *.ppm"), ("c1 *.ppm", "x")], "e string, d string")
     assert [r[0] for r in df.select(fn.template_ok(F.col("e"), F.col("d"))).collect()] == [True, False, False]
     assert df.select(fn.fill_template(F.col("e"), F.lit("s"), F.lit("t"))).first()[0] == 'c1 "s" "t"'
+
+
+# --- image codecs
+
+
+def _pictures():
+    rng = np.random.default_rng(1)
+    smooth = np.cumsum(np.cumsum(rng.integers(-3, 4, (6, 1, 8, 8)), 2), 3)
+    v = np.clip(smooth + rng.integers(-4, 5, (6, 3, 8, 8)), -128, 127)
+    v[0], v[1], v[2], v[3] = 0, rng.integers(-128, 128, (3, 8, 8)), 127, -128
+    return v
+
+
+@pytest.mark.parametrize("name", list(image_codecs.LOSSLESS))
+def test_image_codec_round_trip(name):
+    v = _pictures()
+    data = image_codecs.encode(v, name)
+    assert (image_codecs.decode(data, name, v.shape) == v).all()
+    assert image_codecs.encode(v[4:5], name) == data[4:5]  # whatever shares the batch
+    tall = np.concatenate([v, v[:, :, ::-1]], axis=2)  # 16 rows
+    assert (image_codecs.decode(image_codecs.encode(tall, name), name, tall.shape) == tall).all()
+
+
+@pytest.mark.parametrize("name", list(image_codecs.LOSSY))
+def test_lossy_image_codec_restores_its_coefficients(name):
+    v = _pictures()
+    back = image_codecs.lossy_decode(image_codecs.lossy_encode(v, name), name, v.shape)
+    colour, transform, step, _ = image_codecs.LOSSY[name]
+    planes = sequential.inside(blocks.inverse2d(image_codecs.quantised(v, name) * step, transform))
+    assert (back == image_codecs.COLOURS[colour][1](planes, np.zeros(len(v), dtype=np.int64), True)).all()
+    assert ((back - v)[4:] ** 2).mean() < 200
