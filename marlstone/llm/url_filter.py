@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize
 
 #: Fixed rules: (host, path, action).
 RULES = (
@@ -25,7 +25,7 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: A cascade beyond so many bytes isn't broadcast; see `listed`.
+#: Cascades beyond so many bytes aren't broadcast; a join answers instead.
 MAX_BYTES = 64 << 20
 _SALT = 0x9E3779B97F4A7C15
 
@@ -41,10 +41,11 @@ def path_of(url: Column) -> Column:
     return F.when(at > 0, F.regexp_extract(F.substring(url, at + 3, F.length(url)), r"^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def keys_of(host: Column, path: Column, lengths: Iterable[int]) -> Column:
-    """Candidate keys: host suffixes at label borders x path prefixes of the given lengths (as far as the path goes)."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def keys_of(host: Column, path: Column, lengths: Iterable[int], labels: Iterable[int]) -> Column:
+    """Candidate keys: host suffixes of the given numbers of labels x path prefixes of the given lengths (as far as host and
+    path go): no other key can be a rule's."""
+    there = F.octet_length(host) - F.octet_length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.filter(F.array(*[F.when(there >= n, F.substring_index(host, ".", -n)) for n in sorted(set(labels))]), lambda s: s.isNotNull())
     prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(set(lengths))]), lambda p: p.isNotNull())
     return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
 
@@ -100,9 +101,14 @@ class Cascade:
         return sum(x.field.nbytes for x in self.levels)
 
 
-def _pairs(rows) -> tuple[np.ndarray, np.ndarray]:
-    got = sorted({(r["a"], r["b"]) for r in rows})
-    return np.array([x[0] for x in got], dtype=np.int64), np.array([x[1] for x in got], dtype=np.int64)
+def _pairs(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The distinct pairs at the driver, in order, as 16 bytes each; None if there are more than `most`."""
+    got = rows.select("a", "b").limit(most + 1).toArrow()
+    if got.num_rows > most:
+        return None
+    a, b = (got[c].to_numpy().astype(np.int64) for c in "ab")
+    order = np.lexsort((b, a))
+    return a[order], b[order]
 
 
 def build(listed: DataFrame, universe: DataFrame, rate: float = 2**-12, max_bytes: int = MAX_BYTES) -> Cascade | None:
@@ -113,10 +119,9 @@ def build(listed: DataFrame, universe: DataFrame, rate: float = 2**-12, max_byte
     without levels, which holds nothing.
     """
     spark, most = listed.sparkSession, max_bytes // 16
-    rows = listed.where("a is not null").distinct().limit(most + 1).collect()
-    if len(rows) > most:
+    yes, cascade = _pairs(listed.select("a", "b").where("a is not null").distinct(), most), Cascade()
+    if yes is None:
         return None
-    yes, cascade = _pairs(rows), Cascade()
     if not len(yes[0]):
         return cascade
     first = Level(len(yes[0]), rate, 0)
@@ -130,10 +135,10 @@ def build(listed: DataFrame, universe: DataFrame, rate: float = 2**-12, max_byte
             yield x.filter(pa.array(held))
 
     confused = universe.select("a", "b").where("a is not null").mapInArrow(positives, "a long, b long").distinct()
-    confused = confused.join(listed.select("a", "b").distinct(), ["a", "b"], "left_anti").limit(most + 1).collect()
-    if len(confused) > most:
+    inside, outside = _pairs(confused.join(listed.select("a", "b").distinct(), ["a", "b"], "left_anti"), most), yes
+    if inside is None:
         return None
-    inside, outside = _pairs(confused), yes  # of the next level, and what it must not hold
+    # the keys of the next level, and what it must not hold
     while len(inside[0]):
         level = Level(len(inside[0]), 0.5, len(cascade.levels))
         level.add(*inside)
@@ -147,20 +152,21 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
     """(page_id, host, path, rule, verdict): the longest rule whose host is the url's or a parent domain of it and whose
     path the url's starts with; the verdict is the rule's action, and where no rule fits, that of an unlisted key.
 
-    One cascade holds the keys of all rules, another those that block, both exact over the corpus's keys. Null urls and
+    One cascade holds the keys of all rules, another those that block, both exact over the corpus's keys; where they would
+    take more than `max_bytes`, a join gives the same rows. Null urls and
     urls without :// have empty host and path and fit no rule; repeated rows are judged one by one; of two rules of one
     length the one with the longer host wins; an empty table gives an empty result.
     """
     rules = list(dict.fromkeys((ascii_host(h), p, v) for h, p, v in rules))
     spark = pages.sparkSession
     base = pages.select(F.col("page_id").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keyed = base.withColumn("keys", keys_of(F.col("host"), F.col("path"), [len(p) for _, p, _ in rules] or [0]))
+    keyed = base.withColumn("keys", keys_of(F.col("host"), F.col("path"), [len(p) for _, p, _ in rules] or [0], [h.count(".") + 1 for h, _, _ in rules] or [1]))
     given = spark.createDataFrame([(h + p, v) for h, p, v in rules], "key string, action string").select(*[f.alias(n) for f, n in zip(fingerprints(F.col("key")), "ab", strict=True)], "action")
     one = keyed.select(F.explode("keys").alias("key")).select(*[f.alias(n) for f, n in zip(fingerprints(F.col("key")), "ab", strict=True)])
     known = build(given, one, max_bytes=max_bytes)
     blocking = build(given.where("action = 'block'"), one, max_bytes=max_bytes)
     if known is None or blocking is None:
-        raise ValueError("the rule list is larger than max_bytes; use listed_by_join")
+        return _judged_by_join(keyed, rules, default)
     sent = spark.sparkContext.broadcast((known, blocking))
     marks = keyed.select("page_id", "host", "path", "keys", F.transform("keys", lambda k: fingerprints(k)[0]).alias("a"), F.transform("keys", lambda k: fingerprints(k)[1]).alias("b"))
 
@@ -186,7 +192,11 @@ def ascii_host(host: str) -> str:
     return "".join(c.lower() if c.isascii() else c for c in host)
 
 
-def listed_by_join(urls: DataFrame, listed: DataFrame, key: str = "key") -> DataFrame:
-    """The way beyond `max_bytes`: the rows of `urls` with a flag `listed`, by a shuffle join on the key."""
-    marks = listed.select(F.col(key).alias("_listed_key")).where("_listed_key is not null").distinct()
-    return urls.join(marks, urls[key] == F.col("_listed_key"), "left").withColumn("listed", F.col("_listed_key").isNotNull()).drop("_listed_key")
+def _judged_by_join(keyed: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
+    """`judge` without cascades: the candidate keys of each row are joined to the rules, and the best that fits is kept."""
+    rows = materialize(keyed.withColumn("row", F.monotonically_increasing_id()))
+    given = keyed.sparkSession.createDataFrame([(h + p, len(h), v == "block") for h, p, v in rules], "rule string, at int, stop boolean")
+    fit = rows.select(F.col("row").alias("of_row"), F.explode("keys").alias("key")).join(given, F.col("key") == F.col("rule"))
+    best = fit.groupBy("of_row").agg(F.max(F.struct(F.length("rule").alias("size"), "at", "rule", "stop")).alias("best"))
+    verdict = F.when(F.col("best").isNull(), default).when(F.col("best.stop"), "block").otherwise("allow")
+    return rows.join(best, F.col("row") == F.col("of_row"), "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
