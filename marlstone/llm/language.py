@@ -20,8 +20,13 @@ SAMPLE_DOCS = 20_000
 BINS, TEMPER, MAX_LANGUAGES = 1 << 15, 0.1, 200
 #: Pseudo-counts: of the corpus in a suffix's prior, of the suffix in a host's, of one declaration.
 SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT = 20.0, 5.0, 1.0
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})|http-equiv\s*=\s*["']?content-language["']?[^>]*?content\s*=\s*["']?([a-z]{2,3})""")
+_OPEN = re.compile(r"<(script|style)\b", re.I)
+_CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style")}
+_PLACES = re.compile(r"""<html\b[^>]*|(http-equiv\s*=\s*["']?content-language)[^>]*""", re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([a-z]{2,3})""", re.I)
+_CONTENT = re.compile(r"""content\s*=\s*["']?([a-z]{2,3})""", re.I)
+#: What languages beyond `max_languages` are counted as, together.
+REST = "und"
 
 
 def bins(text: str) -> np.ndarray:
@@ -33,12 +38,41 @@ def bins(text: str) -> np.ndarray:
 
 
 def visible(page: str) -> str:
-    return html.unescape(_HIDDEN.sub(" ", page))
+    """The text of a page: without comments, scripts, styles and tags, entities resolved. What is opened and never closed is
+    looked for once, so the time is linear; it stays as text."""
+    out, at, missing = [], 0, set()
+
+    def behind(what: str, found: int) -> int:
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while (i := page.find("<", at)) >= 0:
+        end = -1
+        if page.startswith("<!--", i) and "-->" not in missing:
+            j = behind("-->", page.find("-->", i + 4))
+            end = j + 3 if j >= 0 else -1
+        if end < 0 and (opened := _OPEN.match(page, i)) and (name := opened[1].lower()) not in missing:
+            closed = _CLOSE[name].search(page, opened.end())
+            end = behind(name, closed.end() if closed else -1)
+        if end < 0 and ">" not in missing:
+            j = behind(">", page.find(">", i + 1))
+            end = j + 1 if j >= 0 else -1
+        if end < 0:
+            out.append(page[at : i + 1])
+            at = i + 1
+        else:
+            out += (page[at:i], " ")
+            at = end
+    return html.unescape("".join([*out, page[at:]]))
 
 
 def declared_in(page: str) -> str | None:
-    m = _DECLARED.search(page)
-    return (m[1] or m[2]).lower() if m else None
+    """The language that the markup declares first, in its html tag or as content-language."""
+    for m in _PLACES.finditer(page):
+        if found := _CONTENT.search(page, m.end(1), m.end()) if m[1] else _LANG.search(m[0]):
+            return found[1].lower()
+    return None
 
 
 class TextModel:
@@ -51,23 +85,30 @@ class TextModel:
 
     def likelihood(self, text: str) -> np.ndarray:
         """Tempered log-likelihood of each language relative to the best; zeros for a text without trigrams."""
-        out = self.log_p[:, bins(text)].sum(1) * TEMPER
+        at = bins(text)
+        # of a long text the counts of bins, so that memory doesn't grow with it
+        out = (self.log_p[:, at].sum(1) if len(at) <= 4096 else self.log_p @ np.bincount(at, minlength=BINS)) * TEMPER
         return out - out.max(initial=-np.inf) if len(out) else out
 
 
 def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, max_languages: int = MAX_LANGUAGES) -> TextModel:
-    """Trigram counts of a sample of labelled documents of bounded expected size, the same at every run."""
+    """Trigram counts of a sample of labelled documents of bounded expected size, the same at every run. If more than
+    `max_languages` languages are labelled, those with the most documents (then first in code point order) keep their names
+    and all others are one, REST."""
     rows = documents.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages + 1).collect()]
+    if len(known) > max_languages:
+        rows = rows.withColumn("lang", F.when(F.col("lang").isin(known[: max_languages - 1]), F.col("lang")).otherwise(REST))
     share = min(1.0, sample_docs / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for x in batches:
-            for lang, text in zip(x["lang"].to_pylist(), x["text"].to_pylist(), strict=True):
+            for lang, text in zip(x["lang"].to_pylist(), x["text"], strict=True):
                 if lang not in held:
                     held[lang] = np.zeros(BINS, dtype=np.int64)
-                held[lang] += np.bincount(bins(text), minlength=BINS)
+                held[lang] += np.bincount(bins(text.as_py()), minlength=BINS)
         for lang, counts in held.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bin", "n"])
@@ -76,8 +117,6 @@ def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, max_languages: int
     counts: dict[str, np.ndarray] = {}
     for r in got.toLocalIterator():
         if r["lang"] not in counts:
-            if len(counts) == max_languages:
-                raise ValueError(f"more than {max_languages} languages are labelled")
             counts[r["lang"]] = np.zeros(BINS)
         counts[r["lang"]][r["bin"]] = r["n"]
     return TextModel(counts)
@@ -88,9 +127,10 @@ def _evidence(sent):
         model: TextModel = sent.value
         for x in batches:
             rows, declared = [], []
-            for page in x["html"].to_pylist():
-                rows.append(model.likelihood(visible(page or "")).tolist())
-                declared.append(declared_in(page or ""))
+            for i in range(x.num_rows):
+                page = x["html"][i].as_py() or ""
+                rows.append(model.likelihood(visible(page)).tolist())
+                declared.append(declared_in(page))
             yield pa.RecordBatch.from_arrays([x["page_id"], x["host"], pa.array(declared, pa.string()), pa.array(rows, pa.list_(pa.float64()))], ["page_id", "host", "declared", "text"])
 
     return run
