@@ -31,12 +31,18 @@ def widened(x: np.ndarray, d: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products as int64: by doubles where no sum can pass 2 ** 53."""
+    """Exact inner products as int64: by doubles where no sum can pass 2 ** 53, by whole numbers of any size where one could
+    pass 2 ** 63; what then doesn't fit 64 bits is the nearest number that does."""
     d = max(q.shape[1], x.shape[1])
     q, x = widened(q, d), widened(x, d)
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * d < 2**53:
+    largest = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * d
+    if largest < 2**53:
         return (q @ x.T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+    if largest < 2**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = [np.array([[int(v) for v in row] for row in m], dtype=object).reshape(m.shape) for m in (q, x)]
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    return np.array([[min(max(int(v), low), high) for v in row] for row in whole[0] @ whole[1].T], dtype=np.int64).reshape(len(q), len(x))
 
 
 class Queries:
@@ -117,7 +123,8 @@ def rotation(vectors: DataFrame) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): components floor(scale * x); without null ids, null vectors and null or non-finite components."""
+    """(vec_id, v): components floor(scale * x); without null ids, null vectors and null or non-finite components. A
+    component beyond 64 bits is the nearest number within them."""
     as_double = F.transform("embedding", lambda x: x.cast("double"))
     bad = F.exists(as_double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
