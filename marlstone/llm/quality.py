@@ -16,6 +16,7 @@ from .common import materialize
 
 N_FOURIER, BANDWIDTH, RIDGE, SEED = 160, 4.0, 1e-3, 20240611
 BINS = 512  # of raw scores, for the calibration
+FOLDS = 4
 _FEATURES = 18
 _CLASSES = np.zeros((256, 8), dtype=np.float64)
 for _name, _members in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:?", "!", "|", "#$%&*+<=>@[]^_`{}~\\/", "\n")):
@@ -103,8 +104,11 @@ def _summed(rows: DataFrame, part) -> np.ndarray:
 
 
 def fit(train: DataFrame, n_fourier: int = N_FOURIER, bandwidth: float = BANDWIDTH, ridge: float = RIDGE, seed: int = SEED) -> Model:
-    """Fit on all rows (f, y). What comes to the driver is of fixed size: sums of features, the normal equations and
-    `BINS` calibration bins. Without rows every score is 0.5; with one class every score is that class."""
+    """Fit on all rows (f, y, fold): the ridge on those outside the fold, the calibration on those inside (on all rows where
+    one of the two is empty). What comes to the driver is of fixed size: sums of features, the normal equations and `BINS`
+    calibration bins. Without rows every score is 0.5; with one class every score is that class."""
+    folds = {r["fold"] for r in train.select("fold").distinct().collect()}
+    inside, train = (train.where("fold"), train.where("not fold")) if len(folds) == 2 else (train, train)
     sums = _summed(train, lambda f, y: np.concatenate([[len(f)], f.sum(0), (f * f).sum(0)]))
     if not len(sums):
         return Model(np.zeros(_FEATURES), np.ones(_FEATURES), n_fourier, bandwidth, seed)
@@ -130,7 +134,7 @@ def fit(train: DataFrame, n_fourier: int = N_FOURIER, bandwidth: float = BANDWID
         at = np.clip(((s + 0.5) / 2 * BINS).astype(np.int64), 0, BINS - 1)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, s, BINS), np.bincount(at, y, BINS)])
 
-    count, s, y = _summed(train, binned).reshape(3, BINS)
+    count, s, y = _summed(inside, binned).reshape(3, BINS)
     model.x, model.y = isotonic(s[count > 0] / count[count > 0], y[count > 0] / count[count > 0], count[count > 0])
     return model
 
@@ -146,17 +150,20 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def labelled(feats: DataFrame, labels: DataFrame, everywhere: bool = False) -> DataFrame:
-    """Rows (f, y) to fit on: labelled documents outside the held-out third. Null labels and ids are left out; several
-    labels of one document count by their mean."""
+def labelled(feats: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (f, y, fold) to fit on: labelled documents outside the held-out third; a fold of one in FOLDS, by a hash of the
+    id, calibrates what the others fit. Null labels and ids are left out; several labels of one document count by their
+    mean."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("of_id")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    if not everywhere:
-        marks, feats = marks.where(~held_out(F.col("of_id"))), feats.where(~held_out(F.col("doc_id")))
-    return feats.join(marks, feats["doc_id"] == F.col("of_id")).select("f", "y")
+    marks, feats = marks.where(~held_out(F.col("of_id"))), feats.where(~held_out(F.col("doc_id")))
+    fold = F.crc32(F.concat(F.lit("fold "), F.col("of_id").cast("string"))) % FOLDS == 0
+    return feats.join(marks, feats["doc_id"] == F.col("of_id")).select("f", "y", fold.alias("fold"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of `docs`, null and empty texts included."""
+    """(doc_id, held_out, score, predicted) for every row of `docs`. Null texts count as empty, and an empty text's
+    statistics are zeros; ties of raw scores share a score; repeated rows are scored alike; other columns are ignored; an
+    empty table gives no rows, and without labels every score is 0.5."""
     feats = materialize(features(docs))
     model = feats.sparkSession.sparkContext.broadcast(fit(materialize(labelled(feats, labels))))
 
