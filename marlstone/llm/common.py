@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables up to this many (estimated) bytes may be broadcast.
 BROADCAST_BYTES = 8 << 20
-FILES_A_CORE = 4
+FILES_A_CORE = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -80,7 +80,7 @@ def recurring(rows: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, min_t
     leaves = in_doc.groupBy("leaf").agg(F.count("*").alias("n"), F.min("line_hash").alias("a"), F.max("line_hash").alias("b")).where(f"n >= {int(min_docs)}")
     leaves = materialize(leaves.select(F.col("leaf").alias("of_leaf"), (F.col("a") != F.col("b")).alias("branching")))
     busy = materialize(attach(found, leaves, F.col("leaf") == F.col("of_leaf")).drop("of_leaf"))
-    branching = materialize(leaves.where("branching").select("of_leaf"))
+    branching = leaves.where("branching").select("of_leaf")
     texts = attach(lines.select("leaf", "line_hash", "line"), branching, F.col("leaf") == F.col("of_leaf"), "left_semi")
     cover = general(texts, constant, similar).select(F.col("leaf").alias("of_leaf"), F.col("line_hash").alias("of_line"), "template")
     marked = attach(busy, materialize(cover), (F.col("leaf") == F.col("of_leaf")) & (F.col("line_hash") == F.col("of_line")), "left")

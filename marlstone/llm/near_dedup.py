@@ -235,15 +235,21 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Words are as in decontamination: A-Z lower-cased, digits, letters and non-ASCII bytes. Null texts are classes of
     their own; texts without words are linked with equal texts only; texts of one to four words are one shingle; rows
-    with a null doc_id take no part and have null ids; rows that share a doc_id share a class when linked, as one node;
-    an empty table gives no rows.
+    with a null doc_id take no part and have null ids; rows that share a doc_id are classed each by its own text, and
+    repeated rows alike; other columns are ignored, whatever their names; an empty table gives no rows.
     """
+    return _classes(docs, similar).select("doc_id", "text_id", "class_id")
+
+
+def _classes(docs: DataFrame, similar: float) -> DataFrame:
+    """`classes` with a hash of each row's text, `h1`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     whole = rows.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("twin"), "text").alias("h2"), "text")
     sketched = whole.mapInArrow(_sketch, "doc_id long, h1 long, h2 long, n long, bands array<long>")
     texts = materialize(sketched.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min("doc_id").alias("text_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    nodes = materialize(texts.where("n > 0").groupBy(F.col("text_id").alias("id")).agg(F.min(F.struct("g1", "g2", "n", "bands")).alias("of")).select("id", "of.*"))
     same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    # a node is a text, by 64 bits of its hash; of different texts that share them (about none) the first stands for both
+    nodes = texts.where("n > 0").select(F.col("g1").alias("id"), "text_id", "n", "bands")
     keys = nodes.select("id", "n", F.posexplode("bands").alias("band", "key")).select("id", "n", F.xxhash64("band", "key").alias("bucket"))
     # buckets of several members; of those with the very same members, one
     n_blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("size") * 8 / BLOCK_BYTES)).cast("int")
@@ -252,23 +258,29 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     members = materialize(keys.join(bounded(kept, n_kept), F.col("bucket") == F.col("of_bucket")).select("bucket", "n_blocks", "id"))
     roots = None
     if n_kept:
-        asked, n_asked = compact(nodes.join(members.select(F.col("id").alias("member")).distinct(), F.col("id") == F.col("member"), "left_semi").select("id", "g1", "g2"))
-        open_texts = whole.join(bounded(asked, n_asked), (F.col("doc_id") == F.col("id")) & same).select("id", "text")
+        member = members.select(F.col("id").alias("member")).distinct()
+        asked, n_asked = compact(nodes.join(member, F.col("id") == F.col("member"), "left_semi").select("id", "text_id"))
+        open_texts = whole.join(bounded(asked, n_asked), (F.col("h1") == F.col("id")) & (F.col("doc_id") == F.col("text_id"))).select("id", "text")
         known = materialize(open_texts.mapInArrow(_shingled, "id long, shingles binary").dropDuplicates(["id"]))
         release(docs.sparkSession)
         linked, n_linked = links(members, known, similar)
-        roots = materialize(components(linked)) if n_linked else None
-    named = attach(whole.select("doc_id", "h1", "h2"), texts.select("g1", "g2", "text_id"), same).select("doc_id", "text_id")
+        if n_linked:
+            roots, n_roots = compact(components(linked))
+            named = texts.select("g1", "text_id").join(bounded(roots, n_roots), F.col("g1") == F.col("node")).select("node", "root", "text_id")
+            first = named.groupBy(F.col("root").alias("of_root")).agg(F.min("text_id").alias("class_id"))
+            roots = materialize(roots.join(first, F.col("root") == F.col("of_root")).select("node", "class_id"))
+    named = attach(whole.select("doc_id", "h1", "h2"), texts.select("g1", "g2", "text_id"), same).select("doc_id", "h1", "text_id")
     if roots is not None:
-        named = attach(named, roots, F.col("text_id") == F.col("node"), "left").select("doc_id", "text_id", F.coalesce("root", "text_id").alias("class_id"))
+        named = attach(named, roots, F.col("h1") == F.col("node"), "left").select("doc_id", "h1", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))
     else:
         named = named.withColumn("class_id", F.col("text_id"))
-    rest = rows.where("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("text_id"), F.col("doc_id").alias("class_id"))
+    rest = rows.where("doc_id is null or text is null").select("doc_id", F.lit(None).cast("long").alias("h1"), F.col("doc_id").alias("text_id"), F.col("doc_id").alias("class_id"))
     return named.unionByName(rest)
 
 
 def distinct_documents(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of `docs` whose doc_id is their class's (and those with a null doc_id): one document of each class."""
-    gone = materialize(classes(docs, similar).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
-    return attach(rows, gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
+    """The rows of `docs` whose doc_id is their class's (and those with a null text or doc_id): one document of each class.
+    Columns pass, whatever their names."""
+    gone = materialize(_classes(docs, similar).where("doc_id <> class_id").select(F.col("doc_id").alias("gone"), F.col("h1").alias("of_text")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), F.xxhash64("text").alias("h1"))
+    return attach(rows, gone, (F.col("key") == F.col("gone")) & (F.col("h1") == F.col("of_text")), "left_anti").select("row.*")

@@ -42,7 +42,23 @@ def test_cascade_is_exact(spark):
     held = cascade.holds(np.array([r["a"] for r in rows]), np.array([r["b"] for r in rows]))
     assert held.tolist() == [r["yes"] for r in rows] and len(cascade.levels) > 2
     assert url_filter.build(both.where("yes"), both, max_bytes=1024) is None
-    assert url_filter.listed_by_join(keys.select("key"), keys.where("yes")).where("listed").count() == 2858
+
+
+def test_url_rules_beyond_the_bytes_of_a_cascade(spark):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, *URLS])] + [(None, URLS[0])], "page_id long, url string").withColumn("row", F.lit(1)).withColumn("keys", F.lit("k"))
+    got = sorted(map(repr, url_filter.judge(df, max_bytes=16).collect()))
+    assert got == sorted(map(repr, url_filter.judge(df).collect())) and len(got) == 2 * len(URLS) + 1
+    rules = [(f"h{i}.example.com", f"/{i}/", "block" if i % 2 else "allow") for i in range(300)]
+    urls = spark.createDataFrame([(i, f"http://a.h{i}.example.com/{i}/x") for i in range(400)], "page_id long, url string")
+    want = {i: ("block" if i % 2 else "allow") if i < 300 else "allow" for i in range(400)}
+    for most in (64 << 20, 1024):
+        assert {r["page_id"]: r["verdict"] for r in url_filter.judge(urls, rules, max_bytes=most).collect()} == want
+
+
+def test_url_filter_long_hosts_and_paths(spark):
+    hosts = ["a." * 20000 + "example.com", "x" * 200_000 + ".org", "." * 5000, "b." * 3000]
+    df = spark.createDataFrame([(i, f"http://{h}/en/71" + "/y" * 50_000) for i, h in enumerate(hosts)], "page_id long, url string")
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df).collect()} == {0: ("example.com/en/7", "allow"), 1: (None, "allow"), 2: (None, "allow"), 3: (None, "allow")}
 
 
 @pytest.mark.parametrize("query_bytes", [8 << 20, 2000])
@@ -67,6 +83,80 @@ def test_topk_large_components_and_few_rows(spark):
     assert topk.search(v.where("false"), v.where("false")).count() == 0
 
 
+def test_topk_scores_beyond_64_bits(spark):
+    v = topk.usable(spark.createDataFrame([(0, [1e300]), (50, [-1e300]), (100, [2.0**50, 2.0**50]), (150, [2.0**50, -(2.0**50)]), (7, [0.0])], "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.search(v, v.where("vec_id % 50 = 0")).collect()}
+    assert got[0, 50] == -(2**63) and got[100, 150] == 0 and got[0, 7] == 0 and got[100, 0] == 2**63 - 1
+
+
+def _linear(seconds_of, *sizes):
+    import time
+
+    took = []
+    for n in sizes:
+        began = time.perf_counter()
+        seconds_of(n)
+        took.append(time.perf_counter() - began)
+    return took
+
+
+def test_markup_that_is_never_closed_takes_linear_time():
+    for what in ("<!--", "<script>", "<", "<html ", '<meta http-equiv="content-language" ', "</script ", "<style"):
+        took = _linear(lambda n, what=what: (language.visible(what * n), language.declared_in(what * n)), 2000, 40_000)
+        assert took[1] < 200 * took[0] + 0.5, (what, took)
+    assert language.visible("a<!-- x -->b<script>s</script >c<p title='>'>d &amp; <!-- e") == "a b c '>d & <!-- e"
+    assert language.visible("x < y <b>z</b> <style>p{}</style>q<script>w") == "x  z   q w"
+    assert language.declared_in('<html class="a" LANG=de-AT>') == "de" and language.declared_in("<html><p lang=fr>") is None
+    assert language.declared_in("""<html><meta http-equiv="Content-Language" content="es">""") == "es"
+
+
+def posterior_by_force(pages, model):
+    """What identify() gives, page by page in plain Python."""
+    k, seen = len(model.languages), []
+    for i, url, page in pages:
+        host = (url or "").split("://", 1)[1].split("/")[0].lower() if "://" in (url or "") else ""
+        text = model.likelihood(language.visible(page or "")).tolist()
+        seen.append((i, host, host.split(".")[-1], text, text.index(0.0) if min(text) < 0 else None, language.declared_in(page or "")))
+    count = lambda rows: [sum(r[4] == j for r in rows) for j in range(k)]
+    smooth = lambda n, prior, weight: [(a + b * weight) / (sum(n) + weight) for a, b in zip(n, prior)]
+    corpus = [n + 1 for n in count(seen)]
+    corpus = [n / sum(corpus) for n in corpus]
+    said = np.ones((k, k)) * language.DECLARED_WEIGHT
+    for r in seen:
+        if r[4] is not None and r[5] in model.languages:
+            said[r[4], model.languages.index(r[5])] += 1
+    said = np.log(said / said.sum(1, keepdims=True))
+    out = []
+    for r in seen:
+        suffix = smooth(count([x for x in seen if x[2] == r[2]]), corpus, language.SUFFIX_WEIGHT)
+        own = count([x for x in seen if x[1] == r[1]])
+        own = [n - (j == r[4]) for j, n in enumerate(own)]
+        prior = smooth(own, suffix, language.HOST_WEIGHT)
+        z = np.array([t + np.log(p) + (said[j, model.languages.index(r[5])] if r[5] in model.languages else 0) for j, (t, p) in enumerate(zip(r[3], prior))])
+        out.append((r[0], model.languages[int(z.argmax())], round(float(1 / np.exp(z - z.max()).sum()), 9), None if r[4] is None else model.languages[r[4]], r[5]))
+    return out
+
+
+def test_language_matches_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
+    pages += [(10_001, None, None), (10_002, "x", ""), (10_003, pages[0][1], "<html lang=zz>"), pages[3], (10_004, pages[1][1], pages[1][2] * 40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["language"], round(r["probability"], 9), r["text_language"], r["declared"]) for r in language.identify(df, docs).collect()), key=str)
+    want = sorted(posterior_by_force(pages, language.fit(docs)), key=str)
+    assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-8)
+
+
+def test_languages_beyond_the_most_are_one(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7}a w{i % 7}b w{i % 7}c", f"l{i % 7}") for i in range(70)] + [(100, "zz yy", "l0")], "doc_id long, text string, lang string")
+    assert language.fit(docs).languages == [f"l{i}" for i in range(7)]
+    few = language.fit(docs, max_languages=3)
+    assert few.languages == ["l0", "l1", language.REST]
+    got = language.identify(spark.createDataFrame([(1, "http://a.b/", "<p>w5a w5b w5c w5a w5b</p>")], "page_id long, url string, html string"), docs, max_languages=3).first()
+    assert got["text_language"] == language.REST
+
+
 def test_language_fusion(spark):
     rng = random.Random(4)
     words = {"en": ["the", "and", "with", "thing", "other"], "fr": ["le", "être", "avec", "chose", "autre"], "de": ["der", "und", "mit", "sache", "über"]}

@@ -57,6 +57,24 @@ def test_substring_dedup_matches_brute_force(spark):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == cut_by_force(texts, 50)
 
 
+def test_substring_dedup_clashing_columns_and_common_windows_in_many_chunks(spark, monkeypatch):
+    hot = prose(55)
+    texts = [(i, f"{prose(6)} {hot}") for i in range(60)]
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 900)
+    df = docs_of(spark, texts).withColumn("tag", F.lit(1)).withColumn("answers", F.lit("x")).withColumn("of_id", F.lit(2)).withColumn("bucket", F.lit(3))
+    got = substring_dedup.dedup(df.repartition(6, "doc_id"), n_buckets=3).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == cut_by_force(texts, 50)
+
+
+def test_tasks_remember_common_windows():
+    hot = substring_dedup.Hot()
+    key, rest = np.array([5, 9], dtype=np.uint64), np.array([1, 1], dtype=np.uint32)
+    assert hot.least(key, rest, np.array([7, 8])).tolist() == [7, 8]
+    assert hot.least(key, np.array([1, 2], dtype=np.uint32), np.array([9, 3])).tolist() == [7, 3]
+    assert hot.least(np.array([5], dtype=np.uint64), np.array([1], dtype=np.uint32), np.array([2])).tolist() == [2]
+    assert hot.least(key[:0], rest[:0], np.array([], dtype=np.int64)).tolist() == []
+
+
 def test_substring_dedup_digest_and_empty(spark):
     got = by_id(substring_dedup.dedup(docs_of(spark, [(1, "a  b\nc")]), digest=True))
     assert got[1]["kept"] == hashlib.sha256(b"a b c").hexdigest()
@@ -153,6 +171,14 @@ def test_line_dedup_templates(spark):
     assert line_dedup.dedup(docs_of(spark, []).where("false")).count() == 0
 
 
+def test_line_dedup_long_tokens_and_many_lines(spark):
+    rows = [(i, "x" * 400_000 + f" word {i} end of it\n" + "common line in all of them") for i in range(3)] + [(9, "\n".join(["same old line here"] * 30_000)), (10, "\n".join(["same old line here"] * 30_000))]
+    rows += [(20 + i, "same old line here") for i in range(9)]
+    got = {r["row"]["doc_id"]: r for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert got[9]["n_dropped"] == 0 and got[10]["n_dropped"] == 30_000 and got[10]["text"] == "" and got[0]["n_dropped"] == 0
+    assert all(got[20 + i]["n_dropped"] == 1 for i in range(9))
+
+
 def test_line_dedup_clashing_columns(spark):
     df = docs_of(spark, [(i, "same line in all\nown " + prose(5)) for i in range(12)]).withColumn("gone", F.lit(1)).withColumn("leaf", F.lit("x")).withColumn("tag", F.lit(2))
     got = line_dedup.dedup(df).collect()
@@ -212,6 +238,39 @@ def test_near_dedup_links_inside_a_family_below_the_threshold(spark, monkeypatch
         assert {i: r["class_id"] for i, r in got.items()} == want
 
 
+def test_near_dedup_matches_brute_force_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text is not null")
+    rng = random.Random(41)
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for j, share in enumerate((0.002, 0.005, 0.01, 0.02, 0.05, 0.1)):
+        texts += [(100_000 + 1000 * j + k, edited(texts[k][1], share, rng)) for k in range(0, 60, 2)]
+    sh = near_dedup.shingles([t.encode() for _, t in texts])
+    want, linked, caught = {i: i for i, _ in texts}, [], 0
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            n, m = len(sh[a]), len(sh[b])
+            if texts[a][1] == texts[b][1] or (min(n, m) >= near_dedup.SIMILAR * max(n, m) and near_dedup.similarity(sh[a], sh[b]) >= near_dedup.SIMILAR):
+                linked.append((texts[a][0], texts[b][0]))
+                low, high = sorted((want[texts[a][0]], want[texts[b][0]]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("id", F.lit(1)).withColumn("bucket", F.lit("b")).withColumn("h1", F.lit(0))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(df).collect()}
+    caught = sum(got[a] == got[b] for a, b in linked)
+    assert len(linked) > 80 and caught >= 0.99 * len(linked)
+    assert all(want[i] == want[c] for i, c in got.items())  # and nothing else is linked
+    left = near_dedup.distinct_documents(df.withColumn("gone", F.lit(1)).withColumn("key", F.lit(2)).withColumn("row", F.lit(3)))
+    assert {r["doc_id"] for r in left.collect()} == set(got.values()) and "gone" in left.columns
+
+
+def test_near_dedup_rows_of_one_id_are_classed_by_their_texts(spark):
+    rng = random.Random(51)
+    a, b, c = prose(100, rng), prose(100, rng), prose(100, rng)
+    rows = [(3, a), (7, a + " x"), (7, b), (9, b + " y"), (9, c), (9, c)]
+    got = sorted((r["doc_id"], r["class_id"]) for r in near_dedup.classes(docs_of(spark, rows)).collect())
+    assert got == [(3, 3), (7, 3), (7, 7), (9, 7), (9, 9), (9, 9)]
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.distinct_documents(docs_of(spark, rows)).collect()) == sorted([(3, a), (7, b), (9, c), (9, c)])
+
+
 def test_near_dedup_shared_passage_is_no_link(spark):
     rng = random.Random(6)
     passage = prose(80, rng)
@@ -258,6 +317,23 @@ def test_mixing_targets_and_rows(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_mixing_copies_follow_the_rates_over_seeds(spark):
+    rows = [(i, prose(10), "en", "ab"[i % 2], 0) for i in range(120)]
+    df, copies = docs_of(spark, []).sparkSession.createDataFrame(rows, DOCS), {}
+    for seed in range(12):
+        for r in mixing.mix(df, seed=f"s{seed}").collect():
+            copies.setdefault(r["row"]["source"], []).append((r["copies"], r["target"] / r["source_size"]))
+    for taken in copies.values():
+        rate = taken[0][1]
+        assert abs(np.mean([c for c, _ in taken]) - rate) < 0.02 and {c for c, _ in taken} <= {int(rate), int(rate) + 1}
+
+
+def test_mixing_long_texts(spark):
+    df = docs_of(spark, [(1, "w " * 200_000), (2, "w " * 10), (3, "\u00a0" * 50_000)])
+    got = {r["row"]["doc_id"]: r["size"] for r in mixing.mix(df).collect()}
+    assert got == {1: 200_000, 2: 10, 3: 1}
+
+
 # --- quality
 
 
@@ -277,6 +353,50 @@ def test_quality_learns_and_holds_out(spark):
     assert quality.score(docs_of(spark, []).where("false"), labels).count() == 0
 
 
+def scores_by_force(texts, marks, n_fourier=quality.N_FOURIER):
+    """Plain normal equations over the same statistics, the same random features, and a plain isotonic fit by bins."""
+    import zlib
+
+    f = np.array([quality.statistics((t or "").encode()) for _, t in texts])
+    held = np.array([i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in texts])
+    rows = [k for k, (i, _) in enumerate(texts) if i in marks and not held[k]]
+    fold = np.array([zlib.crc32(f"fold {texts[k][0]}".encode()) % quality.FOLDS == 0 for k in rows])
+    x, y = f[rows], np.array([marks[texts[k][0]] for k in rows], dtype=float)
+    a = x[~fold]
+    mean, spread = a.mean(0), a.std(0)
+    rng = np.random.Generator(np.random.PCG64(quality.SEED))
+    w, b = rng.standard_normal((f.shape[1], n_fourier)) / quality.BANDWIDTH, rng.uniform(0, 2 * np.pi, n_fourier)
+
+    def features(v):
+        z = np.clip((v - mean) / np.where(spread > 1e-9, spread, 1), -6, 6)
+        return np.hstack([np.sqrt(2 / n_fourier) * np.cos(z @ w + b), z, np.ones((len(v), 1))])
+
+    p = features(a)
+    weights = np.linalg.solve(p.T @ p + (quality.RIDGE * len(p) + 1e-9) * np.eye(p.shape[1]), p.T @ y[~fold])
+    raw, truth = features(x[fold]) @ weights, y[fold]
+    at = np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    points = [(raw[at == k].mean(), truth[at == k].mean(), (at == k).sum()) for k in sorted(set(at.tolist()))]
+    blocks = [[x, y, n] for x, y, n in points]
+    while any(p[1] >= q[1] for p, q in zip(blocks, blocks[1:])):
+        k = next(k for k in range(len(blocks) - 1) if blocks[k][1] >= blocks[k + 1][1])
+        (x0, y0, n0), (x1, y1, n1) = blocks[k], blocks[k + 1]
+        blocks[k : k + 2] = [[(x0 * n0 + x1 * n1) / (n0 + n1), (y0 * n0 + y1 * n1) / (n0 + n1), n0 + n1]]
+    return np.interp(features(f) @ weights, [b[0] for b in blocks], [b[1] for b in blocks])
+
+
+def test_quality_matches_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    extra = [(90_000, None), (90_001, ""), (90_002, "long word " * 30_000), texts[0]]
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    both = docs_of(spark, texts + extra).withColumn("f", F.lit(1)).withColumn("y", F.lit("x")).withColumn("fold", F.lit(2))
+    got = quality.score(both, spark.createDataFrame([(i, q, 0) for i, q in marks.items()], "doc_id long, quality int, toxic int")).collect()
+    want: dict = {}
+    for (i, _), v in zip(texts + extra, scores_by_force(texts + extra, marks)):
+        want[i] = v
+    assert len(got) == len(texts) + 4 and np.allclose([r["score"] for r in got], [want[r["doc_id"]] for r in got], atol=1e-6)
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0.0, 1.0, 0.0, 1.0, 1.0]), np.ones(5))
     assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1
@@ -298,7 +418,7 @@ def scored_by_force(line):
 
 def test_license_scan_matches_brute_force(spark):
     lines = [t for f in license_scan.TEMPLATES.values() for t in f] + list(license_scan.PROSE) + ["Copyright 2024 A. Writer. All rights reserved.", "Licensed to nobody", prose(20)]
-    texts = [(i, prose(5) + "\n" + t) for i, t in enumerate(lines)] + [(900, None), (901, ""), (902, "\n"), (0, prose(5) + "\n" + lines[0])]
+    texts = [(i, prose(5) + ".\n" + t) for i, t in enumerate(lines)] + [(950, None), (951, ""), (952, "\n"), (0, prose(5) + ".\n" + lines[0])]
     got = license_scan.scan(docs_of(spark, texts)).collect()
     want = sorted((i, scored_by_force(t.split("\n")[1])) for i, t in texts if t and t != "\n" and scored_by_force(t.split("\n")[1]))
     assert sorted((r["doc_id"], r["family"]) for r in got) == want
@@ -310,6 +430,31 @@ def test_license_scan_matches_brute_force(spark):
     assert license_scan.scan(docs_of(spark, []).where("false")).count() == 0
 
 
+def test_license_scan_reads_wrapped_notices_and_leaves_others_alone(spark):
+    long = license_scan.TEMPLATES["AGPL-3.0"][0].split()
+    wrapped = "\n".join(" ".join(long[i : i + 9]) for i in range(0, len(long), 9))
+    texts = [(1, f"{prose(20)}.\n\n{wrapped}\n\n{prose(30)}"), (2, "GNU Affero General Public License version 3"), (3, "Licensed under the ISC License"), (4, "SPDX-License-Identifier: MIT"), (5, "Released under the GPLv3 or later"), (6, "CC-BY-4.0"), (7, "the terms of the Mozilla Public License")]
+    texts += [(20 + i, t) for i, t in enumerate(("Licensed under the Elastic License 2.0", "the terms of the contract", "You can use any version of the software", prose(40), "x " * 20000, " " * 30000 + "\n" + "\t" * 3000))]
+    got = license_scan.scan(docs_of(spark, texts).withColumn("grams", F.lit(1)).withColumn("line", F.lit("x"))).collect()
+    found = {r["doc_id"]: r["family"] for r in got if r["confirmed"] or r["doc_id"] > 1}
+    assert {k: v for k, v in found.items() if k < 20} == {1: "AGPL-3.0", 2: "AGPL-3.0", 3: "ISC", 4: "MIT", 5: "GPL-3.0", 6: "CC-BY", 7: "MPL-2.0"}
+    assert not [r for r in got if r["doc_id"] >= 20 and r["confirmed"]]
+    assert len(license_scan.TEMPLATES) >= 25
+
+
+def test_license_model_is_calibrated_on_held_out_lines():
+    families, names, w, b, heat = license_scan.model()
+    at, rng, right, sure, n = {g: i for i, g in enumerate(names)}, random.Random(77), 0, 0.0, 0
+    held = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts] + [("unknown", f"{prose(rng.randint(2, 9))} {rng.choice(license_scan.PROSE)}") for _ in range(60)]
+    for family, t in held:
+        words = [w for w in license_scan.tokens(t) if len(t) < 60 or rng.random() > 0.1]  # one word in ten of long ones is lost
+        on = [at[g] for g in license_scan.grams(words) if g in at]
+        z = (w[on].sum(0) / np.sqrt(max(1, len(on))) + b) / heat
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        right, sure, n = right + (families[p.argmax()] == family), sure + p.max(), n + 1
+    assert right / n >= 0.95 and abs(right / n - sure / n) < 0.1
+
+
 def test_license_scan_scores_whatever_the_model_knows(spark):
     families, names, w, b, heat = license_scan.model()
     rng = random.Random(31)
