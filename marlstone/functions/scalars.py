@@ -30,8 +30,9 @@ def extension(path: Column) -> Column:
 
 
 def parse_uint(text: Column) -> Column:
-    """F-07: leading digits behind white space; 0 if there are none."""
-    return F.coalesce(F.regexp_extract(text, r"^\s*(\d{1,18})", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """F-07: leading digits behind white space; 0 if there are none, null if they pass 64 bits."""
+    digits = F.regexp_extract(text, r"^\s*(\d+)", 1)
+    return F.when(digits != "", digits.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
 def parse_float(text: Column) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import color, contexts
-from .predict import clamp, gradient
+from .predict import Arrays, clamp, gradient, moved
 
 HALF, MASK = 128, 255
 #: The channels of C-18, by what is subtracted from a channel: a weighted mean of the next and the next but
@@ -28,25 +28,6 @@ RECIPES = (
 )
 
 
-class Arrays:
-    """Arithmetic of predictors over arrays."""
-
-    @staticmethod
-    def min(*a):
-        return np.minimum.reduce(np.broadcast_arrays(*a))
-
-    @staticmethod
-    def max(*a):
-        return np.maximum.reduce(np.broadcast_arrays(*a))
-
-    abs = staticmethod(np.abs)
-    where = staticmethod(np.where)
-
-    @staticmethod
-    def div(a, b):
-        return np.where(a < 0, -(-a // b), a // b)
-
-
 def _within(total):
     """A predictor that stays within its neighbours N, W and NE."""
     return lambda o, n: clamp(o, total(n), n["N"], n["W"], n["NE"])
@@ -156,7 +137,7 @@ _RECIPES = np.array([[SIGNAL_OF[c] for c in r] for r in color.RECIPES])
 
 def gradient_of(v: np.ndarray) -> np.ndarray:
     """The clamped gradient of planes, 0 outside."""
-    return gradient(Arrays, {k: contexts.neighbour(v, *AT[k]) for k in ("N", "W", "NW")})
+    return gradient(Arrays, {k: moved(v, *AT[k]) for k in ("N", "W", "NW")})
 
 
 def entropy_recipe(images: DataFrame) -> DataFrame:

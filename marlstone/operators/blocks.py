@@ -141,6 +141,20 @@ def inverse(planes: DataFrame, name: str) -> DataFrame:
     return apply(planes, partial(inverse2d, name=name))
 
 
+def roundtrip(planes: DataFrame, name: str, side: int = 8) -> DataFrame:
+    """(image_id, digest, mismatches): coefficients weighted by place, and 1 if the inverse doesn't restore the plane."""
+
+    def kernel(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b["px"].flatten().to_numpy().astype(np.int64).reshape(b.num_rows, side, side)
+                out = forward2d(x, name)
+                flat = out.reshape(len(x), -1)
+                yield pa.RecordBatch.from_arrays([b["image_id"], pa.array(flat @ np.arange(1, flat.shape[1] + 1)), pa.array((inverse2d(out, name) != x).any((1, 2)).astype(np.int64))], ["image_id", "digest", "mismatches"])
+
+    return planes.select("image_id", "px").mapInArrow(kernel, "image_id long, digest long, mismatches long")
+
+
 def sql(source: str, name: str) -> str:
     """The same 2D transform of a table (image_id, p0 ... p63) as nested SQL, for comparison."""
     size, steps, order = PLANS[name]

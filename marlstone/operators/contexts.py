@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .predict import moved
+
 SIDE, DEPTH, PRECISION = 8, 8, 3
 HALF, LEVELS = 1 << (DEPTH - 1), 1 << DEPTH
 CONTEXTS, C2_CONTEXTS, BPD_CONTEXTS = 17, 24, 18
@@ -155,22 +157,13 @@ def tokens(z: np.ndarray, exp: int = 4, msb: int = 1) -> tuple[np.ndarray, np.nd
     return np.where(large, (1 << exp) + ((lg - exp) << msb) + (z - (1 << lg) >> shift), z), shift
 
 
-def neighbour(v: np.ndarray, up: int, left: int) -> np.ndarray:
-    """The plane moved, 0 outside."""
-    n, h, w = v.shape
-    out = np.zeros_like(v)
-    a, b = max(0, left), min(w, w + left)
-    out[:, up:, a:b] = v[:, : h - up, a - left : b - left]
-    return out
-
-
 def _token(v: np.ndarray) -> np.ndarray:
     return tokens(zigzag(v))[0]
 
 
 def token_contexts(v: np.ndarray, name: str) -> np.ndarray:
     """C-05 by what they compute (the largest or smallest token of the changes around, not what their names say)."""
-    at = {k: neighbour(v, *d) for k, d in {"W": (0, 1), "WW": (0, 2), "N": (1, 0), "NN": (2, 0), "NW": (1, 1), "NNWW": (2, 2), "NE": (1, -1), "NNEE": (2, -2)}.items()}
+    at = {k: moved(v, *d) for k, d in {"W": (0, 1), "WW": (0, 2), "N": (1, 0), "NN": (2, 0), "NW": (1, 1), "NNWW": (2, 2), "NE": (1, -1), "NNEE": (2, -2)}.items()}
     west, north = at["W"] - at["WW"], at["N"] - at["NN"]
     falling, rising = at["NW"] - at["NNWW"], at["NE"] - at["NNEE"]
     if name == "zero":

@@ -38,14 +38,36 @@ def ranked(best: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy("csize", "run_seq", "name")))
 
 
+#: Ranges that a running sum over a whole table is cut into.
+RANGES = 64
+
+
+def running_sums(df: DataFrame, first: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """`df` with running sums (this row's included) in the order of `first`, then `order`, and their totals as `<name>_all`.
+
+    Rows are dealt to ranges of `first` by its approximate quantiles, which hold equal values together; sums run inside
+    each range, and what the ranges before hold is added. At the driver are RANGES cuts and a row per range."""
+    cuts = sorted(set(df.approxQuantile(first, [i / RANGES for i in range(1, RANGES)], 0.001)))
+    range_of = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(first))) if cuts else F.lit(0)
+    dealt = df.withColumn("range", range_of)
+    totals = {r["range"]: r for r in dealt.groupBy("range").agg(*[F.sum(e).alias(k) for k, e in sums.items()]).collect()}
+    w = Window.partitionBy("range").orderBy(first, *order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.select("*", *[F.sum(e).over(w).alias(k) for k, e in sums.items()])
+    for k in sums:
+        held = [totals[i][k] if i in totals else 0 for i in range(len(cuts) + 1)]
+        before = [sum(held[:i]) for i in range(len(held))]
+        out = out.withColumn(k, F.col(k) + F.get(F.array(*map(F.lit, before)), F.col("range"))).withColumn(f"{k}_all", F.lit(sum(held)))
+    return out.drop("range")
+
+
 def insert_rank(best: DataFrame, current: DataFrame) -> DataFrame:
     """W-02: where each current run would stand among the best runs: behind all that are smaller, or of equal size and
-    not slower by etime + 2 * dtime."""
-    b = best.select(F.col("csize").alias("b_csize"), (F.col("etime") + 2 * F.col("dtime")).alias("b_time"))
-    # one row per codec, so the sizes fit an array that every current run is compared with
-    field = b.agg(F.collect_list(F.struct("b_csize", "b_time")).alias("field"))
-    before = F.size(F.filter("field", lambda r: (r["b_csize"] < F.col("csize")) | ((r["b_csize"] == F.col("csize")) & (r["b_time"] <= F.col("etime") + 2 * F.col("dtime")))))
-    return current.crossJoin(F.broadcast(field)).select("codec", "run_seq", (before + 1).cast("long").alias("place"))
+    not slower by etime + 2 * dtime. One running count over both."""
+    time = (F.col("etime") + 2 * F.col("dtime")).alias("time")
+    held = best.select(F.lit(None).cast("string").alias("codec"), F.lit(None).cast("int").alias("run_seq"), F.col("csize").cast("long").alias("csize"), time, F.lit(0).alias("asked"))
+    asked = current.select("codec", F.col("run_seq").cast("int").alias("run_seq"), F.col("csize").cast("long").alias("csize"), time, F.lit(1).alias("asked"))
+    placed = running_sums(held.unionByName(asked), "csize", ["time", "asked"], {"place": 1 - F.col("asked")})
+    return placed.where("asked = 1").select("codec", "run_seq", (F.col("place") + 1).cast("long").alias("place"))
 
 
 def running_best(best: DataFrame) -> DataFrame:
@@ -117,23 +139,24 @@ def compare_codecs(cells: DataFrame, a: str, b: str) -> DataFrame:
 
 def tiers(files: DataFrame, order: str, n: int = 5) -> DataFrame:
     """W-10, W-11: rank by `order`, then tiers by exclusive cumulative size; skipped tiers close up."""
-    w = Window.orderBy(order, "file_idx")
-    before = F.sum("usize").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("usize")
-    raw = files.select("file_idx", (F.row_number().over(w) - 1).cast("long").alias("rank"), F.floor(n * before / F.sum("usize").over(Window.partitionBy())).alias("raw"))
-    return raw.select("file_idx", "rank", (F.dense_rank().over(Window.orderBy("raw")) - 1).cast("long").alias("tier"))
+    placed = running_sums(files.select("file_idx", "usize", F.col(order).alias("by")), "by", ["file_idx"], {"rank": F.lit(1), "size": F.col("usize")})
+    raw = placed.select("file_idx", (F.col("rank") - 1).cast("long").alias("rank"), F.floor(n * (F.col("size") - F.col("usize")) / F.col("size_all")).alias("raw"))
+    known = sorted(r["raw"] for r in raw.select("raw").distinct().collect())  # n + 1 values at most
+    return raw.select("file_idx", "rank", (F.array_position(F.array(*map(F.lit, known)), F.col("raw")) - 1).cast("long").alias("tier"))
 
 
 def medians(files: DataFrame, n: int) -> DataFrame:
     """W-12: the n median files by size, and the smallest and the largest."""
-    total = F.count("*").over(Window.partitionBy())
-    placed = files.select("file_idx", "usize", (F.row_number().over(Window.orderBy("usize", "file_idx")) - 1).alias("place"), total.alias("total"))
+    placed = running_sums(files.select("file_idx", "usize"), "usize", ["file_idx"], {"place": F.lit(1)})
+    placed = placed.select("file_idx", "usize", (F.col("place") - 1).cast("long").alias("place"), F.col("place_all").alias("total"))
     mid = (F.col("place") >= F.expr(f"(total - {n}) div 2")) & (F.col("place") < F.expr(f"(total + {n}) div 2"))
-    return placed.where(mid | (F.col("place") == 0) | (F.col("place") == F.col("total") - 1)).select("file_idx", "usize", F.col("place").cast("long").alias("place"))
+    return placed.where(mid | (F.col("place") == 0) | (F.col("place") == F.col("total") - 1)).select("file_idx", "usize", "place")
 
 
 def profile(runs: DataFrame) -> DataFrame:
     """A-26: each run's share of all time, MB/s and ms/MB (null where undefined)."""
-    share = 100 * F.try_divide(F.col("etime"), F.sum("etime").over(Window.partitionBy()))
+    everything = runs.agg(F.sum("etime").alias("t")).first()["t"]
+    share = 100 * F.try_divide(F.col("etime"), F.lit(everything))
     return runs.select("codec", "run_seq", share.alias("percent"), F.try_divide(F.col("csize"), F.col("etime") * MB).alias("mb_s"), (F.col("etime") * MB * 1000 / F.col("csize")).alias("ms_mb"))
 
 

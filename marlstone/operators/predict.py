@@ -1,13 +1,14 @@
-"""Neighbour prediction over planes: forward residuals as windows, inverse as a sequential Arrow kernel.
+"""Neighbour prediction over planes: residuals and their inverse in Arrow kernels, or residuals as windows over pixels.
 
-Each predictor is written once, over an arithmetic `o` and named neighbours, and runs on SQL text (Spark, and DuckDB for
-comparison) or on Python integers (the inverse, whose neighbours are reconstructed samples).
+Each predictor is written once, over an arithmetic `o` and named neighbours, and runs on arrays (all samples of a batch of
+planes at once; for the inverse one sample of all planes) or on SQL text (windows over pixels, and DuckDB for comparison).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,18 +74,6 @@ class Sql:
         return Text(f"({a} {self.divides} {b})")
 
 
-class Ints:
-    min, max, abs = staticmethod(min), staticmethod(max), staticmethod(abs)
-
-    @staticmethod
-    def where(c, a, b):
-        return a if c else b
-
-    @staticmethod
-    def div(a, b):
-        return -(-a // b) if a < 0 else a // b
-
-
 def clamp(o, v, *among):
     return o.max(o.min(*among), o.min(o.max(*among), v))
 
@@ -179,38 +168,74 @@ def text(name: str, dialect: str = "spark", depth: int = 8) -> str:
     return f"(((v - {p}) + {half}) & {2 * half - 1}) - {half}"
 
 
-def residuals(planes: DataFrame, name: str) -> DataFrame:
-    """(image_id, y, x, v, res)"""
-    return with_neighbours(planes).select("image_id", "y", "x", "v", F.expr(text(name)).cast("long").alias("res"))
+class Arrays:
+    """Arithmetic of predictors over arrays."""
+
+    @staticmethod
+    def min(*a):
+        return np.minimum.reduce(np.broadcast_arrays(*a))
 
+    @staticmethod
+    def max(*a):
+        return np.maximum.reduce(np.broadcast_arrays(*a))
 
-def rebuild(res: list[list[int]], name: str, depth: int = 8) -> list[list[int]]:
-    """One plane from its residuals, row by row."""
+    abs = staticmethod(np.abs)
+    where = staticmethod(np.where)
+
+    @staticmethod
+    def div(a, b):
+        return np.where(a < 0, -(-a // b), a // b)
+
+
+def moved(v: np.ndarray, up: int, left: int) -> np.ndarray:
+    """Planes moved so that each sample sees that neighbour, 0 outside."""
+    n, h, w = v.shape
+    out = np.zeros_like(v)
+    a, b = max(0, left), min(w, w + left)
+    out[:, up:, a:b] = v[:, : h - up, a - left : b - left]
+    return out
+
+
+def _prediction(name: str, n: dict, y, x):
     predictor, edge = PREDICTORS[name]
-    h, w, half, out = len(res), len(res[0]), 1 << (depth - 1), [[0] * len(r) for r in res]
+    p = predictor(Arrays, n | {"x": x, "y": y})
+    return np.where(y == 0, n["W"], np.where(x == 0, n["N"], p)) if edge == "clamp" else p
+
+
+def forward(v: np.ndarray, name: str, depth: int = 8) -> np.ndarray:
+    """Wrapped residuals of planes (n, h, w), all samples at once."""
+    half = 1 << (depth - 1)
+    y, x = np.indices(v.shape[1:])
+    return (v - _prediction(name, {k: moved(v, *d) for k, d in AT.items()}, y, x) + half & 2 * half - 1) - half
 
-    def at(y: int, x: int) -> int:
-        return out[y][x] if 0 <= y < h and 0 <= x < w else 0
 
+def inverse(res: np.ndarray, name: str, depth: int = 8) -> np.ndarray:
+    """Planes from their residuals, sample by sample for all planes at once."""
+    n, h, w = res.shape
+    half, pad = 1 << (depth - 1), 4
+    out = np.zeros((n, h + 2, w + 2 * pad), dtype=np.int64)
     for y in range(h):
         for x in range(w):
-            n = {k: at(y - dy, x - dx) for k, (dy, dx) in AT.items()} | {"x": x, "y": y}
-            p = (n["W"] if y == 0 else n["N"]) if edge == "clamp" and (not y or not x) else predictor(Ints, n)
-            out[y][x] = (res[y][x] + p + half & 2 * half - 1) - half
-    return out
+            near = {k: out[:, y + 2 - dy, x + pad - dx] for k, (dy, dx) in AT.items()}
+            out[:, y + 2, x + pad] = (res[:, y, x] + _prediction(name, near, np.int64(y), np.int64(x)) + half & 2 * half - 1) - half
+    return out[:, 2:, pad : pad + w]
 
 
-def inverse(residual_rows: DataFrame, name: str) -> DataFrame:
-    """(image_id, y, x, v) from (image_id, y, x, res): sequential within a plane, parallel over planes."""
-    packed = residual_rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "res"))).alias("p"), (F.max("x") + 1).alias("w"))
+def roundtrip(planes: DataFrame, name: str, side: int = 8) -> DataFrame:
+    """(image_id, digest, magnitude, mismatches) of planes `px` of rows of `side` samples: residuals weighted by place, their
+    sum of magnitudes, and samples that the inverse doesn't restore. Every plane stays in its task."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for p, w in zip(b["p"].to_pylist(), b["w"].to_pylist(), strict=True):
-                flat = [q["res"] for q in p]
-                out.append([v for r in rebuild([flat[i : i + w] for i in range(0, len(flat), w)], name) for v in r])
-            yield pa.RecordBatch.from_arrays([b["image_id"], b["w"], pa.array(out, pa.list_(pa.int64()))], ["image_id", "w", "px"])
-
-    planes = packed.select("image_id", F.col("w").cast("int").alias("w"), "p").mapInArrow(run, "image_id long, w int, px array<long>")
-    return planes.select("image_id", "w", F.posexplode("px").alias("pos", "v")).select("image_id", F.expr("pos div w").cast("int").alias("y"), (F.col("pos") % F.col("w")).cast("int").alias("x"), "v")
+            if b.num_rows:
+                v = b["px"].flatten().to_numpy().astype(np.int64).reshape(b.num_rows, -1, side)
+                res = forward(v, name)
+                flat = res.reshape(len(v), -1)
+                yield pa.RecordBatch.from_arrays([b["image_id"], pa.array(flat @ np.arange(1, flat.shape[1] + 1)), pa.array(np.abs(flat).sum(1)), pa.array((inverse(res, name) != v).sum((1, 2)))], ["image_id", "digest", "magnitude", "mismatches"])
+
+    return planes.select("image_id", "px").mapInArrow(run, "image_id long, digest long, magnitude long, mismatches long")
+
+
+def residuals(planes: DataFrame, name: str) -> DataFrame:
+    """(image_id, y, x, v, res) of pixels, by windows inside images; for planes as arrays see `forward`."""
+    return with_neighbours(planes).select("image_id", "y", "x", "v", F.expr(text(name)).cast("long").alias("res"))

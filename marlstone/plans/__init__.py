@@ -1,3 +1,3 @@
 """Query plans; importing the package fills the registry."""
 
-from . import codec_queries, context_queries, function_queries, history_queries, metric_queries, sequential_queries, stat_queries, transform_queries  # noqa: F401
+from . import codec_queries, context_queries, file_queries, function_queries, history_queries, metric_queries, sequential_queries, stat_queries, transform_queries  # noqa: F401

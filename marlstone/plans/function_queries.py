@@ -12,7 +12,7 @@ from .registry import register
 
 register("f03_f06_paths", lambda s, d: v.table(s, d, "pages").select("page_id", fn.last_index(F.col("url"), "/").cast("long").alias("slash"), fn.clean_path(F.col("url")).alias("folder"), fn.file_title(F.col("url")).alias("title"), fn.extension(F.col("url")).alias("ext")),
          r"""SELECT page_id, CAST(length(url) - instr(reverse(url), '/') AS BIGINT) AS slash, CASE WHEN url LIKE '%/' THEN url ELSE url || '/' END AS folder, regexp_extract(url, '([^/\\]*?)(\.[^./\\]*)?$', 1) AS title, CASE WHEN regexp_matches(url, '\.[^./\\]*$') THEN regexp_extract(url, '\.([^./\\]*)$', 1) END AS ext FROM pages""")
-register("f07_f08_parse", lambda s, d: v.table(s, d, "events").select("event_id", fn.parse_uint(F.regexp_extract("props", ": *(.*)$", 1)).alias("n"), fn.parse_float(F.col("value").cast("string")).alias("x"), fn.parse_until(F.col("props"), ":").alias("head")), r"SELECT event_id, coalesce(TRY_CAST(regexp_extract(regexp_extract(props, ': *(.*)$', 1), '^\s*(\d{1,18})', 1) AS BIGINT), 0) AS n, value AS x, rtrim(split_part(props, ':', 1)) AS head FROM events")
+register("f07_f08_parse", lambda s, d: v.table(s, d, "events").select("event_id", fn.parse_uint(F.regexp_extract("props", ": *(.*)$", 1)).alias("n"), fn.parse_float(F.col("value").cast("string")).alias("x"), fn.parse_until(F.col("props"), ":").alias("head")), r"SELECT event_id, CASE WHEN regexp_extract(regexp_extract(props, ': *(.*)$', 1), '^\s*(\d+)', 1) <> '' THEN TRY_CAST(regexp_extract(regexp_extract(props, ': *(.*)$', 1), '^\s*(\d+)', 1) AS BIGINT) ELSE 0 END AS n, value AS x, rtrim(split_part(props, ':', 1)) AS head FROM events")
 register("f11_f12_text", lambda s, d: v.files(s, d).select("file_idx", fn.duration_text(F.col("usize") / 100).alias("duration"), fn.scaled_size(F.col("usize")).alias("size")), f"WITH {v.CELLS}, t AS (SELECT file_idx, usize, usize / 100.0::DOUBLE AS s FROM files) SELECT file_idx, CASE WHEN s >= 86400 THEN CAST(floor(s / 86400) AS BIGINT) || '-' ELSE '' END || printf('%02d-%02d-%09.6f', CAST(floor(s % 86400 / 3600) AS INT), CAST(floor(s % 86400 % 3600 / 60) AS INT), s % 86400 % 60) AS duration, printf('%.2f %s', usize / pow(1024.0, least(4, floor(log2(usize) / 10))), ['B', 'KB', 'MB', 'GB', 'TB'][CAST(least(4, floor(log2(usize) / 10)) AS INT) + 1]) AS size FROM t")
 register("f14_f20_bits", lambda s, d: v.files(s, d).select("file_idx", F.bit_count("usize").cast("int").alias("weight"), fn.floor_log2(F.col("usize")).alias("lo"), fn.ceil_log2(F.col("usize")).alias("hi"), fn.lowest_bit(F.col("usize")).alias("lsb"), F.floor(F.log10("usize")).cast("int").alias("digits"), F.floor(F.sqrt("usize")).cast("long").alias("root"), fn.zigzag(F.col("usize") - 9000000).alias("zig"), fn.unzigzag(fn.zigzag(F.col("usize") - 9000000)).alias("back"), F.expr("usize ^ (usize >> 1)").alias("gray"), F.bin("usize").alias("bits"), fn.median3(F.col("usize"), F.lit(9000000), F.col("file_idx")).cast("long").alias("mid")),
          f"WITH {v.CELLS} SELECT file_idx, CAST(bit_count(usize) AS INT) AS weight, CAST(length(bin(usize)) - 1 AS INT) AS lo, CAST(length(bin(usize - 1)) AS INT) AS hi, CAST(length(bin(usize)) - length(rtrim(bin(usize), '0')) AS INT) AS lsb, CAST(floor(log10(usize)) AS INT) AS digits, CAST(floor(sqrt(usize)) AS BIGINT) AS root, CASE WHEN usize < 9000000 THEN -2 * (usize - 9000000) - 1 ELSE 2 * (usize - 9000000) END AS zig, usize - 9000000 AS back, xor(usize, usize >> 1) AS gray, bin(usize) AS bits, CAST(greatest(least(usize, 9000000), least(greatest(usize, 9000000), file_idx)) AS BIGINT) AS mid FROM files")

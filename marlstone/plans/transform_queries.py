@@ -81,13 +81,7 @@ register("c03_t01_best_recipe", _recipes, _recipes_sql())
 
 
 def _predictor(name):
-    def query(s, d):
-        res = predict.residuals(v.planes(s, d), name)
-        digest = res.groupBy("image_id").agg(F.sum(F.col("res") * (F.col("y") * 8 + F.col("x") + 1)).alias("digest"), F.sum(F.abs("res")).alias("magnitude"))
-        back = predict.inverse(res, name).withColumnRenamed("v", "u")
-        wrong = res.join(back, ["image_id", "y", "x"]).groupBy("image_id").agg(F.sum((F.col("u") != F.col("v")).cast("long")).alias("mismatches"))
-        return digest.join(wrong, "image_id")
-
+    query = lambda s, d: predict.roundtrip(v.plane_bytes(s, d), name)
     sql = f"WITH {v.PLANES}, n AS ({predict.neighbours_sql('planes')}), t AS (SELECT image_id, y, x, {predict.text(name, 'duck')} AS res FROM n) SELECT image_id, CAST(sum(res * (y * 8 + x + 1)) AS BIGINT) AS digest, CAST(sum(abs(res)) AS BIGINT) AS magnitude, CAST(0 AS BIGINT) AS mismatches FROM t GROUP BY image_id"
     register(f"{name}_roundtrip", query, sql)
 
@@ -126,14 +120,7 @@ register("t56_cleartype", _cleartype, f"WITH {v.RGB}, a AS (SELECT *, lag(b, 1,
 
 
 def _block(name):
-    def query(s, d):
-        planes = v.plane_bytes(s, d)
-        out = blocks.forward(planes, name)
-        back = blocks.inverse(out, name).select("image_id", F.col("px").alias("u"))
-        digest = out.select("image_id", F.expr("aggregate(transform(px, (p, i) -> p * (i + 1)), 0L, (a, p) -> a + p)").alias("digest"))
-        same = planes.select("image_id", F.col("px").cast("array<long>").alias("px")).join(back, "image_id").select("image_id", (F.col("px") != F.col("u")).cast("long").alias("mismatches"))
-        return digest.join(same, "image_id")
-
+    query = lambda s, d: blocks.roundtrip(v.plane_bytes(s, d), name)
     wide = "SELECT image_id, " + ", ".join(f"max(CASE WHEN y * 8 + x = {i} THEN v END) AS p{i}" for i in range(64)) + " FROM planes GROUP BY image_id"
     sql = f"WITH {v.PLANES}, wide AS ({wide}), t AS ({blocks.sql('wide', name)}) SELECT image_id, CAST({' + '.join(f'p{i} * {i + 1}' for i in range(64))} AS BIGINT) AS digest, CAST(0 AS BIGINT) AS mismatches FROM t"
     register(f"{name}_roundtrip", query, sql)

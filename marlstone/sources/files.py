@@ -7,6 +7,8 @@ one Arrow pass. Metadata-only scans never read the content column.
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -57,20 +59,100 @@ def encode_pnm(x: np.ndarray) -> bytes:
     return b"P%d\n%d %d\n%d\n" % (6 if c == 3 else 5, w, h, 65535 if wide else 255) + x.astype(">u2" if wide else np.uint8).tobytes()
 
 
+_SIGNATURE = b"\x89PNG\r\n\x1a\n"
+
+
+def _chunk(tag: bytes, body: bytes) -> bytes:
+    return len(body).to_bytes(4, "big") + tag + body + zlib.crc32(tag + body).to_bytes(4, "big")
+
+
+def encode_png(x: np.ndarray) -> bytes:
+    """K-04: a PNG of 8 or 16 bits with one or three channels; rows as differences to the row above."""
+    h, w, c = x.shape
+    wide = x.dtype.itemsize > 1
+    rows = np.ascontiguousarray(x.astype(">u2" if wide else np.uint8)).view(np.uint8).reshape(h, -1)
+    above = np.vstack([np.zeros_like(rows[:1]), rows[:-1]])
+    raw = np.hstack([np.full((h, 1), 2, dtype=np.uint8), rows - above])
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([16 if wide else 8, 2 if c == 3 else 0, 0, 0, 0])
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + _chunk(b"IEND", b"")
+
+
+def _unfilter(raw: np.ndarray, step: int) -> np.ndarray:
+    """Rows of bytes from rows with a filter type in front; neighbours are `step` bytes apart."""
+    out = np.zeros((len(raw), raw.shape[1] - 1), dtype=np.int64)
+    above = np.zeros(out.shape[1], dtype=np.int64)
+    for y, line in enumerate(raw.astype(np.int64)):
+        kind, line = line[0], line[1:]
+        if kind in (0, 2):
+            out[y] = line + (above if kind == 2 else 0) & 255
+        elif kind == 1:
+            for k in range(step):
+                out[y, k::step] = np.cumsum(line[k::step]) & 255
+        else:
+            row = out[y]
+            for i in range(len(row)):
+                west, north, corner = (row[i - step], above[i], above[i - step]) if i >= step else (0, above[i], 0)
+                if kind == 3:
+                    p = (west + north) // 2
+                else:
+                    guess = west + north - corner
+                    p = min((abs(guess - west), 0, west), (abs(guess - north), 1, north), (abs(guess - corner), 2, corner))[2]
+                row[i] = line[i] + p & 255
+        above = out[y]
+    return out.astype(np.uint8)
+
+
+def decode_png(data: bytes) -> tuple[int, int, int, np.ndarray] | None:
+    """(width, height, maxval, samples (h, w, channels)) of a PNG without interlacing, of 8 or 16 bits: grey, colour, either
+    with alpha (which is left out), or 8-bit palette. None for other, broken or cut off content."""
+    if data[:8] != _SIGNATURE:
+        return None
+    at, head, body, palette = 8, b"", [], b""
+    while at + 12 <= len(data):
+        size, tag = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        part = data[at + 8 : at + 8 + size]
+        if len(part) < size or zlib.crc32(tag + part) != int.from_bytes(data[at + 8 + size : at + 12 + size], "big"):
+            return None
+        head, palette = part if tag == b"IHDR" else head, part if tag == b"PLTE" else palette
+        body += [part] if tag == b"IDAT" else []
+        at += 12 + size
+    if len(head) != 13 or head[12] or head[8] not in (8, 16) or head[9] not in (0, 2, 3, 4, 6) or head[9] == 3 and head[8] == 16:
+        return None
+    w, h, depth, stored = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[9]]
+    step = stored * depth // 8
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(body)), dtype=np.uint8)
+    except zlib.error:
+        return None
+    if not w or not h or len(raw) != h * (1 + w * step):
+        return None
+    x = _unfilter(raw.reshape(h, -1), step).view(np.uint8 if depth == 8 else ">u2").reshape(h, w, stored)
+    if head[9] == 3:
+        colours = np.frombuffer(palette, dtype=np.uint8).reshape(-1, 3)
+        return (w, h, 255, colours[x[:, :, 0]]) if x.max(initial=0) < len(colours) else None
+    return w, h, 255 if depth == 8 else 65535, x[:, :, : {0: 1, 2: 3, 4: 1, 6: 3}[head[9]]]
+
+
+def decode_image(data: bytes) -> tuple[int, int, int, np.ndarray] | None:
+    return decode_pnm(data) or decode_png(data)
+
+
 def images(files: DataFrame) -> DataFrame:
-    """S-05, S-06, S-08, S-10: (path, w, h, maxval, ch, px) with one row per channel plane; unreadable files are left out."""
+    """S-05, S-06, S-08, S-10: (path, w, h, maxval, ch, px, error) with one row per channel plane of PNM and PNG files; a
+    file that can't be read has one row with an error and nothing else."""
 
     def run(batches):
         for b in batches:
-            out = {"path": [], "w": [], "h": [], "maxval": [], "ch": [], "px": []}
+            out = {"path": [], "w": [], "h": [], "maxval": [], "ch": [], "px": [], "error": []}
             for path, data in zip(b["path"].to_pylist(), b["content"], strict=True):
-                got = decode_pnm(data.as_py() or b"")
-                for ch in range(got[3].shape[2] if got else 0):
-                    for k, v in zip(out, (path, got[0], got[1], got[2], ch, got[3][:, :, ch].ravel().astype(np.int32)), strict=True):
+                got = decode_image(data.as_py() or b"")
+                rows = [(path, got[0], got[1], got[2], ch, got[3][:, :, ch].ravel().astype(np.int32), None) for ch in range(got[3].shape[2])] if got else [(path, None, None, None, None, None, "not a readable PNM or PNG image")]
+                for row in rows:
+                    for k, v in zip(out, row, strict=True):
                         out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("path", pa.string()), ("w", pa.int32()), ("h", pa.int32()), ("maxval", pa.int32()), ("ch", pa.int32()), ("px", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("path", pa.string()), ("w", pa.int32()), ("h", pa.int32()), ("maxval", pa.int32()), ("ch", pa.int32()), ("px", pa.list_(pa.int32())), ("error", pa.string())]))
 
-    return files.select("path", "content").mapInArrow(run, "path string, w int, h int, maxval int, ch int, px array<int>")
+    return files.select("path", "content").mapInArrow(run, "path string, w int, h int, maxval int, ch int, px array<int>, error string")
 
 
 def explode_planes(planes: DataFrame) -> DataFrame:
@@ -79,7 +161,7 @@ def explode_planes(planes: DataFrame) -> DataFrame:
 
 
 def split_channels(planes: DataFrame) -> DataFrame:
-    """K-08: every channel plane as a PGM file (path, content)."""
+    """K-08: every channel plane as a PGM file (path, content); rows with an error have no plane."""
 
     def run(batches):
         for b in batches:
@@ -87,17 +169,22 @@ def split_channels(planes: DataFrame) -> DataFrame:
             data = [encode_pnm(np.array(r["px"]).reshape(r["h"], r["w"], 1).astype(np.uint8 if r["maxval"] == 255 else np.uint16)) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([f"{r['path']}.{r['ch']}" for r in rows], pa.string()), pa.array(data, pa.binary())], ["path", "content"])
 
-    return planes.select("path", "w", "h", "maxval", "ch", "px").mapInArrow(run, "path string, content binary")
+    return planes.where("px is not null").select("path", "w", "h", "maxval", "ch", "px").mapInArrow(run, "path string, content binary")
 
 
-def join_channels(planes: DataFrame) -> DataFrame:
-    """K-08, K-04: (path, content) as PPM from three planes per path."""
-    wide = planes.groupBy("path", "w", "h", "maxval").agg(*[F.max(F.when(F.col("ch") == i, F.col("px"))).alias(f"p{i}") for i in range(3)]).dropna()
+def join_channels(planes: DataFrame, form: str = "pnm") -> DataFrame:
+    """K-08, K-04: (path, content) as PPM (or PNG, by `form`) from three planes per path; without all three the content is
+    null."""
+    wide = planes.groupBy("path", "w", "h", "maxval").agg(*[F.max(F.when(F.col("ch") == i, F.col("px"))).alias(f"p{i}") for i in range(3)])
 
     def run(batches):
+        encode = {"pnm": encode_pnm, "png": encode_png}[form]
         for b in batches:
-            rows = b.to_pylist()
-            data = [encode_pnm(np.stack([np.array(r[f"p{i}"]).reshape(r["h"], r["w"]) for i in range(3)], axis=2).astype(np.uint8 if r["maxval"] == 255 else np.uint16)) for r in rows]
+            data = []
+            for r in b.to_pylist():
+                parts = [r[f"p{i}"] for i in range(3)]
+                whole = all(p is not None for p in parts)
+                data.append(encode(np.stack([np.array(p).reshape(r["h"], r["w"]) for p in parts], axis=2).astype(np.uint8 if r["maxval"] == 255 else np.uint16)) if whole else None)
             yield pa.RecordBatch.from_arrays([b["path"], pa.array(data, pa.binary())], ["path", "content"])
 
     return wide.mapInArrow(run, "path string, content binary")
@@ -120,20 +207,29 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray] | None:
     return None
 
 
+def encode_wav(x: np.ndarray, rate: int = 44100) -> bytes:
+    """16-bit PCM of samples (frames, channels)."""
+    channels, body = x.shape[1], np.ascontiguousarray(x.astype("<i2")).tobytes()
+    form = struct.pack("<HHIIHH", 1, channels, rate, 2 * channels * rate, 2 * channels, 16)
+    chunks = b"fmt " + struct.pack("<I", 16) + form + b"data" + struct.pack("<I", len(body)) + body
+    return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
+
+
 def tracks(files: DataFrame) -> DataFrame:
-    """D-04: (path, rate, ch, samples), one row per channel."""
+    """D-04: (path, rate, ch, samples, error), one row per channel; a file that can't be read has one row with an error."""
 
     def run(batches):
         for b in batches:
-            out = {"path": [], "rate": [], "ch": [], "samples": []}
+            out = {"path": [], "rate": [], "ch": [], "samples": [], "error": []}
             for path, data in zip(b["path"].to_pylist(), b["content"], strict=True):
                 got = decode_wav(data.as_py() or b"")
-                for ch in range(got[1].shape[1] if got else 0):
-                    for k, v in zip(out, (path, got[0], ch, got[1][:, ch]), strict=True):
+                rows = [(path, got[0], ch, got[1][:, ch], None) for ch in range(got[1].shape[1])] if got else [(path, None, None, None, "not a readable WAVE file")]
+                for row in rows:
+                    for k, v in zip(out, row, strict=True):
                         out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("path", pa.string()), ("rate", pa.int32()), ("ch", pa.int32()), ("samples", pa.list_(pa.int16()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("path", pa.string()), ("rate", pa.int32()), ("ch", pa.int32()), ("samples", pa.list_(pa.int16())), ("error", pa.string())]))
 
-    return files.select("path", "content").mapInArrow(run, "path string, rate int, ch int, samples array<smallint>")
+    return files.select("path", "content").mapInArrow(run, "path string, rate int, ch int, samples array<smallint>, error string")
 
 
 CELL = {5: ("csize", "etime", "dtime", "emem", "dmem"), 8: ("csize", "etime", "dtime", "emem", "dmem", "rmse_y", "rmse_u", "rmse_v")}

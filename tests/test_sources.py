@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -38,7 +39,8 @@ def test_images(spark, folder):
     raw = files.scan(spark, str(folder), ("ppm", "pgm"), content=True)
     planes = files.images(raw)
     rows = {(r["path"].rsplit("/", 1)[1], r["ch"]): r for r in planes.collect()}
-    assert set(rows) == {("a.PPM", 0), ("a.PPM", 1), ("a.PPM", 2), ("b.pgm", 0)}
+    assert set(rows) == {("a.PPM", 0), ("a.PPM", 1), ("a.PPM", 2), ("b.pgm", 0), ("bad.ppm", None)}
+    assert rows["bad.ppm", None]["error"] and rows["bad.ppm", None]["px"] is None and rows["b.pgm", 0]["error"] is None
     assert rows["a.PPM", 1]["px"] == [1, 4, 7, 10, 13, 16] and rows["b.pgm", 0]["px"] == [1, 300] and rows["b.pgm", 0]["maxval"] == 65535
     assert files.explode_planes(planes).where("ch = 2 and y = 1 and x = 2").first()["v"] == 17
     assert {r[0] for r in raw.select(files.header_kind("content")).collect()} == {"PPM", "PGM"}
@@ -46,13 +48,37 @@ def test_images(spark, folder):
 
 def test_split_and_join(spark, folder):
     planes = files.images(files.scan(spark, str(folder), ("ppm",), content=True))
-    joined = files.join_channels(planes).first()["content"]
+    joined = files.join_channels(planes.where("error is null")).first()["content"]
+    assert {r["content"] is None for r in files.join_channels(planes).collect()} == {True, False}  # a file without channels
     assert files.decode_pnm(bytes(joined))[3].ravel().tolist() == list(range(18))
     assert files.split_channels(planes).count() == 3
 
 
+def test_png_round_trip_and_filters():
+    rng = np.random.default_rng(6)
+    for kind, channels in ((np.uint8, 1), (np.uint8, 3), (np.uint16, 1), (np.uint16, 3)):
+        x = rng.integers(0, np.iinfo(kind).max, (5, 7, channels)).astype(kind)
+        w, h, top, back = files.decode_png(files.encode_png(x))
+        assert (w, h, top) == (7, 5, np.iinfo(kind).max) and (back == x).all()
+    x = rng.integers(0, 256, (5, 6, 4)).astype(np.int64)
+    flat, rows = x.reshape(5, 24), []
+    for y, kind in enumerate((0, 1, 2, 3, 4)):  # every filter type, with alpha
+        line = [kind]
+        for i in range(24):
+            a, b, c = flat[y, i - 4] if i >= 4 else 0, flat[y - 1, i] if y else 0, flat[y - 1, i - 4] if y and i >= 4 else 0
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append(int(flat[y, i] - (0, a, b, (a + b) // 2, paeth)[kind]) & 255)
+        rows.append(bytes(line))
+    head = (6).to_bytes(4, "big") + (5).to_bytes(4, "big") + bytes([8, 6, 0, 0, 0])
+    data = files._SIGNATURE + files._chunk(b"IHDR", head) + files._chunk(b"tEXt", b"x") + files._chunk(b"IDAT", zlib.compress(b"".join(rows))) + files._chunk(b"IEND", b"")
+    assert (files.decode_png(data)[3] == x[:, :, :3]).all()
+    assert files.decode_png(data[:-20]) is None and files.decode_png(data.replace(b"tEXt", b"tEXx")) is None and files.decode_png(b"") is None
+
+
 def test_tracks(spark, folder):
-    got = {r["ch"]: (r["rate"], r["samples"]) for r in files.tracks(files.scan(spark, str(folder), ("wav", "ppm"), content=True)).collect()}
+    got = {r["ch"]: (r["rate"], r["samples"]) for r in files.tracks(files.scan(spark, str(folder), ("wav", "ppm"), content=True)).where("error is null").collect()}
+    assert files.tracks(files.scan(spark, str(folder), ("wav", "ppm"), content=True)).where("error is not null").count() == 2
     assert got == {0: (44100, [1, 3]), 1: (44100, [-2, -4])}
 
 
