@@ -14,6 +14,8 @@ SCALE, K = 256, 5
 QUERY_BYTES = 8 << 20
 #: Rows of a candidate block, and rotated dimensions of the partial sums.
 BLOCK, HEAD = 2048, 16
+#: Longest vectors that are searched first, for scores that the k-th best reaches in any case.
+LONGEST = 2048
 
 
 def integers(rows: list) -> np.ndarray:
@@ -56,27 +58,32 @@ class Queries:
         return head, np.sqrt(np.maximum((x * x).sum(1) - (head * head).sum(1), 0))
 
 
-def _search(sent, k: int):
+def _search(sent, k: int, floors=None):
+    """The k best of each query in a task's vectors, which come by descending length. `floors` are scores that the k-th best
+    of each query reaches in any case."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries: Queries = sent.value
         n = len(queries.ids)
         best = np.full((n, k), np.iinfo(np.int64).min)  # scores, highest first; ties by smaller id
         who = np.full((n, k), np.iinfo(np.int64).max)
         filled = np.zeros((n, k), dtype=bool)
+        known = np.full(n, -np.inf) if floors is None else floors.value
         q_head, q_rest = queries.halves(queries.q)
         q_norm = np.sqrt((queries.q**2).sum(1))
+        over = False
         for x in batches:
-            if not x.num_rows:
-                continue
+            if over or not x.num_rows:
+                continue  # what follows is shorter still
             ids, rows = x["vec_id"].to_numpy(zero_copy_only=False).astype(np.int64), integers(x["v"].to_pylist())
             norms = np.sqrt((rows * rows).sum(1))
-            order = np.argsort(-norms, kind="stable")
-            for at in range(0, len(order), BLOCK):
-                part = order[at : at + BLOCK]
-                least = np.where(filled[:, -1], best[:, -1], -np.inf).astype(np.float64)
-                live = np.flatnonzero(q_norm * norms[part[0]] * (1 + 1e-9) + 1e-3 >= least)
+            for at in range(0, len(rows), BLOCK):
+                part = np.arange(at, min(at + BLOCK, len(rows)))
+                least = np.maximum(np.where(filled[:, -1], best[:, -1], -np.inf).astype(np.float64), known)
+                live = np.flatnonzero(q_norm * norms[part].max() * (1 + 1e-9) + 1e-3 >= least)
                 if not len(live):
-                    break  # the rest of the batch is shorter still
+                    over = True
+                    break
                 head, rest = queries.halves(rows[part])
                 bound = (q_head[live] @ head.T + np.outer(q_rest[live], rest)) + 1e-6 * np.outer(q_norm[live], norms[part]) + 1e-3
                 able = bound >= least[live, None]
@@ -134,19 +141,33 @@ def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of every query with all other vectors.
 
-    Both inputs are (vec_id, v) from `usable`. Queries are taken in blocks of `query_bytes`, each block against every
-    candidate partition; a task keeps k rows per query. Ties go to the smaller vec_id; rows that share the query's id
+    Both inputs are (vec_id, v) from `usable`. Vectors are dealt to tasks by descending length and come to each in that
+    order. Queries are taken in blocks of `query_bytes` through the driver; a block meets the LONGEST vectors first, whose
+    scores bound what it needs from the others, and a task ends for it when length alone rules the rest out. A task keeps k
+    rows per query. Ties go to the smaller vec_id; rows that share the query's id
     are the query's own and left out; candidates that repeat count each; of repeated queries one is answered; vectors
     of unequal length are filled up with zeros; with no other vector a query has no rows.
     """
     spark, turn = vectors.sparkSession, rotation(vectors)
     per = max(1, query_bytes // (8 * max(64, len(turn))))
     asked = queries.groupBy("vec_id").agg(F.max("v").alias("v"))
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("length")
+    sized = vectors.select("vec_id", "v", length)
+    first = sized.orderBy(F.col("length").desc()).limit(LONGEST).select("vec_id", "v")
+    ordered = sized.repartitionByRange(F.col("length").desc(), F.xxhash64("vec_id")).sortWithinPartitions(F.col("length").desc()).select("vec_id", "v")
     out, held = None, ([], [])
 
     def block():
-        sent = spark.sparkContext.broadcast(Queries(*held, turn))
-        got = vectors.mapInArrow(_search(sent, k), "query_id long, vec_id long, score long")
+        asking = Queries(*held, turn)
+        sent = spark.sparkContext.broadcast(asking)
+        floors = np.full(len(asking.ids), -np.inf)
+        scores: dict[int, list[int]] = {}
+        for r in first.mapInArrow(_search(sent, k), "query_id long, vec_id long, score long").select("query_id", "score").toLocalIterator():
+            scores.setdefault(r["query_id"], []).append(r["score"])
+        for i, q in enumerate(asking.ids.tolist()):
+            if len(scores.get(q, ())) >= k:
+                floors[i] = sorted(scores[q])[-k]
+        got = ordered.mapInArrow(_search(sent, k, spark.sparkContext.broadcast(floors)), "query_id long, vec_id long, score long")
         return got if out is None else out.unionByName(got)
 
     for r in asked.toLocalIterator():
