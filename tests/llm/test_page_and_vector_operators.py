@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import language, topk, url_filter
+from marlstone.llm import language, line_dedup, topk, url_filter
 
 URLS = ["http://a.com/en/7", "https://Example.COM/en/71?x", "http://x.example.com/en/6", "http://example.net/de/8#f", "http://example.net/de/7", "http://q.org/es/", "http://q.org/es", "http://com/en/x", "http://notcom/en/", "no scheme", None, "", "http://", "a://b://com/en/", "http://u@H.org/es/a/b?c://d"]
 
@@ -83,6 +83,23 @@ def test_topk_large_components_and_few_rows(spark):
     assert topk.search(v.where("false"), v.where("false")).count() == 0
 
 
+def test_topk_by_length_prunes_and_keeps_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LONGEST", 40)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 6))
+    x[:50] *= 40  # a few long ones decide
+    x[200:260] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    v = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    z = np.floor(256 * x).astype(np.int64)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(v, v.where("vec_id % 50 = 0"), k=7).collect())
+    want = []
+    for q in range(0, 600, 50):
+        scored = sorted((-int(z[q] @ z[c]), c) for c in range(600) if c != q)[:7]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
+    assert got == sorted(want)
+
+
 def test_topk_scores_beyond_64_bits(spark):
     v = topk.usable(spark.createDataFrame([(0, [1e300]), (50, [-1e300]), (100, [2.0**50, 2.0**50]), (150, [2.0**50, -(2.0**50)]), (7, [0.0])], "vec_id long, embedding array<double>"))
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.search(v, v.where("vec_id % 50 = 0")).collect()}
@@ -175,6 +192,116 @@ def test_language_fusion(spark):
     assert language.identify(df.where("false"), docs).count() == 0
 
 
+def lines_by_force(docs):
+    """Line dedup in plain Python: {place of a document: lines left}."""
+    import re
+    from collections import Counter, defaultdict
+
+    similar, constant, field = line_dedup.SIMILAR, line_dedup.CONSTANT, line_dedup.FIELD
+    rows = []
+    for place, (i, text) in enumerate(docs):
+        for no, raw in enumerate((text or "").split("\n")):
+            ts = raw.strip(" \t\r\v\f").split(" ")
+            if len(ts) >= line_dedup.MIN_TOKENS and raw.strip(" \t\r\v\f"):
+                fields = [bool(re.search("[0-9]", t)) for t in ts]
+                if len(ts) - sum(fields) >= len(ts) * similar:
+                    ts = [field if f else t for t, f in zip(ts, fields)]
+                rows.append((place, i, no, (len(ts), *ts[: line_dedup.LEAD]), tuple(ts)))
+    leaves = defaultdict(set)
+    for _, i, _, leaf, line in rows:
+        leaves[leaf].add((line, i))
+    template = {}
+    for leaf, pairs in leaves.items():
+        kinds = {line for line, _ in pairs}
+        if len(pairs) < line_dedup.MIN_DOCS:
+            continue
+        shape = []
+        for k in range(leaf[0]):
+            count = Counter(line[k] for line in kinds)
+            top = max(count, key=lambda t: (count[t], t))
+            shape.append(top if count[top] >= constant * len(kinds) else field)
+        for line in kinds:
+            fits = sum(a == b != field for a, b in zip(line, shape)) >= similar * len(line)
+            general = len(kinds) > 1 and fits and (field in shape or list(line) == shape)
+            template[line] = ("~", leaf, tuple(shape)) if general else ("=", leaf, line)
+    seen = defaultdict(set)
+    for _, i, _, _, line in rows:
+        if line in template:
+            seen[template[line]].add(i)
+    gone = {(place, no) for place, i, no, _, line in rows if line in template and len(seen[template[line]]) >= line_dedup.MIN_DOCS and i > min(seen[template[line]])}
+    return [[raw for no, raw in enumerate((text or "").split("\n")) if (place, no) not in gone] for place, (_, text) in enumerate(docs)]
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Every stage against a plain version of it, each on the input it got, over whole small tables."""
+    import re
+
+    from marlstone.llm import decontamination, mixing, near_dedup
+    from tests.llm.test_text_operators import scan_by_force, scores_by_force
+
+    here = "/root/testdata/sf0.001"
+    docs, columns = spark.read.parquet(f"{here}/documents.parquet"), None
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{here}/labels.parquet").collect()}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{here}/benchmark.parquet").collect()]
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = [r.asDict() for r in docs.collect()]
+        stage(spark, docs, here).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns
+        after = [r.asDict() for r in docs.collect()]
+        pairs = [(r["doc_id"], r["text"]) for r in before]
+        if name == "quality":
+            want = [r for r, v in zip(before, scores_by_force(pairs, marks)) if v >= 0.5]
+        elif name == "line_dedup":
+            want = []
+            for r, left in zip(before, lines_by_force(pairs)):
+                text = "\n".join(left)
+                if r["text"] is None or text == r["text"]:
+                    want.append(r)
+                elif re.search("[^\x20\x09-\x0d]", text):
+                    want.append(r | {"text": text, "n_chars": len(text)})
+        elif name == "near_dedup":
+            sh, of = near_dedup.shingles([(t or "").encode() for _, t in pairs]), {i: i for i, _ in pairs}
+            for a in range(len(pairs)):
+                for b in range(a + 1, len(pairs)):
+                    if pairs[a][1] == pairs[b][1] or min(len(sh[a]), len(sh[b])) >= 0.8 * max(len(sh[a]), len(sh[b])) and near_dedup.similarity(sh[a], sh[b]) >= 0.8:
+                        low, high = sorted((of[pairs[a][0]], of[pairs[b][0]]))
+                        of = {k: low if v == high else v for k, v in of.items()}
+            want = [r for r in before if of[r["doc_id"]] == r["doc_id"]]
+        elif name == "decontamination":
+            hit = {i: (n, h) for i, n, h, _ in scan_by_force(pairs, items)}
+            assert {r["doc_id"] for r in after} == {i for i, (n, h) in hit.items() if h <= decontamination.MAX_COVERAGE * n}
+            assert not any(h for _, _, h, _ in scan_by_force([(r["doc_id"], r["text"]) for r in after if hit[r["doc_id"]][1] == 0], items))
+            words = lambda t: len(decontamination.words_of((t or "").encode()))
+            assert all(words(r["text"]) == hit[r["doc_id"]][0] - hit[r["doc_id"]][1] for r in after)
+            continue
+        else:
+            sizes = {}
+            for r in before:
+                sizes[r["source"]] = sizes.get(r["source"], 0) + len(re.findall("[^\x20\x09-\x0d]+", r["text"] or ""))
+            sources = sorted(sizes, key=lambda s: (s is None, s))
+            weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sources)}
+            target, open_ = {}, set(sources)
+            while open_:
+                rest, share = sum(sizes.values()) - sum(target.values()), sum(weight[s] for s in open_)
+                full = {s for s in open_ if rest * weight[s] / share > 3 * sizes[s]}
+                target |= {s: 3.0 * sizes[s] if full else rest * weight[s] / share for s in (full or open_)}
+                open_ -= full or open_
+            taken, copies = {}, {}
+            for r in after:
+                taken[r["source"]] = taken.get(r["source"], 0) + len(re.findall("[^\x20\x09-\x0d]+", r["text"] or ""))
+                copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+            for s in sources:
+                rate = target[s] / sizes[s]
+                largest = max(len((r["text"] or "").split()) for r in before if r["source"] == s)
+                assert abs(taken.get(s, 0) - target[s]) <= largest
+                assert {copies.get(r["doc_id"], 0) for r in before if r["source"] == s} <= {int(rate), int(rate) + 1}
+            continue
+        key = lambda r: repr(sorted(r.items(), key=str))
+        assert sorted(map(key, after)) == sorted(map(key, want)), name
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(9)
     vocab = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(1, 300_000, 97)]
