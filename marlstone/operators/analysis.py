@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import color, contexts
+from . import color, contexts, sequential
 from .predict import Arrays, clamp, gradient, moved
 
 HALF, MASK = 128, 255
@@ -159,6 +159,49 @@ def least_change_recipe(rgb: list[np.ndarray]) -> np.ndarray:
     return costs[:, _RECIPES].sum(2).argmin(1)
 
 
+#: What codes a channel once the recipe is chosen.
+RECIPE_MODELS = {"t37_cgcrct": sequential.Gradient, "t29_l1crct": sequential.MODELS["t30_ols7"]}
+
+
+def recipe_code(images: np.ndarray, name: str, recipe: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """T-29, T-37: images (n, 3, h, w) as residuals in the order of their recipes' channels, or the images."""
+    out = np.empty_like(images)
+    for k in np.unique(recipe):
+        at = np.flatnonzero(recipe == k)
+        known: dict[str, np.ndarray] = {} if inverse else {c: images[at, i] for i, c in enumerate("rgb")}
+        for i, signal in enumerate(color.RECIPES[k]):
+            target, _, offset = signal.partition("-")
+            here = images[at, i] if inverse else known[target]
+            got = sequential.code_offset(here, known[offset] if offset else np.zeros_like(here), RECIPE_MODELS[name], inverse)
+            if inverse:
+                known[target] = got
+            else:
+                out[at, i] = got
+        if inverse:
+            out[at] = np.stack([known[c] for c in "rgb"], axis=1)
+    return out
+
+
+def channel_roundtrip(images: DataFrame, name: str) -> DataFrame:
+    """(image_id, digest, magnitude, mismatches) of T-24, T-29, T-37 or T-61 over all three channels in coding order."""
+
+    def run(batches):
+        for ids, rgb in _images(batches):
+            v = np.stack(rgb, axis=1)
+            if name in RECIPE_MODELS:
+                recipe = least_change_recipe(rgb)
+                out = recipe_code(v, name, recipe)
+                back = recipe_code(out, name, recipe, True)
+            else:
+                both = {"t24_mixnc": sequential.cross_channels, "t61_pu": sequential.predict_update}[name]
+                out = both(v)
+                back = both(out, True)
+            flat = out.reshape(len(v), 3, -1)
+            yield pa.RecordBatch.from_arrays([ids, pa.array((flat * np.arange(1, flat.shape[2] + 1) * np.arange(1, 4)[:, None]).sum((1, 2))), pa.array(np.abs(flat).sum((1, 2))), pa.array((back != v).sum((1, 2, 3)))], ["image_id", "digest", "magnitude", "mismatches"])
+
+    return images.mapInArrow(run, "image_id long, digest long, magnitude long, mismatches long")
+
+
 def bits_per_sample(images: DataFrame) -> DataFrame:
     """C-19: (image_id, recipe, bpd): C-03's recipe, clamped gradient of each channel less its offset, contexts from the
     running state (the row above read three to the right), order-0 bits per channel and context over all samples."""

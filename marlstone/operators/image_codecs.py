@@ -479,6 +479,16 @@ def quantised(v: np.ndarray, name: str) -> np.ndarray:
     return np.clip(blocks.forward2d(planes, transform) + step // 2 >> step.bit_length() - 1, -128, 127)
 
 
+def coefficients(images: DataFrame, name: str) -> DataFrame:
+    """(image_id, px): the quantised coefficients of a lossy codec, channel after channel."""
+
+    def run(batches):
+        for ids, v in _images(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(quantised(v, name).reshape(len(v), -1).tolist(), pa.list_(pa.int64()))], ["image_id", "px"])
+
+    return images.mapInArrow(run, "image_id long, px array<long>")
+
+
 def lossy_encode(v: np.ndarray, name: str) -> list[bytes]:
     return ENTROPY[LOSSY[name][3]][0](contexts.zigzag(quantised(v, name)))
 

@@ -128,6 +128,41 @@ def error_mix_terms(n):
     return [n["N"] + n["W"] - n["NW"], n["W"] + n["NE"] - n["N"], n["N"] + n["NE"] - n["NNE"], n["N"], n["W"], 3 * (n["N"] - n["NN"]) + n["NNN"], 3 * (n["W"] - n["WW"]) + n["WWW"], (n["W"] + n["NEEE"]) >> 1]
 
 
+def faded_mix_terms(n):
+    far = toward_zero(n["WWWW"] + n["WWW"] + n["NNN"] + n["NEE"] + n["NEEE"] + n["NEEEE"] - 2 * n["NW"], 4)
+    return [n["N"], n["W"], 3 * (n["N"] - n["NN"]) + n["NNN"], 3 * (n["W"] - n["WW"]) + n["WWW"], n["W"] + n["NE"] - n["N"], far, n["N"] + n["W"] - n["NW"], n["N"] + n["NE"] - n["NNE"]]
+
+
+class FadedMix:
+    """T-71: predictors weighted by fixed weights over their errors so far: a fading sum, and smoothed errors of the row
+    above (an error also adds to the place above to its right) and of the one above that. 0 outside."""
+
+    WEIGHTS, FADE = (240, 240, 180, 180, 140, 160, 120, 120), 97
+
+    def __init__(self, n: int):
+        self.n, self.row, self.faded = n, None, np.zeros((8, n), dtype=np.int64)
+
+    def predict(self, near):
+        if self.row != near.y:
+            width = near.px.shape[2] - 2 * BESIDE
+            fresh = np.zeros((width + 2, 8, self.n), dtype=np.int64)
+            self.far, self.above, self.here = (fresh, fresh.copy(), fresh.copy()) if self.row is None else (self.above, self.here, fresh)
+            self.row = near.y
+        self.x = x = near.x + 1
+        self.inputs = np.stack([t + np.zeros(self.n, dtype=np.int64) for t in faded_mix_terms(near)])
+        error = self.faded + self.above[x - 1] + 2 * self.above[x] + self.above[x + 1] + self.far[x + 1] + 1
+        w = [k / e for k, e in zip(self.WEIGHTS, error, strict=True)]
+        fold = lambda t: ((t[2] + t[6]) + (t[3] + t[7])) + ((t[0] + t[4]) + (t[1] + t[5]))
+        p = fold([a * b for a, b in zip(w, self.inputs, strict=True)]) / fold(w)
+        return within(np.rint(p).astype(np.int64), near["N"], near["W"], near["NE"])
+
+    def learn(self, v):
+        error, x = np.abs(v - self.inputs) * 2, self.x
+        self.faded = (self.faded + error) * self.FADE >> 7
+        self.here[x] = 2 * self.here[x - 1] + error + self.above[x + 1] >> 2
+        self.above[x + 1] += error
+
+
 class Weighted:
     """T-65: predictors weighted by the inverse of their recent errors."""
 
@@ -210,6 +245,24 @@ class Ols:
         self.b = [c + x * v for c, x in zip(self.b, self.x, strict=True)]
 
 
+class RecentOls(Ols):
+    """T-87: least squares over a sliding window: a sample comes in, and the one LAST before it goes out."""
+
+    LAST = 24
+
+    def __init__(self, n: int):
+        super().__init__(n)
+        self.past: list = []
+
+    def learn(self, v):
+        super().learn(v)
+        self.past.append((self.x, v))
+        if len(self.past) > self.LAST:
+            x, old = self.past.pop(0)
+            self.a = [[c - x[i] * x[j] for j, c in enumerate(row)] for i, row in enumerate(self.a)]
+            self.b = [c - e * old for c, e in zip(self.b, x, strict=True)]
+
+
 class Tables:
     """Sums and counts by context, one table a plane; contexts are mapped to places by the caller."""
 
@@ -286,7 +339,7 @@ class Successors:
 
 MODELS: dict[str, Callable[[int], object]] = {
     **{name: (lambda n, terms=terms, rest=rest: SignMix(n, terms, *rest)) for name, (terms, *rest) in MIXES.items()},
-    "t26_rls": Rls, "t86_ols": Ols, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
+    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t71_wgrad5": FadedMix, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
 }
 
 
@@ -304,6 +357,119 @@ def code(v: np.ndarray, name: str | Callable[[int], object], inverse: bool = Fal
     return out
 
 
+def code_offset(target: np.ndarray, offset: np.ndarray, model: Callable[[int], object], inverse: bool = False) -> np.ndarray:
+    """Residuals of planes of which an offset is known, or the planes: the model sees what the offset leaves, and its
+    prediction and the offset together stay within the depth."""
+    n, h, w = target.shape
+    made, near, out = model(n), Near(n, h, w), np.empty_like(target)
+    for near.y in range(h):
+        for near.x in range(w):
+            here, off = target[:, near.y, near.x], offset[:, near.y, near.x]
+            p = inside(made.predict(near) + off)
+            true = wrap(here + p) if inverse else here
+            out[:, near.y, near.x] = true if inverse else wrap(here - p)
+            near.put(true - off)
+            made.learn(true - off)
+    return out
+
+
+class Gradient:
+    """The clamped gradient."""
+
+    def __init__(self, n: int):
+        pass
+
+    def predict(self, n):
+        return within(n["N"] + n["W"] - n["NW"], n["N"], n["W"])
+
+    def learn(self, v):
+        pass
+
+
+def mixnc_terms(n):
+    """T-24: the terms of T-23, and W and N moved as the channel that is known moved (its change to the west and north)."""
+    return [*mixn_terms(n), n["W"] + n["known"] - n["knownW"], n["N"] + n["known"] - n["knownN"]]
+
+
+class CrossMix(SignMix):
+    """T-24: the mix of T-23 with terms of a channel that is known already."""
+
+    def __init__(self, n: int, known: np.ndarray):
+        self.known = np.pad(known, ((0, 0), (1, 0), (1, 0)))
+        super().__init__(n, lambda near: mixnc_terms(_Beside(near, self.known)), 18, (1 << 18) // 8)
+
+
+class _Beside:
+    def __init__(self, near, known):
+        self.near, self.known = near, known
+
+    def __getitem__(self, name):
+        if not name.startswith("known"):
+            return self.near[name]
+        up, left = offset_of(name[5:])
+        return self.known[:, self.near.y + 1 - up, self.near.x + 1 - left]
+
+
+def cross_channels(images: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """T-24: green by T-23, red and blue with green's terms; images (n, 3, h, w)."""
+    green = code(images[:, 1], "t23_mixn", inverse)
+    known = green if inverse else images[:, 1]
+    rest = [code(images[:, c], lambda n: CrossMix(n, known), inverse) for c in (0, 2)]
+    return np.stack([rest[0], green, rest[1]], axis=1)
+
+
+def zipper(v: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """T-94: from the last sample to the first, the clamped gradient of samples before plus a quarter of the residual to the
+    south or east, whichever way residuals change less."""
+    n, h, w = v.shape
+    # samples not yet coded above and to the left, residuals below and to the right, in one plane
+    mixed = np.zeros((n, h + 4, w + 4), dtype=np.int64)
+    mixed[:, 2:-2, 2:-2] = v
+    places = [(y, x) for y in range(h) for x in range(w)]
+    for y, x in places if inverse else reversed(places):
+        at = lambda name: mixed[:, y + 2 - offset_of(name)[0], x + 2 - offset_of(name)[1]]  # noqa: B023, E731
+        across = np.abs(at("E") - at("EE")) + np.abs(at("S") - at("SE")) + np.abs(at("S") - at("SW"))
+        down = np.abs(at("SSW") - at("SW")) + np.abs(at("SS") - at("S")) + np.abs(at("SE") - at("E"))
+        p = inside(within(at("N") + at("W") - at("NW"), at("N"), at("W")) + toward_zero(np.where(down > across, at("S"), at("E")), 4))
+        here = mixed[:, y + 2, x + 2]
+        mixed[:, y + 2, x + 2] = wrap(here + p if inverse else here - p)
+    return mixed[:, 2:-2, 2:-2].copy()
+
+
+def predict_update(images: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """T-61: images (n, 3, h, w) as residuals. Green by the clamped gradient plus a quarter of the residual above or to the
+    left, whichever way residuals change less; blue and red likewise of what green leaves, green added; and green's residual
+    takes a quarter of the others'."""
+    n, _, h, w = images.shape
+    seen, errors, out = [Near(n, h, w) for _ in range(3)], [Near(n, h, w) for _ in range(3)], np.empty_like(images)
+    for y in range(h):
+        for x in range(w):
+            here = [images[:, c, y, x] for c in range(3)]
+            if inverse:
+                here[1] = wrap(here[1] - (here[0] + here[2] >> 2))
+            got, green = [None] * 3, None
+            for c in (1, 2, 0):
+                a, e = seen[c], errors[c]
+                a.y = e.y = y
+                a.x = e.x = x
+                across = np.abs(e["W"] - e["WW"]) + np.abs(e["N"] - e["NW"]) + np.abs(e["NE"] - e["N"])
+                down = np.abs(e["W"] - e["NW"]) + np.abs(e["N"] - e["NN"]) + np.abs(e["NE"] - e["NNE"])
+                p = within(a["N"] + a["W"] - a["NW"], a["N"], a["W"]) + toward_zero(np.where(across < down, e["N"], e["W"]), 4)
+                if green is not None:
+                    p = inside(p + green)
+                true = wrap(here[c] + p) if inverse else here[c]
+                error = here[c] if inverse else wrap(here[c] - p)
+                a.put(true if green is None else true - green)
+                e.put(error)
+                got[c] = true if inverse else error
+                green = true if green is None else green
+            if not inverse:
+                got[1] = wrap(got[1] + (got[0] + got[2] >> 2))
+            for c in range(3):
+                out[:, c, y, x] = got[c]
+    return out
+
+
 def activity(v: np.ndarray) -> np.ndarray:
     """T-28: the running magnitude before each sample, (W + min(W, NE) + 64 |sample| + max(NEE, NEEE)) >> 2 over the
     magnitudes so far, in units of 64; it can't be undone."""
@@ -392,6 +558,27 @@ def convolve(v: np.ndarray, layers=LAYERS) -> np.ndarray:
     return v
 
 
+def quincunx(v: np.ndarray, inverse: bool = False, levels: int = 2) -> np.ndarray:
+    """T-100: an adaptive wavelet on grids of growing step: one colour of the checkerboard less the mean of its four sides,
+    the other plus the mean of its sides; odd columns less the mean of their diagonals, even ones plus it. Neighbours outside
+    are mirrored, means stay within the depth, results may leave it."""
+    out, order = v.copy(), [(level, turn) for level in range(levels) for turn in range(4)]
+    for level, turn in reversed(order) if inverse else order:
+        g = out[:, :: 1 << level, :: 1 << level]
+        n, h, w = g.shape
+        up, down = np.abs(np.arange(h) - 1), np.where(np.arange(h) + 1 < h, np.arange(h) + 1, np.arange(h) - 1)
+        left, right = np.abs(np.arange(w) - 1), np.where(np.arange(w) + 1 < w, np.arange(w) + 1, np.arange(w) - 1)
+        if turn < 2:
+            around = g[:, up] + g[:, down] + g[:, :, left] + g[:, :, right]
+            mine = np.add.outer(np.arange(h), np.arange(w)) % 2 == 1 - turn
+        else:
+            around = g[:, up][:, :, right] + g[:, up][:, :, left] + g[:, down][:, :, right] + g[:, down][:, :, left]
+            mine = np.broadcast_to(np.arange(w) % 2 == 3 - turn, (h, w))
+        mean = np.where(mine, inside(around >> 2), 0)
+        out[:, :: 1 << level, :: 1 << level] = g + mean if bool(turn % 2) != inverse else g - mean
+    return out
+
+
 def move_to_front(v: np.ndarray, inverse: bool = False) -> np.ndarray:
     """T-55: ranks in a table of recently used levels, starting from the identity."""
     n, size = len(v), v[0].size
@@ -443,6 +630,8 @@ def squeeze(v: np.ndarray, inverse: bool = False) -> np.ndarray:
 CODERS: dict[str, tuple[Callable, Callable]] = {name: (partial(code, name=name), partial(code, name=name, inverse=True)) for name in MODELS} | {
     "t55_mtf": (move_to_front, partial(move_to_front, inverse=True)),
     "t59_cgplus": (polyphase, partial(polyphase, inverse=True)),
+    "t94_zipper": (zipper, partial(zipper, inverse=True)),
+    "t100_awav": (quincunx, partial(quincunx, inverse=True)),
     "t97_squeeze": (squeeze, partial(squeeze, inverse=True)),
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import image_codecs
+from ..operators import blocks, image_codecs
 from ..sources import views as v
 from .context_queries import running_sql
 from .registry import register
@@ -62,5 +62,23 @@ def _lossy(name):
     return query
 
 
+def _coefficients_sql(name: str) -> str:
+    """The coefficients of wrapped colour differences, by the transform's own SQL."""
+    _, transform, step, _ = image_codecs.LOSSY[name]
+    w = lambda e: f"((({e}) + 128) & 255) - 128"
+    lifted = f"SELECT image_id, y, x, {w('r - g')} AS r, {w('b - g')} AS b, g FROM rgb"
+    lifted = f"SELECT image_id, y, x, r, b, {w('g + ((r + b) >> 2)')} AS g FROM ({lifted})"
+    planes = " UNION ALL ".join(f"SELECT image_id * 3 + {i} AS image_id, y * 8 + x AS k, {c} AS v FROM lifted" for i, c in enumerate("rgb"))
+    wide = "SELECT image_id, " + ", ".join(f"max(CASE WHEN k = {i} THEN v END) AS p{i}" for i in range(64)) + " FROM planes3 GROUP BY image_id"
+    kept = " + ".join(f"least(127, greatest(-128, (p{i} + {step // 2}) >> {step.bit_length() - 1})) * ({i + 1} + 64 * (image_id % 3))" for i in range(64))
+    return f"WITH {v.RGB}, lifted AS ({lifted}), planes3 AS ({planes}), wide AS ({wide}), t AS ({blocks.sql('wide', transform)}) SELECT image_id // 3 AS image_id, CAST(sum({kept}) AS BIGINT) AS digest FROM t GROUP BY 1"
+
+
+def _coefficients(name):
+    weighted = "aggregate(transform(px, (p, i) -> p * (i + 1)), 0L, (a, p) -> a + p)"
+    return lambda s, d: image_codecs.coefficients(v.rgb_bytes(s, d), name).select("image_id", F.expr(weighted).alias("digest"))
+
+
 for _name in image_codecs.LOSSY:
     register(f"codec_{_name}", _lossy(_name))
+    register(f"codec_{_name}_coefficients", _coefficients(_name), _coefficients_sql(_name))

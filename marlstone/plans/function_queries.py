@@ -95,4 +95,16 @@ def _pca(s, d):
     return rgb.agg(*[F.round(F.var_pop(e), 2).alias(f"var{i}") for i, e in enumerate(rotated)])
 
 
-register("t18_pca", _pca)
+def _pca_sql() -> str:
+    """Power iteration on the covariance for the first axis, and the variances of the other two from trace and determinant."""
+    pairs = [(a, b) for i, a in enumerate("rgb") for b in "rgb"[i:]]
+    m = {frozenset(p): "".join(p) for p in pairs}
+    row = lambda a: " + ".join(f"{m[frozenset((a, b))]} * {b}" for b in "rgb")
+    cov = ", ".join(f"covar_pop({a}::DOUBLE, {b}::DOUBLE) AS {a}{b}" for a, b in pairs)
+    return f"""WITH RECURSIVE {v.RGB}, c AS (SELECT {cov} FROM rgb), it AS (SELECT 0 AS i, 1.0::DOUBLE AS r, 0.9::DOUBLE AS g, 0.8::DOUBLE AS b, 0.0::DOUBLE AS top
+        UNION ALL SELECT i + 1, x / norm, y / norm, z / norm, norm FROM (SELECT *, sqrt(x * x + y * y + z * z) AS norm FROM (SELECT i, {row('r')} AS x, {row('g')} AS y, {row('b')} AS z FROM it, c WHERE i < 3000))),
+        t AS (SELECT top AS a, rr + gg + bb - top AS s, (rr * (gg * bb - gb * gb) - rg * (rg * bb - gb * rb) + rb * (rg * gb - gg * rb)) / top AS p FROM it, c WHERE i = 3000)
+        SELECT round(a, 2) AS var0, round((s + sqrt(greatest(0, s * s - 4 * p))) / 2, 2) AS var1, round((s - sqrt(greatest(0, s * s - 4 * p))) / 2, 2) AS var2 FROM t"""
+
+
+register("t18_pca", _pca, _pca_sql())

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, sequential
+from ..operators import analysis, blocks, color, sequential
 from ..operators.predict import Text
 from ..sources import views as v
 from .registry import register
@@ -81,6 +81,18 @@ _recursive(
     ["CASE WHEN i % 8 = 0 THEN CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) ELSE e END AS f", ", ".join(f"1.0::DOUBLE / (f[{k}] + 1) AS w{k}" for k in _E)],
     f"CAST(trunc(({' + '.join(f'w{k} * c.p[{k}]' for k in _E)}) / ({' + '.join(f'w{k}' for k in _E)})) AS BIGINT)", {"e": f"[{', '.join(f'((f[{k}] + abs(c.v - c.p[{k}])) * 230) >> 8' for k in _E)}]"},
 )
+_T71 = "N", "W", "3 * (N - NN) + NNN", "3 * (W - WW) + WWW", "W + NE - N", "(WWWW + WWW + NNN + NEE + NEEE + NEEEE - 2 * NW) // 4", "N + W - NW", "N + NE - NNE"
+_EIGHT, _ZEROS = "[1, 2, 3, 4, 5, 6, 7, 8]", "CAST([0 FOR z IN range(72)] AS BIGINT[])"
+_fold = lambda t: f"(({t(3)} + {t(7)}) + ({t(4)} + {t(8)})) + (({t(1)} + {t(5)}) + ({t(2)} + {t(6)}))"
+_recursive(
+    "t71_wgrad5", ("N", "W", "NE", "NW", "NN", "NNN", "WW", "WWW", "WWWW", "NEE", "NEEE", "NEEEE", "NNE"),
+    f"'v': v, 'p': [{', '.join(f'CAST({e} AS BIGINT)' for e in _T71)}], 'lo': least(N, W, NE), 'hi': greatest(N, W, NE)",
+    {"faded": "CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])", "far": _ZEROS, "above": _ZEROS, "here": "CAST([] AS BIGINT[])"},
+    ["i % 8 AS x", f"[CAST([{', '.join(map(str, sequential.FadedMix.WEIGHTS))}][j] AS DOUBLE) / (faded[j] + CASE WHEN x > 0 THEN above[8 * x - 8 + j] ELSE 0 END + 2 * above[8 * x + j] + above[8 * x + 8 + j] + far[8 * x + 8 + j] + 1) FOR j IN {_EIGHT}] AS w, [abs(c.v - c.p[j]) * 2 FOR j IN {_EIGHT}] AS error",
+     f"list_concat(here, [(2 * CASE WHEN x > 0 THEN here[8 * x - 8 + j] ELSE 0 END + error[j] + above[8 * x + 8 + j]) >> 2 FOR j IN {_EIGHT}]) AS grown, list_concat(list_concat(above[1:8 * x + 8], [above[8 * x + 8 + j] + error[j] FOR j IN {_EIGHT}]), above[8 * x + 17:]) AS raised"],
+    f"least(c.hi, greatest(c.lo, CAST(round_even(({_fold(lambda k: f'w[{k}] * c.p[{k}]')}) / ({_fold(lambda k: f'w[{k}]')}), 0) AS BIGINT)))",
+    {"faded": f"[((faded[j] + error[j]) * 97) >> 7 FOR j IN {_EIGHT}]", "far": "CASE WHEN x = 7 THEN raised ELSE far END", "above": "CASE WHEN x = 7 THEN list_concat(grown, CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])) ELSE raised END", "here": "CASE WHEN x = 7 THEN CAST([] AS BIGINT[]) ELSE grown END"},
+)
 _recursive(
     "t65_wp", ("W", "NE", "N", "NW"), "'v': v, 'x': [CAST(e AS DOUBLE) FOR e IN [W + NE - N, N, W, N + W - NW]]", {"e": "CAST([1, 1, 1, 1] AS DOUBLE[])"}, [", ".join(f"1 / (e[{k}] + 1) AS w{k}" for k in range(1, 5))],
     f"CAST(round_even(least(127, greatest(-128, ({' + '.join(f'w{k} * c.x[{k}]' for k in range(1, 5))}) / ({' + '.join(f'w{k}' for k in range(1, 5))}))), 0) AS BIGINT)",
@@ -97,10 +109,10 @@ _recursive(
 )
 
 
-def _least_squares() -> str:
+def _least_squares(since: str = "UNBOUNDED") -> str:
     """The normal equations are sums over the past; elimination step by step."""
     x = ("N", "W", "NW", "NE")
-    past = "OVER (PARTITION BY image_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    past = f"OVER (PARTITION BY image_id ORDER BY k ROWS BETWEEN {since} PRECEDING AND 1 PRECEDING)"
     cells = [f"CAST({8 if i == j else 0} + coalesce(sum({x[i]} * {x[j]}) {past}, 0) AS DOUBLE) AS a{i}{j}" for i in range(4) for j in range(4)]
     cells += [f"CAST({4 if i < 2 else 0} + coalesce(sum({x[i]} * v) {past}, 0) AS DOUBLE) AS b{i}" for i in range(4)]
     sql = f"SELECT image_id, k, v, {', '.join(x)}, {', '.join(cells)} FROM n"
@@ -116,6 +128,7 @@ def _least_squares() -> str:
 
 
 _windowed("t86_ols", ("N", "W", "NW", "NE"), _least_squares(), "CAST(round_even(least(127, greatest(-128, w0 * N + w1 * W + w2 * NW + w3 * NE)), 0) AS BIGINT)")
+_windowed("t87_ols2", ("N", "W", "NW", "NE"), _least_squares(str(sequential.RecentOls.LAST)), "CAST(round_even(least(127, greatest(-128, w0 * N + w1 * W + w2 * NW + w3 * NE)), 0) AS BIGINT)")
 _PAST = "ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _windowed("t66_wgrad", ("N", "W", "NW", "NE", "NN", "WW", "NNE", "NNW", "NWW"), "m AS (SELECT *, abs(N - NW) + abs(W - WW) + abs(NE - N) + abs(NW - NWW) + 1 AS gx, abs(N - NN) + abs(W - NW) + abs(NE - NNE) + abs(NW - NNW) + 1 AS gy FROM n)", "(gx * N + gy * W) // (gx + gy)")
 _windowed("t92_table", ("N", "W", "NE", "NW"), "m AS (SELECT *, " + " + ".join(f"lag(v, 1, {k}) OVER (PARTITION BY image_id, {k} ORDER BY k)" for k in ("N", "W", "NE", "NW")) + " AS followers FROM n)", "followers >> 2")
@@ -194,3 +207,121 @@ def _dct_sql() -> str:
 
 
 register("t106_fdct8", _digest(blocks.fast_dct2d), _dct_sql())
+
+
+def _quincunx_sql(levels: int = 2) -> str:
+    """Each turn is a window over the grid of its level; samples off the grid pass."""
+    sql = "SELECT image_id, y, x, v FROM planes"
+    for level in range(levels):
+        g = 1 << level
+        grid = f"(y % {g} = 0 AND x % {g} = 0)"
+        for turn in range(4):
+            row, col = f"OVER (PARTITION BY image_id, {grid}, y ORDER BY x)", f"OVER (PARTITION BY image_id, {grid}, x ORDER BY y)"
+            if turn < 2:
+                sides = f"coalesce(lag(v) {col}, lead(v) {col}) + coalesce(lead(v) {col}, lag(v) {col}) + coalesce(lag(v) {row}, lead(v) {row}) + coalesce(lead(v) {row}, lag(v) {row})"
+                mine = f"((y + x) // {g}) % 2 = {1 - turn}"
+                inner = f"SELECT *, {sides} AS around FROM ({sql})"
+            else:
+                ends = f"SELECT *, coalesce(lag(v) {row}, lead(v) {row}) + coalesce(lead(v) {row}, lag(v) {row}) AS e FROM ({sql})"
+                mine = f"(x // {g}) % 2 = {3 - turn}"
+                inner = f"SELECT *, coalesce(lag(e) {col}, lead(e) {col}) + coalesce(lead(e) {col}, lag(e) {col}) AS around FROM ({ends})"
+            sql = f"SELECT image_id, y, x, CASE WHEN {grid} AND {mine} THEN v {'+' if turn % 2 else '-'} least(127, greatest(-128, around >> 2)) ELSE v END AS v FROM ({inner})"
+    return f"WITH {v.PLANES}, r AS (SELECT image_id, y * 8 + x AS k, v AS res FROM ({sql})) SELECT image_id, {DIGEST} FROM r GROUP BY image_id"
+
+
+_register("t100_awav", _quincunx_sql())
+
+def _error_at(name: str) -> str:
+    """A residual by the name of its place, of a list `e` of 64 in raster order at sample `q`; 0 outside."""
+    up, left = sequential.offset_of(name)
+    return f"(CASE WHEN q // 8 BETWEEN {max(0, up)} AND {7 + min(0, up)} AND q % 8 BETWEEN {max(0, left)} AND {7 + min(0, left)} THEN e[q + 1 - {8 * up + left}] ELSE 0 END)"
+
+
+def _change(*pairs: tuple[str, str]) -> str:
+    return " + ".join(f"abs({_error_at(a)} - {_error_at(b)})" for a, b in pairs)
+
+
+def _over_residuals(sample: str, table: str, backwards: bool, update: str, p: str) -> str:
+    """r (image_id, k, res): residuals that follow from residuals already there; `c` is the sample's struct."""
+    q = "63 - i" if backwards else "i"
+    return f"""cs AS (SELECT image_id, list({{{sample}}} ORDER BY k) AS cs FROM ({table}) GROUP BY image_id),
+        st AS (SELECT image_id, 0 AS i, cs, CAST([0 FOR z IN range(64)] AS BIGINT[]) AS e FROM cs
+            UNION ALL SELECT image_id, i + 1, cs, list_concat(list_concat(e[1:q], [CAST({wrapped(p, 'c.t')} AS BIGINT)]), e[q + 2:])
+            FROM (SELECT *, {update} AS update FROM (SELECT *, cs[q + 1] AS c FROM (SELECT *, {q} AS q FROM st WHERE i < 64)))),
+        r AS (SELECT image_id, unnest(range(0, 64)) AS k, unnest(e) AS res FROM st WHERE i = 64)"""
+
+
+_GRADIENT = "greatest(least(N, W), least(greatest(N, W), N + W - NW))"
+_south = f"(CASE WHEN {_change(('SSW', 'SW'), ('SS', 'S'), ('SE', 'E'))} > {_change(('E', 'EE'), ('S', 'SE'), ('S', 'SW'))} THEN {_error_at('S')} ELSE {_error_at('E')} END) // 4"
+_register("t94_zipper", f"""WITH RECURSIVE {v.PLANES}, n AS ({near_sql(('N', 'W', 'NW'))}), {_over_residuals(f"'t': v, 'm': {_GRADIENT}", 'n', True, _south, 'least(127, greatest(-128, c.m + update))')}
+    SELECT image_id, {DIGEST} FROM r GROUP BY image_id""")
+
+# --- models over the channels of an image: the SQL numbers planes 3 * image + channel in coding order
+
+CHANNELS = "SELECT image_id // 3 AS image_id, CAST(sum(res * (k + 1) * (image_id % 3 + 1)) AS BIGINT) AS digest, CAST(sum(abs(res)) AS BIGINT) AS magnitude, CAST(0 AS BIGINT) AS mismatches FROM r GROUP BY 1"
+
+
+def _chosen_sql() -> str:
+    """sig (image_id, y, x, t, o, v): targets, offsets and what these leave, by the recipe of the least changes."""
+    signals = ("r", "g", "b", "(r - g)", "(g - b)", "(b - r)")
+    lags = ", ".join(f"abs({x} - lag({x}, 1, 0) OVER w) AS q{i}" for i, x in enumerate(signals))
+    costs = "[" + ", ".join(" + ".join(f"q{analysis.SIGNAL_OF[c]}" for c in r) for r in color.RECIPES) + "]"
+    rows = []
+    for k, recipe in enumerate(color.RECIPES):
+        for c, name in enumerate(recipe):
+            t, _, o = name.partition("-")
+            rows.append(f"SELECT image_id * 3 + {c} AS image_id, y, x, {t} AS t, {o or 0} AS o, {t} - {o or 0} AS v FROM rgb JOIN chosen USING (image_id) WHERE recipe = {k}")
+    return f"""{v.RGB}, moves AS (SELECT image_id, {lags} FROM rgb WINDOW w AS (PARTITION BY image_id ORDER BY y, x)),
+        changes AS (SELECT image_id, {', '.join(f'CAST(sum(q{i}) AS BIGINT) AS q{i}' for i in range(6))} FROM moves GROUP BY image_id),
+        chosen AS (SELECT image_id, CAST(list_position({costs}, list_min({costs})) - 1 AS INT) AS recipe FROM changes), sig AS ({' UNION ALL '.join(rows)})"""
+
+
+def _by_channel(name: str, sql: str) -> None:
+    register(f"{name}_roundtrip", lambda s, d: analysis.channel_roundtrip(v.rgb_bytes(s, d), name), sql)
+
+
+_by_channel("t37_cgcrct", f"""WITH {_chosen_sql()}, n AS ({near_sql(('N', 'W', 'NW'), 'sig')}), m AS (SELECT n.*, t, o FROM n JOIN sig USING (image_id, y, x)),
+    r AS (SELECT image_id, k, {wrapped('least(127, greatest(-128, greatest(least(N, W), least(greatest(N, W), N + W - NW)) + o))', 't')} AS res FROM m) {CHANNELS}""")
+
+
+def _signs_sql(parts: list[str], near: str, first: int, shift: int, step: int, bias: int) -> str:
+    """r (image_id, k, res): a mix whose weights move by signs, over cs of samples with target t and offset o."""
+    places = range(1, len(parts) + 1)
+    bounds = ", ".join(f'"{k}"' for k in ("N", "W", "NE", "NEEE"))
+    return f"""cs AS (SELECT image_id, list({{'v': v, 't': t, 'o': o, 'p': [{', '.join(f'CAST({e} AS BIGINT)' for e in parts)}], 'lo': least({bounds}), 'hi': greatest({bounds})}} ORDER BY k) AS cs FROM ({near}) GROUP BY image_id),
+        st AS (SELECT image_id, 0 AS i, cs, CAST(0 AS BIGINT) AS res, CAST([{', '.join([str(first)] * len(parts))}] AS BIGINT[]) AS w, CAST({bias} AS BIGINT) AS bias FROM cs
+            UNION ALL SELECT image_id, i + 1, cs, CAST({wrapped('least(127, greatest(-128, least(c.hi, greatest(c.lo, p)) + c.o))', 'c.t')} AS BIGINT), [{', '.join(f'w[{k}] + sg * c.p[{k}]' for k in places)}], bias + sg * {step}
+            FROM (SELECT *, CAST(sign(c.v - p) AS BIGINT) AS sg FROM (SELECT *, (bias + {' + '.join(f'w[{k}] * c.p[{k}]' for k in places)}) >> {shift} AS p FROM (SELECT *, cs[i + 1] AS c FROM st WHERE i < 64)))),
+        r AS (SELECT image_id, i - 1 AS k, res FROM st WHERE i > 0)"""
+
+
+_terms, _shift, _first, _step = sequential.MIXES["t30_ols7"]
+_l1 = _Names()
+_l1_parts = list(map(str, _terms(_l1)))
+_by_channel("t29_l1crct", f"WITH RECURSIVE {_chosen_sql()}, n AS ({near_sql(tuple(dict.fromkeys([*_l1, 'N', 'W', 'NE', 'NEEE'])), 'sig')}), {_signs_sql(_l1_parts, 'SELECT n.*, t, o FROM n JOIN sig USING (image_id, y, x)', _first, _shift, _step, 1 << _shift >> 1)} {CHANNELS}")
+
+
+def _cross_sql() -> str:
+    names = _Names()
+    parts = list(map(str, sequential.mixnc_terms(names)))
+    plain = tuple(dict.fromkeys([*(k for k in names if not k.startswith("known")), "N", "W", "NE", "NEEE"]))
+    planes = " UNION ALL ".join(f"SELECT image_id * 3 + {i} AS image_id, y, x, {c} AS v FROM rgb" for i, c in enumerate("rgb"))
+    known = "SELECT image_id, y, x, g AS known, lag(g, 1, 0) OVER (PARTITION BY image_id, y ORDER BY x) AS \"knownW\", lag(g, 1, 0) OVER (PARTITION BY image_id, x ORDER BY y) AS \"knownN\" FROM rgb"
+    green = list(map(str, sequential.mixn_terms(_Names())))
+    mixed = _signs_sql(parts, "SELECT n.*, n.v AS t, 0 AS o, q.known, q.\"knownW\", q.\"knownN\" FROM n JOIN q ON q.image_id = n.image_id // 3 AND q.y = n.y AND q.x = n.x WHERE n.image_id % 3 <> 1", (1 << 18) // 8, 18, 0, 1 << 17)
+    other = _signs_sql(green, "SELECT n.*, n.v AS t, 0 AS o FROM n WHERE n.image_id % 3 = 1", (1 << 18) // 6, 18, 0, 1 << 17)
+    other = other.replace("cs AS (", "cs1 AS (", 1).replace("st AS (", "st1 AS (", 1).replace("FROM cs\n", "FROM cs1\n").replace("FROM st WHERE i < 64", "FROM st1 WHERE i < 64").replace("r AS (SELECT image_id, i - 1 AS k, res FROM st WHERE i > 0)", "r1 AS (SELECT image_id, i - 1 AS k, res FROM st1 WHERE i > 0)")
+    mixed = mixed.replace("r AS (SELECT image_id, i - 1 AS k, res FROM st", "r0 AS (SELECT image_id, i - 1 AS k, res FROM st")
+    return f"WITH RECURSIVE {v.RGB}, chan AS ({planes}), n AS ({near_sql(plain, 'chan')}), q AS ({known}), {mixed}, {other}, r AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1) {CHANNELS}"
+
+
+_by_channel("t24_mixnc", _cross_sql())
+
+
+_north = f"(CASE WHEN {_change(('W', 'WW'), ('N', 'NW'), ('NE', 'N'))} < {_change(('W', 'NW'), ('N', 'NN'), ('NE', 'NNE'))} THEN {_error_at('N')} ELSE {_error_at('W')} END) // 4"
+_PU_PLANES = " UNION ALL ".join(f"SELECT image_id * 3 + {i} AS image_id, y, x, {c} AS t, {o} AS o, {c} - {o} AS v FROM rgb" for i, (c, o) in enumerate((("r", "g"), ("g", "0"), ("b", "g"))))
+_PU_P = "CASE WHEN c.luma THEN c.m + update ELSE least(127, greatest(-128, c.m + update + c.o)) END"
+_by_channel("t61_pu", f"""WITH RECURSIVE {v.RGB}, sig AS ({_PU_PLANES}), n AS ({near_sql(('N', 'W', 'NW'), 'sig')}),
+    {_over_residuals(f"'t': t, 'o': o, 'luma': luma, 'm': {_GRADIENT}", 'SELECT n.*, t, o, n.image_id % 3 = 1 AS luma FROM n JOIN sig USING (image_id, y, x)', False, _north, _PU_P).replace("r AS (SELECT image_id, unnest", "r0 AS (SELECT image_id, unnest")},
+    w AS (SELECT image_id // 3 AS image_id, k, max(CASE WHEN image_id % 3 = 0 THEN res END) AS a, max(CASE WHEN image_id % 3 = 1 THEN res END) AS b, max(CASE WHEN image_id % 3 = 2 THEN res END) AS c FROM r0 GROUP BY 1, 2),
+    r AS (SELECT image_id * 3 AS image_id, k, a AS res FROM w UNION ALL SELECT image_id * 3 + 1, k, ((b + ((a + c) >> 2) + 128) & 255) - 128 FROM w UNION ALL SELECT image_id * 3 + 2, k, c FROM w) {CHANNELS}""")

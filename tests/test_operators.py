@@ -292,3 +292,11 @@ def test_lossy_image_codec_restores_its_coefficients(name):
     planes = sequential.inside(blocks.inverse2d(image_codecs.quantised(v, name) * step, transform))
     assert (back == image_codecs.COLOURS[colour][1](planes, np.zeros(len(v), dtype=np.int64), True)).all()
     assert ((back - v)[4:] ** 2).mean() < 200
+
+
+@pytest.mark.parametrize("name", ["t24_mixnc", "t29_l1crct", "t37_cgcrct", "t61_pu"])
+def test_models_over_channels_round_trip(spark, name):
+    v = _pictures()
+    df = spark.createDataFrame([(i, *[p.ravel().tolist() for p in image]) for i, image in enumerate(v)], "image_id long, r array<int>, g array<int>, b array<int>")
+    rows = analysis.channel_roundtrip(df, name).collect()
+    assert len(rows) == len(v) and all(r["mismatches"] == 0 for r in rows) and rows[0]["magnitude"] == 0
