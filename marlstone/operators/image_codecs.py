@@ -415,12 +415,41 @@ def _by_bytes(encode, decode):
     )
 
 
+def _lz_encode(data: bytes) -> bytes:
+    """Matches and literals, their bytes through the binary coder."""
+    raw = codecs.lz_encode(data)
+    return codecs._varint(len(raw)) + binary_encode(np.frombuffer(raw, dtype=np.uint8).astype(np.int64).reshape(1, 1, 1, -1), "order1")[0]
+
+
+def _lz_decode(data: bytes) -> bytes:
+    n, at = codecs._unvarint(data, 0)
+    return codecs.lz_decode(binary_decode([data[at:]], (1, 1, 1, n), "order1").astype(np.uint8).tobytes())
+
+
+def either_encode(sym: np.ndarray, names: tuple[str, ...]) -> list[bytes]:
+    """The shortest of several coders' streams, behind the coder's number."""
+    tried = [ENTROPY[name][0](sym) for name in names]
+    best = [min(range(len(names)), key=lambda k: (len(tried[k][i]), k)) for i in range(len(sym))]
+    return [bytes([k]) + tried[k][i] for i, k in enumerate(best)]
+
+
+def either_decode(data: list[bytes], shape, names: tuple[str, ...]) -> np.ndarray:
+    out = np.zeros(shape, dtype=np.int64)
+    for k, name in enumerate(names):
+        at = [i for i, d in enumerate(data) if d[0] == k]
+        if at:
+            out[at] = ENTROPY[name][1]([data[i][1:] for i in at], (len(at), *shape[1:]))
+    return out
+
+
 #: Entropy coders: (symbols to bytes, bytes and shape to symbols).
 ENTROPY: dict[str, tuple[Callable, Callable]] = {
     "rice": (rice_encode, rice_decode),
     "lz_rice": _by_bytes(lambda b: codecs.rice_encode(codecs.lz_encode(b)), lambda b: codecs.lz_decode(codecs.rice_decode(b))),
     "rle_rice": _by_bytes(lambda b: codecs.rice_encode(codecs.rle_encode(b)), lambda b: codecs.rle_decode(codecs.rice_decode(b))),
     "huffman": _by_bytes(codecs.huffman_encode, codecs.huffman_decode),
+    "lz_binary": _by_bytes(_lz_encode, _lz_decode),
+    "rice_or_ac": (partial(either_encode, names=("rice", "moving_magnitude")), partial(either_decode, names=("rice", "moving_magnitude"))),
 }
 for _kind in CONTEXTS:
     ENTROPY[f"static_{_kind}"] = partial(static_encode, kind=_kind), partial(static_decode, kind=_kind)
@@ -433,11 +462,12 @@ _FEW, _SEVEN = ("north", "west", "gradient"), ("zero", "north", "west", "average
 LOSSLESS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "c01_mix_ac": ("recipe", ("t67_wgrad3",), "binary_magnitude"), "c04_rice_weighted": ("subgreen", ("t65_wp",), "rice"), "c05_rice_simple": ("recipe", _SEVEN, "rice"), "c06_binary": ("subgreen", ("gradient",), "binary_order0"),
     "c07_order0_binary": ("none", ("gradient",), "binary_order0"), "c09_symbol_ans": ("jpeg2000", ("gradient",), "static_order0"), "c10_l1_magnitude": ("recipe", ("t30_ols7",), "binary_magnitude"), "c11_mix_magnitude": ("recipe", ("t67_wgrad3",), "moving_magnitude"),
-    "c12_order1_binary": ("recipe", ("gradient",), "binary_order1"), "c16_subgreen_order0": ("subgreen", ("gradient",), "moving_order0"), "c17_previous_rice": ("subgreen", ("west",), "rice"), "c18_subgreen_either": ("subgreen", _FEW, "rice"),
+    "c12_order1_binary": ("recipe", ("gradient",), "binary_order1"), "c16_subgreen_order0": ("subgreen", ("gradient",), "moving_order0"), "c17_previous_rice": ("subgreen", ("west",), "rice"), "c18_subgreen_either": ("subgreen", _FEW, "rice_or_ac"),
     "c20_static_order1": ("subgreen", ("gradient",), "static_order1"), "c22_static_order1_any": ("subgreen", _SEVEN, "static_order1"), "c23_static_blockwise": ("recipe", _SEVEN, "static_order1"), "c26_binary_adaptive": ("none", ("zero",), "binary_order0"),
     "c27_rice": ("subgreen", ("gradient",), "rice"), "c28_magnitude_ac": ("subgreen", ("gradient",), "moving_magnitude"), "c29_static_magnitude": ("recipe", ("t67_wgrad3", "gradient"), "static_magnitude"), "c30_ols": ("recipe", ("t86_ols",), "moving_magnitude"),
     "c33_gradient_only": ("recipe", ("gradient",), "static_magnitude"), "c37_weighted_or_l1": ("recipe", ("t65_wp", "t30_ols7"), "moving_magnitude"), "c41_select_runs": ("recipe", _SEVEN, "rle_rice"), "c42_lz_rice": ("subgreen", ("gradient",), "lz_rice"),
     "c43_lz_rice_plain": ("none", ("zero",), "lz_rice"), "c44_adaptive_order1": ("subgreen", ("gradient",), "moving_order1"), "c45_simple_order1": ("subgreen", ("west",), "static_order1"), "c57_fast_rice": ("none", ("west",), "rice"),
+    "c03_binary_weighted": ("recipe", ("t71_wgrad5",), "binary_order1"), "c14_weighted_binary": ("subgreen", ("t71_wgrad5",), "binary_magnitude"), "c25_mix8_ac": ("recipe", ("t71_wgrad5",), "moving_magnitude"), "c46_rice_or_ac": ("recipe", ("gradient",), "rice_or_ac"), "c56_lz_ac": ("subgreen", ("west",), "lz_binary"),
     "c58_bit_counts": ("recipe", ("gradient",), "counts_order1"), "huffman_gradient": ("subgreen", ("gradient",), "huffman"),
 }
 
