@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import color, contexts, sequential
 from .predict import Arrays, clamp, gradient, moved
@@ -160,7 +161,7 @@ def least_change_recipe(rgb: list[np.ndarray]) -> np.ndarray:
 
 
 #: What codes a channel once the recipe is chosen.
-RECIPE_MODELS = {"t37_cgcrct": sequential.Gradient, "t29_l1crct": sequential.MODELS["t30_ols7"]}
+RECIPE_MODELS = {"t37_cgcrct": sequential.Gradient, "t29_l1crct": sequential.MODELS["t30_ols7"], "ols": sequential.Ols, "wp": sequential.Weighted}
 
 
 def recipe_code(images: np.ndarray, name: str, recipe: np.ndarray, inverse: bool = False) -> np.ndarray:
@@ -182,6 +183,53 @@ def recipe_code(images: np.ndarray, name: str, recipe: np.ndarray, inverse: bool
     return out
 
 
+def model_sizes(images: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """C-21, C-22: (image_id, a column per model, best): order-0 bits a sample of each model's residuals per channel and
+    running context, after C-03's recipe; the first of equal size is best."""
+
+    def run(batches):
+        for ids, rgb in _images(batches):
+            v, recipe, sizes = np.stack(rgb, axis=1), least_change_recipe(rgb), []
+            for name in names:
+                res, bits = recipe_code(v, name, recipe), np.zeros(len(v))
+                for c in range(3):
+                    ctx = contexts.by_state(contexts.running(contexts.zigzag(res[:, c])), contexts.BPD_CONTEXTS)
+                    hist = contexts.histogram(ctx, res[:, c], contexts.BPD_CONTEXTS)
+                    bits += np.where(hist > 0, -hist * np.log2(np.maximum(hist, 1) / np.maximum(hist.sum(-1, keepdims=True), 1)), 0.0).sum((1, 2))
+                sizes.append(np.round(bits / v[0].size, 6))
+            best = np.stack(sizes).argmin(0)
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, sizes), pa.array([names[k] for k in best])], ["image_id", *names, "best"])
+
+    return images.mapInArrow(run, "image_id long, " + ", ".join(f"{n} double" for n in names) + ", best string")
+
+
+#: C-23: levels of each of two weights of a blend of three predictors; the third weight is what is left of a quarter of the levels.
+GRID_BITS = 5
+
+
+def blend_choices(planes: DataFrame, bits: int = GRID_BITS) -> DataFrame:
+    """C-23: (a, b, n): how many samples (two rows from above and one column from the sides on) are predicted best by each
+    pair of weights of (N + W) >> 1 and N + W - NW, the rest of the weight on W + NE - N; of equal errors the first pair in
+    order of b, then a."""
+    levels = 1 << bits
+    a, b = np.tile(np.arange(1, levels + 1), levels), np.repeat(np.arange(1, levels + 1), levels)
+
+    def run(batches):
+        total = np.zeros(levels * levels, dtype=np.int64)
+        for _, v in contexts._batches(batches):
+            n = {k: moved(v, *AT[k])[:, 2:, 1:-1].reshape(-1, 1) for k in ("N", "W", "NW", "NE")}
+            here = v[:, 2:, 1:-1].reshape(-1, 1)
+            for i in range(0, len(here), 1024):
+                at = {k: e[i : i + 1024] for k, e in n.items()}
+                p = a * (at["N"] + at["W"] >> 1) + b * (at["N"] + at["W"] - at["NW"]) + ((levels >> 2) - a - b) * (at["W"] + at["NE"] - at["N"]) >> bits - 2
+                p = clamp(Arrays, p, at["N"], at["W"], at["NE"])
+                total += np.bincount(np.abs(here[i : i + 1024] - p).argmin(1), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(a[at].astype(np.int32)), pa.array(b[at].astype(np.int32)), pa.array(total[at])], ["a", "b", "n"])
+
+    return planes.select("image_id", "px").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def channel_roundtrip(images: DataFrame, name: str) -> DataFrame:
     """(image_id, digest, magnitude, mismatches) of T-24, T-29, T-37 or T-61 over all three channels in coding order."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import analysis, color, contexts, metrics, predict
@@ -213,3 +214,18 @@ def _channels(s, d):
 register("a16_channel_ratios", _channels, f"""WITH {v.RGB}, l AS (SELECT image_id, unnest(['r', 'g', 'b', 'rgb']) AS channel, unnest([r, g, b, ((r + 128) * 256 + g + 128) * 256 + b + 128]) AS level FROM rgb),
     h AS (SELECT image_id, channel, level, count(*) AS f FROM l GROUP BY ALL), e AS (SELECT image_id, channel, count(*) AS levels, log2(sum(f)) - sum(f * log2(f)) / sum(f) AS bits FROM h GROUP BY ALL)
     SELECT image_id, channel, levels, round(CASE WHEN bits > 1e-9 THEN CASE WHEN channel = 'rgb' THEN 24 ELSE 8 END / bits END, 6) AS ratio FROM e""")
+
+
+def _blocks(s, d):
+    """C-20: bits of a plane under one histogram, under one per block of 4 x 4 samples, and under a block's histogram mixed
+    with that of the blocks before it."""
+    w = Window.partitionBy("image_id", "v").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    hist = v.planes(s, d).withColumn("block", F.expr("cast(y div 4 * 2 + x div 4 as int)")).groupBy("image_id", "block", "v").agg(F.count("*").alias("f"))
+    hist = hist.withColumn("before", F.coalesce(F.sum("f").over(w), F.lit(0))).withColumn("all", F.sum("f").over(Window.partitionBy("image_id", "v")))
+    bits = {"whole": -F.col("f") * F.log2(F.col("all") / 64.0), "blocks": -F.col("f") * F.log2(F.col("f") / 16.0), "mixed": -F.col("f") * F.log2((F.col("f") + F.col("before")) / (16.0 + 16.0 * F.col("block")))}
+    return hist.groupBy("image_id").agg(*[F.round(F.sum(e), 6).alias(k) for k, e in bits.items()])
+
+
+register("c20_block_sizes", _blocks, f"""WITH {v.PLANES}, h AS (SELECT image_id, CAST(y // 4 * 2 + x // 4 AS INT) AS block, v, count(*) AS f FROM planes GROUP BY ALL),
+    b AS (SELECT *, coalesce(sum(f) OVER (PARTITION BY image_id, v ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(f) OVER (PARTITION BY image_id, v) AS everywhere FROM h)
+    SELECT image_id, round(sum(-f * log2(everywhere / 64.0::DOUBLE)), 6) AS whole, round(sum(-f * log2(f / 16.0::DOUBLE)), 6) AS blocks, round(sum(-f * log2((f + before) / (16.0::DOUBLE + 16 * block))), 6) AS mixed FROM b GROUP BY image_id""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis, blocks, color, sequential
 from ..operators.predict import Text
 from ..sources import views as v
+from .context_queries import running_sql
 from .registry import register
 
 DIGEST = "CAST(sum(res * (k + 1)) AS BIGINT) AS digest, CAST(sum(abs(res)) AS BIGINT) AS magnitude, CAST(0 AS BIGINT) AS mismatches"
@@ -325,3 +326,44 @@ _by_channel("t61_pu", f"""WITH RECURSIVE {v.RGB}, sig AS ({_PU_PLANES}), n AS ({
     {_over_residuals(f"'t': t, 'o': o, 'luma': luma, 'm': {_GRADIENT}", 'SELECT n.*, t, o, n.image_id % 3 = 1 AS luma FROM n JOIN sig USING (image_id, y, x)', False, _north, _PU_P).replace("r AS (SELECT image_id, unnest", "r0 AS (SELECT image_id, unnest")},
     w AS (SELECT image_id // 3 AS image_id, k, max(CASE WHEN image_id % 3 = 0 THEN res END) AS a, max(CASE WHEN image_id % 3 = 1 THEN res END) AS b, max(CASE WHEN image_id % 3 = 2 THEN res END) AS c FROM r0 GROUP BY 1, 2),
     r AS (SELECT image_id * 3 AS image_id, k, a AS res FROM w UNION ALL SELECT image_id * 3 + 1, k, ((b + ((a + c) >> 2) + 128) & 255) - 128 FROM w UNION ALL SELECT image_id * 3 + 2, k, c FROM w) {CHANNELS}""")
+
+
+# --- estimators over the same residuals
+
+#: In the SQL of a size: bits a sample of r (image_id, k, res), whose planes are 3 * image + channel.
+def _sized_sql(name: str, table: str = "r") -> str:
+    state = running_sql(f"zs_{name}").replace("st AS (", f"run_{name} AS (", 1).replace("FROM st WHERE k < 64", f"FROM run_{name} WHERE k < 64")
+    return f"""zs_{name} AS (SELECT image_id, list(CAST(CASE WHEN res < 0 THEN -2 * res - 1 ELSE 2 * res END AS BIGINT) ORDER BY k) AS zs FROM {table} GROUP BY image_id), {state},
+        c_{name} AS (SELECT image_id, least(17, CAST(floor(log2(state * state + 1)) AS INT)) AS ctx, zs[k + 1] AS sym, count(*) AS f FROM run_{name} WHERE k < 64 GROUP BY ALL),
+        size_{name} AS (SELECT image_id // 3 AS image_id, round(sum(-f * log2(f / n)) / 192, 6) AS size FROM (SELECT *, sum(f) OVER (PARTITION BY image_id, ctx) AS n FROM c_{name}) GROUP BY 1)"""
+
+
+def _renamed(sql: str, name: str) -> str:
+    """The recursive tables of a model under names of their own."""
+    for old in ("cs", "st", "r"):
+        sql = sql.replace(f"{old} AS (", f"{old}_{name} AS (").replace(f"FROM {old} ", f"FROM {old}_{name} ").replace(f"FROM {old}\n", f"FROM {old}_{name}\n")
+    return sql
+
+
+_OFFSET = "SELECT n.*, t, o FROM n JOIN sig USING (image_id, y, x)"
+_WP_W = " + ".join(f"w{k} * c.x[{k}]" for k in range(1, 5)), " + ".join(f"w{k}" for k in range(1, 5))
+_WP = _renamed(f"""cs AS (SELECT image_id, list({{'v': v, 't': t, 'o': o, 'x': [CAST(e AS DOUBLE) FOR e IN [W + NE - N, N, W, N + W - NW]]}} ORDER BY k) AS cs FROM ({_OFFSET}) GROUP BY image_id),
+        st AS (SELECT image_id, 0 AS i, cs, CAST(0 AS BIGINT) AS res, CAST([1, 1, 1, 1] AS DOUBLE[]) AS e FROM cs
+            UNION ALL SELECT image_id, i + 1, cs, CAST({wrapped(f"least(127, greatest(-128, CAST(round_even(least(127, greatest(-128, ({_WP_W[0]}) / ({_WP_W[1]}))), 0) AS BIGINT) + c.o))", 'c.t')} AS BIGINT), [{', '.join(f'e[{k}] * 0.75::DOUBLE + abs(c.x[{k}] - c.v)' for k in range(1, 5))}]
+            FROM (SELECT *, {', '.join(f'1 / (e[{k}] + 1) AS w{k}' for k in range(1, 5))} FROM (SELECT *, cs[i + 1] AS c FROM st WHERE i < 64))),
+        r AS (SELECT image_id, i - 1 AS k, res FROM st WHERE i > 0)""", "wp")
+_L1 = _renamed(_signs_sql(_l1_parts, _OFFSET, _first, _shift, _step, 1 << _shift >> 1), "l1")
+_OLS_P = "CAST(round_even(least(127, greatest(-128, w0 * N + w1 * W + w2 * NW + w3 * NE)), 0) AS BIGINT)"
+_OLS = f"{_least_squares()}, r_ols AS (SELECT m.image_id, m.k, {wrapped(f'least(127, greatest(-128, {_OLS_P} + o))', 't')} AS res FROM m JOIN sig ON sig.image_id = m.image_id AND sig.y * 8 + sig.x = m.k)"
+_ALL_NEAR = near_sql(tuple(dict.fromkeys([*_l1, "N", "W", "NE", "NEEE", "NW"])), "sig")
+for _name, _models in (("c21_ols_or_wp", {"ols": _OLS, "wp": _WP}), ("c22_wp_or_l1", {"wp": _WP, "t29_l1crct": _L1})):
+    _short = {"ols": "ols", "wp": "wp", "t29_l1crct": "l1"}
+    _x, _y = _models
+    register(_name, lambda s, d, names=tuple(_models): analysis.model_sizes(v.rgb_bytes(s, d), names), f"""WITH RECURSIVE {_chosen_sql()}, n AS ({_ALL_NEAR}), {', '.join(_models.values())}, {', '.join(_sized_sql(_short[k], f'r_{_short[k]}') for k in _models)}
+        SELECT image_id, a.size AS {_x}, b.size AS {_y}, CASE WHEN a.size <= b.size THEN '{_x}' ELSE '{_y}' END AS best FROM size_{_short[_x]} a JOIN size_{_short[_y]} b USING (image_id)""")
+
+_LEVELS = 1 << analysis.GRID_BITS
+register("c23_blend_choices", lambda s, d: analysis.blend_choices(v.plane_bytes(s, d)), f"""WITH {v.PLANES}, n AS ({near_sql(('N', 'W', 'NW', 'NE'))}), inside AS (SELECT image_id, k, v, N, W, NE, (N + W) >> 1 AS e1, N + W - NW AS e2, W + NE - N AS e3 FROM n WHERE y >= 2 AND x BETWEEN 1 AND 6),
+    tried AS (SELECT image_id, k, a, b, abs(v - greatest(least(N, W, NE), least(greatest(N, W, NE), (a * e1 + b * e2 + ({_LEVELS >> 2} - a - b) * e3) >> {analysis.GRID_BITS - 2}))) AS e FROM inside, (SELECT unnest(range(1, {_LEVELS + 1}))::INT AS a), (SELECT unnest(range(1, {_LEVELS + 1}))::INT AS b)),
+    best AS (SELECT image_id, k, min(e * {_LEVELS * _LEVELS} + (b - 1) * {_LEVELS} + a - 1) % {_LEVELS * _LEVELS} AS place FROM tried GROUP BY image_id, k)
+    SELECT CAST(place % {_LEVELS} + 1 AS INT) AS a, CAST(place // {_LEVELS} + 1 AS INT) AS b, count(*) AS n FROM best GROUP BY 1, 2""")
