@@ -38,6 +38,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.coalesce(FILES_A_CORE * sc.defaultParallelism).checkpoint(eager=True)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Have texts travel to Python workers in small batches: 10,000 rows, Spark's default, are tens of megabytes that the
+    executor's JVM holds outside its heap, for each task. Settings that the session has changed stay."""
+    for key, usual, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", None, str(8 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if now in (None, usual):
+            spark.conf.set(key, value)
+
+
 def compact(df: DataFrame, rows_each: int = 250_000) -> tuple[DataFrame, int]:
     """Materialise a table that may be small in few partitions, so that what reads it doesn't start a task for nothing;
     and its number of rows."""
@@ -52,7 +62,8 @@ def bounded(df: DataFrame, rows: int, row_bytes: int = 32, limit: int = BROADCAS
 
 
 def release(spark: SparkSession) -> None:
-    """Have shuffle files and checkpoints removed that nothing refers to any more. Spark does so when the driver's JVM
+    """Have shuffle files removed that nothing refers to any more, and checkpoints where the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints. Spark does so when the driver's JVM
     collects garbage, which small plans may not bring about for a long time. The first collection frees the plans and
     what they hold is only found by the next; removal itself runs beside, hence the pauses."""
     for _ in range(2):

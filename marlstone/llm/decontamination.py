@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_batches
 
 WINDOW = 10
 #: Item words in one automaton (about 0.6 kB each while it is in use); larger benchmarks are dealt to several, which are
@@ -207,6 +207,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     Null and blank texts have no words and no hits; items with a null id or without words never occur, and an item id on
     several rows counts once; repeated documents are judged one by one; an empty benchmark hits nothing.
     """
+    text_batches(docs.sparkSession)
     parts = automata(benchmark, window, shard_words)
     first, second = next(parts), next(parts, None)
     if second is None:
@@ -274,6 +275,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
 
     Nulls, repeated rows and empty tables are as in `scan`; other columns pass, whatever their names.
     """
+    text_batches(docs.sparkSession)
     parts = automata(benchmark, window, shard_words)
     first, second = next(parts), next(parts, None)
     if second is None:

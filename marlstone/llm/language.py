@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialize
+from .common import attach, materialize, text_batches
 from .url_filter import host_of
 
 #: Expected number of labelled documents that the text model is fitted on, chosen by a hash of their ids.
@@ -154,6 +154,7 @@ def identify(pages: DataFrame, documents: DataFrame, **options) -> DataFrame:
     evidence and a null text_language; urls without host share an empty host; ties go to the first language in code
     point order; repeated rows count each; without labelled documents language is null; an empty table gives no rows.
     """
+    text_batches(pages.sparkSession)
     model = fit(documents, **options)
     k = len(model.languages)
     spark = pages.sparkSession

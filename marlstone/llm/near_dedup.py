@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import attach, bounded, compact, materialize, release
+from .common import attach, bounded, compact, materialize, release, text_batches
 from .decontamination import NORMAL
 
 K, SIMILAR = 5, 0.8
@@ -243,6 +243,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def _classes(docs: DataFrame, similar: float) -> DataFrame:
     """`classes` with a hash of each row's text, `h1`."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     whole = rows.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("twin"), "text").alias("h2"), "text")
     sketched = whole.mapInArrow(_sketch, "doc_id long, h1 long, h2 long, n long, bands array<long>")

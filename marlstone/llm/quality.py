@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_batches
 
 N_FOURIER, BANDWIDTH, RIDGE, SEED = 160, 4.0, 1e-3, 20240611
 BINS = 512  # of raw scores, for the calibration
@@ -164,6 +164,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs`. Null texts count as empty, and an empty text's
     statistics are zeros; ties of raw scores share a score; repeated rows are scored alike; other columns are ignored; an
     empty table gives no rows, and without labels every score is 0.5."""
+    text_batches(docs.sparkSession)
     feats = materialize(features(docs))
     model = feats.sparkSession.sparkContext.broadcast(fit(materialize(labelled(feats, labels))))
 
@@ -178,6 +179,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that score 0.5 or more, unchanged."""
+    text_batches(docs.sparkSession)
     train = materialize(labelled(features(docs), labels))
     model, names = docs.sparkSession.sparkContext.broadcast(fit(train)), docs.columns
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import buckets, materialize, release
+from .common import buckets, materialize, release, text_batches
 
 WIDTH = 50
 #: Bytes of text that a task hashes at a time, windows that a bucket is planned for, and windows that a task remembers.
@@ -253,6 +253,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, digest: bool = False, n_buckets:
     probability of 2 ** -92, so 1.5e13 windows (100 TB) hold about 0.02 colliding pairs by expectation.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     if n_buckets is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
