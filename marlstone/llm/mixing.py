@@ -20,7 +20,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     Sources in code point order, null last, take the weights in turn and share the sum of all sizes by weight. A target
     stops at `max_repeat` times its source's size; what it can't take goes to the others by weight until none is above.
     In order of cap / weight, level i = (total - caps before i) / (weights from i on) rises up to the first source that
-    isn't capped and falls behind it, so the final level is the highest one. The windows run over one row per source.
+    isn't capped and falls behind it, so the final level is the highest one. The windows run over one row of some 100 bytes
+    per source in one task, which sorts (and spills) millions of sources; they don't grow with the documents.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -70,8 +71,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     """(row, size, source_size, target, copies): `row` holds all columns of `docs`, so no name can clash.
 
     A document is taken floor(rate) times, rate = target / size of its source, and perhaps once more for rate -
-    floor(rate), by a draw seeded with its id and rotated to bring its source near the target. Null and blank texts have size 0; rows with equal ids are drawn alike
-    (a null id counts as one id); null is a source of its own; an empty table gives an empty mix.
+    floor(rate), by a draw seeded with its id and rotated to bring its source near the target. Null and blank texts have
+    size 0; rows with equal ids are drawn alike (a null id counts as one id); null is a source of its own; an empty table
+    gives an empty mix.
     """
     sized = docs.select(F.struct("*").alias("row"), draw(F.col("doc_id"), seed).alias("u"), F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     per = materialize(source_plan(materialize(sized.select("source", "size", "u")), weights, max_repeat))
