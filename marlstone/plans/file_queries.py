@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import codecs, stats
 from ..sources import files
 from ..sources import views as v
@@ -82,3 +83,65 @@ def _varints(s, d):
 
 
 register("f26_varints", _varints, "WITH n AS (SELECT CAST(o_orderkey AS BIGINT) * o_orderkey * 31 AS n FROM orders) SELECT CAST((len(bin(greatest(n, 1))) + 6) // 7 AS BIGINT) AS bytes, count(*) AS count, CAST(0 AS BIGINT) AS wrong FROM n GROUP BY 1")
+
+
+# --- files that are written to a shared folder and read again
+
+
+def _appended(s, d):
+    """K-01: cells are appended in two parts; what a reader then sees."""
+    path, cells = files.scratch(s), v.cells(s, d)
+    for part in range(2):
+        files.append_runs(cells.where(f"file_idx % 2 = {part}"), path)
+    return s.read.parquet(path).groupBy("codec").agg(F.count("*").alias("n"), F.sum("csize").alias("csize"))
+
+
+register("k01_appended_runs", _appended, f"WITH {v.CELLS} SELECT codec, count(*) AS n, CAST(sum(csize) AS BIGINT) AS csize FROM cells GROUP BY codec")
+
+#: One history a supplier: its first files, and a run a month with a total and a cell per file.
+_FILES_A_HISTORY, _HISTORIES = 4, 5
+
+
+def _history_texts(s, d):
+    few = v.files(s, d).where(f"file_idx <= {_FILES_A_HISTORY}").select("file_idx", F.concat(F.col("usize").cast("string"), F.lit("\t"), F.col("filename"), F.lit(".ppm")).alias("line"))
+    head = few.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "line"))), lambda x: x["line"]), "\n").alias("head"))
+    month = F.array(*[F.struct(F.lit(m).alias("m"), F.array(*[F.lit(float(m * 10 + k)) for k in range(5 * (_FILES_A_HISTORY + 1))]).alias("x")) for m in range(1, 4)])
+    runs = F.transform(month, lambda r: F.concat(F.lit("c"), F.col("id").cast("string"), F.lit("\t20240"), r["m"].cast("string"), F.lit("05_101112\t"), F.array_join(F.transform(r["x"], lambda e: (e + F.col("id")).cast("string")), " ")))
+    text = F.concat(F.lit("C:/data/\tppm\nfiles:\n"), F.col("head"), F.lit("\ntests:\n"), F.array_join(runs, "\n"))
+    return s.range(1, _HISTORIES + 1).crossJoin(head).select("id", text.alias("value"))
+
+
+def _history(s, d):
+    """S-12, S-01, S-04: histories written as text files, found by a scan, parsed and aligned with their files."""
+    path = files.scratch(s)
+    texts = _history_texts(s, d)
+    texts.repartition(_HISTORIES, "id").write.partitionBy("id").text(path)
+    found = files.scan(s, path, ("txt",), recursive=True)
+    listed, cells = files.history(s, path)
+    at = F.regexp_extract("dataset", r"id=(\d+)", 1).cast("long")
+    sizes = listed.select(at.alias("id"), "file_idx", "usize").groupBy("id").agg(F.count("*").alias("files"), F.sum("usize").alias("usize"))
+    cells = cells.groupBy(at.alias("id"), F.col("run_seq"), "codec").agg(F.first("ts").cast("string").alias("ts"), F.sum(F.when(F.col("file_idx") < 0, F.col("csize"))).alias("total"), F.sum(F.when(F.col("file_idx") >= 0, F.col("csize") + F.col("dmem") * (F.col("file_idx") + 1))).alias("digest"))
+    seen = found.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("long").alias("id"), (F.col("length") > 0).alias("found"))
+    return cells.join(sizes, "id").join(seen, "id").select("id", F.col("run_seq").cast("int").alias("run_seq"), "codec", "ts", "files", "usize", "total", "digest", "found")
+
+
+register("s12_s01_histories", _history, f"""WITH {v.CELLS}, few AS (SELECT count(*) AS files, CAST(sum(usize) AS BIGINT) AS usize FROM files WHERE file_idx <= {_FILES_A_HISTORY}),
+    r AS (SELECT unnest(range(1, {_HISTORIES + 1})) AS id, few.* FROM few), m AS (SELECT r.*, unnest(range(1, 4))::INT AS m FROM r), x AS (SELECT *, unnest(range(0, {_FILES_A_HISTORY}))::INT AS f FROM m)
+    SELECT id, CAST(m - 1 AS INT) AS run_seq, 'c' || id AS codec, '2024-0' || m || '-05 10:11:12' AS ts, any_value(files) AS files, any_value(usize) AS usize, any_value(m * 10 + id)::DOUBLE AS total,
+        sum(m * 10 + 5 * (f + 1) + id + (m * 10 + 5 * (f + 1) + 4 + id) * (f + 1))::DOUBLE AS digest, true AS found FROM x GROUP BY id, m""")
+
+
+def _templates(s, d):
+    """S-14, S-15, K-02: command templates and a folder list written as text, read and checked."""
+    path = files.scratch(s)
+    regions = v.table(s, d, "region").select(F.col("r_regionkey").cast("int").alias("id"), F.lower(F.trim(F.col("r_name").cast("string"))).alias("name"))
+    lines = regions.select("id", F.concat(F.lit("enc_"), "name", F.lit(" *.ppm *."), "name", F.lit("\ndec_"), "name", F.lit(" *."), "name", F.lit(" *.ppm")).alias("value"))
+    lines.repartition(1).write.partitionBy("id").text(path)
+    files.write_lines(regions.select(F.lit(0).alias("block"), F.concat(F.lit("/data/"), "name").alias("line")), f"{path}-list")
+    folders = files.folder_list(s, f"{path}-list")
+    got = files.templates(s, path).select(F.regexp_extract("path", r"id=(\d+)", 1).cast("int").alias("id"), "encode", "decode")
+    return got.select("id", "encode", "decode", scalars.template_ok(F.col("encode"), F.col("decode")).alias("ok"), F.lit(len(folders)).cast("long").alias("folders"))
+
+
+register("s14_s15_templates", _templates, """WITH n AS (SELECT CAST(r_regionkey AS INT) AS id, lower(trim(r_name)) AS name FROM region)
+    SELECT id, 'enc_' || name || ' *.ppm *.' || name AS encode, 'dec_' || name || ' *.' || name || ' *.ppm' AS decode, true AS ok, (SELECT count(*) FROM n) AS folders FROM n""")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 import struct
+import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -273,6 +275,14 @@ def history(spark: SparkSession, path: str, fields: int = 5) -> tuple[DataFrame,
     return files, cells.select("dataset", "run_seq", "codec", "ts", "file_idx", *[F.get("values", F.lit(i)).alias(c) for i, c in enumerate(CELL[fields])])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or a local one if the master is local."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if shared is None and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='marlstone-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def append_runs(cells: DataFrame, path: str) -> None:
     """K-01: append run records; nothing already written is rewritten."""
     cells.write.mode("append").parquet(path)
