@@ -460,14 +460,14 @@ for _kind in CONTEXTS:
 _FEW, _SEVEN = ("north", "west", "gradient"), ("zero", "north", "west", "average", "gradient", "slope", "select")
 #: Lossless codecs by what they are known to be made of: colour, predictors to choose from per plane, entropy coder.
 LOSSLESS: dict[str, tuple[str, tuple[str, ...], str]] = {
-    "c01_mix_ac": ("recipe", ("t67_wgrad3",), "binary_magnitude"), "c04_rice_weighted": ("subgreen", ("t65_wp",), "rice"), "c05_rice_simple": ("recipe", _SEVEN, "rice"), "c06_binary": ("subgreen", ("gradient",), "binary_order0"),
+    "c01_mix_ac": ("recipe", ("t65_wp",), "binary_magnitude"), "c02_binary": ("recipe", _SEVEN, "binary_order1"), "c04_rice_weighted": ("subgreen", ("t65_wp",), "rice"), "c05_rice_simple": ("recipe", _SEVEN, "rice"), "c06_binary": ("subgreen", ("gradient",), "binary_order0"),
     "c07_order0_binary": ("none", ("gradient",), "binary_order0"), "c09_symbol_ans": ("jpeg2000", ("gradient",), "static_order0"), "c10_l1_magnitude": ("recipe", ("t30_ols7",), "binary_magnitude"), "c11_mix_magnitude": ("recipe", ("t67_wgrad3",), "moving_magnitude"),
     "c12_order1_binary": ("recipe", ("gradient",), "binary_order1"), "c16_subgreen_order0": ("subgreen", ("gradient",), "moving_order0"), "c17_previous_rice": ("subgreen", ("west",), "rice"), "c18_subgreen_either": ("subgreen", _FEW, "rice_or_ac"),
     "c20_static_order1": ("subgreen", ("gradient",), "static_order1"), "c22_static_order1_any": ("subgreen", _SEVEN, "static_order1"), "c23_static_blockwise": ("recipe", _SEVEN, "static_order1"), "c26_binary_adaptive": ("none", ("zero",), "binary_order0"),
     "c27_rice": ("subgreen", ("gradient",), "rice"), "c28_magnitude_ac": ("subgreen", ("gradient",), "moving_magnitude"), "c29_static_magnitude": ("recipe", ("t67_wgrad3", "gradient"), "static_magnitude"), "c30_ols": ("recipe", ("t86_ols",), "moving_magnitude"),
     "c33_gradient_only": ("recipe", ("gradient",), "static_magnitude"), "c37_weighted_or_l1": ("recipe", ("t65_wp", "t30_ols7"), "moving_magnitude"), "c41_select_runs": ("recipe", _SEVEN, "rle_rice"), "c42_lz_rice": ("subgreen", ("gradient",), "lz_rice"),
     "c43_lz_rice_plain": ("none", ("zero",), "lz_rice"), "c44_adaptive_order1": ("subgreen", ("gradient",), "moving_order1"), "c45_simple_order1": ("subgreen", ("west",), "static_order1"), "c57_fast_rice": ("none", ("west",), "rice"),
-    "c03_binary_weighted": ("recipe", ("t71_wgrad5",), "binary_order1"), "c14_weighted_binary": ("subgreen", ("t71_wgrad5",), "binary_magnitude"), "c25_mix8_ac": ("recipe", ("t71_wgrad5",), "moving_magnitude"), "c46_rice_or_ac": ("recipe", ("gradient",), "rice_or_ac"), "c56_lz_ac": ("subgreen", ("west",), "lz_binary"),
+    "c03_binary_weighted": ("recipe", ("t71_wgrad5",), "binary_order1"), "c14_weighted_binary": ("subgreen", ("t71_wgrad5",), "binary_magnitude"), "c15_weighted_binary": ("recipe", ("t71_wgrad5",), "binary_magnitude"), "c24_mix4_ac": ("recipe", ("t65_wp",), "moving_order1"), "c34_rans": ("recipe", _SEVEN, "static_order0"), "t45_calic": ("none", ("t42_calic",), "moving_magnitude"), "c25_mix8_ac": ("recipe", ("t71_wgrad5",), "moving_magnitude"), "c46_rice_or_ac": ("recipe", ("gradient",), "rice_or_ac"), "c56_lz_ac": ("subgreen", ("west",), "lz_binary"),
     "c58_bit_counts": ("recipe", ("gradient",), "counts_order1"), "huffman_gradient": ("subgreen", ("gradient",), "huffman"),
 }
 
