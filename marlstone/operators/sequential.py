@@ -163,6 +163,55 @@ class FadedMix:
         self.above[x + 1] += error
 
 
+class ShiftMix:
+    """T-72: predictors that know what was missed around, weighted by whole numbers that stand for fixed weights over their
+    errors above the best one: a running mean and the errors of nine places around, 0 outside."""
+
+    WEIGHTS = (210, 210, 215, 215, 140, 230, 120, 140)
+    INVERSE = np.array([(1 << 15) // (k + 1) for k in range(128)])
+
+    def __init__(self, n: int):
+        self.n, self.row, self.mean = n, None, np.zeros((8, n), dtype=np.int64)
+
+    def predict(self, near):
+        if self.row != near.y:
+            h, w = near.px.shape[1] - ABOVE, near.px.shape[2] - 2 * BESIDE
+            fresh = np.zeros((w + 4, 8, self.n), dtype=np.int64)
+            if self.row is None:
+                self.far, self.above, self.here, self.missed = fresh, fresh, fresh.copy(), Near(self.n, h, w)
+            else:
+                self.far, self.above, self.here = self.above, self.here, fresh
+            self.row = near.y
+        self.missed.y, self.missed.x = near.y, near.x
+        self.x = x = near.x + 2
+        self.inputs = np.stack(shift_mix_terms(near, self.missed))
+        error = (self.mean >> 3) + 2 * (self.above[x - 1] + self.above[x] + self.here[x - 1]) + self.far[x] + self.far[x + 1] + self.above[x + 1] + self.here[x - 2] + 1
+        shift = np.maximum(0, (np.frexp((error + 1).astype(np.float64))[1] - 1) - 6)
+        w = (np.array(self.WEIGHTS)[:, None] * self.INVERSE[error >> shift] >> shift) + 4
+        w = w >> np.frexp(w.sum(0).astype(np.float64))[1] - 1 - 5
+        p = (w * self.inputs).sum(0) * self.INVERSE[w.sum(0) - 1] >> 15
+        self.p = within(p, near["N"], near["W"], near["NE"])
+        return self.p
+
+    def learn(self, v):
+        error = np.abs(v - self.inputs)
+        error = error - error.min(0)
+        self.mean = self.mean + ((error << 6) - self.mean + 4 >> 3)
+        self.here[self.x] = error
+        self.missed.put(v - self.p)
+
+
+def shift_mix_terms(n, e):
+    z, q = np.zeros_like(n["N"]), toward_zero
+    return [
+        n["N"] + q(23 * e["N"] - 2 * (e["NN"] + e["NW"]) + 9 * e["W"], 110), n["W"] + q(23 * e["W"] - 2 * (e["WW"] + e["NW"]) + 9 * e["N"], 110),
+        3 * (n["N"] - n["NN"]) + n["NNN"] + q(q(e["N"], 2) + q(e["NN"], 2) + e["NNN"], 3), 3 * (n["W"] - n["WW"]) + n["WWW"] + q(q(e["W"], 2) + q(e["WW"], 2) + e["WWW"], 3),
+        n["W"] + n["NE"] - n["N"] + (-13 * e["N"] >> 4) + q(e["W"] * 13, 32) - (e["W"] >> 7),
+        q(n["WWW"] + n["NN"] - 2 * n["NW"] + n["NEE"] + n["NEEE"] + n["NEEEE"] + q(n["N"] - n["W"], 6) + q(n["NNN"] - n["NE"] - (5 * (e["N"] + e["W"]) + e["WW"]), 2), 3),
+        n["N"] + n["W"] - n["NW"] + q(e["N"] + e["W"] - e["NW"], 3), n["N"] + n["NE"] - n["NNE"] + (e["N"] + e["NE"] + e["NNE"] + 4 >> 3) + z,
+    ]
+
+
 class Weighted:
     """T-65: predictors weighted by the inverse of their recent errors."""
 
@@ -339,7 +388,7 @@ class Successors:
 
 MODELS: dict[str, Callable[[int], object]] = {
     **{name: (lambda n, terms=terms, rest=rest: SignMix(n, terms, *rest)) for name, (terms, *rest) in MIXES.items()},
-    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t71_wgrad5": FadedMix, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
+    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
 }
 
 

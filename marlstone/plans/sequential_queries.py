@@ -252,6 +252,28 @@ def _over_residuals(sample: str, table: str, backwards: bool, update: str, p: st
         r AS (SELECT image_id, unnest(range(0, 64)) AS k, unnest(e) AS res FROM st WHERE i = 64)"""
 
 
+_m = {k: _error_at(k) for k in ("N", "W", "NW", "NE", "NN", "WW", "NNN", "WWW", "NNE")}
+_T72 = [
+    f"c.N + (23 * {_m['N']} - 2 * ({_m['NN']} + {_m['NW']}) + 9 * {_m['W']}) // 110", f"c.W + (23 * {_m['W']} - 2 * ({_m['WW']} + {_m['NW']}) + 9 * {_m['N']}) // 110",
+    f"3 * (c.N - c.NN) + c.NNN + ({_m['N']} // 2 + {_m['NN']} // 2 + {_m['NNN']}) // 3", f"3 * (c.W - c.WW) + c.WWW + ({_m['W']} // 2 + {_m['WW']} // 2 + {_m['WWW']}) // 3",
+    f"c.W + c.NE - c.N + ((-13 * {_m['N']}) >> 4) + ({_m['W']} * 13) // 32 - ({_m['W']} >> 7)",
+    f"(c.WWW + c.NN - 2 * c.NW + c.NEE + c.NEEE + c.NEEEE + (c.N - c.W) // 6 + (c.NNN - c.NE - (5 * ({_m['N']} + {_m['W']}) + {_m['WW']})) // 2) // 3",
+    f"c.N + c.W - c.NW + ({_m['N']} + {_m['W']} - {_m['NW']}) // 3", f"c.N + c.NE - c.NNE + (({_m['N']} + {_m['NE']} + {_m['NNE']} + 4) >> 3)",
+]
+_near72 = ("N", "W", "NN", "WW", "NNN", "WWW", "NE", "NW", "NEE", "NEEE", "NEEEE", "NNE")
+_lg = lambda e: f"CAST(floor(log2({e})) AS INT)"
+_recursive(
+    "t72_wgrad6", _near72, "'v': v, " + ", ".join(f"'{k}': \"{k}\"" for k in _near72),
+    {"e": "CAST([0 FOR z IN range(64)] AS BIGINT[])", "mean": "CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])", "far": _ZEROS, "above": _ZEROS, "here": "CAST([] AS BIGINT[])"},
+    ["i AS q, i % 8 AS x", f"[{', '.join(f'CAST({t} AS BIGINT)' for t in _T72)}] AS p",
+     f"[(mean[j] >> 3) + 2 * (CASE WHEN x > 0 THEN above[8 * x - 8 + j] + here[8 * x - 8 + j] ELSE 0 END + above[8 * x + j]) + far[8 * x + j] + far[8 * x + 8 + j] + above[8 * x + 8 + j] + CASE WHEN x > 1 THEN here[8 * x - 16 + j] ELSE 0 END + 1 FOR j IN {_EIGHT}] AS error",
+     f"[greatest(0, {_lg('t + 1')} - 6) FOR t IN error] AS sh", f"[((CAST([{', '.join(map(str, sequential.ShiftMix.WEIGHTS))}] AS BIGINT[])[j] * (32768 // ((error[j] >> sh[j]) + 1))) >> sh[j]) + 4 FOR j IN {_EIGHT}] AS w0",
+     f"[t >> ({_lg('CAST(list_sum(w0) AS BIGINT)')} - 5) FOR t IN w0] AS w", f"({' + '.join(f'w[{j}] * p[{j}]' for j in range(1, 9))}) AS total, CAST(list_sum(w) AS BIGINT) AS ws",
+     "least(greatest(c.N, c.W, c.NE), greatest(least(c.N, c.W, c.NE), (total * (32768 // ws)) >> 15)) AS pp", f"[abs(c.v - p[j]) FOR j IN {_EIGHT}] AS miss", f"[miss[j] - list_min(miss) FOR j IN {_EIGHT}] AS over_best"],
+    "pp",
+    {"e": "list_concat(list_concat(e[1:q], [c.v - pp]), e[q + 2:])", "mean": f"[mean[j] + ((over_best[j] * 64 - mean[j] + 4) >> 3) FOR j IN {_EIGHT}]", "far": "CASE WHEN x = 7 THEN above ELSE far END",
+     "above": "CASE WHEN x = 7 THEN list_concat(list_concat(here, over_best), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])) ELSE above END", "here": "CASE WHEN x = 7 THEN CAST([] AS BIGINT[]) ELSE list_concat(here, over_best) END"},
+)
 _GRADIENT = "greatest(least(N, W), least(greatest(N, W), N + W - NW))"
 _south = f"(CASE WHEN {_change(('SSW', 'SW'), ('SS', 'S'), ('SE', 'E'))} > {_change(('E', 'EE'), ('S', 'SE'), ('S', 'SW'))} THEN {_error_at('S')} ELSE {_error_at('E')} END) // 4"
 _register("t94_zipper", f"""WITH RECURSIVE {v.PLANES}, n AS ({near_sql(('N', 'W', 'NW'))}), {_over_residuals(f"'t': v, 'm': {_GRADIENT}", 'n', True, _south, 'least(127, greatest(-128, c.m + update))')}
