@@ -539,6 +539,34 @@ def halve(v: np.ndarray, inverse: bool = False) -> np.ndarray:
     return inside(v << 1 | v + HALF >> DEPTH - 1)
 
 
+#: T-27: weights of the mix at first and their scale, and the distance in bits.
+QUANT_FIRST, QUANT_SHIFT, QUANT_DISTANCE = (1 << 21) // 4, 18, 2
+
+
+def adaptive_quantiser(v: np.ndarray, distance: int = QUANT_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """T-27: levels of what a mix of four predictors misses over a divisor, and what they restore. The mix sees restored
+    samples and moves by signs; the divisor follows the running magnitude of levels, up to 2 ** distance."""
+    n, h, w = v.shape
+    near, state, levels = Near(n, h, w), Near(n, h, w), np.empty_like(v)
+    weights = [np.full(n, QUANT_FIRST, dtype=np.int64) for _ in range(4)]
+    for y in range(h):
+        for x in range(w):
+            near.y = state.y = y
+            near.x = state.x = x
+            terms = [near["W"] + 0, near["N"] + near["W"] - near["NW"], 2 * near["N"] - near["NN"], near["NE"] + 0]
+            free = total([a * t for a, t in zip(weights, terms, strict=True)]) >> QUANT_SHIFT
+            p = within(free, near["N"], near["W"], near["NE"], near["NEEE"])
+            over = np.minimum(state["W"] + 1, 1 << distance)
+            level = toward_zero(v[:, y, x] - p, over)
+            back = inside(level * over + p)
+            levels[:, y, x] = level
+            state.put(2 * state["W"] + (np.where(level < 0, -2 * level - 1, 2 * level) << distance) + state["NEEE"] >> 2)
+            near.put(back)
+            sign = np.sign(back - free)
+            weights = [a + sign * t for a, t in zip(weights, terms, strict=True)]
+    return levels, near.px[:, ABOVE:, BESIDE : BESIDE + w].copy()
+
+
 #: T-59: what each of four polyphases is predicted from; the phases are (odd rows, odd columns), in coding order.
 PHASES = ((0, 1), (1, 0), (1, 1), (0, 0))
 

@@ -3,6 +3,8 @@ past are windows there, and models whose weights move are recursive queries over
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import analysis, blocks, color, sequential
@@ -232,10 +234,10 @@ def _quincunx_sql(levels: int = 2) -> str:
 
 _register("t100_awav", _quincunx_sql())
 
-def _error_at(name: str) -> str:
-    """A residual by the name of its place, of a list `e` of 64 in raster order at sample `q`; 0 outside."""
+def _error_at(name: str, held: str = "e") -> str:
+    """A residual by the name of its place, of a list of 64 in raster order at sample `q`; 0 outside."""
     up, left = sequential.offset_of(name)
-    return f"(CASE WHEN q // 8 BETWEEN {max(0, up)} AND {7 + min(0, up)} AND q % 8 BETWEEN {max(0, left)} AND {7 + min(0, left)} THEN e[q + 1 - {8 * up + left}] ELSE 0 END)"
+    return f"(CASE WHEN q // 8 BETWEEN {max(0, up)} AND {7 + min(0, up)} AND q % 8 BETWEEN {max(0, left)} AND {7 + min(0, left)} THEN {held}[q + 1 - {8 * up + left}] ELSE 0 END)"
 
 
 def _change(*pairs: tuple[str, str]) -> str:
@@ -279,6 +281,38 @@ _south = f"(CASE WHEN {_change(('SSW', 'SW'), ('SS', 'S'), ('SE', 'E'))} > {_cha
 _register("t94_zipper", f"""WITH RECURSIVE {v.PLANES}, n AS ({near_sql(('N', 'W', 'NW'))}), {_over_residuals(f"'t': v, 'm': {_GRADIENT}", 'n', True, _south, 'least(127, greatest(-128, c.m + update))')}
     SELECT image_id, {DIGEST} FROM r GROUP BY image_id""")
 
+def _quantiser_sql() -> str:
+    terms = [_error_at("W"), f"{_error_at('N')} + {_error_at('W')} - {_error_at('NW')}", f"2 * {_error_at('N')} - {_error_at('NN')}", _error_at("NE")]
+    sides = ", ".join(map(_error_at, ("N", "W", "NE", "NEEE")))
+    steps = [
+        "i AS q, vs[i + 1] AS v", f"[{', '.join(f'CAST({t} AS BIGINT)' for t in terms)}] AS p, least({sides}) AS lo, greatest({sides}) AS hi, {_error_at('W', 'm')} AS west, {_error_at('NEEE', 'm')} AS far",
+        f"({' + '.join(f'w[{k}] * p[{k}]' for k in _R)}) >> {sequential.QUANT_SHIFT} AS free, least(west + 1, {1 << sequential.QUANT_DISTANCE}) AS divisor", "least(hi, greatest(lo, free)) AS pp", "(v - pp) // divisor AS level",
+        "least(127, greatest(-128, level * divisor + pp)) AS back", "CAST(sign(back - free) AS BIGINT) AS sg",
+    ]
+    inner = "SELECT * FROM st WHERE i < 64"
+    for more in steps:
+        inner = f"SELECT *, {more} FROM ({inner})"
+    zeros = "CAST([0 FOR z IN range(64)] AS BIGINT[])"
+    put = lambda held, e: f"list_concat(list_concat({held}[1:q], [{e}]), {held}[q + 2:])"
+    running = f"(2 * west + (CASE WHEN level < 0 THEN -2 * level - 1 ELSE 2 * level END) * {1 << sequential.QUANT_DISTANCE} + far) >> 2"
+    return f"""WITH RECURSIVE {v.PLANES}, px AS (SELECT image_id, list(v ORDER BY y, x) AS vs FROM planes GROUP BY image_id),
+        st AS (SELECT image_id, 0 AS i, vs, CAST(0 AS BIGINT) AS got, {zeros} AS e, {zeros} AS m, CAST([{', '.join([str(sequential.QUANT_FIRST)] * 4)}] AS BIGINT[]) AS w FROM px
+            UNION ALL SELECT image_id, i + 1, vs, CAST(level AS BIGINT), {put('e', 'CAST(back AS BIGINT)')}, {put('m', f'CAST({running} AS BIGINT)')}, [{', '.join(f'w[{k}] + sg * p[{k}]' for k in _R)}] FROM ({inner}))
+        SELECT image_id, CAST(sum(got * i) AS BIGINT) AS levels, CAST(max(CASE WHEN i = 64 THEN list_sum([e[j] * j FOR j IN range(1, 65)]) END) AS BIGINT) AS restored FROM st GROUP BY image_id"""
+
+
+def _quantiser(s, d):
+    def run(batches):
+        for ids, p in sequential._planes(batches):
+            place = np.arange(1, p[0].size + 1)
+            levels, back = (a.reshape(len(p), -1) @ place for a in sequential.adaptive_quantiser(p))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(levels), pa.array(back)], ["image_id", "levels", "restored"])
+
+    return v.plane_bytes(s, d).select("image_id", "px").mapInArrow(run, "image_id long, levels long, restored long")
+
+
+register("t27_adaquant", _quantiser, _quantiser_sql())
+
 # --- models over the channels of an image: the SQL numbers planes 3 * image + channel in coding order
 
 CHANNELS = "SELECT image_id // 3 AS image_id, CAST(sum(res * (k + 1) * (image_id % 3 + 1)) AS BIGINT) AS digest, CAST(sum(abs(res)) AS BIGINT) AS magnitude, CAST(0 AS BIGINT) AS mismatches FROM r GROUP BY 1"
