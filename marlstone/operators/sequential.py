@@ -212,6 +212,45 @@ def shift_mix_terms(n, e):
     ]
 
 
+class LearnedAverage:
+    """T-93: five predictors in 1/256, of which some correct by what was missed around; weighted by fixed weights and learned
+    factors over their errors around. Factors move by what is missed here and around times each predictor."""
+
+    FIXED, ONE = (0x2100, 0x0DB8, 0x0E22, 0x181F, 0x0BF3), 1 << 16
+
+    def __init__(self, n: int):
+        self.n, self.missed = n, None
+        self.factors = [np.full(n, self.ONE, dtype=np.int64) for _ in self.FIXED]
+
+    def predict(self, near):
+        if self.missed is None:
+            h, w = near.px.shape[1] - ABOVE, near.px.shape[2] - 2 * BESIDE
+            self.missed, self.errors = Near(self.n, h, w), [Near(self.n, h, w) for _ in self.FIXED]
+        for held in (self.missed, *self.errors):
+            held.y, held.x = near.y, near.x
+        n, e = {k: near[k] << 8 for k in ("N", "W", "NW", "NE", "NN")}, self.missed
+        bend = 0x00DF * e["NW"] + 0x0051 * e["N"] + 0x00BD * e["NE"] + 0x005C * (n["NN"] - n["N"]) - 0x0102 * (n["NW"] - n["W"])
+        self.inputs = [
+            within(n["N"] + n["W"] - n["NW"], n["N"], n["W"]), n["W"] + n["NE"] - n["N"], n["N"] - ((e["N"] + e["W"] + e["NE"]) * -0x005C >> 8), n["W"] - ((e["N"] + e["W"] + e["NW"]) * -0x005B >> 8), n["N"] - (bend >> 8),
+        ]
+        around = [total(held[k] for k in ("NW", "N", "NE", "WW", "W")) + 1 for held in self.errors]
+        w = [toward_zero(f * fixed, error) for f, fixed, error in zip(self.factors, self.FIXED, around, strict=True)]
+        all_w = total(w)
+        some = np.where(all_w == 0, 1, all_w)
+        top = total(a * b for a, b in zip(w, self.inputs, strict=True)) + (all_w >> 1)
+        mean = np.sign(top) * np.sign(some) * (np.abs(top) // np.abs(some))
+        self.p = within(np.where(all_w == 0, self.inputs[0], mean), n["N"], n["W"], n["NE"])
+        return self.p + 128 >> 8
+
+    def learn(self, v):
+        e, here = self.missed, v << 8
+        e.put(here - self.p)
+        change = 2 * e["W"] + (here - self.p) + e["N"] + e["NE"] + e["NEEE"]
+        for held, x in zip(self.errors, self.inputs, strict=True):
+            held.put(np.abs(here - x))
+        self.factors = [np.clip(f + (change * x >> DEPTH), -self.ONE, self.ONE) for f, x in zip(self.factors, self.inputs, strict=True)]
+
+
 class Weighted:
     """T-65: predictors weighted by the inverse of their recent errors."""
 
@@ -388,7 +427,7 @@ class Successors:
 
 MODELS: dict[str, Callable[[int], object]] = {
     **{name: (lambda n, terms=terms, rest=rest: SignMix(n, terms, *rest)) for name, (terms, *rest) in MIXES.items()},
-    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
+    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
 }
 
 

@@ -276,6 +276,27 @@ _recursive(
     {"e": "list_concat(list_concat(e[1:q], [c.v - pp]), e[q + 2:])", "mean": f"[mean[j] + ((over_best[j] * 64 - mean[j] + 4) >> 3) FOR j IN {_EIGHT}]", "far": "CASE WHEN x = 7 THEN above ELSE far END",
      "above": "CASE WHEN x = 7 THEN list_concat(list_concat(here, over_best), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])) ELSE above END", "here": "CASE WHEN x = 7 THEN CAST([] AS BIGINT[]) ELSE list_concat(here, over_best) END"},
 )
+def _errors_at(name: str) -> str:
+    """The error of predictor j at a place, of a list `m` of five for each of 64 samples."""
+    up, left = sequential.offset_of(name)
+    return f"(CASE WHEN q // 8 BETWEEN {max(0, up)} AND {7 + min(0, up)} AND q % 8 BETWEEN {max(0, left)} AND {7 + min(0, left)} THEN m[(q - {8 * up + left}) * 5 + j] ELSE 0 END)"
+
+
+_FIVE = "[1, 2, 3, 4, 5]"
+_e = {k: _error_at(k) for k in ("N", "W", "NW", "NE", "NEEE")}
+_T93 = [
+    "greatest(least(c.N, c.W), least(greatest(c.N, c.W), c.N + c.W - c.NW))", "c.W + c.NE - c.N", f"c.N - ((({_e['N']} + {_e['W']} + {_e['NE']}) * -92) >> 8)", f"c.W - ((({_e['N']} + {_e['W']} + {_e['NW']}) * -91) >> 8)",
+    f"c.N - ((223 * {_e['NW']} + 81 * {_e['N']} + 189 * {_e['NE']} + 92 * (c.NN - c.N) - 258 * (c.NW - c.W)) >> 8)",
+]
+_near93 = ("N", "W", "NW", "NE", "NN")
+_recursive(
+    "t93_lwav", _near93, "'v': v, " + ", ".join(f"'{k}': \"{k}\" * 256" for k in _near93), {"e": "CAST([0 FOR z IN range(64)] AS BIGINT[])", "m": "CAST([0 FOR z IN range(320)] AS BIGINT[])", "f": "CAST([65536, 65536, 65536, 65536, 65536] AS BIGINT[])"},
+    ["i AS q", f"[{', '.join(f'CAST({t} AS BIGINT)' for t in _T93)}] AS p", f"[(f[j] * CAST([8448, 3512, 3618, 6175, 3059] AS BIGINT[])[j]) // ({' + '.join(_errors_at(k) for k in ('NW', 'N', 'NE', 'WW', 'W'))} + 1) FOR j IN {_FIVE}] AS w",
+     "w[1] + w[2] + w[3] + w[4] + w[5] AS ws", "CASE WHEN ws = 0 THEN p[1] ELSE (" + " + ".join(f"w[{j}] * p[{j}]" for j in range(1, 6)) + " + (ws >> 1)) // ws END AS mean", "least(greatest(c.N, c.W, c.NE), greatest(least(c.N, c.W, c.NE), mean)) AS pp",
+     f"2 * {_e['W']} + (c.v * 256 - pp) + {_e['N']} + {_e['NE']} + {_e['NEEE']} AS change"],
+    "((pp + 128) >> 8)",
+    {"e": "list_concat(list_concat(e[1:q], [c.v * 256 - pp]), e[q + 2:])", "m": f"list_concat(list_concat(m[1:5 * q], [abs(c.v * 256 - p[j]) FOR j IN {_FIVE}]), m[5 * q + 6:])", "f": f"[least(65536, greatest(-65536, f[j] + ((change * p[j]) >> 8))) FOR j IN {_FIVE}]"},
+)
 _GRADIENT = "greatest(least(N, W), least(greatest(N, W), N + W - NW))"
 _south = f"(CASE WHEN {_change(('SSW', 'SW'), ('SS', 'S'), ('SE', 'E'))} > {_change(('E', 'EE'), ('S', 'SE'), ('S', 'SW'))} THEN {_error_at('S')} ELSE {_error_at('E')} END) // 4"
 _register("t94_zipper", f"""WITH RECURSIVE {v.PLANES}, n AS ({near_sql(('N', 'W', 'NW'))}), {_over_residuals(f"'t': v, 'm': {_GRADIENT}", 'n', True, _south, 'least(127, greatest(-128, c.m + update))')}
