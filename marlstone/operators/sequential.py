@@ -137,30 +137,58 @@ class FadedMix:
     """T-71: predictors weighted by fixed weights over their errors so far: a fading sum, and smoothed errors of the row
     above (an error also adds to the place above to its right) and of the one above that. 0 outside."""
 
-    WEIGHTS, FADE = (240, 240, 180, 180, 140, 160, 120, 120), 97
+    WEIGHTS, FADE, HALVED, AMONG = (240, 240, 180, 180, 140, 160, 120, 120), 97, 0, ("N", "W", "NE")
 
     def __init__(self, n: int):
-        self.n, self.row, self.faded = n, None, np.zeros((8, n), dtype=np.int64)
+        self.n, self.row, self.faded = n, None, np.zeros((len(self.WEIGHTS), n), dtype=np.int64)
+
+    def terms(self, near) -> list:
+        return faded_mix_terms(near)
 
     def predict(self, near):
         if self.row != near.y:
-            width = near.px.shape[2] - 2 * BESIDE
-            fresh = np.zeros((width + 2, 8, self.n), dtype=np.int64)
-            self.far, self.above, self.here = (fresh, fresh.copy(), fresh.copy()) if self.row is None else (self.above, self.here, fresh)
+            h, w = near.px.shape[1] - ABOVE, near.px.shape[2] - 2 * BESIDE
+            fresh = np.zeros((w + 2, len(self.WEIGHTS), self.n), dtype=np.int64)
+            if self.row is None:
+                self.far, self.above, self.here, self.missed = fresh, fresh.copy(), fresh.copy(), Near(self.n, h, w)
+            else:
+                self.far, self.above, self.here = self.above, self.here, fresh
             self.row = near.y
-        self.x = x = near.x + 1
-        self.inputs = np.stack([t + np.zeros(self.n, dtype=np.int64) for t in faded_mix_terms(near)])
-        error = self.faded + self.above[x - 1] + 2 * self.above[x] + self.above[x + 1] + self.far[x + 1] + 1
+        self.missed.y, self.missed.x, self.x = near.y, near.x, near.x + 1
+        x = self.x
+        self.inputs = np.stack([t + np.zeros(self.n, dtype=np.int64) for t in self.terms(near)])
+        error = (self.faded + self.above[x - 1] + 2 * self.above[x] + self.above[x + 1] + self.far[x + 1] >> self.HALVED) + 1
         w = [k / e for k, e in zip(self.WEIGHTS, error, strict=True)]
-        fold = lambda t: ((t[2] + t[6]) + (t[3] + t[7])) + ((t[0] + t[4]) + (t[1] + t[5]))
-        p = fold([a * b for a, b in zip(w, self.inputs, strict=True)]) / fold(w)
-        return within(np.rint(p).astype(np.int64), near["N"], near["W"], near["NE"])
+        mean = self._sum([a * b for a, b in zip(w, self.inputs, strict=True)]) / self._sum(w)
+        self.p = within(np.rint(mean).astype(np.int64), *(near[k] for k in self.AMONG))
+        return self.p
+
+    @staticmethod
+    def _sum(terms: list) -> np.ndarray:
+        """In a fixed order: every fourth term, then the four sums by twos."""
+        lanes = [total(terms[k::4]) for k in range(4)]
+        return (lanes[2] + lanes[3]) + (lanes[0] + lanes[1])
 
     def learn(self, v):
         error, x = np.abs(v - self.inputs) * 2, self.x
         self.faded = (self.faded + error) * self.FADE >> 7
         self.here[x] = 2 * self.here[x - 1] + error + self.above[x + 1] >> 2
         self.above[x + 1] += error
+        self.missed.put(v - self.p)
+
+
+class FadedMixOfMore(FadedMix):
+    """T-70: the same with twelve predictors that know what was missed around, errors at half weight, and one more bound."""
+
+    WEIGHTS, HALVED, AMONG = (210, 210, 215, 215, 140, 230, 120, 140, 45, 97, 65, 40), 1, ("N", "W", "NE", "NEEE")
+
+    def terms(self, near) -> list:
+        n, e, q = near, self.missed, toward_zero
+        return [
+            *shift_mix_terms(n, e), q(4 * (n["N"] + n["NNN"]) - 6 * n["NN"] + n["NNNW"] + n["NNNE"] - q(n["NNWW"] + n["NNEE"], 2) + n["NNE"] + n["NNW"] - n["NE"] - n["NW"] - e["N"] - e["NN"] + e["NNN"], 3),
+            q(6 * (n["W"] + n["WWW"]) + 20 * n["WW"] + q(e["W"] - e["WW"] + e["WWW"], 3), 32), q(n["W"] + 3 * n["NW"] - n["NWW"] - n["NNWW"], 2) + q(e["NW"], 4) + q(e["W"], 6),
+            q(3 * n["NE"] + n["NEE"] + n["NEEEE"] - n["NNEE"] - n["NNEEE"] + q(3 * e["NE"] + 6 * e["NEE"] + 3 * e["NEEE"], 2), 3),
+        ]
 
 
 class ShiftMix:
@@ -427,7 +455,7 @@ class Successors:
 
 MODELS: dict[str, Callable[[int], object]] = {
     **{name: (lambda n, terms=terms, rest=rest: SignMix(n, terms, *rest)) for name, (terms, *rest) in MIXES.items()},
-    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
+    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t70_wgrad4": FadedMixOfMore, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
 }
 
 

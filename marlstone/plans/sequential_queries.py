@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import analysis, blocks, color, sequential
+from ..operators import analysis, blocks, color, predict, sequential
 from ..operators.predict import Text
 from ..sources import views as v
 from .context_queries import running_sql
@@ -276,6 +276,28 @@ _recursive(
     {"e": "list_concat(list_concat(e[1:q], [c.v - pp]), e[q + 2:])", "mean": f"[mean[j] + ((over_best[j] * 64 - mean[j] + 4) >> 3) FOR j IN {_EIGHT}]", "far": "CASE WHEN x = 7 THEN above ELSE far END",
      "above": "CASE WHEN x = 7 THEN list_concat(list_concat(here, over_best), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])) ELSE above END", "here": "CASE WHEN x = 7 THEN CAST([] AS BIGINT[]) ELSE list_concat(here, over_best) END"},
 )
+_m70 = {k: _error_at(k) for k in ("N", "W", "NW", "NE", "NN", "WW", "NNN", "WWW", "NEE", "NEEE")}
+_T70 = [
+    *_T72, f"(4 * (c.N + c.NNN) - 6 * c.NN + c.NNNW + c.NNNE - (c.NNWW + c.NNEE) // 2 + c.NNE + c.NNW - c.NE - c.NW - {_m70['N']} - {_m70['NN']} + {_m70['NNN']}) // 3",
+    f"(6 * (c.W + c.WWW) + 20 * c.WW + ({_m70['W']} - {_m70['WW']} + {_m70['WWW']}) // 3) // 32", f"(c.W + 3 * c.NW - c.NWW - c.NNWW) // 2 + {_m70['NW']} // 4 + {_m70['W']} // 6",
+    f"(3 * c.NE + c.NEE + c.NEEEE - c.NNEE - c.NNEEE + (3 * {_m70['NE']} + 6 * {_m70['NEE']} + 3 * {_m70['NEEE']}) // 2) // 3",
+]
+_near70 = (*_near72, "NNNW", "NNNE", "NNWW", "NNEE", "NNW", "NWW", "NNEEE")
+_TWELVE, _ZEROS108 = "[1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]", "CAST([0 FOR z IN range(108)] AS BIGINT[])"
+_lanes = lambda t: " + ".join("(" + " + ".join(f"(({t(k)} + {t(k + 4)}) + {t(k + 8)})" for k in two) + ")" for two in ((3, 4), (1, 2)))
+_recursive(
+    "t70_wgrad4", _near70, "'v': v, " + ", ".join(f"'{k}': \"{k}\"" for k in _near70),
+    {"e": "CAST([0 FOR z IN range(64)] AS BIGINT[])", "faded": "CAST([0 FOR z IN range(12)] AS BIGINT[])", "far": _ZEROS108, "above": _ZEROS108, "here": "CAST([] AS BIGINT[])"},
+    ["i AS q, i % 8 AS x", f"[{', '.join(f'CAST({t} AS BIGINT)' for t in _T70)}] AS p",
+     f"[CAST([{', '.join(map(str, sequential.FadedMixOfMore.WEIGHTS))}][j] AS DOUBLE) / (((faded[j] + CASE WHEN x > 0 THEN above[12 * x - 12 + j] ELSE 0 END + 2 * above[12 * x + j] + above[12 * x + 12 + j] + far[12 * x + 12 + j]) >> 1) + 1) FOR j IN {_TWELVE}] AS w, [abs(c.v - p[j]) * 2 FOR j IN {_TWELVE}] AS error",
+     f"list_concat(here, [(2 * CASE WHEN x > 0 THEN here[12 * x - 12 + j] ELSE 0 END + error[j] + above[12 * x + 12 + j]) >> 2 FOR j IN {_TWELVE}]) AS grown, list_concat(list_concat(above[1:12 * x + 12], [above[12 * x + 12 + j] + error[j] FOR j IN {_TWELVE}]), above[12 * x + 25:]) AS raised",
+     f"least(greatest(c.N, c.W, c.NE, c.NEEE), greatest(least(c.N, c.W, c.NE, c.NEEE), CAST(round_even(({_lanes(lambda k: f'w[{k}] * p[{k}]')}) / ({_lanes(lambda k: f'w[{k}]')}), 0) AS BIGINT))) AS pp"],
+    "pp",
+    {"e": "list_concat(list_concat(e[1:q], [c.v - pp]), e[q + 2:])", "faded": f"[((faded[j] + error[j]) * 97) >> 7 FOR j IN {_TWELVE}]", "far": "CASE WHEN x = 7 THEN raised ELSE far END",
+     "above": "CASE WHEN x = 7 THEN list_concat(grown, CAST([0 FOR z IN range(12)] AS BIGINT[])) ELSE raised END", "here": "CASE WHEN x = 7 THEN CAST([] AS BIGINT[]) ELSE grown END"},
+)
+
+
 def _errors_at(name: str) -> str:
     """The error of predictor j at a place, of a list `m` of five for each of 64 samples."""
     up, left = sequential.offset_of(name)
@@ -334,6 +356,34 @@ def _quantiser(s, d):
 
 register("t27_adaquant", _quantiser, _quantiser_sql())
 
+def _impulse(s, d):
+    """T-43, T-44: what the inverse of a linear predictor makes of one sample of 64 in an empty plane, per predictor."""
+    names = ("t83_custom", "c18_av5", "c18_avb")
+    rows = s.createDataFrame([(n, i) for i, n in enumerate(names)], "predictor string, image_id long")
+
+    def run(batches):
+        for b in batches:
+            for n in b["predictor"].to_pylist():
+                plane = np.zeros((1, 8, 8), dtype=np.int64)
+                plane[0, 0, 0] = 64
+                back = predict.inverse(plane, n).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([int(back @ np.arange(1, 65))]), pa.array([int(np.abs(back).sum())])], ["predictor", "digest", "magnitude"])
+
+    return rows.select("predictor").mapInArrow(run, "predictor string, digest long, magnitude long")
+
+
+def _impulse_sql() -> str:
+    kernels = {"t83_custom": (5, {"N": 13, "W": 14, "NW": -5, "NE": 8, "NN": 1, "WW": 1}), "c18_av5": (3, {"N": 5, "W": 8, "NW": -5, "NE": 1, "WW": -1}), "c18_avb": (8, {"NNWW": 4, "NNW": 3, "NN": -31, "NNE": -38, "NWW": 7, "NW": -158, "N": 219, "NE": 30, "NEE": 19, "WW": -42, "W": 243})}
+    case = " ".join(f"WHEN '{n}' THEN ({' + '.join(f'{w} * {_error_at(k)}' for k, w in taps.items())}) >> {shift}" for n, (shift, taps) in kernels.items())
+    sides = ", ".join(map(_error_at, ("N", "W", "NE")))
+    return f"""WITH RECURSIVE st AS (SELECT unnest([{', '.join(map(repr, kernels))}]) AS predictor, 0 AS i, CAST([0 FOR z IN range(64)] AS BIGINT[]) AS e
+            UNION ALL SELECT predictor, i + 1, list_concat(list_concat(e[1:q], [CAST((((CASE WHEN q = 0 THEN 64 ELSE 0 END) + least(greatest({sides}), greatest(least({sides}), p)) + 128) & 255) - 128 AS BIGINT)]), e[q + 2:])
+            FROM (SELECT *, CASE predictor {case} END AS p FROM (SELECT *, i AS q FROM st WHERE i < 64)))
+        SELECT predictor, CAST(list_sum([e[j] * j FOR j IN range(1, 65)]) AS BIGINT) AS digest, CAST(list_sum([abs(t) FOR t IN e]) AS BIGINT) AS magnitude FROM st WHERE i = 64"""
+
+
+register("t43_t44_impulse", _impulse, _impulse_sql())
+
 # --- models over the channels of an image: the SQL numbers planes 3 * image + channel in coding order
 
 CHANNELS = "SELECT image_id // 3 AS image_id, CAST(sum(res * (k + 1) * (image_id % 3 + 1)) AS BIGINT) AS digest, CAST(sum(abs(res)) AS BIGINT) AS magnitude, CAST(0 AS BIGINT) AS mismatches FROM r GROUP BY 1"
