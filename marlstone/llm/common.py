@@ -61,15 +61,24 @@ def bounded(df: DataFrame, rows: int, row_bytes: int = 32, limit: int = BROADCAS
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, tries: int = 10) -> None:
     """Have shuffle files removed that nothing refers to any more, and checkpoints where the session has
-    spark.cleaner.referenceTracking.cleanCheckpoints. Spark does so when the driver's JVM
-    collects garbage, which small plans may not bring about for a long time. The first collection frees the plans and
-    what they hold is only found by the next; removal itself runs beside, hence the pauses."""
-    for _ in range(2):
+    spark.cleaner.referenceTracking.cleanCheckpoints. Spark does so when the driver's JVM collects garbage, which small plans
+    may not bring about for a long time. Plans stay referred to while listeners still work on their events, hence the wait;
+    then garbage is collected until no shuffle is registered, or often enough where others hold theirs."""
+    context = spark.sparkContext._jsc.sc()
+    try:
+        context.listenerBus().waitUntilEmpty(30_000)
+        registered = context.env().mapOutputTracker().shuffleStatuses
+        registered().size()
+    except Exception:  # internals that another Spark may not have: the garbage is collected all the same
+        registered = None
+    for _ in range(tries):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+        time.sleep(0.2)
+        if registered is not None and registered().size() == 0:
+            break
 
 
 def buckets(spark: SparkSession) -> int:
