@@ -240,6 +240,42 @@ def shift_mix_terms(n, e):
     ]
 
 
+class CorrectedMix:
+    """T-73: four predictors that correct by what was missed around, weighted by fixed weights over their errors above the
+    best one, in eighths: a running mean and the errors of the row above (an error also adds to the place above to its
+    right). 0 outside."""
+
+    WEIGHTS = (0x0DB8, 0x0E22, 0x181F, 0x0BF3)
+
+    def __init__(self, n: int):
+        self.n, self.row, self.mean = n, None, np.zeros((4, n), dtype=np.int64)
+
+    def predict(self, near):
+        if self.row != near.y:
+            h, w = near.px.shape[1] - ABOVE, near.px.shape[2] - 2 * BESIDE
+            fresh = np.zeros((w + 2, 4, self.n), dtype=np.int64)
+            if self.row is None:
+                self.above, self.here, self.missed = fresh, fresh.copy(), Near(self.n, h, w)
+            else:
+                self.above, self.here = self.here, fresh
+            self.row = near.y
+        self.missed.y, self.missed.x, self.x = near.y, near.x, near.x + 1
+        n, e, x = near, self.missed, self.x
+        bend = 0x00DF * e["NW"] + 0x0051 * e["N"] + 0x00BD * e["NE"] + 0x005C * (n["NN"] - n["N"]) - 0x0102 * (n["NW"] - n["W"])
+        self.inputs = np.stack([n["W"] + n["NE"] - n["N"], n["N"] - ((e["N"] + e["W"] + e["NE"]) * -0x005C >> 8), n["W"] - ((e["N"] + e["W"] + e["NW"]) * -0x005B >> 8), n["N"] - (bend >> 8)])
+        w = (np.array(self.WEIGHTS)[:, None] << 8) // ((self.mean >> 4) + self.above[x - 1] + self.above[x] + self.above[x + 1] + 2)
+        self.p = within(toward_zero((w * self.inputs).sum(0), np.maximum(w.sum(0), 1)), n["N"], n["W"], n["NE"], n["NEEE"])
+        return self.p
+
+    def learn(self, v):
+        error = np.abs(v - self.inputs) + 4 >> 3
+        error = error - error.min(0)
+        self.mean = self.mean + ((error << 6) - self.mean + 4 >> 3)
+        self.here[self.x] = error
+        self.above[self.x + 1] += error
+        self.missed.put(v - self.p)
+
+
 class LearnedAverage:
     """T-93: five predictors in 1/256, of which some correct by what was missed around; weighted by fixed weights and learned
     factors over their errors around. Factors move by what is missed here and around times each predictor."""
@@ -455,7 +491,7 @@ class Successors:
 
 MODELS: dict[str, Callable[[int], object]] = {
     **{name: (lambda n, terms=terms, rest=rest: SignMix(n, terms, *rest)) for name, (terms, *rest) in MIXES.items()},
-    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t70_wgrad4": FadedMixOfMore, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
+    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t70_wgrad4": FadedMixOfMore, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t73_wgrad7": CorrectedMix, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
 }
 
 

@@ -310,6 +310,17 @@ _T93 = [
     "greatest(least(c.N, c.W), least(greatest(c.N, c.W), c.N + c.W - c.NW))", "c.W + c.NE - c.N", f"c.N - ((({_e['N']} + {_e['W']} + {_e['NE']}) * -92) >> 8)", f"c.W - ((({_e['N']} + {_e['W']} + {_e['NW']}) * -91) >> 8)",
     f"c.N - ((223 * {_e['NW']} + 81 * {_e['N']} + 189 * {_e['NE']} + 92 * (c.NN - c.N) - 258 * (c.NW - c.W)) >> 8)",
 ]
+_FOUR, _ZEROS36 = "[1, 2, 3, 4]", "CAST([0 FOR z IN range(36)] AS BIGINT[])"
+_recursive(
+    "t73_wgrad7", ("N", "W", "NW", "NE", "NN", "NEEE"), "'v': v, " + ", ".join(f"'{k}': \"{k}\"" for k in ("N", "W", "NW", "NE", "NN", "NEEE")),
+    {"e": "CAST([0 FOR z IN range(64)] AS BIGINT[])", "mean": "CAST([0, 0, 0, 0] AS BIGINT[])", "above": _ZEROS36, "here": "CAST([] AS BIGINT[])"},
+    ["i AS q, i % 8 AS x", f"[{', '.join(f'CAST({t} AS BIGINT)' for t in _T93[1:])}] AS p",
+     f"[(CAST([{', '.join(map(str, sequential.CorrectedMix.WEIGHTS))}] AS BIGINT[])[j] * 256) // ((mean[j] >> 4) + CASE WHEN x > 0 THEN above[4 * x - 4 + j] ELSE 0 END + above[4 * x + j] + above[4 * x + 4 + j] + 2) FOR j IN {_FOUR}] AS w",
+     "least(greatest(c.N, c.W, c.NE, c.NEEE), greatest(least(c.N, c.W, c.NE, c.NEEE), (" + " + ".join(f"w[{j}] * p[{j}]" for j in range(1, 5)) + ") // greatest(1, w[1] + w[2] + w[3] + w[4]))) AS pp", f"[(abs(c.v - p[j]) + 4) >> 3 FOR j IN {_FOUR}] AS miss", f"[miss[j] - list_min(miss) FOR j IN {_FOUR}] AS over_best"],
+    "pp",
+    {"e": "list_concat(list_concat(e[1:q], [c.v - pp]), e[q + 2:])", "mean": f"[mean[j] + ((over_best[j] * 64 - mean[j] + 4) >> 3) FOR j IN {_FOUR}]",
+     "above": f"CASE WHEN x = 7 THEN list_concat(list_concat(here, over_best), CAST([0, 0, 0, 0] AS BIGINT[])) ELSE list_concat(list_concat(above[1:4 * x + 4], [above[4 * x + 4 + j] + over_best[j] FOR j IN {_FOUR}]), above[4 * x + 9:]) END", "here": "CASE WHEN x = 7 THEN CAST([] AS BIGINT[]) ELSE list_concat(here, over_best) END"},
+)
 _near93 = ("N", "W", "NW", "NE", "NN")
 _recursive(
     "t93_lwav", _near93, "'v': v, " + ", ".join(f"'{k}': \"{k}\" * 256" for k in _near93), {"e": "CAST([0 FOR z IN range(64)] AS BIGINT[])", "m": "CAST([0 FOR z IN range(320)] AS BIGINT[])", "f": "CAST([65536, 65536, 65536, 65536, 65536] AS BIGINT[])"},
