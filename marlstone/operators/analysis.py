@@ -161,11 +161,11 @@ def least_change_recipe(rgb: list[np.ndarray]) -> np.ndarray:
 
 
 #: What codes a channel once the recipe is chosen.
-RECIPE_MODELS = {"t37_cgcrct": sequential.Gradient, "t29_l1crct": sequential.MODELS["t30_ols7"], "ols": sequential.Ols, "wp": sequential.Weighted}
+RECIPE_MODELS = {"t37_cgcrct": sequential.Gradient, "t29_l1crct": sequential.MODELS["t30_ols7"], "t31_l1bcrct": sequential.TwoStageMix, "ols": sequential.Ols, "wp": sequential.Weighted}
 
 
 def recipe_code(images: np.ndarray, name: str, recipe: np.ndarray, inverse: bool = False) -> np.ndarray:
-    """T-29, T-37: images (n, 3, h, w) as residuals in the order of their recipes' channels, or the images."""
+    """T-29, T-31, T-37: images (n, 3, h, w) as residuals in the order of their recipes' channels, or the images."""
     out = np.empty_like(images)
     for k in np.unique(recipe):
         at = np.flatnonzero(recipe == k)
@@ -231,7 +231,7 @@ def blend_choices(planes: DataFrame, bits: int = GRID_BITS) -> DataFrame:
 
 
 def channel_roundtrip(images: DataFrame, name: str) -> DataFrame:
-    """(image_id, digest, magnitude, mismatches) of T-24, T-29, T-37 or T-61 over all three channels in coding order."""
+    """(image_id, digest, magnitude, mismatches) of T-24, T-29, T-31, T-37 or T-61 over all three channels in coding order."""
 
     def run(batches):
         for ids, rgb in _images(batches):

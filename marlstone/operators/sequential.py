@@ -106,6 +106,44 @@ MIXES = {
 }
 
 
+def ols8_terms(n):
+    plane = n["N"] + n["W"] - n["NW"]
+    return [
+        plane, plane + 0, n["N"] + 0, n["W"] + 0, 3 * (n["N"] - n["NN"]) + n["NNN"], 3 * (n["W"] - n["WW"]) + n["WWW"], n["W"] + n["NE"] - n["N"], n["N"] + n["NE"] - n["NNE"], n["W"] + ((n["NEEE"] + n["NEEEEE"] - n["N"] - n["W"]) >> 3),
+        n["W"] + n["NW"] - n["NWW"], n["N"] + n["NW"] - n["NNW"], n["NE"] + n["NEE"] - n["NNEEE"], (n["WWWWW"] + n["WW"] - n["W"] + n["NNN"] + n["N"] + n["NEEEEE"]) >> 2, n["NW"] + 0, n["NE"] + 0, n["NEEE"] + 0, n["NN"] + 0, n["WW"] + 0, n["NNN"] + 0, n["WWW"] + 0,
+    ]
+
+
+class TwoStageMix:
+    """T-32: a mix of samples, corrected by a mix of what it missed around; weights start at 0 and move by signs, the second
+    stage's by sixteen contexts of the mean of N and W."""
+
+    FIRST, SECOND, CONTEXTS = 19, 17, 16
+
+    def __init__(self, n: int):
+        self.n, self.missed, self.each = n, None, np.arange(n)
+        self.w, self.w2 = np.zeros((21, n), dtype=np.int64), np.zeros((self.CONTEXTS, 21, n), dtype=np.int64)
+
+    def predict(self, near):
+        if self.missed is None:
+            self.missed = Near(self.n, near.px.shape[1] - ABOVE, near.px.shape[2] - 2 * BESIDE)
+        self.missed.y, self.missed.x = near.y, near.x
+        one = np.ones(self.n, dtype=np.int64)
+        first = ols8_terms(near)
+        self.inputs = np.stack([within(first[0], near["N"], near["W"]), *first[1:], one])
+        self.inputs2 = np.stack([*ols8_terms(self.missed), one])
+        self.context = (toward_zero(near["N"] + near["W"], 2) << 4 >> DEPTH) & self.CONTEXTS - 1
+        raw = (self.w2[self.context, :, self.each].T * self.inputs2).sum(0)
+        self.p1 = (self.w * self.inputs).sum(0) + (raw << 3) + (1 << self.FIRST >> 1) >> self.FIRST
+        self.p = self.p1 + (raw + (1 << self.SECOND >> 1) >> self.SECOND)
+        return within(self.p, near["N"], near["W"], near["NE"], near["NEEE"])
+
+    def learn(self, v):
+        self.missed.put(v - self.p1)
+        self.w = self.w + np.sign(v - self.p1) * self.inputs
+        self.w2[self.context, :, self.each] += (np.sign(v - self.p) * self.inputs2).T
+
+
 class ErrorMix:
     """T-67: predictors weighted by the inverse of their fading errors (of the row so far)."""
 
@@ -491,7 +529,7 @@ class Successors:
 
 MODELS: dict[str, Callable[[int], object]] = {
     **{name: (lambda n, terms=terms, rest=rest: SignMix(n, terms, *rest)) for name, (terms, *rest) in MIXES.items()},
-    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t67_wgrad3": ErrorMix, "t70_wgrad4": FadedMixOfMore, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t73_wgrad7": CorrectedMix, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
+    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t32_ols8": TwoStageMix, "t67_wgrad3": ErrorMix, "t70_wgrad4": FadedMixOfMore, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t73_wgrad7": CorrectedMix, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
 }
 
 

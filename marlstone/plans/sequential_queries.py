@@ -321,6 +321,31 @@ _recursive(
     {"e": "list_concat(list_concat(e[1:q], [c.v - pp]), e[q + 2:])", "mean": f"[mean[j] + ((over_best[j] * 64 - mean[j] + 4) >> 3) FOR j IN {_FOUR}]",
      "above": f"CASE WHEN x = 7 THEN list_concat(list_concat(here, over_best), CAST([0, 0, 0, 0] AS BIGINT[])) ELSE list_concat(list_concat(above[1:4 * x + 4], [above[4 * x + 4 + j] + over_best[j] FOR j IN {_FOUR}]), above[4 * x + 9:]) END", "here": "CASE WHEN x = 7 THEN CAST([] AS BIGINT[]) ELSE list_concat(here, over_best) END"},
 )
+class _As(dict):
+    """Neighbours as SQL text by a form; remembers which were asked for."""
+
+    def __init__(self, form):
+        super().__init__()
+        self.form = form
+
+    def __missing__(self, name: str) -> Text:
+        self[name] = text = Text(self.form(name))
+        return text
+
+
+_here32 = _As(lambda k: f"c.{k}")
+_first32, _second32 = list(map(str, sequential.ols8_terms(_here32))), list(map(str, sequential.ols8_terms(_As(lambda k: _error_at(k, "r")))))
+_TWENTY_ONE = "[" + ", ".join(map(str, range(1, 22))) + "]"
+_sum32 = lambda w, p: " + ".join(f"{w}[{k}] * {p}[{k}]" for k in range(1, 22))
+_SAMPLE32 = "'v': v, " + ", ".join(f"'{k}': \"{k}\"" for k in _here32)
+_STATE32 = {"r": "CAST([0 FOR z IN range(64)] AS BIGINT[])", "w": "CAST([0 FOR z IN range(21)] AS BIGINT[])", "u": "CAST([0 FOR z IN range(336)] AS BIGINT[])"}
+_STEPS32 = [
+    "i AS q, 21 * (((((c.N + c.W) // 2) * 16) >> 8) & 15) AS place", f"[CAST(greatest(least(c.N, c.W), least(greatest(c.N, c.W), {_first32[0]})) AS BIGINT), {', '.join(f'CAST({t} AS BIGINT)' for t in _first32[1:])}, 1] AS p, [{', '.join(f'CAST({t} AS BIGINT)' for t in _second32)}, 1] AS p2, u[place + 1:place + 21] AS w2",
+    f"{_sum32('w2', 'p2')} AS raw", f"({_sum32('w', 'p')} + raw * 8 + 262144) >> 19 AS p1, (raw + 65536) >> 17 AS more", "p1 + more AS pp", "CAST(sign(c.v - p1) AS BIGINT) AS s1, CAST(sign(c.v - pp) AS BIGINT) AS s2",
+]
+_P32 = "least(greatest(c.N, c.W, c.NE, c.NEEE), greatest(least(c.N, c.W, c.NE, c.NEEE), pp))"
+_AFTER32 = {"r": "list_concat(list_concat(r[1:q], [c.v - p1]), r[q + 2:])", "w": f"[w[j] + s1 * p[j] FOR j IN {_TWENTY_ONE}]", "u": f"list_concat(list_concat(u[1:place], [w2[j] + s2 * p2[j] FOR j IN {_TWENTY_ONE}]), u[place + 22:])"}
+_recursive("t32_ols8", tuple(_here32), _SAMPLE32, _STATE32, _STEPS32, _P32, _AFTER32)
 _near93 = ("N", "W", "NW", "NE", "NN")
 _recursive(
     "t93_lwav", _near93, "'v': v, " + ", ".join(f"'{k}': \"{k}\" * 256" for k in _near93), {"e": "CAST([0 FOR z IN range(64)] AS BIGINT[])", "m": "CAST([0 FOR z IN range(320)] AS BIGINT[])", "f": "CAST([65536, 65536, 65536, 65536, 65536] AS BIGINT[])"},
@@ -440,6 +465,19 @@ _l1_parts = list(map(str, _terms(_l1)))
 _by_channel("t29_l1crct", f"WITH RECURSIVE {_chosen_sql()}, n AS ({near_sql(tuple(dict.fromkeys([*_l1, 'N', 'W', 'NE', 'NEEE'])), 'sig')}), {_signs_sql(_l1_parts, 'SELECT n.*, t, o FROM n JOIN sig USING (image_id, y, x)', _first, _shift, _step, 1 << _shift >> 1)} {CHANNELS}")
 
 
+def _two_stages_sql() -> str:
+    inner = "SELECT *, cs[i + 1] AS c FROM st WHERE i < 64"
+    for more in _STEPS32:
+        inner = f"SELECT *, {more} FROM ({inner})"
+    return f"""WITH RECURSIVE {_chosen_sql()}, n AS ({near_sql(tuple(_here32), 'sig')}), cs AS (SELECT image_id, list({{{_SAMPLE32}, 't': t, 'o': o}} ORDER BY k) AS cs FROM (SELECT n.*, t, o FROM n JOIN sig USING (image_id, y, x)) GROUP BY image_id),
+        st AS (SELECT image_id, 0 AS i, cs, CAST(0 AS BIGINT) AS res, {', '.join(f'{e} AS {k}' for k, e in _STATE32.items())} FROM cs
+            UNION ALL SELECT image_id, i + 1, cs, CAST({wrapped(f'least(127, greatest(-128, {_P32} + c.o))', 'c.t')} AS BIGINT), {', '.join(_AFTER32.values())} FROM ({inner})),
+        r AS (SELECT image_id, i - 1 AS k, res FROM st WHERE i > 0) {CHANNELS}"""
+
+
+_by_channel("t31_l1bcrct", _two_stages_sql())
+
+
 def _cross_sql() -> str:
     names = _Names()
     parts = list(map(str, sequential.mixnc_terms(names)))
