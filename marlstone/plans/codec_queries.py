@@ -18,9 +18,16 @@ def _lossless(name):
 
 
 for _name in image_codecs.LOSSLESS:
-    register(f"codec_{_name}", _lossless(_name), f"{COUNT} SELECT '{_name}' AS codec, count(*) AS images, CAST(sum(3 * n) AS BIGINT) AS usize, CAST(0 AS BIGINT) AS wrong FROM images")
+    register(
+        f"codec_{_name}",
+        _lossless(_name),
+        f"{COUNT} SELECT '{_name}' AS codec, count(*) AS images, CAST(sum(3 * n) AS BIGINT) AS usize, CAST(0 AS BIGINT) AS wrong FROM images",
+    )
 
-register("codec_sizes", lambda s, d: image_codecs.measure(v.rgb_bytes(s, d), (*image_codecs.LOSSLESS, *image_codecs.LOSSY)).groupBy("codec").agg(F.sum("csize").alias("csize"), F.round(8 * F.sum("csize") / F.sum("usize"), 6).alias("bpd"), F.round(F.when(F.sum("squared_error") > 0, 10 * F.log10(65025.0 * F.sum("usize") / F.sum("squared_error"))), 6).alias("psnr")))
+register(
+    "codec_sizes",
+    lambda s, d: image_codecs.measure(v.rgb_bytes(s, d), (*image_codecs.LOSSLESS, *image_codecs.LOSSY)).groupBy("codec").agg(F.sum("csize").alias("csize"), F.round(8 * F.sum("csize") / F.sum("usize"), 6).alias("bpd"), F.round(F.when(F.sum("squared_error") > 0, 10 * F.log10(65025.0 * F.sum("usize") / F.sum("squared_error"))), 6).alias("psnr")),
+)
 
 
 def _rice_sql(near: tuple[str, ...], prediction: str, subgreen: bool, choices: int = 4) -> str:
@@ -38,7 +45,11 @@ for _name, _near, _p, _green in (
     ("c17_previous_rice", ("N", "W"), "CASE WHEN x > 0 THEN W ELSE N END", True),
     ("c57_fast_rice", ("N", "W"), "CASE WHEN x > 0 THEN W ELSE N END", False),
 ):
-    register(f"codec_{_name}_size", lambda s, d, name=_name: image_codecs.measure(v.rgb_bytes(s, d), (name,)).select("image_id", "csize"), _rice_sql(_near, _p, _green))
+    register(
+        f"codec_{_name}_size",
+        lambda s, d, name=_name: image_codecs.measure(v.rgb_bytes(s, d), (name,)).select("image_id", "csize"),
+        _rice_sql(_near, _p, _green),
+    )
 
 
 def _streams(s, d):
@@ -49,7 +60,11 @@ def _streams(s, d):
     return back.select("image_id", *[F.expr(weighted.format(c=c)).alias(c) for c in "rgb"])
 
 
-register("k07_streams", _streams, f"WITH {v.RGB} SELECT image_id, " + ", ".join(f"CAST(sum({c} * (y * 8 + x + 1)) AS BIGINT) AS {c}" for c in "rgb") + " FROM rgb GROUP BY image_id")
+register(
+    "k07_streams",
+    _streams,
+    f"WITH {v.RGB} SELECT image_id, " + ", ".join(f"CAST(sum({c} * (y * 8 + x + 1)) AS BIGINT) AS {c}" for c in "rgb") + " FROM rgb GROUP BY image_id",
+)
 
 
 def _lossy(name):

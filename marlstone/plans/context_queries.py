@@ -50,12 +50,20 @@ def _size(name):
 
 register("w19_running_state", lambda s, d: contexts.running_states(px(s, d)).select("image_id", F.expr("aggregate(transform(states, (e, i) -> e * (i + 1)), 0L, (a, e) -> a + e)").alias("digest"), F.array_max("states").alias("peak")),
          f"{ZS}, {running_sql('zs')} SELECT image_id, CAST(sum(state * (k + 1)) AS BIGINT) AS digest, max(state) AS peak FROM st WHERE k < 64 GROUP BY image_id")
-register("a19_context_histogram", lambda s, d: contexts.context_histogram(px(s, d)), f"{ZS}, {running_sql('zs')}, {CTX['magnitude']}, {HIST} SELECT * FROM hist")
+register(
+    "a19_context_histogram",
+    lambda s, d: contexts.context_histogram(px(s, d)),
+    f"{ZS}, {running_sql('zs')}, {CTX['magnitude']}, {HIST} SELECT * FROM hist",
+)
 register("a19_noise_histogram", lambda s, d: contexts.context_histogram(px(s, d), "noise"), f"{ZS}, {NOISE}, {CTX['noise']}, {HIST} SELECT * FROM hist")
 _SUM = "SELECT image_id, round((sum(c.bits) + coalesce(sum(h.bits), 0)) / 512, 6) AS size FROM coded c LEFT JOIN header h USING (image_id, ctx) GROUP BY image_id"
 register("c09_grctx", _size("c09_grctx"), f"{ZS}, {running_sql('zs')}, {CTX['magnitude']}, {HIST}, {COSTS} {_SUM}")
 register("c10_c2", _size("c10_c2"), f"{ZS}, {NOISE}, {CTX['noise']}, {HIST}, {COSTS} {_SUM}")
-register("c11_golomb_rice", _size("c11_golomb_rice"), f"{ZS}, {running_sql('zs', 6)} SELECT image_id, sum((zs[k + 1] >> bypass) + 1 + bypass) / 512.0::DOUBLE AS size FROM (SELECT *, CAST(floor(log2((state >> 6) + 1)) AS INT) AS bypass FROM st WHERE k < 64) GROUP BY image_id")
+register(
+    "c11_golomb_rice",
+    _size("c11_golomb_rice"),
+    f"{ZS}, {running_sql('zs', 6)} SELECT image_id, sum((zs[k + 1] >> bypass) + 1 + bypass) / 512.0::DOUBLE AS size FROM (SELECT *, CAST(floor(log2((state >> 6) + 1)) AS INT) AS bypass FROM st WHERE k < 64) GROUP BY image_id",
+)
 register("c14_model_view", lambda s, d: contexts.model_view(px(s, d)).select("image_id", "ctx", "n", *[F.round(c, 6).alias(c) for c in ("bits", "mean", "sdev", "model_bits")], "header_bits"), f"""{ZS}, {running_sql('zs')}, {CTX['magnitude']}, {HIST}, {COSTS},
     moments AS (SELECT image_id, ctx, sum(freq * (level + 128)) / sum(freq)::DOUBLE AS mean FROM hist GROUP BY ALL),
     spread AS (SELECT image_id, ctx, any_value(mean) AS mean, sqrt(sum(freq * (level + 128 - mean) * (level + 128 - mean)) / sum(freq)) AS sdev FROM hist JOIN moments USING (image_id, ctx) GROUP BY ALL),
@@ -137,7 +145,11 @@ def _channels_sql() -> str:
         best AS (SELECT image_id // 18 AS image_id, image_id % 18 AS ch, arg_min(pred, (size, pred)) AS pred, min(size) AS size FROM e GROUP BY image_id)"""
 
 
-register("c18_o04_best_predictor", lambda s, d: analysis.best_predictors(images(s, d)), f"{_channels_sql()} SELECT image_id, list_value({', '.join(map(repr, analysis.CHANNELS))})[ch + 1] AS channel, pred, round(size, 6) AS size FROM best")
+register(
+    "c18_o04_best_predictor",
+    lambda s, d: analysis.best_predictors(images(s, d)),
+    f"{_channels_sql()} SELECT image_id, list_value({', '.join(map(repr, analysis.CHANNELS))})[ch + 1] AS channel, pred, round(size, 6) AS size FROM best",
+)
 _C18_RECIPES = ", ".join("({}, {!r}, {})".format(i, r, ", ".join(str(analysis.CHANNELS.index(c)) for c in r.split())) for i, r in enumerate(analysis.RECIPES))
 register("c18_recipe", lambda s, d: analysis.best_recipe(images(s, d)), f"""{_channels_sql()}, rec(k, name, a, b, c) AS (VALUES {_C18_RECIPES}),
     sums AS (SELECT x.image_id, k, name, x.pred || ' ' || y.pred || ' ' || z.pred AS preds, round(x.size + y.size + z.size, 9) AS total FROM rec JOIN best x ON x.ch = a JOIN best y ON y.ch = b AND y.image_id = x.image_id JOIN best z ON z.ch = c AND z.image_id = x.image_id)

@@ -82,7 +82,11 @@ def _varints(s, d):
     return v.table(s, d, "orders").select((F.col("o_orderkey") * F.col("o_orderkey") * 31).cast("long").alias("n")).mapInArrow(run, "n long, bytes long, back long").groupBy("bytes").agg(F.count("*").alias("count"), F.sum((F.col("n") != F.col("back")).cast("long")).alias("wrong"))
 
 
-register("f26_varints", _varints, "WITH n AS (SELECT CAST(o_orderkey AS BIGINT) * o_orderkey * 31 AS n FROM orders) SELECT CAST((len(bin(greatest(n, 1))) + 6) // 7 AS BIGINT) AS bytes, count(*) AS count, CAST(0 AS BIGINT) AS wrong FROM n GROUP BY 1")
+register(
+    "f26_varints",
+    _varints,
+    "WITH n AS (SELECT CAST(o_orderkey AS BIGINT) * o_orderkey * 31 AS n FROM orders) SELECT CAST((len(bin(greatest(n, 1))) + 6) // 7 AS BIGINT) AS bytes, count(*) AS count, CAST(0 AS BIGINT) AS wrong FROM n GROUP BY 1",
+)
 
 
 # --- files that are written to a shared folder and read again

@@ -12,11 +12,23 @@ from .registry import register
 
 register("f03_f06_paths", lambda s, d: v.table(s, d, "pages").select("page_id", fn.last_index(F.col("url"), "/").cast("long").alias("slash"), fn.clean_path(F.col("url")).alias("folder"), fn.file_title(F.col("url")).alias("title"), fn.extension(F.col("url")).alias("ext")),
          r"""SELECT page_id, CAST(length(url) - instr(reverse(url), '/') AS BIGINT) AS slash, CASE WHEN url LIKE '%/' THEN url ELSE url || '/' END AS folder, regexp_extract(url, '([^/\\]*?)(\.[^./\\]*)?$', 1) AS title, CASE WHEN regexp_matches(url, '\.[^./\\]*$') THEN regexp_extract(url, '\.([^./\\]*)$', 1) END AS ext FROM pages""")
-register("f07_f08_parse", lambda s, d: v.table(s, d, "events").select("event_id", fn.parse_uint(F.regexp_extract("props", ": *(.*)$", 1)).alias("n"), fn.parse_float(F.col("value").cast("string")).alias("x"), fn.parse_until(F.col("props"), ":").alias("head")), r"SELECT event_id, CASE WHEN regexp_extract(regexp_extract(props, ': *(.*)$', 1), '^\s*(\d+)', 1) <> '' THEN TRY_CAST(regexp_extract(regexp_extract(props, ': *(.*)$', 1), '^\s*(\d+)', 1) AS BIGINT) ELSE 0 END AS n, value AS x, rtrim(split_part(props, ':', 1)) AS head FROM events")
-register("f11_f12_text", lambda s, d: v.files(s, d).select("file_idx", fn.duration_text(F.col("usize") / 100).alias("duration"), fn.scaled_size(F.col("usize")).alias("size")), f"WITH {v.CELLS}, t AS (SELECT file_idx, usize, usize / 100.0::DOUBLE AS s FROM files) SELECT file_idx, CASE WHEN s >= 86400 THEN CAST(floor(s / 86400) AS BIGINT) || '-' ELSE '' END || printf('%02d-%02d-%09.6f', CAST(floor(s % 86400 / 3600) AS INT), CAST(floor(s % 86400 % 3600 / 60) AS INT), s % 86400 % 60) AS duration, printf('%.2f %s', usize / pow(1024.0, least(4, floor(log2(usize) / 10))), ['B', 'KB', 'MB', 'GB', 'TB'][CAST(least(4, floor(log2(usize) / 10)) AS INT) + 1]) AS size FROM t")
+register(
+    "f07_f08_parse",
+    lambda s, d: v.table(s, d, "events").select("event_id", fn.parse_uint(F.regexp_extract("props", ": *(.*)$", 1)).alias("n"), fn.parse_float(F.col("value").cast("string")).alias("x"), fn.parse_until(F.col("props"), ":").alias("head")),
+    r"SELECT event_id, CASE WHEN regexp_extract(regexp_extract(props, ': *(.*)$', 1), '^\s*(\d+)', 1) <> '' THEN TRY_CAST(regexp_extract(regexp_extract(props, ': *(.*)$', 1), '^\s*(\d+)', 1) AS BIGINT) ELSE 0 END AS n, value AS x, rtrim(split_part(props, ':', 1)) AS head FROM events",
+)
+register(
+    "f11_f12_text",
+    lambda s, d: v.files(s, d).select("file_idx", fn.duration_text(F.col("usize") / 100).alias("duration"), fn.scaled_size(F.col("usize")).alias("size")),
+    f"WITH {v.CELLS}, t AS (SELECT file_idx, usize, usize / 100.0::DOUBLE AS s FROM files) SELECT file_idx, CASE WHEN s >= 86400 THEN CAST(floor(s / 86400) AS BIGINT) || '-' ELSE '' END || printf('%02d-%02d-%09.6f', CAST(floor(s % 86400 / 3600) AS INT), CAST(floor(s % 86400 % 3600 / 60) AS INT), s % 86400 % 60) AS duration, printf('%.2f %s', usize / pow(1024.0, least(4, floor(log2(usize) / 10))), ['B', 'KB', 'MB', 'GB', 'TB'][CAST(least(4, floor(log2(usize) / 10)) AS INT) + 1]) AS size FROM t",
+)
 register("f14_f20_bits", lambda s, d: v.files(s, d).select("file_idx", F.bit_count("usize").cast("int").alias("weight"), fn.floor_log2(F.col("usize")).alias("lo"), fn.ceil_log2(F.col("usize")).alias("hi"), fn.lowest_bit(F.col("usize")).alias("lsb"), F.floor(F.log10("usize")).cast("int").alias("digits"), F.floor(F.sqrt("usize")).cast("long").alias("root"), fn.zigzag(F.col("usize") - 9000000).alias("zig"), fn.unzigzag(fn.zigzag(F.col("usize") - 9000000)).alias("back"), F.expr("usize ^ (usize >> 1)").alias("gray"), F.bin("usize").alias("bits"), fn.median3(F.col("usize"), F.lit(9000000), F.col("file_idx")).cast("long").alias("mid")),
          f"WITH {v.CELLS} SELECT file_idx, CAST(bit_count(usize) AS INT) AS weight, CAST(length(bin(usize)) - 1 AS INT) AS lo, CAST(length(bin(usize - 1)) AS INT) AS hi, CAST(length(bin(usize)) - length(rtrim(bin(usize), '0')) AS INT) AS lsb, CAST(floor(log10(usize)) AS INT) AS digits, CAST(floor(sqrt(usize)) AS BIGINT) AS root, CASE WHEN usize < 9000000 THEN -2 * (usize - 9000000) - 1 ELSE 2 * (usize - 9000000) END AS zig, usize - 9000000 AS back, xor(usize, usize >> 1) AS gray, bin(usize) AS bits, CAST(greatest(least(usize, 9000000), least(greatest(usize, 9000000), file_idx)) AS BIGINT) AS mid FROM files")
-register("f17_fixed_point", lambda s, d: v.files(s, d).select("file_idx", fn.log2_fix24(F.col("usize")).alias("log"), fn.exp2_fix24(F.col("usize") % 16777216).alias("exp")), f"WITH {v.CELLS} SELECT file_idx, CAST(floor(log2(usize / 16777216.0::DOUBLE) * 16777216) AS BIGINT) AS log, CAST(floor(pow(2.0::DOUBLE, (usize % 16777216) / 16777216.0::DOUBLE) * 16777216) AS BIGINT) AS exp FROM files")
+register(
+    "f17_fixed_point",
+    lambda s, d: v.files(s, d).select("file_idx", fn.log2_fix24(F.col("usize")).alias("log"), fn.exp2_fix24(F.col("usize") % 16777216).alias("exp")),
+    f"WITH {v.CELLS} SELECT file_idx, CAST(floor(log2(usize / 16777216.0::DOUBLE) * 16777216) AS BIGINT) AS log, CAST(floor(pow(2.0::DOUBLE, (usize % 16777216) / 16777216.0::DOUBLE) * 16777216) AS BIGINT) AS exp FROM files",
+)
 
 
 def _templates(s, d):
@@ -26,11 +38,31 @@ def _templates(s, d):
 
 
 register("p13_p14_templates", _templates, """SELECT p_partkey, p_partkey % 7 <> 0 AS ok, 'enc "in file" "out"' AS command FROM part""")
-register("p10_p12_matches", lambda s, d: v.table(s, d, "part").select("p_partkey", (F.lower("p_type") == F.lit("large anodized")).alias("same"), F.lower("p_type").startswith("large").alias("prefix"), (F.col("p_type") == "LARGE").alias("exact")), "SELECT p_partkey, lower(p_type) = 'large anodized' AS same, starts_with(lower(p_type), 'large') AS prefix, p_type = 'LARGE' AS exact FROM part")
-register("p07_p08_roi", lambda s, d: v.planes(s, d).where("x >= 2 and x < 7 and y >= 1 and y < 5 and image_id % 4 <> 3").groupBy("image_id").agg(F.sum("v").alias("total"), F.count("*").alias("n")), f"WITH {v.PLANES} SELECT image_id, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM planes WHERE x >= 2 AND x < 7 AND y >= 1 AND y < 5 AND image_id % 4 <> 3 GROUP BY image_id")
-register("d10_timestamps", lambda s, d: v.table(s, d, "events").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("text"), F.unix_timestamp(F.to_timestamp(F.date_format("ts", "yyyyMMdd_HHmmss"), "yyyyMMdd_HHmmss")).alias("back")), "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS text, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS back FROM events")
-register("j02_pixels", lambda s, d: v.planes(s, d).alias("a").join(v.planes(s, d).select((F.col("image_id") - 1).alias("image_id"), "y", "x", F.col("v").alias("w")), ["image_id", "y", "x"]).groupBy("image_id").agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("sad"), F.count("*").alias("n")), f"WITH {v.PLANES} SELECT a.image_id, CAST(sum(abs(a.v - b.v)) AS BIGINT) AS sad, count(*) AS n FROM planes a JOIN planes b ON b.image_id = a.image_id + 1 AND a.x = b.x AND a.y = b.y GROUP BY a.image_id")
-register("j06_earlier_runs", lambda s, d: history.run_totals(v.cells(s, d)).select(F.lower("codec").alias("name"), "run_seq", "csize", F.min("csize").over(Window.partitionBy(F.lower("codec")).orderBy("run_seq").rangeBetween(Window.unboundedPreceding, -1)).alias("best_before")), f"WITH {v.CELLS} SELECT lower(a.codec) AS name, a.run_seq, a.csize, min(b.csize) AS best_before FROM runs a LEFT JOIN runs b ON lower(a.codec) = lower(b.codec) AND b.run_seq < a.run_seq GROUP BY lower(a.codec), a.run_seq, a.csize")
+register(
+    "p10_p12_matches",
+    lambda s, d: v.table(s, d, "part").select("p_partkey", (F.lower("p_type") == F.lit("large anodized")).alias("same"), F.lower("p_type").startswith("large").alias("prefix"), (F.col("p_type") == "LARGE").alias("exact")),
+    "SELECT p_partkey, lower(p_type) = 'large anodized' AS same, starts_with(lower(p_type), 'large') AS prefix, p_type = 'LARGE' AS exact FROM part",
+)
+register(
+    "p07_p08_roi",
+    lambda s, d: v.planes(s, d).where("x >= 2 and x < 7 and y >= 1 and y < 5 and image_id % 4 <> 3").groupBy("image_id").agg(F.sum("v").alias("total"), F.count("*").alias("n")),
+    f"WITH {v.PLANES} SELECT image_id, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM planes WHERE x >= 2 AND x < 7 AND y >= 1 AND y < 5 AND image_id % 4 <> 3 GROUP BY image_id",
+)
+register(
+    "d10_timestamps",
+    lambda s, d: v.table(s, d, "events").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("text"), F.unix_timestamp(F.to_timestamp(F.date_format("ts", "yyyyMMdd_HHmmss"), "yyyyMMdd_HHmmss")).alias("back")),
+    "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS text, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS back FROM events",
+)
+register(
+    "j02_pixels",
+    lambda s, d: v.planes(s, d).alias("a").join(v.planes(s, d).select((F.col("image_id") - 1).alias("image_id"), "y", "x", F.col("v").alias("w")), ["image_id", "y", "x"]).groupBy("image_id").agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("sad"), F.count("*").alias("n")),
+    f"WITH {v.PLANES} SELECT a.image_id, CAST(sum(abs(a.v - b.v)) AS BIGINT) AS sad, count(*) AS n FROM planes a JOIN planes b ON b.image_id = a.image_id + 1 AND a.x = b.x AND a.y = b.y GROUP BY a.image_id",
+)
+register(
+    "j06_earlier_runs",
+    lambda s, d: history.run_totals(v.cells(s, d)).select(F.lower("codec").alias("name"), "run_seq", "csize", F.min("csize").over(Window.partitionBy(F.lower("codec")).orderBy("run_seq").rangeBetween(Window.unboundedPreceding, -1)).alias("best_before")),
+    f"WITH {v.CELLS} SELECT lower(a.codec) AS name, a.run_seq, a.csize, min(b.csize) AS best_before FROM runs a LEFT JOIN runs b ON lower(a.codec) = lower(b.codec) AND b.run_seq < a.run_seq GROUP BY lower(a.codec), a.run_seq, a.csize",
+)
 
 
 def _recipe_costs(s, d):
@@ -45,7 +77,11 @@ def _recipe_costs(s, d):
 
 
 _SIG = {"r": "r", "g": "g", "b": "b", "r-g": "rg", "g-r": "rg", "g-b": "gb", "b-g": "gb", "b-r": "br", "r-b": "br"}
-register("j07_recipe_lookup", _recipe_costs, f"WITH {v.RGB}, s AS (SELECT image_id, sum(abs(r)) AS r, sum(abs(g)) AS g, sum(abs(b)) AS b, sum(abs(r - g)) AS rg, sum(abs(g - b)) AS gb, sum(abs(b - r)) AS br FROM rgb GROUP BY image_id) " + " UNION ALL ".join(f"SELECT image_id, CAST({i} AS INT) AS recipe, CAST({' + '.join(_SIG[c] for c in r)} AS BIGINT) AS cost FROM s" for i, r in enumerate(color.RECIPES)))
+register(
+    "j07_recipe_lookup",
+    _recipe_costs,
+    f"WITH {v.RGB}, s AS (SELECT image_id, sum(abs(r)) AS r, sum(abs(g)) AS g, sum(abs(b)) AS b, sum(abs(r - g)) AS rg, sum(abs(g - b)) AS gb, sum(abs(b - r)) AS br FROM rgb GROUP BY image_id) " + " UNION ALL ".join(f"SELECT image_id, CAST({i} AS INT) AS recipe, CAST({' + '.join(_SIG[c] for c in r)} AS BIGINT) AS cost FROM s" for i, r in enumerate(color.RECIPES)),
+)
 
 
 def _pipeline(s, d):
@@ -82,7 +118,11 @@ register("t19_histmatch", _histmatch, f"""WITH {v.RGB}, l AS (SELECT image_id, '
     c AS (SELECT *, sum(f) OVER (PARTITION BY image_id, ch ORDER BY v) AS cdf FROM h), m AS (SELECT g.image_id, g.v AS gv, min(o.v) FILTER (o.ch = 'r') AS mr, min(o.v) FILTER (o.ch = 'b') AS mb FROM c g JOIN c o ON g.image_id = o.image_id AND g.ch = 'g' AND o.ch <> 'g' AND o.cdf >= g.cdf GROUP BY g.image_id, g.v)
     SELECT image_id, CAST(sum(abs(r - mr)) AS BIGINT) AS red, CAST(sum(abs(b - mb)) AS BIGINT) AS blue FROM rgb JOIN m USING (image_id) WHERE g = gv GROUP BY image_id""")
 _KERNEL = {"NW": 1, "N": 2, "NE": 1, "W": 2}
-register("t43_t84_convolution", lambda s, d: predict.with_neighbours(v.planes(s, d)).groupBy("image_id").agg(F.sum(F.expr("((" + " + ".join(f"{w} * {k}" for k, w in _KERNEL.items()) + " + 4 * v) div 10) * (y * 8 + x + 1)")).alias("digest")), f"WITH {v.PLANES}, n AS ({predict.neighbours_sql('planes')}) SELECT image_id, CAST(sum(((" + " + ".join(f"{w} * {k}" for k, w in _KERNEL.items()) + " + 4 * v) // 10) * (y * 8 + x + 1)) AS BIGINT) AS digest FROM n GROUP BY image_id")
+register(
+    "t43_t84_convolution",
+    lambda s, d: predict.with_neighbours(v.planes(s, d)).groupBy("image_id").agg(F.sum(F.expr("((" + " + ".join(f"{w} * {k}" for k, w in _KERNEL.items()) + " + 4 * v) div 10) * (y * 8 + x + 1)")).alias("digest")),
+    f"WITH {v.PLANES}, n AS ({predict.neighbours_sql('planes')}) SELECT image_id, CAST(sum(((" + " + ".join(f"{w} * {k}" for k, w in _KERNEL.items()) + " + 4 * v) // 10) * (y * 8 + x + 1)) AS BIGINT) AS digest FROM n GROUP BY image_id",
+)
 
 
 def _pca(s, d):

@@ -35,7 +35,10 @@ def _register(name: str, sql: str) -> None:
 
 def _windowed(name: str, near: tuple[str, ...], ctes: str, p: str) -> None:
     """`ctes` end in a table `m` with the columns that the prediction `p` names."""
-    _register(name, f"WITH {v.PLANES}, n AS ({near_sql(near)}), {ctes}, r AS (SELECT image_id, k, {wrapped(p)} AS res FROM m) SELECT image_id, {DIGEST} FROM r GROUP BY image_id")
+    _register(
+        name,
+        f"WITH {v.PLANES}, n AS ({near_sql(near)}), {ctes}, r AS (SELECT image_id, k, {wrapped(p)} AS res FROM m) SELECT image_id, {DIGEST} FROM r GROUP BY image_id",
+    )
 
 
 def _recursive(name: str, near: tuple[str, ...], sample: str, state: dict[str, str], steps: list[str], p: str, after: dict[str, str]) -> None:
@@ -131,10 +134,25 @@ def _least_squares(since: str = "UNBOUNDED") -> str:
 
 
 _windowed("t86_ols", ("N", "W", "NW", "NE"), _least_squares(), "CAST(round_even(least(127, greatest(-128, w0 * N + w1 * W + w2 * NW + w3 * NE)), 0) AS BIGINT)")
-_windowed("t87_ols2", ("N", "W", "NW", "NE"), _least_squares(str(sequential.RecentOls.LAST)), "CAST(round_even(least(127, greatest(-128, w0 * N + w1 * W + w2 * NW + w3 * NE)), 0) AS BIGINT)")
+_windowed(
+    "t87_ols2",
+    ("N", "W", "NW", "NE"),
+    _least_squares(str(sequential.RecentOls.LAST)),
+    "CAST(round_even(least(127, greatest(-128, w0 * N + w1 * W + w2 * NW + w3 * NE)), 0) AS BIGINT)",
+)
 _PAST = "ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-_windowed("t66_wgrad", ("N", "W", "NW", "NE", "NN", "WW", "NNE", "NNW", "NWW"), "m AS (SELECT *, abs(N - NW) + abs(W - WW) + abs(NE - N) + abs(NW - NWW) + 1 AS gx, abs(N - NN) + abs(W - NW) + abs(NE - NNE) + abs(NW - NNW) + 1 AS gy FROM n)", "(gx * N + gy * W) // (gx + gy)")
-_windowed("t92_table", ("N", "W", "NE", "NW"), "m AS (SELECT *, " + " + ".join(f"lag(v, 1, {k}) OVER (PARTITION BY image_id, {k} ORDER BY k)" for k in ("N", "W", "NE", "NW")) + " AS followers FROM n)", "followers >> 2")
+_windowed(
+    "t66_wgrad",
+    ("N", "W", "NW", "NE", "NN", "WW", "NNE", "NNW", "NWW"),
+    "m AS (SELECT *, abs(N - NW) + abs(W - WW) + abs(NE - N) + abs(NW - NWW) + 1 AS gx, abs(N - NN) + abs(W - NW) + abs(NE - NNE) + abs(NW - NNW) + 1 AS gy FROM n)",
+    "(gx * N + gy * W) // (gx + gy)",
+)
+_windowed(
+    "t92_table",
+    ("N", "W", "NE", "NW"),
+    "m AS (SELECT *, " + " + ".join(f"lag(v, 1, {k}) OVER (PARTITION BY image_id, {k} ORDER BY k)" for k in ("N", "W", "NE", "NW")) + " AS followers FROM n)",
+    "followers >> 2",
+)
 _windowed("t74_sse", ("N", "W", "NW"), f"""g AS (SELECT *, greatest(least(N, W), least(greatest(N, W), N + W - NW)) AS base, (N - NW) >> 4 AS c1, (W - NW) >> 4 AS c2 FROM n),
     m AS (SELECT *, sum(v - base) OVER w AS total, count(*) OVER w AS seen FROM g WINDOW w AS (PARTITION BY image_id, c1, c2 {_PAST}))""", "least(127, greatest(-128, base + CASE WHEN seen > 0 THEN CAST(floor(total / CAST(seen AS DOUBLE)) AS BIGINT) ELSE 0 END))")
 _windowed("t42_calic", ("N", "W", "NW", "NE", "NN", "WW", "NNE"), f"""g AS (SELECT *, abs(W - WW) + abs(N - NW) + abs(NE - N) AS dh, abs(W - NW) + abs(N - NN) + abs(NE - NNE) AS dv, (W + N) / 2.0::DOUBLE + (NE - NW) / 4.0::DOUBLE AS mid FROM n),
@@ -166,7 +184,11 @@ register("t28_grfilt", _digest(sequential.activity), f"""WITH RECURSIVE {v.PLANE
         UNION ALL SELECT image_id, k + 1, vs, list_concat(list_concat(above[1:k % 8], [after]), above[k % 8 + 2:]), CASE WHEN (k + 1) % 8 = 0 THEN 0 ELSE after END
         FROM (SELECT *, CAST((state + least(state, coalesce(above[k % 8 + 2], 0)) + abs(vs[k + 1]) * 64 + greatest(coalesce(above[k % 8 + 3], 0), coalesce(above[k % 8 + 4], 0))) >> 2 AS BIGINT) AS after FROM st WHERE k < 64))
     SELECT image_id, CAST(sum((state >> 6) * (k + 1)) AS BIGINT) AS digest FROM st WHERE k < 64 GROUP BY image_id""")
-register("t51_quant", _digest(lambda p: sequential.halve(sequential.halve(p), True)), f"WITH {v.PLANES}, h AS (SELECT image_id, y * 8 + x AS k, v // 2 AS h FROM planes) SELECT image_id, CAST(sum(least(127, greatest(-128, (2 * h) | ((h + 128) >> 7))) * (k + 1)) AS BIGINT) AS digest FROM h GROUP BY image_id")
+register(
+    "t51_quant",
+    _digest(lambda p: sequential.halve(sequential.halve(p), True)),
+    f"WITH {v.PLANES}, h AS (SELECT image_id, y * 8 + x AS k, v // 2 AS h FROM planes) SELECT image_id, CAST(sum(least(127, greatest(-128, (2 * h) | ((h + 128) >> 7))) * (k + 1)) AS BIGINT) AS digest FROM h GROUP BY image_id",
+)
 
 
 def _layers_sql() -> str:
@@ -462,7 +484,10 @@ def _signs_sql(parts: list[str], near: str, first: int, shift: int, step: int, b
 _terms, _shift, _first, _step = sequential.MIXES["t30_ols7"]
 _l1 = _Names()
 _l1_parts = list(map(str, _terms(_l1)))
-_by_channel("t29_l1crct", f"WITH RECURSIVE {_chosen_sql()}, n AS ({near_sql(tuple(dict.fromkeys([*_l1, 'N', 'W', 'NE', 'NEEE'])), 'sig')}), {_signs_sql(_l1_parts, 'SELECT n.*, t, o FROM n JOIN sig USING (image_id, y, x)', _first, _shift, _step, 1 << _shift >> 1)} {CHANNELS}")
+_by_channel(
+    "t29_l1crct",
+    f"WITH RECURSIVE {_chosen_sql()}, n AS ({near_sql(tuple(dict.fromkeys([*_l1, 'N', 'W', 'NE', 'NEEE'])), 'sig')}), {_signs_sql(_l1_parts, 'SELECT n.*, t, o FROM n JOIN sig USING (image_id, y, x)', _first, _shift, _step, 1 << _shift >> 1)} {CHANNELS}",
+)
 
 
 def _two_stages_sql() -> str:

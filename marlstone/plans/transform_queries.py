@@ -33,7 +33,11 @@ def _pixel(name, forward, back, duck):
         p = v.planes(s, d).withColumn("c", F.expr(forward)).withColumn("u", F.expr(back or "v"))
         return p.groupBy("image_id").agg(F.sum(F.col("c") * (F.col("y") * 8 + F.col("x") + 1)).cast("long").alias("digest"), F.sum((F.col("u") != F.col("v")).cast("long")).alias("mismatches"))
 
-    register(name, query, f"WITH {v.PLANES} SELECT image_id, CAST(sum(({duck}) * (y * 8 + x + 1)) AS BIGINT) AS digest, CAST(0 AS BIGINT) AS mismatches FROM planes GROUP BY image_id")
+    register(
+        name,
+        query,
+        f"WITH {v.PLANES} SELECT image_id, CAST(sum(({duck}) * (y * 8 + x + 1)) AS BIGINT) AS digest, CAST(0 AS BIGINT) AS mismatches FROM planes GROUP BY image_id",
+    )
 
 
 _pixel("t22_gray", "(v + 128) ^ ((v + 128) >> 1)", "(c ^ (c >> 1) ^ (c >> 2) ^ (c >> 3) ^ (c >> 4) ^ (c >> 5) ^ (c >> 6) ^ (c >> 7)) - 128", "xor(v + 128, (v + 128) >> 1)")
@@ -49,10 +53,18 @@ def _wrapped_jpeg2000(s, d):
     return p.groupBy("image_id").agg(*[F.sum(F.col(c) * (F.col("y") * 8 + F.col("x") + 1)).alias(n) for c, n in (("l", "s0"), ("w", "s1"), ("u", "s2"))], F.sum("bad").alias("mismatches"))
 
 
-register("t04_jpeg2000_ma_roundtrip", _wrapped_jpeg2000, f"WITH {v.RGB}, a AS (SELECT *, {color.wrap('r - g')} AS u, {color.wrap('b - g')} AS w FROM rgb), t AS (SELECT *, {color.wrap('g + ((u + w) >> 2)')} AS l FROM a) SELECT image_id, CAST(sum(l * (y * 8 + x + 1)) AS BIGINT) AS s0, CAST(sum(w * (y * 8 + x + 1)) AS BIGINT) AS s1, CAST(sum(u * (y * 8 + x + 1)) AS BIGINT) AS s2, CAST(0 AS BIGINT) AS mismatches FROM t GROUP BY image_id")
+register(
+    "t04_jpeg2000_ma_roundtrip",
+    _wrapped_jpeg2000,
+    f"WITH {v.RGB}, a AS (SELECT *, {color.wrap('r - g')} AS u, {color.wrap('b - g')} AS w FROM rgb), t AS (SELECT *, {color.wrap('g + ((u + w) >> 2)')} AS l FROM a) SELECT image_id, CAST(sum(l * (y * 8 + x + 1)) AS BIGINT) AS s0, CAST(sum(w * (y * 8 + x + 1)) AS BIGINT) AS s1, CAST(sum(u * (y * 8 + x + 1)) AS BIGINT) AS s2, CAST(0 AS BIGINT) AS mismatches FROM t GROUP BY image_id",
+)
 
 _JPEG = {"yy": "0.299D * r + 0.587D * g + 0.114D * b", "cb": "-0.168736D * r - 0.331264D * g + 0.5D * b", "cr": "0.5D * r - 0.418688D * g - 0.081312D * b"}
-register("t15_ycbcr", lambda s, d: v.rgb(s, d).groupBy("image_id").agg(*[F.round(F.sum(F.expr(e)), 4).alias(n) for n, e in _JPEG.items()]), f"WITH {v.RGB} SELECT image_id, " + ", ".join(f"round(sum({e.replace('D', '::DOUBLE')}), 4) AS {n}" for n, e in _JPEG.items()) + " FROM rgb GROUP BY image_id")
+register(
+    "t15_ycbcr",
+    lambda s, d: v.rgb(s, d).groupBy("image_id").agg(*[F.round(F.sum(F.expr(e)), 4).alias(n) for n, e in _JPEG.items()]),
+    f"WITH {v.RGB} SELECT image_id, " + ", ".join(f"round(sum({e.replace('D', '::DOUBLE')}), 4) AS {n}" for n, e in _JPEG.items()) + " FROM rgb GROUP BY image_id",
+)
 
 
 def _recipes(s, d):
@@ -100,7 +112,11 @@ def _previous(s, d):
     return p.groupBy("image_id").agg(F.sum(F.col("res") * (F.col("y") * 8 + F.col("x") + 1)).alias("digest"), F.sum((F.col("u") != F.col("v")).cast("long")).alias("mismatches"))
 
 
-register("t41_sub_roundtrip", _previous, f"WITH {v.PLANES}, t AS (SELECT image_id, y, x, {color.wrap('v - lag(v, 1, 0) OVER (PARTITION BY image_id ORDER BY y, x)')} AS res FROM planes) SELECT image_id, CAST(sum(res * (y * 8 + x + 1)) AS BIGINT) AS digest, CAST(0 AS BIGINT) AS mismatches FROM t GROUP BY image_id")
+register(
+    "t41_sub_roundtrip",
+    _previous,
+    f"WITH {v.PLANES}, t AS (SELECT image_id, y, x, {color.wrap('v - lag(v, 1, 0) OVER (PARTITION BY image_id ORDER BY y, x)')} AS res FROM planes) SELECT image_id, CAST(sum(res * (y * 8 + x + 1)) AS BIGINT) AS digest, CAST(0 AS BIGINT) AS mismatches FROM t GROUP BY image_id",
+)
 
 _SEL = "CASE WHEN abs({0} - {2}) < abs({1} - {2}) THEN {1} ELSE {0} END"
 _CLEAR = {"dr": color.wrap("r - (" + _SEL.format("rN", "bW", "bNW") + ")"), "dg": color.wrap("g - (" + _SEL.format("gN", "r", "rN") + ")"), "db": color.wrap("b - (" + _SEL.format("bN", "g", "gN") + ")")}
@@ -116,7 +132,11 @@ def _cleartype(s, d):
     return p.groupBy("image_id").agg(*[F.sum(F.expr(e) * (F.col("y") * 8 + F.col("x") + 1)).cast("long").alias(n) for n, e in _CLEAR.items()])
 
 
-register("t56_cleartype", _cleartype, f"WITH {v.RGB}, a AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY image_id, y ORDER BY x) AS bW FROM rgb), n AS (SELECT *, lag(r, 1, 0) OVER c AS rN, lag(g, 1, 0) OVER c AS gN, lag(b, 1, 0) OVER c AS bN, lag(bW, 1, 0) OVER c AS bNW FROM a WINDOW c AS (PARTITION BY image_id, x ORDER BY y)) SELECT image_id, " + ", ".join(f"CAST(sum(({e}) * (y * 8 + x + 1)) AS BIGINT) AS {n}" for n, e in _CLEAR.items()) + " FROM n GROUP BY image_id")
+register(
+    "t56_cleartype",
+    _cleartype,
+    f"WITH {v.RGB}, a AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY image_id, y ORDER BY x) AS bW FROM rgb), n AS (SELECT *, lag(r, 1, 0) OVER c AS rN, lag(g, 1, 0) OVER c AS gN, lag(b, 1, 0) OVER c AS bN, lag(bW, 1, 0) OVER c AS bNW FROM a WINDOW c AS (PARTITION BY image_id, x ORDER BY y)) SELECT image_id, " + ", ".join(f"CAST(sum(({e}) * (y * 8 + x + 1)) AS BIGINT) AS {n}" for n, e in _CLEAR.items()) + " FROM n GROUP BY image_id",
+)
 
 
 def _block(name):
@@ -149,7 +169,11 @@ def _xyb(s, d):
     return s.sql(f"SELECT image_id, {outs} FROM (SELECT image_id, {cones} FROM marlstone_rgb) GROUP BY image_id")
 
 
-register("t16_xyb", _xyb, f"WITH {v.RGB} SELECT image_id, {_xyb_text('::DOUBLE')[1]} FROM (SELECT image_id, {_xyb_text('::DOUBLE')[0]} FROM rgb) GROUP BY image_id")
+register(
+    "t16_xyb",
+    _xyb,
+    f"WITH {v.RGB} SELECT image_id, {_xyb_text('::DOUBLE')[1]} FROM (SELECT image_id, {_xyb_text('::DOUBLE')[0]} FROM rgb) GROUP BY image_id",
+)
 
 _PAIR = "((3 * {a} - {b} + 1) >> 1)"
 _QUAD = "((9 * {a} - 3 * {b} - 3 * {c} + {d} + 2) >> 2)"
