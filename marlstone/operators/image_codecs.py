@@ -468,7 +468,7 @@ LOSSLESS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "c33_gradient_only": ("recipe", ("gradient",), "static_magnitude"), "c37_weighted_or_l1": ("recipe", ("t65_wp", "t30_ols7"), "moving_magnitude"), "c41_select_runs": ("recipe", _SEVEN, "rle_rice"), "c42_lz_rice": ("subgreen", ("gradient",), "lz_rice"),
     "c43_lz_rice_plain": ("none", ("zero",), "lz_rice"), "c44_adaptive_order1": ("subgreen", ("gradient",), "moving_order1"), "c45_simple_order1": ("subgreen", ("west",), "static_order1"), "c57_fast_rice": ("none", ("west",), "rice"),
     "c03_binary_weighted": ("recipe", ("t71_wgrad5",), "binary_order1"), "c14_weighted_binary": ("subgreen", ("t71_wgrad5",), "binary_magnitude"), "c15_weighted_binary": ("recipe", ("t71_wgrad5",), "binary_magnitude"), "c24_mix4_ac": ("recipe", ("t65_wp",), "moving_order1"), "c34_rans": ("recipe", _SEVEN, "static_order0"), "t45_calic": ("none", ("t42_calic",), "moving_magnitude"), "c25_mix8_ac": ("recipe", ("t71_wgrad5",), "moving_magnitude"), "c46_rice_or_ac": ("recipe", ("gradient",), "rice_or_ac"), "c56_lz_ac": ("subgreen", ("west",), "lz_binary"),
-    "c58_bit_counts": ("recipe", ("gradient",), "counts_order1"), "huffman_gradient": ("subgreen", ("gradient",), "huffman"),
+    "c58_bit_counts": ("recipe", ("gradient",), "counts_order1"), "huffman_gradient": ("subgreen", ("gradient",), "huffman"), "huffman_plain": ("none", ("zero",), "huffman"), "rans_plain": ("none", ("zero",), "static_order0"), "t54_fast_ac": ("jpeg2000", ("gradient",), "moving_order0"),
 }
 
 
