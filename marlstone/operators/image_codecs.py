@@ -118,17 +118,22 @@ class _State:
 
     def plane(self):
         self.above = np.zeros((self.n, self.w + 3), dtype=np.int64)
+        self.other, self.own, self.at = getattr(self, "own", {}), {}, (0, 0)
 
     def row(self):
         self.run, self.last, self.next = np.zeros(self.n, dtype=np.int64), np.zeros(self.n, dtype=np.int64), np.zeros_like(self.above) if hasattr(self, "above") else None
 
     def saw(self, x: int, sym: np.ndarray):
         self.run = (2 * self.run + (sym << self.precision) + np.maximum(self.above[:, x + 2], self.above[:, x + 3])) >> 2
-        self.next[:, x], self.last = self.run, sym
+        self.next[:, x], self.last, self.own[self.at] = self.run, sym, sym
 
     def end(self):
         self.above = self.next
 
+    def beside(self) -> np.ndarray:
+        """The symbol of the channel before at this place, 0 in the first."""
+        return self.other.get(self.at, np.zeros(self.n, dtype=np.int64))
+
 
 def _walk(shape, precision: int):
     """Every sample in coding order: (place, state)."""
@@ -139,6 +144,7 @@ def _walk(shape, precision: int):
         for y in range(h):
             state.row()
             for x in range(w):
+                state.at = (y, x)
                 yield (slice(None), c, y, x), state
             state.end()
 
@@ -194,6 +200,7 @@ CONTEXTS: dict[str, tuple[int, Callable[[_State], np.ndarray]]] = {
     "order0": (1, lambda s: np.zeros(s.n, dtype=np.int64)),
     "order1": (16, lambda s: np.minimum(s.last, 15)),
     "magnitude": (contexts.CONTEXTS, lambda s: contexts.by_state(s.run, contexts.CONTEXTS)),
+    "channels": (64, lambda s: np.minimum(contexts.floor_log2(s.run * s.run + 1) >> 1, 7) * 8 + np.minimum(contexts.floor_log2(s.beside() + 1), 7)),
 }
 
 
@@ -467,13 +474,21 @@ LOSSLESS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "c27_rice": ("subgreen", ("gradient",), "rice"), "c28_magnitude_ac": ("subgreen", ("gradient",), "moving_magnitude"), "c29_static_magnitude": ("recipe", ("t67_wgrad3", "gradient"), "static_magnitude"), "c30_ols": ("recipe", ("t86_ols",), "moving_magnitude"),
     "c33_gradient_only": ("recipe", ("gradient",), "static_magnitude"), "c37_weighted_or_l1": ("recipe", ("t65_wp", "t30_ols7"), "moving_magnitude"), "c41_select_runs": ("recipe", _SEVEN, "rle_rice"), "c42_lz_rice": ("subgreen", ("gradient",), "lz_rice"),
     "c43_lz_rice_plain": ("none", ("zero",), "lz_rice"), "c44_adaptive_order1": ("subgreen", ("gradient",), "moving_order1"), "c45_simple_order1": ("subgreen", ("west",), "static_order1"), "c57_fast_rice": ("none", ("west",), "rice"),
-    "c03_binary_weighted": ("recipe", ("t71_wgrad5",), "binary_order1"), "c14_weighted_binary": ("subgreen", ("t71_wgrad5",), "binary_magnitude"), "c15_weighted_binary": ("recipe", ("t71_wgrad5",), "binary_magnitude"), "c24_mix4_ac": ("recipe", ("t65_wp",), "moving_order1"), "c34_rans": ("recipe", _SEVEN, "static_order0"), "t45_calic": ("none", ("t42_calic",), "moving_magnitude"), "c25_mix8_ac": ("recipe", ("t71_wgrad5",), "moving_magnitude"), "c46_rice_or_ac": ("recipe", ("gradient",), "rice_or_ac"), "c56_lz_ac": ("subgreen", ("west",), "lz_binary"),
+    "c03_binary_weighted": ("recipe", ("t71_wgrad5",), "binary_order1"), "c14_weighted_binary": ("subgreen", ("t71_wgrad5",), "binary_magnitude"), "c15_weighted_binary": ("recipe", ("t71_wgrad5",), "binary_magnitude"), "c24_mix4_ac": ("recipe", ("t65_wp",), "moving_order1"), "c34_rans": ("recipe", _SEVEN, "static_order0"), "t45_calic": ("none", ("t42_calic",), "moving_magnitude"), "c25_mix8_ac": ("recipe", ("t71_wgrad5",), "moving_magnitude"), "c46_rice_or_ac": ("recipe", ("gradient",), "rice_or_ac"), "c52_channels_ac": ("recipe", ("gradient",), "moving_channels"), "c56_lz_ac": ("subgreen", ("west",), "lz_binary"),
     "c58_bit_counts": ("recipe", ("gradient",), "counts_order1"), "huffman_gradient": ("subgreen", ("gradient",), "huffman"), "huffman_plain": ("none", ("zero",), "huffman"), "rans_plain": ("none", ("zero",), "static_order0"), "t54_fast_ac": ("jpeg2000", ("gradient",), "moving_order0"),
 }
 
 
+#: Codecs that take the shorter of two others' streams.
+SHORTER = {"c38_synth_or_natural": ("c43_lz_rice_plain", "c10_l1_magnitude")}
+NAMES = (*LOSSLESS, *SHORTER)
+
+
 def encode(v: np.ndarray, name: str) -> list[bytes]:
     """Images (n, 3, h, w) as bytes: colour and predictor choices, then the entropy coder's."""
+    if name in SHORTER:
+        tried = [encode(v, k) for k in SHORTER[name]]
+        return [min((bytes([k]) + t[i] for k, t in enumerate(tried)), key=lambda d: (len(d), d[0])) for i in range(len(v))]
     colour, predictors, coder = LOSSLESS[name]
     choose, turn = COLOURS[colour]
     side = choose(v)
@@ -486,6 +501,12 @@ def encode(v: np.ndarray, name: str) -> list[bytes]:
 
 
 def decode(data: list[bytes], name: str, shape: tuple[int, ...]) -> np.ndarray:
+    if name in SHORTER:
+        out = np.zeros(shape, dtype=np.int64)
+        for k, of in enumerate(SHORTER[name]):
+            if at := [i for i, d in enumerate(data) if d[0] == k]:
+                out[at] = decode([data[i][1:] for i in at], of, (len(at), *shape[1:]))
+        return out
     colour, predictors, coder = LOSSLESS[name]
     n, channels, h, w = shape
     side = np.array([d[0] for d in data], dtype=np.int64)

@@ -17,7 +17,7 @@ def _lossless(name):
     return lambda s, d: image_codecs.measure(v.rgb_bytes(s, d), (name,)).groupBy("codec").agg(F.count("*").alias("images"), F.sum("usize").alias("usize"), F.sum("wrong").alias("wrong"))
 
 
-for _name in image_codecs.LOSSLESS:
+for _name in image_codecs.NAMES:
     register(
         f"codec_{_name}",
         _lossless(_name),
@@ -26,7 +26,7 @@ for _name in image_codecs.LOSSLESS:
 
 register(
     "codec_sizes",
-    lambda s, d: image_codecs.measure(v.rgb_bytes(s, d), (*image_codecs.LOSSLESS, *image_codecs.LOSSY)).groupBy("codec").agg(F.sum("csize").alias("csize"), F.round(8 * F.sum("csize") / F.sum("usize"), 6).alias("bpd"), F.round(F.when(F.sum("squared_error") > 0, 10 * F.log10(65025.0 * F.sum("usize") / F.sum("squared_error"))), 6).alias("psnr")),
+    lambda s, d: image_codecs.measure(v.rgb_bytes(s, d), (*image_codecs.NAMES, *image_codecs.LOSSY)).groupBy("codec").agg(F.sum("csize").alias("csize"), F.round(8 * F.sum("csize") / F.sum("usize"), 6).alias("bpd"), F.round(F.when(F.sum("squared_error") > 0, 10 * F.log10(65025.0 * F.sum("usize") / F.sum("squared_error"))), 6).alias("psnr")),
 )
 
 

@@ -274,7 +274,7 @@ def _pictures():
     return v
 
 
-@pytest.mark.parametrize("name", list(image_codecs.LOSSLESS))
+@pytest.mark.parametrize("name", image_codecs.NAMES)
 def test_image_codec_round_trip(name):
     v = _pictures()
     data = image_codecs.encode(v, name)
