@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 SIDE, DEPTH, PLANES_AT_ONCE = 8, 8, 1024
 HALF, MASK = 1 << (DEPTH - 1), (1 << DEPTH) - 1
 #: Rows above and columns beside a plane that neighbours may reach; they hold 0.
-ABOVE, BESIDE = 3, 6
+ABOVE, BESIDE = 6, 7
 
 
 def wrap(v: np.ndarray) -> np.ndarray:
@@ -314,6 +314,63 @@ class CorrectedMix:
         self.missed.put(v - self.p)
 
 
+class ParametricMix:
+    """T-78: twenty predictors in 1/256, of which eight correct by what was missed around by given factors; weighted by given
+    weights over their errors in the row above (an error also adds to the place above to its right). 0 outside."""
+
+    # fixed values: 20 weights and 11 factors in 1/256 for each channel
+    PARAMETERS = (
+        (0x00EA, 0x01C8, 0x00A2, 0x005E, 0x01F4, 0x0045, 0x0091, 0x0066, 0x003B, 0x0027, -0x0011, 0x001B, 0x00FF, 0x007E, 0x00D1, 0x00F3, 0x008F, 0x0130, 0x018E, -0x00AC, 0x010C, 0x0008, -0x007E, 0x00A2, 0x000E, -0x0069, -0x0073, -0x0125, -0x0092, 0x0000, 0x0078),
+        (0x0006, 0x003D, 0x0031, 0x002F, 0x003F, 0x0015, 0x0011, 0x0036, 0x002E, -0x0022, 0x0011, 0x0034, -0x0007, 0x0012, -0x0018, 0x0012, 0x002F, 0x0000, 0x0000, 0x001C, 0x00A2, 0x02E1, 0x00C9, -0x00E0, -0x0068, -0x004E, -0x013E, -0x0012, 0x0001, 0x0000, -0x0046),
+        (0x003D, 0x0036, 0x0006, 0x007E, 0x0012, 0x0007, 0x0007, 0x0005, 0x001E, 0x0000, 0x0028, 0x0055, -0x0020, 0x0020, 0x0005, 0x0011, 0x0034, 0x0000, 0x0004, 0x003E, -0x0100, 0x0001, -0x0086, -0x0041, 0x0051, -0x0080, 0x0004, 0x0002, -0x0003, -0x0003, 0x00D9),
+    )
+
+    def __init__(self, n: int, channel: int):
+        self.n, self.row = n, None
+        self.weights, self.factors = np.array(self.PARAMETERS[channel][:20])[:, None], self.PARAMETERS[channel][20:]
+
+    def predict(self, near):
+        if self.row != near.y:
+            h, w = near.px.shape[1] - ABOVE, near.px.shape[2] - 2 * BESIDE
+            fresh = np.zeros((w + 2, 20, self.n), dtype=np.int64)
+            if self.row is None:
+                self.above, self.here, self.missed = fresh, fresh.copy(), Near(self.n, h, w)
+            else:
+                self.above, self.here = self.here, fresh
+            self.row = near.y
+        self.missed.y, self.missed.x, self.x = near.y, near.x, near.x + 1
+        scaled = {k: near[k] << DEPTH for k in PARAMETRIC_NEAR}
+        self.inputs, x = np.stack(parametric_terms(scaled, self.missed, self.factors)), self.x
+        w = toward_zero(self.weights << 8, self.above[x - 1] + self.above[x] + self.above[x + 1] + 1)
+        s = w.sum(0)
+        mean = toward_zero(((s >> 1) - 1 + (w * self.inputs).sum(0)) * np.where(s < 0, -1, 1), np.maximum(np.abs(s), 1))
+        self.p = within(np.where(s == 0, self.inputs[0], mean), scaled["W"], scaled["N"], scaled["NE"])
+        return self.p + 127 >> 8
+
+    def learn(self, v):
+        self.missed.put((v << 8) - self.p)
+        self.here[self.x] = error = np.abs((v << 8) - self.inputs)
+        if self.row:
+            self.above[self.x + 1] += error
+
+
+PARAMETRIC_NEAR = (
+    "N", "W", "NW", "NE", "NEE", "NN", "NNW", "NNE", "NNN", "NNNNNN", "NEEEE", "NEEEEE", "NEEEEEE", "NEEEEEEE", "WWWW", "WWWWWW",
+)
+
+
+def parametric_terms(n, e, f):
+    around = lambda v, *more: within(v, n["W"], n["N"], n["NE"], *(n[k] for k in more))
+    return [
+        n["N"] - (e["NW"] * f[0] + e["N"] * f[1] + e["NE"] * f[2] + (n["NN"] - n["N"]) * f[3] + (n["NW"] - n["W"]) * f[4] >> 8),
+        n["W"] - ((e["N"] + e["W"] + e["NW"]) * f[5] >> 8), n["N"] - ((e["N"] + e["W"] + e["NE"]) * f[6] >> 8), n["W"] + n["NE"] - n["N"],
+        *(n[k] - (e[k] * f[i] >> 8) for i, k in enumerate(("W", "N", "NW", "NE"), 7)),
+        around(n["W"] + n["N"] - n["NW"], "NW"), around(n["W"] + n["NE"] - n["N"], "NW"), around(n["N"] + n["NW"] - n["NNW"], "NW"), around(n["N"] + n["NE"] - n["NNE"], "NEE"),
+        n["W"] + n["NEE"] >> 1, n["NNNNNN"], n["NEEEE"] + n["NEEEEEE"] >> 1, n["WWWW"] + n["WWWWWW"] >> 1, n["W"] + n["N"] + n["NEEEEE"] + n["NEEEEEEE"] >> 2,
+        around(2 * n["N"] - n["NN"], "NEE"), n["N"] + n["NNN"] >> 1, 3 * (n["W"] + n["N"]) - 2 * n["NW"] >> 2,
+    ]
+
+
 class LearnedAverage:
     """T-93: five predictors in 1/256, of which some correct by what was missed around; weighted by fixed weights and learned
     factors over their errors around. Factors move by what is missed here and around times each predictor."""
@@ -529,7 +586,7 @@ class Successors:
 
 MODELS: dict[str, Callable[[int], object]] = {
     **{name: (lambda n, terms=terms, rest=rest: SignMix(n, terms, *rest)) for name, (terms, *rest) in MIXES.items()},
-    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t32_ols8": TwoStageMix, "t67_wgrad3": ErrorMix, "t70_wgrad4": FadedMixOfMore, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t73_wgrad7": CorrectedMix, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
+    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t32_ols8": TwoStageMix, "t67_wgrad3": ErrorMix, "t70_wgrad4": FadedMixOfMore, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t73_wgrad7": CorrectedMix, **{name: partial(ParametricMix, channel=k) for k, name in enumerate(("t78_mm", "t78_mm_second", "t78_mm_third"))}, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
 }
 
 

@@ -343,6 +343,36 @@ _recursive(
     {"e": "list_concat(list_concat(e[1:q], [c.v - pp]), e[q + 2:])", "mean": f"[mean[j] + ((over_best[j] * 64 - mean[j] + 4) >> 3) FOR j IN {_FOUR}]",
      "above": f"CASE WHEN x = 7 THEN list_concat(list_concat(here, over_best), CAST([0, 0, 0, 0] AS BIGINT[])) ELSE list_concat(list_concat(above[1:4 * x + 4], [above[4 * x + 4 + j] + over_best[j] FOR j IN {_FOUR}]), above[4 * x + 9:]) END", "here": "CASE WHEN x = 7 THEN CAST([] AS BIGINT[]) ELSE list_concat(here, over_best) END"},
 )
+
+
+def _parametric(name: str, values: tuple[int, ...]) -> None:
+    """T-78 for one channel: neighbours come in 1/256; `e` is what was missed so far, `above` and `here` hold 20 errors a place."""
+    f, n = values[20:], {k: f'c."{k}"' for k in sequential.PARAMETRIC_NEAR}
+    held = lambda t, *more: "least(greatest({0}), greatest(least({0}), {1}))".format(", ".join(n[k] for k in ("W", "N", "NE", *more)), t)
+    t = "{N} - ((enw * %d + en * %d + ene * %d + ({NN} - {N}) * %d + ({NW} - {W}) * %d) >> 8)" % f[:5]
+    terms = [
+        t, f"{{W}} - (((en + ew + enw) * {f[5]}) >> 8)", f"{{N}} - (((en + ew + ene) * {f[6]}) >> 8)", "{W} + {NE} - {N}", f"{{W}} - ((ew * {f[7]}) >> 8)", f"{{N}} - ((en * {f[8]}) >> 8)", f"{{NW}} - ((enw * {f[9]}) >> 8)", f"{{NE}} - ((ene * {f[10]}) >> 8)",
+        held("{W} + {N} - {NW}", "NW"), held("{W} + {NE} - {N}", "NW"), held("{N} + {NW} - {NNW}", "NW"), held("{N} + {NE} - {NNE}", "NEE"), "({W} + {NEE}) >> 1", "{NNNNNN}", "({NEEEE} + {NEEEEEE}) >> 1", "({WWWW} + {WWWWWW}) >> 1",
+        "({W} + {N} + {NEEEEE} + {NEEEEEEE}) >> 2", held("2 * {N} - {NN}", "NEE"), "({N} + {NNN}) >> 1", "(3 * {W} + 3 * {N} - 2 * {NW}) >> 2",
+    ]
+    places, zeros = "range(1, 21)", "CAST([0 FOR z IN range(20)] AS BIGINT[])"
+    _recursive(
+        name, sequential.PARAMETRIC_NEAR, "'v': v, " + ", ".join(f"'{k}': CAST(\"{k}\" AS BIGINT) * 256" for k in sequential.PARAMETRIC_NEAR),
+        {"e": "CAST([0 FOR z IN range(64)] AS BIGINT[])", "above": "CAST([0 FOR z IN range(180)] AS BIGINT[])", "here": "CAST([] AS BIGINT[])"},
+        ["i AS q, i % 8 AS x", "CASE WHEN q > 7 THEN e[q - 7] ELSE 0 END AS en, CASE WHEN x > 0 THEN e[q] ELSE 0 END AS ew, CASE WHEN q > 7 AND x > 0 THEN e[q - 8] ELSE 0 END AS enw, CASE WHEN q > 7 AND x < 7 THEN e[q - 6] ELSE 0 END AS ene",
+         f"[{', '.join(f'CAST({t.format(**n)} AS BIGINT)' for t in terms)}] AS p",
+         f"[(CAST([{', '.join(map(str, values[:20]))}] AS BIGINT[])[j] * 256) // (CASE WHEN x > 0 THEN above[20 * x - 20 + j] ELSE 0 END + above[20 * x + j] + above[20 * x + 20 + j] + 1) FOR j IN {places}] AS w",
+         "CAST(list_sum(w) AS BIGINT) AS s, " + " + ".join(f"w[{j}] * p[{j}]" for j in range(1, 21)) + " AS wp", held("CASE WHEN s = 0 THEN p[1] ELSE ((s >> 1) - 1 + wp) // (CASE WHEN s = 0 THEN 1 ELSE s END) END") + " AS pp", f"[abs(c.v * 256 - p[j]) FOR j IN {places}] AS miss"],
+        "(pp + 127) >> 8",
+        {"e": "list_concat(list_concat(e[1:q], [c.v * 256 - pp]), e[q + 2:])",
+         "above": f"CASE WHEN x = 7 THEN list_concat(list_concat(here, miss), {zeros}) WHEN q < 8 THEN above ELSE list_concat(list_concat(above[1:20 * x + 20], [above[20 * x + 20 + j] + miss[j] FOR j IN {places}]), above[20 * x + 41:]) END", "here": "CASE WHEN x = 7 THEN CAST([] AS BIGINT[]) ELSE list_concat(here, miss) END"},
+    )
+
+
+for _k, _name in enumerate(("t78_mm", "t78_mm_second", "t78_mm_third")):
+    _parametric(_name, sequential.ParametricMix.PARAMETERS[_k])
+
+
 class _As(dict):
     """Neighbours as SQL text by a form; remembers which were asked for."""
 
