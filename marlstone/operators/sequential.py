@@ -85,6 +85,10 @@ def mixn_terms(n):
     return [n["N"], n["W"], n["N"] + n["W"] - n["NW"], n["W"] + n["NE"] - n["N"], 2 * n["N"] - n["NN"], 2 * n["W"] - n["WW"]]
 
 
+def bestn_terms(n):
+    return [n["W"], n["NE"], 2 * n["N"] - n["NN"], n["N"] + n["W"] - n["NW"]]
+
+
 def ols7_terms(n):
     far = (n["WWWW"] + n["WWW"] + n["NNN"] + n["NNEE"] + n["NEEE"] + n["NEEEE"] - (n["N"] + n["W"])) >> 2
     return [n["N"], n["W"], n["NNN"], n["WWW"], n["NEEE"], 3 * (n["N"] - n["NN"]) + n["NNN"], 3 * (n["W"] - n["WW"]) + n["WWW"], n["W"] + n["NE"] - n["N"], n["N"] + n["W"] - n["NW"], n["N"] + n["NE"] - n["NNE"], far]
@@ -101,6 +105,7 @@ def ols9_terms(n):
 #: Terms, shift, first weight and step of the bias of each mix.
 MIXES = {
     "t23_mixn": (mixn_terms, 18, (1 << 18) // 6, 0),
+    "t25_bestn": (bestn_terms, 24, 1 << 22, 1),
     "t30_ols7": (ols7_terms, 21, (1 << 21) // 11, 16),
     "t33_ols9": (ols9_terms, 26, (1 << 26 >> 4) // 7, 0),
 }
