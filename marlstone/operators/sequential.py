@@ -376,6 +376,59 @@ def parametric_terms(n, e, f):
     ]
 
 
+class Angles:
+    """T-85: the neighbour pair along the direction of least change mixed with a linear predictor, the more the directions
+    differ; corrected by what was missed in the context of the activity around and of eight comparisons."""
+
+    # fixed values: steps of the mix, and of the activity
+    THRESHOLDS, ACTIVITY = (1, 3, 9, 20, 50, 110, 300, 800), (0, 2, 4, 7, 10, 14, 20, 26, 34, 42, 52, 64, 78, 95, 135, 200)
+
+    def __init__(self, n: int):
+        self.each, self.row = np.arange(n), None
+        self.corrections = np.zeros((n, len(self.ACTIVITY) << 7), dtype=np.int64)
+
+    def predict(self, near):
+        if self.row != near.y:
+            self.row, self.missed = near.y, np.zeros(len(self.each), dtype=np.int64)
+        n = near
+        cost, ahead = (np.stack(t) for t in zip(*(angle_terms(n, *d) for d in ANGLES), strict=True))
+        least = cost.min(0)
+        differ = cost.sum(0) - len(ANGLES) * least
+        share = (np.array(self.THRESHOLDS)[:, None] * MASK <= differ << 3).sum(0)
+        linear = np.clip(9 * (n["N"] + n["W"]) + 2 * (n["NE"] - n["NW"]) - n["NN"] - n["WW"], -HALF << 4, HALF << 4)
+        p = 8 * share * ahead[cost.argmin(0), self.each] + (8 - share) * linear + 64 >> 7
+        active = total(abs(n[a] - n[b]) for a, b in ACTIVE) + 2 * abs(self.missed)
+        level = np.searchsorted(self.ACTIVITY, active, side="right") - 1
+        self.context = total([level >> 1 << 8, *((p > q).astype(np.int64) << 7 - k for k, q in enumerate((2 * n["N"] - n["NN"], 2 * n["W"] - n["WW"], n["NN"], n["WW"], n["NE"], n["NW"], n["N"], n["W"])))])
+        self.correction = self.corrections[self.each, self.context]
+        self.p = np.clip(p + (self.correction >> 8), -HALF, HALF)
+        return self.p
+
+    def learn(self, v):
+        self.missed = v - self.p
+        self.corrections[self.each, self.context] += (self.missed << 7) - self.correction + 64 >> 7
+
+
+#: Directions by their two steps (the same step twice along the grid's own directions), and the differences that tell activity.
+ANGLES = (("W", "W"), ("N", "N"), ("NW", "NW"), ("NE", "NE"), ("W", "NW"), ("NW", "N"), ("N", "NE"))
+ACTIVE = (("W", "WW"), ("N", "NW"), ("N", "NE"), ("W", "NW"), ("N", "NN"), ("NE", "NNE"))
+
+
+def angle_name(*steps: str) -> str:
+    """Where the steps lead, by name."""
+    up = sum(offset_of(s)[0] for s in steps)
+    left = sum(offset_of(s)[1] for s in steps)
+    return "N" * up + ("W" * left if left > 0 else "E" * -left)
+
+
+def angle_terms(n, a: str, b: str):
+    """The change along a direction at four places around, and the two samples ahead on it. At one place the rule as described
+    leaves the direction: it takes NNW where the step leads to NWW."""
+    step = lambda k, by: "NNW" if (k, by, b) == ("NW", "W", "NW") else angle_name(k, by)
+    change = total(abs(2 * n[k] - n[step(k, a)] - n[step(k, b)]) for k in ("W", "NW", "N", "NE"))
+    return change, n[a] + n[b]
+
+
 class LearnedAverage:
     """T-93: five predictors in 1/256, of which some correct by what was missed around; weighted by fixed weights and learned
     factors over their errors around. Factors move by what is missed here and around times each predictor."""
@@ -591,7 +644,7 @@ class Successors:
 
 MODELS: dict[str, Callable[[int], object]] = {
     **{name: (lambda n, terms=terms, rest=rest: SignMix(n, terms, *rest)) for name, (terms, *rest) in MIXES.items()},
-    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t32_ols8": TwoStageMix, "t67_wgrad3": ErrorMix, "t70_wgrad4": FadedMixOfMore, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t73_wgrad7": CorrectedMix, **{name: partial(ParametricMix, channel=k) for k, name in enumerate(("t78_mm", "t78_mm_second", "t78_mm_third"))}, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
+    "t26_rls": Rls, "t86_ols": Ols, "t87_ols2": RecentOls, "t65_wp": Weighted, "t66_wgrad": SlopeWeighted, "t32_ols8": TwoStageMix, "t67_wgrad3": ErrorMix, "t70_wgrad4": FadedMixOfMore, "t71_wgrad5": FadedMix, "t72_wgrad6": ShiftMix, "t73_wgrad7": CorrectedMix, "t85_angles": Angles, **{name: partial(ParametricMix, channel=k) for k, name in enumerate(("t78_mm", "t78_mm_second", "t78_mm_third"))}, "t93_lwav": LearnedAverage, "t42_calic": Calic, "t74_sse": Bias, "t92_table": Successors,
 }
 
 

@@ -373,6 +373,28 @@ for _k, _name in enumerate(("t78_mm", "t78_mm_second", "t78_mm_third")):
     _parametric(_name, sequential.ParametricMix.PARAMETERS[_k])
 
 
+#: T-85's directions: the changes that count, and the samples ahead.
+_CHANGES = (
+    ("2 * (abs(W - WW) + abs(NW - NWW) + abs(N - NW) + abs(NE - N))", "2 * W"), ("2 * (abs(W - NW) + abs(NW - NNW) + abs(N - NN) + abs(NE - NNE))", "2 * N"),
+    ("2 * (abs(W - NWW) + abs(NW - NNWW) + abs(N - NNW) + abs(NE - NN))", "2 * NW"), ("2 * (abs(W - N) + abs(NW - NN) + abs(N - NNE) + abs(NE - NNEE))", "2 * NE"),
+    ("abs(2 * W - WW - NWW) + abs(2 * NW - NNW - NNWW) + abs(2 * N - NW - NNW) + abs(2 * NE - N - NN)", "W + NW"),
+    ("abs(2 * W - NWW - NW) + abs(2 * NW - NNWW - NNW) + abs(2 * N - NNW - NN) + abs(2 * NE - NN - NNE)", "NW + N"),
+    ("abs(2 * W - NW - N) + abs(2 * NW - NNW - NN) + abs(2 * N - NN - NNE) + abs(2 * NE - NNE - NNEE)", "N + NE"),
+)
+_recursive(
+    "t85_angles", ("N", "W", "NW", "NE", "NN", "WW", "NNW", "NNE", "NWW", "NNWW", "NNEE"),
+    f"'v': v, 'cost': [{', '.join(f'CAST({c} AS BIGINT)' for c, _ in _CHANGES)}], 'ahead': [{', '.join(f'CAST({a} AS BIGINT)' for _, a in _CHANGES)}], 'linear': least(2048, greatest(-2048, 9 * (N + W) + 2 * (NE - NW) - NN - WW)),"
+    " 'active': abs(W - WW) + abs(N - NW) + abs(N - NE) + abs(W - NW) + abs(N - NN) + abs(NE - NNE), 'over': [2 * N - NN, 2 * W - WW, NN, WW, NE, NW, N, W]",
+    {"e": "CAST(0 AS BIGINT)", "seen": "CAST([] AS BIGINT[])", "learned": "CAST([] AS BIGINT[])"},
+    ["list_min(c.cost) AS m, c.active + 2 * abs(CASE WHEN i % 8 = 0 THEN 0 ELSE e END) AS active",
+     f"CAST(list_sum([CASE WHEN t * 255 <= 8 * (list_sum(c.cost) - 7 * m) THEN 1 ELSE 0 END FOR t IN [{', '.join(map(str, sequential.Angles.THRESHOLDS))}]]) AS BIGINT) AS share, CAST(list_sum([CASE WHEN t <= active THEN 1 ELSE 0 END FOR t IN [{', '.join(map(str, sequential.Angles.ACTIVITY))}]]) - 1 AS BIGINT) AS level",
+     "CAST(8 * share * c.ahead[list_position(c.cost, m)] + (8 - share) * c.linear + 64 AS BIGINT) >> 7 AS p0",
+     "(level >> 1) * 256 + CAST(list_sum([CASE WHEN p0 > c.over[j] THEN 1 << (8 - j) ELSE 0 END FOR j IN range(1, 9)]) AS BIGINT) AS ctx",
+     "coalesce(learned[list_max([j FOR j IN range(1, i + 1) IF seen[j] = ctx])], 0) AS corr", "least(128, greatest(-128, p0 + (corr >> 8))) AS pp"],
+    "pp", {"e": "c.v - pp", "seen": "list_append(seen, ctx)", "learned": "list_append(learned, corr + (((c.v - pp) * 128 - corr + 64) >> 7))"},
+)
+
+
 class _As(dict):
     """Neighbours as SQL text by a form; remembers which were asked for."""
 
