@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import lzma
 import math
 import random
 
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as fn
-from marlstone.operators import analysis, blocks, codecs, color, contexts, history, image_codecs, metrics, predict, sequential, stats
+from marlstone.operators import analysis, batched, blocks, codecs, color, contexts, history, image_codecs, metrics, predict, sequential, stats
 
 RUN = "codec string, run_seq int, csize long, etime double, dtime double, emem long"
 
@@ -238,6 +239,36 @@ def test_codec_round_trip(name, data):
     assert decode(encode(data)) == data
 
 
+def _blobs():
+    rng = np.random.default_rng(6)
+    words = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in rng.integers(2, 9, 60)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 60, n)) for n in rng.integers(0, 1500, 90)]
+    deep = b"".join(bytes([i]) * 2**i for i in range(18))
+    return [b"", b"a", b"a" * 5000, b"ab" * 4096, b"z" * 4096, b"", bytes(range(256)) * 40, b"\xff" * 130 + b"x" + b"\x80" * 20000, deep, deep[::-1], rng.integers(0, 256, 9000, dtype=np.uint8).tobytes(), *texts, b""]
+
+
+@pytest.mark.parametrize("name", ["rle", "rice", "huffman", "rans0", "lz"])
+def test_codecs_over_many_blobs_make_the_same_streams(name):
+    blobs = _blobs()
+    one, many = codecs.CODECS[name], batched.pair(codecs.CODECS[name])
+    assert one in batched.PAIRS
+    for part in (blobs, blobs[:12], [b""], []):
+        streams = [one[0](b) for b in part]
+        assert many[0](part) == streams
+        assert many[1](streams) == part == [one[1](d) for d in streams]
+
+
+def test_lzma_sizes_are_those_of_preset_6():
+    blobs = [*_blobs(), bytes(3 << 20)]
+    assert [len(codecs.lzma_encode(b)) for b in blobs] == [len(lzma.compress(b)) for b in blobs]
+
+
+def test_sizes_need_no_decoding(spark):
+    df = spark.createDataFrame([(1, bytearray(b"abc" * 40)), (2, None)], "blob_id long, data binary")
+    rows = codecs.measure(df, ("rle", "lzma"), restore=False).collect()
+    assert {(r["blob_id"], r["codec"], r["csize"], r["lossless"]) for r in rows} == {(i, k, len(codecs.CODECS[k][0](b)), None) for i, b in ((1, b"abc" * 40), (2, b"")) for k in ("rle", "lzma")}
+
+
 def test_rans_is_near_the_entropy():
     data = np.random.default_rng(5).choice([1, 2, 3, 4], 20000, p=[0.7, 0.2, 0.05, 0.05]).astype(np.uint8).tobytes()
     p = np.bincount(np.frombuffer(data, dtype=np.uint8)) / len(data)
