@@ -315,6 +315,22 @@ def test_image_codec_round_trip(name):
     assert (image_codecs.decode(image_codecs.encode(tall, name), name, tall.shape) == tall).all()
 
 
+def test_lz_streams_of_all_images_are_coded_together(monkeypatch):
+    v, calls, binary = _pictures(), [], image_codecs.binary_encode
+    monkeypatch.setattr(image_codecs, "binary_encode", lambda *a, **b: calls.append(1) or binary(*a, **b))
+    data = image_codecs.encode(v, "c56_lz_ac")
+    assert len(calls) == 1
+    assert data == [image_codecs.encode(v[i : i + 1], "c56_lz_ac")[0] for i in range(len(v))]
+    assert (image_codecs.decode(data, "c56_lz_ac", v.shape) == v).all()
+
+
+def test_few_images_are_dealt_to_all_cores(spark):
+    df = spark.createDataFrame([(i, *[p.ravel().tolist() for p in image]) for i, image in enumerate(_pictures())], "image_id long, r array<int>, g array<int>, b array<int>").coalesce(1)
+    got = image_codecs.measure(df, ("c57_fast_rice",))
+    assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert [(r["image_id"], r["wrong"]) for r in got.orderBy("image_id").collect()] == [(i, 0) for i in range(6)]
+
+
 @pytest.mark.parametrize("name", list(image_codecs.LOSSY))
 def test_lossy_image_codec_restores_its_coefficients(name):
     v = _pictures()
