@@ -117,10 +117,10 @@ register(
 )
 register(
     "codecs_sizes",
-    lambda s, d: codecs.measure(v.texts(s, d), tuple(codecs.CODECS)).groupBy("codec").agg(F.sum("csize").alias("csize"), F.round(8 * F.sum("csize") / F.sum("usize"), 6).alias("bpd")),
+    lambda s, d: codecs.measure(v.texts(s, d), tuple(codecs.CODECS), restore=False).groupBy("codec").agg(F.sum("csize").alias("csize"), F.round(8 * F.sum("csize") / F.sum("usize"), 6).alias("bpd")),
 )
 register(
     "codecs_rle_size",
-    lambda s, d: codecs.measure(v.texts(s, d), ("rle",)).select("blob_id", "csize"),
+    lambda s, d: codecs.measure(v.texts(s, d), ("rle",), restore=False).select("blob_id", "csize"),
     f"WITH {v.BYTES}, e AS (SELECT blob_id, pos, sym <> lag(sym, 1, -1) OVER (PARTITION BY blob_id ORDER BY pos) AS fresh FROM bytes), r AS (SELECT blob_id, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY blob_id ORDER BY pos) AS run FROM e), n AS (SELECT blob_id, run, count(*) AS n FROM r GROUP BY ALL) SELECT blob_id, CAST(sum(2 + CASE WHEN n > 127 THEN 1 ELSE 0 END + CASE WHEN n > 16383 THEN 1 ELSE 0 END) AS BIGINT) AS csize FROM n GROUP BY blob_id",
 )
